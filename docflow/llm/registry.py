@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import lines, packing, quality, urls
+from docflow.llm import lines, packing, pii, quality, urls
 from docflow.llm.common import table
 
 
@@ -21,6 +21,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+#: For the queries and tests; a job of its own keeps its own key.
+KEY = "docflow-demo-key"
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = pii.mask(table(spark, sf_dir, "documents"), KEY)
+    counts = [F.size(F.filter("_kinds", lambda k, kind=kind: k == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return masked.select("doc_id", "text", *counts)
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -89,7 +99,7 @@ FROM d JOIN t USING (rid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_quality_rules, op4_packing, op7_url_filters, op9_line_dedup)
+    found = (op3_quality_rules, op4_packing, op5_pii, op7_url_filters, op9_line_dedup)
     return {f.__name__: f for f in found}
 
 
