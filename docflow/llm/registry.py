@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import lines, packing, pii, quality, urls
+from docflow.llm import lines, packing, pii, quality, toxicity, urls
 from docflow.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked.select("doc_id", "text", *counts)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -99,7 +103,7 @@ FROM d JOIN t USING (rid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_quality_rules, op4_packing, op5_pii, op7_url_filters, op9_line_dedup)
+    found = (op3_quality_rules, op4_packing, op5_pii, op6_toxicity, op7_url_filters, op9_line_dedup)
     return {f.__name__: f for f in found}
 
 
