@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import lines, neardup, packing, pii, quality, toxicity, urls
+from docflow.llm import lines, neardup, packing, pii, quality, suffix_lm, toxicity, urls
 from docflow.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.clusters(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), ["doc_id", "source"])
     return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept")
@@ -107,7 +111,7 @@ FROM d JOIN t USING (rid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_jaccard_join, op3_quality_rules, op4_packing, op5_pii, op6_toxicity, op7_url_filters, op9_line_dedup)
+    found = (op1_ngram_jaccard_join, op2_lm_scoring, op3_quality_rules, op4_packing, op5_pii, op6_toxicity, op7_url_filters, op9_line_dedup)
     return {f.__name__: f for f in found}
 
 

@@ -135,3 +135,34 @@ def repeated(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def passed(batch: pa.RecordBatch, names: list[str], more: dict[str, pa.Array]) -> pa.RecordBatch:
     """The named columns of a batch and further ones."""
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *more.values()], [*names, *more])
+
+
+class Tally:
+    """Counts of keys within a task: add() gives what no longer fits, rest() what is left. Memory is bounded by limit."""
+
+    def __init__(self, limit: int = 1 << 21):
+        self.limit, self.parts, self.size = limit, [], 0
+
+    def _merged(self) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in self.parts)])
+        n = np.concatenate([np.zeros(0, np.int64), *(n for _, n in self.parts)])
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+    def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        part = np.unique(keys, return_counts=True)
+        self.parts.append(part)
+        self.size += len(part[0])
+        if self.size > self.limit:
+            keys, n = self._merged()
+            self.parts, self.size = [(keys, n)], len(keys)
+            if self.size > self.limit // 2:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        keys, n = self._merged()
+        self.parts, self.size = [], 0
+        if len(keys):
+            yield keys, n
