@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import lines, neardup, packing, pii, quality, suffix_lm, toxicity, urls
+from docflow.llm import ann, lines, neardup, packing, pii, quality, suffix_lm, toxicity, urls
 from docflow.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.drop_boilerplate(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
@@ -111,7 +115,7 @@ FROM d JOIN t USING (rid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_jaccard_join, op2_lm_scoring, op3_quality_rules, op4_packing, op5_pii, op6_toxicity, op7_url_filters, op9_line_dedup)
+    found = (op1_ngram_jaccard_join, op2_lm_scoring, op3_quality_rules, op4_packing, op5_pii, op6_toxicity, op7_url_filters, op8_nearest_neighbours, op9_line_dedup)
     return {f.__name__: f for f in found}
 
 
