@@ -60,6 +60,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents
@@ -119,7 +125,7 @@ FROM d JOIN t USING (rid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_jaccard_join, op2_lm_scoring, op3_quality_rules, op4_packing, op5_pii, op6_toxicity, op7_url_filters, op8_nearest_neighbours, op9_line_dedup, op10_sentencepiece)
+    found = (op1_ngram_jaccard_join, op2_lm_scoring, op3_quality_rules, op4_packing, op5_pii, op6_toxicity, op7_url_filters, op8_nearest_neighbours, op9_line_dedup, op10_sentencepiece, pipeline)
     return {f.__name__: f for f in found}
 
 
