@@ -8,8 +8,8 @@ is at least PERCENT / 100. The tree has three kinds of levels:
    D(j) + 1 + E(j) parts; so linked sets have equal, filled shares in a part, unless both
    have more than E(j) empty parts, and then they also enter the cells of those. Every
    linked pair meets in a cell, and sets that share only common passages hardly do.
-2. In a cell the least set is compared with all others first. The links found make
-   components, and no pair within a component needs to be compared again.
+2. In a cell the set with the most company is compared with all others first. The links
+   found make components, and no pair within a component needs to be compared again.
 3. Cells that still hold more than one component are cut into leaves of about LEAF sets,
    pairs of leaves are traversed together: nodes over leaves' sets hold the OR of their
    token bitmaps and their range of sizes, and a pair of nodes is left as soon as the
@@ -286,6 +286,20 @@ def traversed(leaves: DataFrame, percent: int) -> DataFrame:
     return two.select("sets", "_sets", (F.col("leaf") == F.col("_leaf")).alias("same")).mapInArrow(work, "a long, b long")
 
 
+def central(shared: DataFrame) -> DataFrame:
+    """a, b: in each cell the set with the most company, and each other set.
+
+    A set's company is the number of sets in its cells: a text that many others were made
+    from has more of it than they have, and is the one that most of them link with.
+    """
+    sizes = shared.groupBy(F.col("cell").alias("_cell")).agg(F.count("*").alias("size"))
+    company = shared.join(sizes, F.col("cell") == F.col("_cell")).groupBy(F.col("set_key").alias("_k")).agg(F.sum("size").alias("company"))
+    ranked = shared.join(company, F.col("set_key") == F.col("_k"))
+    leads = ranked.groupBy(F.col("cell").alias("_cell")).agg(F.max_by("set_key", F.struct("company", "set_key")).alias("lead"))
+    pairs = shared.join(leads, F.col("cell") == F.col("_cell")).where("lead <> set_key")
+    return pairs.select(F.col("lead").alias("a"), F.col("set_key").alias("b")).distinct()
+
+
 def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """key, n_shingles and component_id (the least key that links lead to, itself included) of each row.
 
@@ -298,10 +312,10 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     signed = stash(signatures(docs, key, text, n, percent), "signatures")
     filled = signed.where((F.col("n_shingles") > 0) & F.col("key").isNotNull())
     in_cell = Window.partitionBy("cell")
-    cells = filled.select(F.explode("cells").alias("cell"), "set_key").withColumn("lead", F.min("set_key").over(in_cell))
-    shared = stash(cells.where("lead <> set_key").distinct(), "cells")  # cells with one set go
-    firsts = shared.select(F.col("lead").alias("a"), F.col("set_key").alias("b")).distinct()
-    firsts = stash(firsts, "pairs")
+    cells = filled.select(F.explode("cells").alias("cell"), "set_key")
+    cells = cells.withColumns({"_low": F.min("set_key").over(in_cell), "_high": F.max("set_key").over(in_cell)})
+    shared = stash(cells.where("_low <> _high").select("cell", "set_key").distinct(), "cells")  # cells with one set go
+    firsts = stash(central(shared), "pairs")
     wanted = firsts.select(F.col("a").alias("_k")).unionByName(firsts.select(F.col("b").alias("_k"))).distinct()
     heads = filled.groupBy("set_key").agg(F.min("key").alias("id"))
     texts = stash(texts_of(docs, key, text, heads.join(wanted, F.col("set_key") == F.col("_k"), "left_semi")).dropDuplicates(["set_key"]), "texts")
