@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C55)
 STEPS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 SEPARATOR = np.zeros(256, dtype=bool)
@@ -140,7 +140,7 @@ def passed(batch: pa.RecordBatch, names: list[str], more: dict[str, pa.Array]) -
 class Tally:
     """Counts of keys within a task: add() gives what no longer fits, rest() what is left. Memory is bounded by limit."""
 
-    def __init__(self, limit: int = 1 << 21):
+    def __init__(self, limit: int = 1 << 20):
         self.limit, self.parts, self.size = limit, [], 0
 
     def _merged(self) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +158,7 @@ class Tally:
         if self.size > self.limit:
             keys, n = self._merged()
             self.parts, self.size = [(keys, n)], len(keys)
-            if self.size > self.limit // 2:
+            if self.size > self.limit * 3 // 4:
                 yield from self.rest()
 
     def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
