@@ -202,46 +202,71 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
 
 
 class Node:
-    """Sets below it: the OR of their bitmaps, their range of sizes, and the most shingles that share a bit with another of their own set."""
+    """Sets below it: the OR of their bitmaps, their range of sizes, the most shingles that share a bit with another of their own set, and their component if it is one.
 
-    __slots__ = ("bits", "below", "low", "high", "slack", "at")
+    A node of the lowest level has no nodes below, but sets: their places, and bits, size, slack and label of each.
+    """
+
+    __slots__ = ("bits", "low", "high", "slack", "label", "below", "sets")
 
-    def __init__(self, at: int, bits: np.ndarray, low: int, high: int, slack: int, below: list[Node]):
-        self.at, self.bits, self.low, self.high, self.slack, self.below = at, bits, low, high, slack, below
+    def __init__(self, bits: np.ndarray, low: int, high: int, slack: int, label: int | None, below: list[Node], sets: tuple[np.ndarray, ...] | None = None):
+        self.bits, self.low, self.high, self.slack, self.label, self.below, self.sets = bits, low, high, slack, label, below, sets
 
 
-def tree(bitmaps: np.ndarray, size: np.ndarray) -> Node:
-    """A tree over sets in order of size, FAN to a node."""
-    slack = size - np.bitwise_count(bitmaps).sum(axis=1)
-    level = [Node(i, bitmaps[i], int(size[i]), int(size[i]), int(slack[i]), []) for i in np.argsort(size, kind="stable").tolist()]
+def tree(bitmaps: np.ndarray, size: np.ndarray, label: np.ndarray) -> Node:
+    """A tree over sets in order of component and size, FAN to a node."""
+    slack = size - np.bitwise_count(bitmaps).sum(axis=1, dtype=np.int64)
+    order = np.lexsort((size, label))
+    level = []
+    for i in range(0, len(order), FAN):
+        at = order[i : i + FAN]
+        own = int(label[at[0]]) if label[at[0]] == label[at[-1]] else None
+        level.append(Node(np.bitwise_or.reduce(bitmaps[at]), int(size[at].min()), int(size[at].max()), int(slack[at].max()), own, [], (at, bitmaps[at], size[at], slack[at], label[at])))
     while len(level) > 1:
         groups = [level[i : i + FAN] for i in range(0, len(level), FAN)]
-        level = [Node(-1, np.bitwise_or.reduce([x.bits for x in g]), min(x.low for x in g), max(x.high for x in g), max(x.slack for x in g), g) for g in groups]
+        one = [g[0].label if all(x.label == g[0].label for x in g) else None for g in groups]
+        level = [Node(np.bitwise_or.reduce([x.bits for x in g]), min(x.low for x in g), max(x.high for x in g), max(x.slack for x in g), own, g) for g, own in zip(groups, one, strict=True)]
     return level[0]
 
 
+def enough(common, slack, low, high, low2, high2, percent: int):
+    """Whether the largest possible overlap reaches what the sizes ask for: of two nodes, or of arrays of two sets each."""
+    least = np.maximum(-(-percent * (low + low2) // (100 + percent)), -(-percent * np.maximum(low, low2) // 100))
+    return np.minimum(np.minimum(common + slack, high), high2) >= least
+
+
 def may_link(x: Node, y: Node, percent: int) -> bool:
-    """Whether the largest possible overlap of a set of x and one of y reaches what their sizes ask for."""
+    """Whether any set of x and any of y may link."""
     if x.high * 100 < y.low * percent or y.high * 100 < x.low * percent:
         return False
-    most = int(np.bitwise_count(x.bits & y.bits).sum()) + min(x.slack, y.slack)
-    least = max(-(-percent * (x.low + y.low) // (100 + percent)), -(-percent * max(x.low, y.low) // 100))
-    return min(most, x.high, y.high) >= least
+    common = int(np.bitwise_count(x.bits & y.bits).sum(dtype=np.int64))
+    return bool(enough(common, min(x.slack, y.slack), x.low, x.high, y.low, y.high, percent))
+
+
+def _met(x: Node, y: Node, percent: int) -> Iterator[tuple[int, int]]:
+    """Of two nodes of the lowest level, the pairs of sets of different components that may link."""
+    (at, bits, size, slack, label), (at2, bits2, size2, slack2, label2) = x.sets, y.sets
+    common = np.bitwise_count(bits[:, None] & bits2[None]).sum(axis=2, dtype=np.int64)
+    n, m = size[:, None], size2[None]
+    ok = enough(common, np.minimum(slack[:, None], slack2[None]), n, n, m, m, percent) & (label[:, None] != label2[None])
+    if x is y:
+        ok &= np.triu(np.ones(ok.shape, dtype=bool), 1)
+    i, j = np.nonzero(ok)
+    yield from zip(at[i].tolist(), at2[j].tolist(), strict=True)
 
 
 def traverse(x: Node, y: Node, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of sets below x and y that may link; of a tree with itself each pair once."""
+    """Pairs of sets below x and y, of different components, that may link; of a tree with itself each pair once."""
     todo = [(x, y)]
     while todo:
         x, y = todo.pop()
-        if not may_link(x, y, percent):
+        if x.label is not None and x.label == y.label or not may_link(x, y, percent):
             continue
-        if x.at >= 0 and y.at >= 0:
-            if x is not y:
-                yield x.at, y.at
+        if x.sets and y.sets:
+            yield from _met(x, y, percent)
         elif x is y:
             todo.extend((a, b) for i, a in enumerate(x.below) for b in x.below[i:])
-        elif x.below and (not y.below or len(x.below) >= len(y.below)):
+        elif x.below and len(x.below) >= len(y.below):
             todo.extend((a, y) for a in x.below)
         else:
             todo.extend((x, b) for b in y.below)
@@ -264,26 +289,33 @@ def bitmaps(texts: DataFrame, n: int) -> DataFrame:
 
 
 def traversed(leaves: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of different components, left by the traversal of each two leaves of a cell. leaves: cell, leaf, sets."""
+    """a, b: pairs of different components, left by the traversal of each two leaves of a cell. leaves: cell, leaf, sets, low, high (labels)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[tuple[int, int], tuple[list[int], Node]] = {}  # the pairs of a cell come together
+
+        def side(batch: pa.RecordBatch, i: int, k: int) -> tuple[list[int], Node]:
+            name = (batch.column(0)[i].as_py(), batch.column(k)[i].as_py())
+            if name not in trees:
+                if len(trees) >= 2 * LEAF:
+                    trees.clear()
+                sets = batch.column(k + 1)[i].values
+                bits = np.frombuffer(b"".join(sets.field("bits").to_pylist()), dtype=np.uint64).reshape(len(sets), -1)
+                trees[name] = sets.field("set_key").to_pylist(), tree(bits, sets.field("n").to_numpy(), sets.field("label").to_numpy())
+            return trees[name]
+
         for batch in batches:
+            found: set[tuple[int, int]] = set()
             for i in range(batch.num_rows):
-                sides = []
-                for k in (0, 1):
-                    sets = batch.column(k)[i].as_py()
-                    bits = np.frombuffer(b"".join(s["bits"] for s in sets), dtype=np.uint64).reshape(len(sets), -1)
-                    sides.append((sets, tree(bits, np.array([s["n"] for s in sets], dtype=np.int64))))
-                (left, x), (right, y) = sides
-                same = batch.column(2)[i].as_py()
-                found = [(left[p], right[q]) for p, q in traverse(x, x if same else y, percent)]
-                found = [tuple(sorted((s["set_key"], t["set_key"]))) for s, t in found if s["label"] != t["label"]]
-                found = sorted(set(found))
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
-
-    other = leaves.select("cell", F.col("leaf").alias("_leaf"), F.col("sets").alias("_sets"))
+                (left, x), (right, y) = side(batch, i, 1), side(batch, i, 3)
+                found.update(tuple(sorted((left[p], right[q]))) for p, q in traverse(x, y, percent))
+            pairs = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    other = leaves.select("cell", F.col("leaf").alias("_leaf"), F.col("sets").alias("_sets"), F.col("low").alias("_low"), F.col("high").alias("_high"))
     two = leaves.join(other, "cell").where(F.col("leaf") <= F.col("_leaf"))
-    return two.select("sets", "_sets", (F.col("leaf") == F.col("_leaf")).alias("same")).mapInArrow(work, "a long, b long")
+    two = two.where(F.least("low", "_low") < F.greatest("high", "_high"))  # within one component nothing is left to find
+    return two.select("cell", "leaf", "sets", "_leaf", "_sets").mapInArrow(work, "a long, b long")
 
 
 def central(shared: DataFrame) -> DataFrame:
@@ -323,11 +355,11 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     labels = stash(components(links).select(F.col("node").alias("_k"), F.col("component").alias("label")), "labels")
 
     labelled = shared.join(labels, F.col("set_key") == F.col("_k"), "left").select("cell", "set_key", F.coalesce("label", "set_key").alias("label"))
-    mixed = labelled.groupBy(F.col("cell").alias("_cell")).agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("sets_here")).where("_low <> _high")
+    mixed = labelled.groupBy(F.col("cell").alias("_cell")).agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("sets_here")).where("_low <> _high and sets_here > 2")  # of two sets the only pair is compared
     marks = bitmaps(texts, n).withColumnRenamed("set_key", "_k")
     members = labelled.join(mixed, F.col("cell") == F.col("_cell")).join(marks, F.col("set_key") == F.col("_k"))
     leaf = F.pmod(F.xxhash64("set_key"), F.ceil(F.col("sets_here") / LEAF)).alias("leaf")
-    leaves = members.groupBy("cell", leaf).agg(F.collect_list(F.struct("set_key", "label", "n", "bits")).alias("sets"))
+    leaves = members.groupBy("cell", leaf).agg(F.collect_list(F.struct("set_key", "label", "n", "bits")).alias("sets"), F.min("label").alias("low"), F.max("label").alias("high"))
     seconds = stash(traversed(stash(leaves, "leaves"), percent).distinct(), "pairs")
     more = verified(seconds, texts, n, percent)
     named = labels.select(F.col("_k"), F.col("label"))
