@@ -30,7 +30,7 @@ from docflow.llm.common import stash
 PIECE, BYTE = 10**7, 10**8
 SPACE = "▁"
 #: Units broadcast as a dictionary, each of LONG characters at most; others are joined.
-FREQUENT, LONG = 1 << 20, 64
+FREQUENT, LONG = 1 << 19, 64
 CLASS = np.full(256, 3, dtype=np.uint8)  # 0 space, 1 ASCII letter, 2 other ASCII, 3 part of another character
 CLASS[:128] = 2
 CLASS[[*range(65, 91), *range(97, 123)]] = 1
@@ -97,7 +97,7 @@ def distinct_units(docs: DataFrame, text: str) -> DataFrame:
     """key, unit (spaces as in pieces), n: each different unit and how often it occurs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, names = X.Tally(1 << 19), {}
+        tally, names = X.Tally(1 << 18), {}
 
         def rows(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
             words = [names.pop(k) for k in found[0].tolist()]
