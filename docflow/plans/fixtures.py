@@ -113,7 +113,7 @@ def fx_conv(spark: SparkSession, sf: str) -> DataFrame:
     return out.unionByName(aggregated(rows.where("role = 'assistant'"), F.col("conv_id"), "turn", note("endnote"), "word/endnotes.xml", f"<w:endnotes {W}>", "</w:endnotes>", 3))
 
 
-REVISIONS = {"view": "ins", "click": "del", "purchase": "moveFrom", "error": "moveTo"}
+REVISIONS = {"view": "ins", "click": "del", "purchase": "moveFrom", "error": "moveTo", "signup": "rPrChange"}
 
 
 def fx_rev(spark: SparkSession, sf: str) -> DataFrame:
