@@ -42,6 +42,18 @@ def drop_stash(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows in an Arrow batch of whole texts.
+BATCH = 1_000
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH) -> None:
+    """Set the session's Arrow batches to so many rows if they are larger: a batch is held several times over in an executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
+
+
 def fold(key: str | Column, folds: int) -> Column:
     """crc32 of the key as text, modulo folds; a null key counts as empty text."""
     key = F.col(key) if isinstance(key, str) else key

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.llm import text as X
-from docflow.llm.common import stash
+from docflow.llm.common import small_batches, stash
 
 PIECE, BYTE = 10**7, 10**8
 SPACE = "▁"
@@ -218,11 +218,13 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
 
     start counts the row's units before the segment. Null and empty texts have no
     segments. Units not in the broadcast dictionary are segments of their own, so no text
-    is gathered anew. Repeated rows with one key have the same segments each; an
+    is gathered anew. The session's Arrow batches are set to BATCH rows if they are larger,
+    as whole texts pass through them. Repeated rows with one key have the same segments each; an
     empty table gives an empty result; other columns are not read. Units are told apart
     by 64-bit keys.
     """
     path = model or default_model()
+    small_batches(docs.sparkSession)
     known = stash(encoded_units(stash(distinct_units(docs, text), "units"), path), "dictionary")
     *entries, least = _dictionary(known)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(entries))
