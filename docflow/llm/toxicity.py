@@ -111,7 +111,8 @@ def labelled(docs: DataFrame, labels: DataFrame, s: Settings, text: str = "text"
     if n > s.max_rows:
         known = known.where(F.pmod(F.xxhash64(F.col("_id"), F.lit(7)), F.lit(1 << 20)) < (1 << 20) * s.max_rows // n)
     rows = F.broadcast(known)  # about max_rows rows of 12 bytes
-    return docs.join(rows, F.col("doc_id") == F.col("_id")).select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), "y")
+    texts = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return texts.join(rows, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
 
 
 def trained(sample: DataFrame, s: Settings) -> dict[int, float]:
