@@ -18,8 +18,8 @@ def with_defaults(recents: DataFrame) -> DataFrame:
 
 def upsert(recents: DataFrame, accesses: DataFrame, kept: int = KEPT) -> DataFrame:
     """recents after accesses of the same columns: of each uri the latest, the kept newest; ties by uri."""
-    both = with_defaults(recents.unionByName(accesses)).withColumn("_late", -F.col("last_accessed").cast("double"))
-    return first_per(both, ["uri"], "_late").drop("_late").orderBy(F.desc("last_accessed"), "uri").limit(kept)
+    both = with_defaults(recents.unionByName(accesses))
+    return first_per(both, ["uri"], F.desc("last_accessed")).orderBy(F.desc("last_accessed"), "uri").limit(kept)
 
 
 def visible(recents: DataFrame, shown: int = SHOWN) -> DataFrame:
@@ -34,7 +34,7 @@ def prune(recents: DataFrame, kept: int = KEPT) -> tuple[DataFrame, DataFrame]:
 
 def to_json(recents: DataFrame) -> DataFrame:
     """One row, json: the bounded list as an array, newest first."""
-    millis = F.unix_millis("last_accessed")
+    millis = F.unix_millis(F.col("last_accessed").cast("timestamp"))
     item = F.struct(F.col("uri"), F.col("file_name").alias("fileName"), F.col("mime_type").alias("mimeType"), F.col("file_size").alias("fileSize"), millis.alias("lastAccessed"))
     items = F.array_sort(F.collect_list(F.struct((-millis).alias("late"), "uri", item.alias("item"))))
     return visible(recents, KEPT).agg(F.to_json(F.transform(items, lambda s: s["item"])).alias("json"))

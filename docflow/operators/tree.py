@@ -56,6 +56,6 @@ def subtree_text(heads: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.groupBy(*KEY, "pre").agg(S.ktrim(F.coalesce(in_order("text", "at"), F.lit(""))).alias("value"))
 
 
-def first_per(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+def first_per(df: DataFrame, keys: list[str], order: str | Column) -> DataFrame:
     """The first row of each group, as it is."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_n = 1").drop("_n")

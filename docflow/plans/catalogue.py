@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docflow.plans import body_queries, mark_queries
+from docflow.plans import body_queries, mark_queries, package_queries
 
-MODULES = [body_queries, mark_queries]
+MODULES = [body_queries, mark_queries, package_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

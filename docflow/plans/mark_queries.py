@@ -179,11 +179,11 @@ def _recents(s, d, kept=R.KEPT):
 
 
 def rec_01_upsert_recent(s, d):
-    return _recents(s, d).select("uri", "file_name", "mime_type", F.unix_micros("last_accessed").alias("at"))
+    return _recents(s, d).select("uri", "file_name", "mime_type", F.unix_micros(F.col("last_accessed").cast("timestamp")).alias("at"))
 
 
 def rec_02_visible_recent(s, d):
-    return R.visible(_recents(s, d)).select("uri", F.unix_micros("last_accessed").alias("at"))
+    return R.visible(_recents(s, d)).select("uri", F.unix_micros(F.col("last_accessed").cast("timestamp")).alias("at"))
 
 
 def rec_03_prune_recent(s, d):
@@ -192,7 +192,7 @@ def rec_03_prune_recent(s, d):
 
 def rec_04_recent_json(s, d):
     json = R.to_json(_recents(s, d))
-    return json.select(F.explode(R.from_json(F.col("json"))).alias("r")).select("r.uri", "r.file_name", "r.file_size", F.unix_millis("r.last_accessed").alias("at"))
+    return json.select(F.explode(R.from_json(F.col("json"))).alias("r")).select("r.uri", "r.file_name", "r.file_size", F.unix_millis(F.col("r.last_accessed").cast("timestamp")).alias("at"))
 
 
 def rec_05_upsert_defaults(s, d):
@@ -253,7 +253,7 @@ SQL = {
     "rec_01_upsert_recent": f"SELECT uri, {NAME} AS file_name, {MIME} AS mime_type, epoch_us(ts) AS at FROM ({TOP})",
     "rec_02_visible_recent": f"SELECT uri, epoch_us(ts) AS at FROM ({TOP}) ORDER BY ts DESC, uri LIMIT 5",
     "rec_03_prune_recent": "SELECT greatest(count(DISTINCT user_id) - 20, 0) AS removed FROM events",
-    "rec_04_recent_json": f"SELECT uri, {NAME} AS file_name, 0 AS file_size, epoch_ms(ts) AS at FROM ({TOP})",
+    "rec_04_recent_json": f"SELECT uri, {NAME} AS file_name, 0 AS file_size, epoch_us(ts) // 1000 AS at FROM ({TOP})",
     "rec_05_upsert_defaults": f"SELECT uri, event_type NOT IN ('view', 'click', 'purchase') AS untyped, 0 AS file_size FROM ({TOP})",
 }
 #: Each piece of a field's instruction is a reference of its own; how it is cut is no matter of SQL, so a test covers it.
