@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docflow.llm.common import stash
+
 TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
@@ -43,7 +45,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     Blank lines stay. Null text stays null with no lines; empty text has one blank line.
     Other columns and repeated rows pass through; an empty table gives an empty result.
     """
-    found = boilerplate(docs, host, text, max_ratio, min_pages).select(F.col("_host"), F.col("keys").alias("_keys"))
+    # written, so that its size is known when the join is planned: hosts below the broadcast threshold spare the texts a shuffle
+    found = stash(boilerplate(docs, host, text, max_ratio, min_pages).select(F.col("_host"), F.col("keys").alias("_keys")), "boilerplate")
     joined = docs.join(found, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
     lines = _lines(F.col(text))
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_keys"), _key(x)), F.lit(False)))
