@@ -134,7 +134,9 @@ def test_files_and_streams(spark, tmp_path):
     got = []
     streams.stream_corpus(spark, str(tmp_path), "*.docx", str(tmp_path / "c1"), lambda df, _: got.extend(r.text for r in df.collect())).awaitTermination()
     assert sorted(got) == ["Head 1", "Head 2"]
-    accesses = spark.readStream.schema("event_id long, ts timestamp, user_id long").parquet(f"{SF}/events.parquet").selectExpr("cast(user_id as string) uri", "ts last_accessed")
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.write.parquet(str(tmp_path / "events"))
+    accesses = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events")).selectExpr("cast(user_id as string) uri", "ts last_accessed")
     newest = []
     streams.stream_recents(accesses, str(tmp_path / "c2"), lambda df, _: newest.append([r.uri for r in df.collect()])).awaitTermination()
     rows = spark.read.parquet(f"{SF}/events.parquet").groupBy("user_id").agg(F.max("ts").alias("t")).orderBy(F.desc("t")).limit(5)
