@@ -215,3 +215,15 @@ def citations(nodes: DataFrame) -> DataFrame:
     rows = values.groupBy(*KEY, F.col("source").alias("pre")).agg(value("Tag").alias("tag"), value("Title").alias("named"), value("Year").alias("year"))
     rows = heads.join(rows, [*KEY, "pre"], "left").withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")))
     return rows.select("doc_id", "ordinal", F.coalesce("tag", "named", F.concat(F.lit("Citation "), "ordinal")).alias("title"), "tag", "year")
+
+
+def captions(nodes: DataFrame) -> DataFrame:
+    """doc_id, ordinal, kind, text: paragraphs whose instruction texts number a figure or a table; figures come first in doubt."""
+    texts = nodes.where("kind = 'text'").select(*KEY, F.col("pre").alias("at"), F.col("parent").alias("holder"), "text")
+    holders = named(nodes, "instrText", "t", part=B.MAIN).select(*KEY, F.col("pre").alias("holder"), "name", F.explode("anc").alias("pre"))
+    rows = holders.join(texts, [*KEY, "holder"]).join(named(nodes, "p", part=B.MAIN).select(*KEY, "pre"), [*KEY, "pre"], "left_semi")
+    listed = lambda name, sep: F.array_join(F.transform(F.array_sort(F.filter(F.collect_list(F.when(F.col("name") == name, F.struct("at", "text"))), lambda s: s.isNotNull())), lambda s: s["text"]), sep)
+    grouped = rows.groupBy(*KEY, "pre").agg(listed("instrText", " ").alias("instr"), S.ktrim(listed("t", "")).alias("text"))
+    kind = F.when(F.col("instr").contains("SEQ Figure"), "figure").when(F.col("instr").contains("SEQ Table"), "table")
+    found = grouped.withColumn("kind", kind).where("kind is not null")
+    return found.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")).alias("ordinal"), "kind", "text")

@@ -231,3 +231,12 @@ def ole_objects(nodes: DataFrame) -> DataFrame:
     heads = named(nodes, "object", part=B.MAIN).select(*KEY, "pre", attr("dxaOrig").alias("shape_id"))
     inner = below(nodes, "OLEObject").groupBy(*KEY, F.col("head").alias("pre")).agg(F.max(attr("ProgID")).alias("prog_id"))
     return heads.join(inner, [*KEY, "pre"], "left").select("doc_id", "pre", F.coalesce("prog_id", F.lit("")).alias("prog_id"), "shape_id")
+
+
+def watermarks(nodes: DataFrame, rels: DataFrame) -> DataFrame:
+    """doc_id, part, pre, kind, target of headers' and footers' watermarks: shapes that are named so, and pictures with their targets (the id where it leads nowhere)."""
+    own = nodes.where((F.col("kind") == "elem") & F.col("part").rlike("^word/(header|footer)[^/]*\\.xml$"))
+    named_so = S.contains_ignoring_case(F.concat_ws(" ", attr("id"), attr("spid"), attr("type")), "watermark")
+    shapes = own.where((F.col("name") == "shape") & named_so).select(*KEY, "pre", F.lit("shape").alias("kind"), attr("id").alias("target"))
+    pictures = own.where("name = 'imagedata'").select(*KEY, "pre", attr("id").alias("rel_id")).join(rels, [*KEY, "rel_id"], "left")
+    return shapes.unionByName(pictures.select(*KEY, "pre", F.lit("image").alias("kind"), F.coalesce("target", "rel_id").alias("target")))

@@ -206,6 +206,68 @@ def edg_08_placeholders(s, d):
     return placeholders(nodes(s, d, "sect")).select(*long("doc_id"), "placeholders")
 
 
+def edg_09_catalogue(s, d):
+    from docflow.operators.catalogue import catalogue
+
+    rows = catalogue(nodes(s, d, "edge"), fx_edge(s, d))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def mrk_06_captions(s, d):
+    from docflow.operators.marks import captions
+
+    return captions(nodes(s, d, "caption")).select("doc_id", *long("ordinal"), "kind", "text")
+
+
+def fx_caption(spark: SparkSession, sf: str) -> DataFrame:
+    """A caption of a figure, of a table or of neither for each part, by brand."""
+    k = F.col("p_partkey")
+    instr = X.case(k % 3, (0, "SEQ Figure"), (1, "SEQ Table"), other="SEQ Other")
+    xml = F.concat(F.lit("<w:p><w:r><w:t>Item </w:t></w:r><w:r><w:instrText>"), instr, F.lit("</w:instrText></w:r><w:r><w:t>"), X.escaped(F.col("p_name")), F.lit(" </w:t></w:r></w:p>"))
+    return X.aggregated(X.table(spark, sf, "part"), F.col("p_brand"), "p_partkey", xml, "word/document.xml", f"<w:document {X.W}><w:body>", "</w:body></w:document>")
+
+
+X.FIXTURES["caption"] = fx_caption
+
+
+def mrk_10_watermarks(s, d):
+    n = nodes(s, d, "water")
+    return G.watermarks(n, P.relationships(n)).select(*long("doc_id"), "kind", "target")
+
+
+def fx_water(spark: SparkSession, sf: str) -> DataFrame:
+    """A header with a shape and a picture for each supplier, and a page background."""
+    k = F.col("s_suppkey")
+    shape = F.when(k % 2 == 0, '<v:shape id="PowerPlusWaterMarkObject"/>').otherwise('<v:shape id="plain"/>')
+    picture = F.concat(F.lit('<v:imagedata r:id="'), F.when(k % 3 == 0, "gone").otherwise("r1"), F.lit('"/>'))
+    ground = F.when(k % 2 == 0, '<w:background w:color="00FF00"/>').otherwise('<w:background w:themeColor="accent1" r:id="r1"/>')
+    link = F.when(k % 5 == 0, '<w:hyperlink w:anchor="top">').when(k % 5 == 1, '<w:hyperlink r:id="gone">').when(k % 5 == 2, '<w:hyperlink r:id="m">').otherwise('<w:hyperlink r:id="h" w:tooltip="tip">')
+    return _row(
+        X.table(spark, sf, "supplier"), "s_suppkey", ("word/header1.xml", F.concat(F.lit(f'<w:hdr {X.W} xmlns:v="v"><w:p>'), shape, picture, F.lit("</w:p></w:hdr>"))),
+        ("word/_rels/header1.xml.rels", F.lit('<Relationships><Relationship Id="r1" Target="media/w.png"/></Relationships>')),
+        ("word/document.xml", F.concat(F.lit(f"<w:document {X.W}>"), ground, F.lit("<w:body><w:p>"), link, F.lit("<w:r><w:t>x</w:t></w:r></w:hyperlink></w:p></w:body></w:document>"))),
+        ("word/_rels/document.xml.rels", F.lit('<Relationships><Relationship Id="r1" Target="media/b.png"/><Relationship Id="m" Target="MAILTO:a@b.example"/><Relationship Id="h" Target="http://a.example"/></Relationships>')),
+    )
+
+
+X.FIXTURES["water"] = fx_water
+
+
+def pkg_07_background(s, d):
+    n = nodes(s, d, "water")
+    return G.background(n, P.relationships(n)).select(*long("doc_id"), "color", "theme_color", "image")
+
+
+def doc_04_paragraph_hyperlink(s, d):
+    n = nodes(s, d, "water")
+    return B.hyperlinks(n, P.relationships(n)).select(*long("doc_id"), "address", "anchor", "tooltip")
+
+
+def doc_05_is_external_is_email(s, d):
+    n = nodes(s, d, "water")
+    return B.hyperlinks(n, P.relationships(n)).select(*long("doc_id"), "is_external", "is_email")
+
+
 O = "o_orderkey"
 BIT = lambda n: f"(s_suppkey >> {n}) % 2 = 1"
 SQL = {
@@ -240,5 +302,12 @@ SQL = {
     "mrk_02_control_type": f"SELECT {O} AS doc_id, CASE {O} % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'dropDownList' WHEN 2 THEN 'date' ELSE 'unknown' END AS type FROM orders",
     "mrk_08_math_zones": f"SELECT {O} AS doc_id, 1 AS ordinal, CASE WHEN {O} % 2 = 0 THEN 'f=2, rad=1' ELSE 'rad=1' END AS counts, 'x' || {O} AS text FROM orders",
     "mrk_09_alternate_content": f"SELECT {O} AS doc_id, 1 AS ordinal, CASE WHEN {O} % 2 = 0 THEN 2 ELSE 1 END AS choices, {O} % 3 = 0 AS has_fallback, 'wps' AS requires FROM orders",
+    "mrk_06_captions": "SELECT p_brand AS doc_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS ordinal, CASE p_partkey % 3 WHEN 0 THEN 'figure' ELSE 'table' END AS kind, 'Item ' || rtrim(p_name) AS text FROM part WHERE p_partkey % 3 < 2",
+    "mrk_10_watermarks": "SELECT s_suppkey AS doc_id, 'shape' AS kind, 'PowerPlusWaterMarkObject' AS target FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'image', CASE WHEN s_suppkey % 3 = 0 THEN 'gone' ELSE 'media/w.png' END FROM supplier",
+    "pkg_07_background": "SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 2 = 0 THEN '00FF00' END AS color, CASE WHEN s_suppkey % 2 = 1 THEN 'accent1' END AS theme_color, CASE WHEN s_suppkey % 2 = 1 THEN 'word/media/b.png' END AS image FROM supplier",
+    "doc_04_paragraph_hyperlink": "SELECT s_suppkey AS doc_id, CASE s_suppkey % 5 WHEN 2 THEN 'MAILTO:a@b.example' WHEN 3 THEN 'http://a.example' WHEN 4 THEN 'http://a.example' END AS address, CASE WHEN s_suppkey % 5 = 0 THEN 'top' END AS anchor, CASE WHEN s_suppkey % 5 > 2 THEN 'tip' END AS tooltip FROM supplier",
+    "doc_05_is_external_is_email": "SELECT s_suppkey AS doc_id, s_suppkey % 5 > 1 AS is_external, s_suppkey % 5 = 2 AS is_email FROM supplier",
+    "edg_09_catalogue": f"""SELECT 'settings' AS kind, count(*) AS n FROM supplier UNION ALL SELECT 'protection', count(*) FROM supplier WHERE {BIT(0)} OR {BIT(1)} OR {BIT(2)}
+        UNION ALL SELECT 'interactive-content', count(*) FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey % 5 = 0 OR s_suppkey % 6 = 0 UNION ALL SELECT 'hyphenation', count(*) FROM supplier WHERE {BIT(4)} OR {BIT(5)} HAVING count(*) > 0""",
 }
 QUERIES = {name: globals()[name] for name in SQL}

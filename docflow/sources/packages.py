@@ -191,12 +191,12 @@ def relationships(nodes: DataFrame) -> DataFrame:
 
 
 def resolve_target(part: Column, target: Column) -> Column:
-    """A target as a package path: from the root with a leading slash, else from the part's folder; dots are resolved."""
+    """A target as a package path: from the root with a leading slash, else from the part's folder; dots are resolved, null stays null."""
     folder = F.when(target.startswith("/"), F.lit("")).otherwise(F.when(part.contains("/"), F.regexp_replace(part, "/[^/]*$", "")).otherwise(""))
     steps = F.filter(F.split(F.concat_ws("/", folder, target), "/"), lambda s: ~s.isin("", "."))
     up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
     walked = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, s: F.when(s == "..", up(acc)).otherwise(F.array_append(acc, s)))
-    return F.array_join(walked, "/")
+    return F.when(target.isNotNull(), F.array_join(walked, "/"))
 
 
 def parse_status(files: DataFrame, nodes: DataFrame) -> DataFrame:
