@@ -24,8 +24,8 @@ CENTRES = 16
 ROWS, QUERIES, SAMPLE = 16_384, 1_024, 8_192
 #: Scores from this share of a vector's norm on are what the loss is weighted for.
 SHARE = 0.2
-#: Rows are scored exactly where their sum is within so many standard errors of the k-th best.
-ERRORS = 4.0
+#: Rows are scored exactly where their sum is within so many standard errors of the k-th best exact score known.
+ERRORS = 3.0
 
 
 @dataclass(frozen=True)
@@ -119,13 +119,16 @@ def searched(query: np.ndarray, own: int, vectors: np.ndarray, ids: np.ndarray,
     for j in range(len(table)):
         near += table[j].take(codes[j])
     slack = ERRORS * book.error / np.sqrt(book.dim) * np.linalg.norm(query) * norms
-    if len(ids) > k + 1:
-        floor = np.partition(near - slack, len(ids) - k - 1)[len(ids) - k - 1]  # k + 1, as the query's own row may be among them
-        at = np.flatnonzero(near + slack >= floor)
+    exact = lambda at: (vectors[at] * query).sum(axis=1)
+    first = 4 * (k + 1)
+    if len(ids) > first:  # the k-th best exact score of the nearest by their sums bounds that of all from below
+        top = np.argpartition(near, -first)[-first:]
+        known = np.sort(exact(top[ids[top] != own]))
+        at = np.flatnonzero(near + slack >= (known[-k] if len(known) >= k else -np.inf))
     else:
         at = np.arange(len(ids))
     at = at[ids[at] != own]
-    score = (vectors[at].astype(np.float64) * query).sum(axis=1)
+    score = exact(at)
     best = np.lexsort((ids[at], -score))[:k]
     return ids[at][best], score[best]
 
