@@ -3,7 +3,8 @@
 Quality rules, boilerplate lines, near copies, personal data, packing. Each stage takes
 (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns the
 columns of docs; the last returns packed pieces. Extra columns of documents pass
-through all stages but the last, whatever their names.
+through all stages but the last, whatever their names. Stages that pass whole texts to
+Python set the session's Arrow batches to 1,000 rows if they are larger.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.llm import lines, neardup, packing, pii, quality
-from docflow.llm.common import stash, table
+from docflow.llm.common import small_batches, stash, table
 
 #: For this demonstration; a job of its own keeps its own key.
 KEY = "docflow-demo-key"
@@ -33,6 +34,7 @@ def _with_text(docs: DataFrame, names: list[str]) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose host is not rejected. Null and empty texts have no words and go."""
+    small_batches(spark)
     judged = quality.judge(_carried(docs, "source", "text"), ["_row", "source"])
     return judged.where("kept").select("_row.*")
 
@@ -44,6 +46,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group of near copies. Null ids belong to no group and stay."""
+    small_batches(spark)
     found = neardup.clusters(docs)
     least = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
     rows = _carried(docs, "doc_id")
@@ -58,6 +61,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

@@ -28,7 +28,7 @@ END_ID = 1
 #: Bits of a sequence id that number the sequences of one partition.
 BITS = 33
 #: Word pieces that a Python worker keeps before it starts afresh.
-CACHED = 600_000
+CACHED = 250_000
 LETTER = np.zeros(256, dtype=bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 STOP = np.zeros(256, dtype=bool)
