@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docflow.plans import body_queries, mark_queries, package_queries
+from docflow.plans import body_queries, function_queries, mark_queries, package_queries
 
-MODULES = [body_queries, mark_queries, package_queries]
+MODULES = [function_queries, body_queries, mark_queries, package_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
