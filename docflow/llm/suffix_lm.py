@@ -1,15 +1,18 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
 The root is the distribution of single tokens, smoothed by adding ALPHA. A context of one
-or two words is a candidate where its share of all tokens is context_share or more, and
-is kept where its next-token distribution diverges from that of its suffix by more than
-chance does. Within a kept context, next tokens seen often enough have their own
-discounted share, and what is left goes to the suffix; so each state's probabilities
-sum to 1. A token is scored in the state of the longest kept suffix of what precedes it.
-
-All counts are over all training texts. What is broadcast is bounded: FREQUENT words,
-1 / context_share contexts a level and 1 / pair_share next tokens a level. Words that
-are not among the frequent ones are counted, and joined to the texts, by Spark.
+to depth words that is seen least times or more is a candidate, and is kept where its
+next-token distribution diverges from that of its longest kept suffix by more than chance
+does. Within a kept context, each next token seen has its own discounted share, and what
+is left goes to the suffix; so each state's probabilities sum to 1. A token is scored in
+the state of the longest kept suffix of what precedes it.
+
+All counts are over all training texts, and no share of the corpus bounds the tree: it
+grows with the input. Each level is a written table of grams (a context and a next
+token), joined to the level below by the gram without its first word. What is broadcast
+only saves transport: a filter of FILTER_BITS bits a level, by which grams of contexts
+seen less than least times are not moved, and the HOT grams seen most, which are scored
+where the texts are. All other tokens are joined to the tables by Spark.
 """
 
 from __future__ import annotations
@@ -27,39 +30,44 @@ from docflow.llm.common import drop_stash, fold, stash
 
 ALPHA = 0.1
 END = 0x5EED
-FREQUENT = 1 << 18
+HOT = 1 << 18
+#: Bits of the filter of contexts, 8 MB a level whatever the corpus. A chance hit costs only transport.
+FILTER_BITS = 1 << 26
+#: Positions that are counted together in a task.
+COUNTED = 1 << 19
 
 
 @dataclass(frozen=True)
 class Settings:
-    """folds: texts of the fold 0 are not learnt. divergence is in nats, less what chance explains."""
+    """folds: texts of the fold 0 are not learnt. least: how often a context is seen at least. divergence is in nats, less what chance explains.
+
+    context_share, next_share and pair_share, of all tokens, are further bounds that a caller may set for contexts, next
+    words and next words in a context. By default there are none.
+    """
 
     folds: int = 10
     depth: int = 2
-    context_share: float = 1e-4
-    next_share: float = 5e-5
-    pair_share: float = 2e-6
+    context_share: float = 0.0
+    next_share: float = 0.0
+    pair_share: float = 0.0
     divergence: float = 0.01
     discount: float = 0.5
+    least: int = 2
 
 
 @dataclass
 class Level:
-    """Kept contexts of one length: sorted codes, the share that goes to the suffix, and sorted (context place, word) codes with their own shares.
-
-    longer: codes and counts of the candidates for the next level.
-    """
+    """Kept contexts of one length: sorted codes, the share that goes to the suffix, and sorted (context place, word) codes with their own shares."""
 
     codes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
     pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     share: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    longer: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
 
 
 @dataclass
 class Tree:
-    """keys: sorted keys of the frequent words, counts theirs; total tokens and kinds of tokens in training."""
+    """keys: sorted keys of words, counts theirs; total tokens and kinds of tokens in training."""
 
     keys: np.ndarray
     counts: np.ndarray
@@ -87,19 +95,38 @@ def tokens(c: X.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(c.rows), c.per_row(c.row) + 1)
 
 
-def contexts(tree: Tree, words: np.ndarray, row: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For each length, the place of the kept context that precedes each token, or -1. words: places among the frequent words."""
-    before = [np.full(len(words), -1, dtype=np.int64) for _ in range(depth)]
-    for k, b in enumerate(before, 1):
-        if len(words) > k:
-            b[k:] = np.where(row[k:] == row[:-k], words[:-k], -1)
-    found = []
-    for k, level in enumerate(tree.levels[:depth], 1):
-        code, known = before[0], before[0] >= 0
-        for b in before[1:k]:
-            code, known = b * len(tree.keys) + code, known & (b >= 0)
-        found.append(np.where(known, find(level.codes, np.where(known, code, -1)), -1))
-    return found
+def ending(keys: np.ndarray, n: int) -> np.ndarray:
+    """A key of the n tokens that end at each place, whatever their rows; of one token its own."""
+    if n == 1:
+        return keys
+    words = keys.view(np.uint64)
+    out = words * X.STEPS[0]
+    for i in range(1, n):
+        out[i:] += words[: max(0, len(words) - i)] * X.STEPS[i % 5] * np.uint64(2 * (i // 5) + 1)
+    return X.mix(out + np.uint64(n)).view(np.int64)
+
+
+def opened(keys: np.ndarray, row: np.ndarray, filters: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level, the places whose context may be a candidate on it and all levels before, and the gram, the context and the gram without its first word of each."""
+    at, sub = np.arange(len(keys)), keys
+    for k, bits in enumerate(filters, 1):
+        context, gram = ending(keys, k), ending(keys, k + 1)
+        at = at[at >= k]
+        at = at[row[at] == row[at - k]]
+        bit = context[at - 1] & (FILTER_BITS - 1)
+        at = at[(bits[bit >> 6] >> (bit & 63)) & 1 > 0]
+        yield at, gram[at], context[at - 1], sub[at]
+        sub = gram
+
+
+def filter_of(contexts: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, those of the keys in the column gram set."""
+    bit = F.col("gram").bitwiseAND(FILTER_BITS - 1)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    words = contexts.groupBy(F.floor(bit / 64).cast("int").alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out
 
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -120,92 +147,110 @@ def _counts(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["word", "n"])
 
 
-def rooted(counts: DataFrame) -> tuple[Tree, int]:
-    """The tree's root, and the least count of its frequent words: the smallest at which there are FREQUENT words at most."""
-    level = F.floor(F.log2("n") * 8).cast("int").alias("level")
-    rows = counts.groupBy(level).agg(F.count("*").alias("words"), F.sum("n").alias("tokens"), F.min("n").alias("least")).orderBy(F.desc("level")).collect()  # some hundred rows
-    words, least = 0, 1 << 62
-    for r in rows:
-        words += r.words
-        if words > FREQUENT:
-            break
-        least = r.least
-    top = counts.where(F.col("n") >= least).toArrow()
-    keys, n = top["word"].to_numpy(), top["n"].to_numpy()
-    order = np.argsort(keys)
-    return Tree(keys[order], n[order], sum(r.tokens for r in rows), sum(r.words for r in rows)), least
-
-
-def deepened(docs: DataFrame, text: str, tree: Tree, s: Settings) -> Level:
-    """The next level of the tree: contexts one word longer than the last level's."""
-    spark, depth, size = docs.sparkSession, len(tree.levels) + 1, max(1, len(tree.keys))
-    following = tree.counts >= s.next_share * tree.total
-    if depth == 1:
-        heads = np.flatnonzero((tree.counts >= s.context_share * tree.total) & (tree.keys != END))
-        seen = tree.counts[heads]
-    else:  # the context's own pairs were counted a level before
-        heads, seen = tree.levels[-1].longer
-    if not len(heads):
-        return Level()
-    shared = spark.sparkContext.broadcast((tree, heads, seen, following))
+def gram_counts(docs: DataFrame, learns: str, text: str, filters: list[np.ndarray]) -> DataFrame:
+    """gram, ctx, sub, n: the grams of the last level in all docs, and how often each occurs in those that learns holds for."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def merged(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        gram, ctx, sub, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        gram, first, which = np.unique(gram, return_index=True, return_inverse=True)
+        n = np.bincount(which, n, len(gram)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, ctx[first], sub[first], n)], ["gram", "ctx", "sub", "n"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, heads, _, following = shared.value
-        tally = X.Tally()
-        trial = Tree(tree.keys, tree.counts, tree.total, tree.kinds, [*tree.levels, Level(codes=heads)])
+        parts, size = [], 0
         for batch in batches:
+            learnt = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for c in X.chunks(batch.column(0), lower=True):
                 keys, row = tokens(c)
-                words = find(tree.keys, keys)
-                at = contexts(trial, words, row, depth)[-1]
-                ok = (at >= 0) & (words >= 0)
-                ok[ok] = following[words[ok]]
-                yield from map(_counts, tally.add(at[ok] * size + words[ok]))
-        yield from map(_counts, tally.rest())
-
-    rows = docs.select(F.col(text).cast("string").alias("_text")).mapInArrow(work, "word long, n long")
-    pairs = stash(rows.groupBy(F.col("word").alias("pair")).agg(F.sum("n").alias("n")), "pairs")
-
-    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, heads, seen, _ = shared.value
-        for batch in batches:
-            pair, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            at, word = pair // size, pair % size
-            p = (tree.counts[word] + ALPHA) / tree.below
-            for level in tree.levels:  # one at most: that of the last word of a context of two
-                p = _next(level, find(level.codes, heads[at] % size), word, p, size)
-            q = n / seen[at]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n * np.log(q / p)), pa.array(n, pa.int64()), pa.array(p)], ["at", "gain", "n", "p"])
-
-    sums = pairs.mapInArrow(tested, "at long, gain double, n long, p double").groupBy("at").agg(F.sum("gain").alias("gain"), F.sum("n").alias("n"), F.sum("p").alias("p"), F.count("*").alias("kinds"))
-    found = sums.orderBy("at").toArrow()  # one row a candidate context
-    at, gain, n, p, kinds = (found[x].to_numpy() for x in ("at", "gain", "n", "p", "kinds"))
-    left = seen[at] - n
-    gain = gain + np.where(left > 0, left * np.log(np.maximum(left, 1) / seen[at] / np.maximum(1 - p, 1e-12)), 0)
-    kept = at[(gain / seen[at] - kinds / (2 * seen[at])) > s.divergence]
-    often = pairs.where(F.col("n") >= max(2, s.pair_share * tree.total)).toArrow()
-    pair, n = often["pair"].to_numpy(), often["n"].to_numpy()
-    drop_stash(pairs)
-    place = find(kept, pair // size)
-    # contexts for the level after this one: frequent pairs whose suffix is frequent enough to be one
-    longer = (n >= s.context_share * tree.total) & (pair % size >= 0) & (tree.keys[pair % size] != END)
-    own = place >= 0
-    pairs_code, share = place[own] * size + pair[own] % size, (n[own] - s.discount) / seen[kept][place[own]]
-    order = np.argsort(pairs_code)
-    rest = 1 - np.bincount(place[own], share, len(kept))
-    level = Level(heads[kept], rest, pairs_code[order], share[order])
-    level.longer = _longer(heads[pair[longer] // size], pair[longer] % size, n[longer], size, level if depth == 1 else None)
-    return level
-
-
-def _longer(before: np.ndarray, last: np.ndarray, n: np.ndarray, size: int, level: Level | None) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of contexts (before, last) whose suffix (last) is kept."""
-    if level is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ok = find(level.codes, last) >= 0
-    codes = before[ok] * size + last[ok]
-    order = np.argsort(codes)
-    return codes[order], n[ok][order]
+                *_, (at, gram, ctx, sub) = opened(keys, row, shared.value)
+                parts.append((gram, ctx, sub, learnt[c.first + row[at]]))
+                size += len(at)
+                if size > COUNTED:
+                    yield merged(parts)
+                    parts, size = [], 0
+        if size:
+            yield merged(parts)
+
+    rows = docs.select(F.col(text).cast("string").alias("_text"), learns).mapInArrow(work, "gram long, ctx long, sub long, n long")
+    return rows.groupBy("gram").agg(F.min("ctx").alias("ctx"), F.min("sub").alias("sub"), F.sum("n").alias("n"))
+
+
+def rooted(counts: DataFrame) -> tuple[DataFrame, Tree]:
+    """The root as a level: gram, n, n0 (the last word's count) and p of each word; and its totals."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tree = Tree(np.zeros(0, np.int64), np.zeros(0, np.int64), *total)
+    return counts.select(F.col("word").alias("gram"), "n", F.col("n").alias("n0"), ((F.col("n") + ALPHA) / tree.below).alias("p")), tree
+
+
+def joined(grams: DataFrame, lower: DataFrame, tree: Tree) -> DataFrame:
+    """grams with n0 and p of the level below."""
+    known = lower.select(F.col("gram").alias("_g"), "n0", "p")
+    both = grams.join(known, F.col("sub") == F.col("_g"), "left")
+    return both.select("gram", "ctx", "sub", "n", F.coalesce("n0", F.lit(0)).alias("n0"), F.coalesce("p", F.lit(ALPHA / tree.below)).alias("p"))
+
+
+def kept(grams: DataFrame, tree: Tree, s: Settings) -> DataFrame:
+    """_c, seen and rest (the share that goes to the suffix) of the contexts that pass the divergence test."""
+    own = _own(tree, s)
+    sum_of = lambda x: F.coalesce(F.sum(F.when(own, x)), F.lit(0.0))
+    sums = grams.where("n > 0").groupBy(F.col("ctx").alias("_c")).agg(
+        F.sum("n").alias("seen"), sum_of(F.col("n")).alias("listed"), F.count(F.when(own, 1)).alias("kinds"), sum_of(F.col("p")).alias("mass"), sum_of(F.col("n") * F.log(F.col("n") / F.col("p"))).alias("gain")
+    )
+    left = F.col("seen") - F.col("listed")
+    gain = F.col("gain") - F.col("listed") * F.log("seen")
+    gain = gain + F.when(left > 0, left * F.log(left / F.col("seen") / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(0.0)
+    passed = sums.where(F.col("seen") >= max(s.least, s.context_share * tree.total)).where((gain - F.col("kinds") / 2) / F.col("seen") > s.divergence)
+    return passed.select("_c", "seen", ((left + s.discount * F.col("kinds")) / F.col("seen")).alias("rest"))
+
+
+def _own(tree: Tree, s: Settings):
+    """Whether a gram's next word has a share of its own."""
+    return (F.col("n") > 0) & (F.col("n") >= s.pair_share * tree.total) & (F.col("n0") >= s.next_share * tree.total)
+
+
+def deepened(grams: DataFrame, contexts: DataFrame, tree: Tree, s: Settings) -> DataFrame:
+    """gram, n, n0 and p of a level: in kept contexts the discounted share and what comes from the suffix, in others the suffix's p."""
+    share = F.when(_own(tree, s), (F.col("n") - s.discount) / F.col("seen")).otherwise(0.0)
+    p = F.when(F.col("seen").isNotNull(), F.col("rest") * F.col("p") + share).otherwise(F.col("p"))
+    return grams.join(contexts, F.col("ctx") == F.col("_c"), "left").select("gram", "n", "n0", p.alias("p"))
+
+
+def modelled(docs: DataFrame, learns: str, text: str, s: Settings) -> tuple[DataFrame, Tree, list[np.ndarray], list[DataFrame]]:
+    """All levels' grams (gram, n, n0, p), the totals, the filters of candidates by level, and the written tables."""
+    counts = stash(word_counts(docs.where(learns), text), "counts")
+    level, tree = rooted(counts)
+    levels, tables, filters = [level], [counts], []
+    for _ in range(s.depth if tree.total else 0):
+        filters.append(filter_of(levels[-1].where(F.col("n") >= s.least)))
+        grams = stash(joined(gram_counts(docs, learns, text, filters), levels[-1], tree).drop("sub"), "grams")
+        levels.append(stash(deepened(grams, kept(grams, tree, s), tree, s), "level"))
+        tables.append(levels[-1])
+        drop_stash(grams)
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    return every, tree, filters, tables
+
+
+def learnt(docs: DataFrame, text: str, s: Settings) -> tuple[Tree, DataFrame, DataFrame]:
+    """The root and the first level as arrays, to look into the model of a small corpus; the counts of words, and the contexts kept."""
+    own = docs.withColumn("_learns", F.lit(True))
+    counts = stash(word_counts(own, text), "counts")
+    level, tree = rooted(counts)
+    words = counts.orderBy("word").toArrow()
+    tree.keys, tree.counts = words["word"].to_numpy(), words["n"].to_numpy()
+    grams = stash(joined(gram_counts(own, "_learns", text, [filter_of(level.where(F.col("n") >= s.least))]), level, tree), "grams")
+    contexts = kept(grams, tree, s)
+    found = contexts.orderBy("_c").toArrow()
+    codes, seen, rest = (found[x].to_numpy() for x in ("_c", "seen", "rest"))
+    pairs = grams.where(_own(tree, s)).select("ctx", "sub", "n").toArrow()
+    place, word, n = find(codes, pairs["ctx"].to_numpy()), find(tree.keys, pairs["sub"].to_numpy()), pairs["n"].to_numpy()
+    at = place >= 0
+    code, share = place[at] * len(tree.keys) + word[at], (n[at] - s.discount) / seen[place[at]]
+    order = np.argsort(code)
+    tree.levels.append(Level(codes, rest, code[order], share[order]))
+    return tree, counts, contexts
 
 
 def _next(level: Level, at: np.ndarray, word: np.ndarray, p: np.ndarray, size: int) -> np.ndarray:
@@ -220,49 +265,46 @@ def _next(level: Level, at: np.ndarray, word: np.ndarray, p: np.ndarray, size: i
     return out
 
 
-def learnt(docs: DataFrame, text: str, s: Settings) -> tuple[Tree, DataFrame, int]:
-    """The tree, the written counts of all words, and the least count of the tree's own words."""
-    counts = stash(word_counts(docs, text), "counts")
-    tree, least = rooted(counts)
-    if s.depth > 2:
-        raise ValueError("contexts are of one or two words")
-    for _ in range(s.depth if tree.total else 0):
-        tree.levels.append(deepened(docs, text, tree, s))
-    return tree, counts, least
+def hottest(grams: DataFrame) -> tuple[pa.Table, int]:
+    """gram, n0 and p of the grams seen most, and the least count of these: the smallest at which there are HOT at most."""
+    level = F.floor(F.log2("n") * 8).cast("int").alias("level")
+    rows = grams.where("n > 0").groupBy(level).agg(F.count("*").alias("grams"), F.min("n").alias("least")).orderBy(F.desc("level")).collect()  # some hundred rows
+    size, least = 0, 1 << 62
+    for r in rows:
+        size += r.grams
+        if size > HOT:
+            break
+        least = r.least
+    return grams.where(F.col("n") >= least).select("gram", "n0", "p").orderBy("gram").toArrow(), least
 
 
-def partial(docs: DataFrame, tree: Tree, key: str, text: str, s: Settings) -> DataFrame:
-    """row, key, held_out, n_tokens, n_known and base over frequent words, delta of the tree over all tokens, and the keys of other words."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+def partial(docs: DataFrame, tree: Tree, filters: list[np.ndarray], hot: pa.Table, key: str, text: str) -> DataFrame:
+    """row, key, held_out, n_tokens; n_known, base and score over the hot grams; and tail, the grams of all other tokens."""
+    arrays = [hot[x].to_numpy() for x in ("gram", "n0", "p")]
+    shared = docs.sparkSession.sparkContext.broadcast((filters, arrays, tree.below))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
-        size = max(1, len(tree.keys))
-        root = (tree.counts + ALPHA) / tree.below if tree.total else np.zeros(0)
-        logs = np.log10(root)
+        filters, (grams, n0, p), below = shared.value
+        base, score = np.log10((n0 + ALPHA) / below), np.log10(p)
         for batch in batches:
             for c in X.chunks(batch.column(3), lower=True):
                 keys, row = tokens(c)
-                words = find(tree.keys, keys)
-                known = words >= 0
-                # of other words only the factors of the contexts are known here
-                p = np.ones(len(keys))
-                p[known] = root[words[known]]
-                before = p.copy()
-                for level, at in zip(tree.levels, contexts(tree, words, row, len(tree.levels)), strict=True):
-                    p = _next(level, at, words, p, size)
-                delta = c.per_row(row, np.log10(p / before))
-                base = c.per_row(row[known], logs[words[known]])
-                other, of = keys[~known], row[~known]
-                ends = np.append(0, np.cumsum(c.per_row(of)))
-                tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(other, pa.int64()))
+                deepest = keys.copy()
+                for at, gram, _, _ in opened(keys, row, filters):
+                    deepest[at] = gram
+                place = find(grams, deepest)
+                near = place >= 0
+                here, of = place[near], row[near]
+                ends = np.append(0, np.cumsum(c.per_row(row[~near])))
+                tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(deepest[~near], pa.int64()))
                 own = [batch.column(i).slice(c.first, c.rows) for i in range(3)]
-                more = [pa.array(c.per_row(row)), pa.array(c.per_row(row[known])), pa.array(base), pa.array(delta), tail]
-                yield pa.RecordBatch.from_arrays([*own, *more], ["row", "key", "held_out", "n_tokens", "n_known", "base", "delta", "tail"])
+                known = c.per_row(of[n0[here] > 0])
+                more = [pa.array(c.per_row(row)), pa.array(known), pa.array(c.per_row(of, base[here])), pa.array(c.per_row(of, score[here])), tail]
+                yield pa.RecordBatch.from_arrays([*own, *more], ["row", "key", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), (fold(key, s.folds) == 0).alias("held_out"), F.col(text).cast("string").alias("_text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), (~F.col("_learns")).alias("held_out"), F.col(text).cast("string").alias("_text"))
     kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInArrow(work, f"row long, key {kind}, held_out boolean, n_tokens long, n_known long, base double, delta double, tail array<long>")
+    return rows.mapInArrow(work, f"row long, key {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>")
 
 
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
@@ -270,16 +312,19 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: S
 
     Tokens are words (runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased) and an
     end. base_score is the log10 probability by single tokens, score that by the tree. A
-    null text is empty: its end is its only token. Words are told apart by 64-bit keys.
-    Repeated rows are scored each; an empty table gives an empty result; where nothing
+    null text is empty: its end is its only token. Words and grams are told apart by 64-bit
+    keys. Repeated rows are scored each; an empty table gives an empty result; where nothing
     is learnt, all tokens have the probability 1. Other columns are not read.
     """
-    tree, counts, least = learnt(docs.where(fold(key, settings.folds) != 0), text, settings)
-    rows = stash(partial(docs, tree, key, text, settings), "partial")
-    rare = counts.where(F.col("n") < least)
-    tails = rows.select("row", F.explode("tail").alias("word")).join(rare, "word", "left")
-    log = F.log10((F.coalesce("n", F.lit(0)) + ALPHA) / tree.below) if tree.total else F.lit(0.0)
-    tails = tails.groupBy(F.col("row").alias("_row")).agg(F.sum(log).alias("_base"), F.count("n").alias("_known"))
+    own = docs.select(key, text, (fold(key, settings.folds) != 0).alias("_learns"))
+    grams, tree, filters, _ = modelled(own, "_learns", text, settings)
+    hot, least = hottest(grams)
+    rows = stash(partial(own, tree, filters, hot, key, text), "partial")
+    rare = grams.where(F.col("n") < least).select(F.col("gram").alias("_g"), "n0", "p")
+    tails = rows.select("row", F.explode("tail").alias("gram")).join(rare, F.col("gram") == F.col("_g"), "left")
+    n0, p = F.coalesce("n0", F.lit(0)), F.coalesce("p", F.lit(ALPHA / tree.below))
+    tails = tails.groupBy(F.col("row").alias("_row")).agg(F.sum(F.log10((n0 + ALPHA) / tree.below)).alias("_base"), F.sum(F.log10(p)).alias("_score"), F.count(F.when(n0 > 0, 1)).alias("_known"))
     both = rows.drop("tail").join(tails, F.col("row") == F.col("_row"), "left")
-    base = (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score")
-    return both.select(F.col("key").alias(key), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), base, (base + F.col("delta")).alias("score"))
+    total = lambda x: (F.col(x) + F.coalesce(f"_{x}", F.lit(0.0)))
+    known = (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known")
+    return both.select(F.col("key").alias(key), "held_out", "n_tokens", known, F.lit(tree.total).cast("long").alias("train_tokens"), total("base").alias("base_score"), total("score").alias("score"))
