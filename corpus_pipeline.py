@@ -18,6 +18,9 @@ from docflow.llm.common import small_batches, stash, table
 #: For this demonstration; a job of its own keeps its own key.
 KEY = "docflow-demo-key"
 
+#: Near copies share PERCENT / 100 of their runs of SHINGLE words; op1's own contract has other values.
+SHINGLE, PERCENT = 5, 80
+
 
 def _carried(docs: DataFrame, *needed: str) -> DataFrame:
     """The needed columns, and whole rows as _row, out of the way of an operator's own names."""
@@ -47,7 +50,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group of near copies. Null ids belong to no group and stay."""
     small_batches(spark)
-    found = neardup.clusters(docs)
+    found = neardup.clusters(docs, n=SHINGLE, percent=PERCENT)
     least = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
     rows = _carried(docs, "doc_id")
     kept = rows.join(least, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])

@@ -1,10 +1,12 @@
 """What the review of round 1 found cut off: each operator against a plain version that leaves nothing out."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import pytest
 
 from docflow.llm import suffix_lm
@@ -55,3 +57,26 @@ def test_suffix_tree_keeps_every_context_that_diverges(docs, texts, monkeypatch,
     assert sorted(map(repr, (g[0] for g in got))) == sorted(map(repr, (w[0] for w in want)))
     by = lambda rows: sorted(rows, key=lambda r: (repr(r[0]), r[1]))
     assert all(g[0] == w[0] and math.isclose(g[1], w[1], rel_tol=1e-9) for g, w in zip(by(got), by(want), strict=True))
+
+
+def runs_of(text, n):
+    w = WORD.findall((text or "").translate(LOWER))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+
+
+def test_stage_drops_near_copies_by_five_words_and_four_fifths(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(100)]
+    more = [f"v{rng.randint(0, 10**6)}" for _ in range(40)]
+    rows = [(1, base), (2, base + more[:22]), (3, base + more[:40]), (4, base[17:]), (5, more)]  # 96 of 118, of 136, 79 of 96
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in rows]
+    sets = {r[0]: runs_of(r[1], 5) for r in rows}
+    head = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    head[a] = head[b] = min(head[a], head[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "unused").collect())
+    assert got == sorted(set(head.values())) and 2 not in got and 4 not in got
