@@ -16,10 +16,11 @@ def with_defaults(recents: DataFrame) -> DataFrame:
     return recents.withColumns({"mime_type": F.coalesce("mime_type", F.lit("")), "file_size": F.coalesce("file_size", F.lit(0).cast("long"))})
 
 
-def upsert(recents: DataFrame, accesses: DataFrame, kept: int = KEPT) -> DataFrame:
-    """recents after accesses of the same columns: of each uri the latest, the kept newest; ties by uri."""
+def upsert(recents: DataFrame, accesses: DataFrame, kept: int | None = KEPT) -> DataFrame:
+    """recents after accesses of the same columns: of each uri the latest, the kept newest; ties by uri. Where kept is None, all in no order."""
     both = with_defaults(recents.unionByName(accesses))
-    return first_per(both, ["uri"], F.desc("last_accessed")).orderBy(F.desc("last_accessed"), "uri").limit(kept)
+    latest = first_per(both, ["uri"], F.desc("last_accessed"))
+    return latest if kept is None else latest.orderBy(F.desc("last_accessed"), "uri").limit(kept)
 
 
 def visible(recents: DataFrame, shown: int = SHOWN) -> DataFrame:

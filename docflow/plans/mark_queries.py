@@ -187,7 +187,7 @@ def rec_02_visible_recent(s, d):
 
 
 def rec_03_prune_recent(s, d):
-    return R.prune(_recents(s, d, 100_000))[1]
+    return R.prune(_recents(s, d, None))[1]
 
 
 def rec_04_recent_json(s, d):
