@@ -35,7 +35,7 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 #: No text without one of these holds a value.
-HINT = r"[0-9]{2}|@|[=:] ?\"?[0-9A-Za-z]{8}|AKIA"
+HINT = r"[0-9]{2}|[0-9]\.[0-9]\.[0-9]\.[0-9]|@|[=:] ?\"?[0-9A-Za-z]{8}|AKIA"
 KINDS = list(PATTERNS)
 FIRST_DAY, YEARS, DAYS = "1800-01-01", 400, 365
 DATES = ["yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy"]

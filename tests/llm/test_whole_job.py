@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import pytest
 
-from docflow.llm import suffix_lm
+from docflow.llm import pii, suffix_lm
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -80,3 +80,12 @@ def test_stage_drops_near_copies_by_five_words_and_four_fifths(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "unused").collect())
     assert got == sorted(set(head.values())) and 2 not in got and 4 not in got
+
+
+def test_address_of_one_digit_octets_is_masked(spark):
+    rows = [(1, "ask 8.8.8.8 first"), (2, "8.8.8.8 in 2024, then 8.8.8.8"), (3, "v 1.2.3"), (4, "1.1.1.1")]
+    got = {r.doc_id: r for r in pii.mask(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert got[1]._kinds == ["ip"] and "8.8.8.8" not in got[1].text and got[4]._kinds == ["ip"]
+    new = got[1].text.split(" ")[1]
+    assert got[2].text == f"{new} in 2024, then {new}"  # equal values stay linked
+    assert got[3].text == rows[2][1]
