@@ -85,6 +85,14 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[np.append(first[1:], len(values))] - total[first]
 
 
+def set_keys(keys: np.ndarray, row: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A key of each row's set; 0 of an empty one. size: of each row's set."""
+    first = np.searchsorted(row, np.arange(len(size)))
+    own = np.zeros(len(size), dtype=np.uint64)
+    own[size > 0] = X.mix(_sums(X.mix(keys + X.STEPS[2]), first[size > 0]) + size[size > 0].astype(np.uint64))
+    return own
+
+
 def cells_of(keys: np.ndarray, row: np.ndarray, size: np.ndarray, low: np.ndarray, parts: np.ndarray, empty: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Cells of each row's set, and the row of each. size: of each row's set."""
     band = np.searchsorted(low, size, "right") - 1
@@ -121,7 +129,7 @@ def _lists(values: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
 
 
 def signatures(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """key, n_shingles, set_key and cells of each row; the cells of equal sets are given once a task."""
+    """key, n_shingles, set_key and cells of each row; the cells of equal sets are given once a task, with a row whose key isn't null."""
     low = bands(percent)
     parts, empty = parts_of(low, percent)
 
@@ -131,17 +139,16 @@ def signatures(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Da
             for c in X.chunks(batch.column(1), lower=True):
                 keys, row = shingle_sets(c, n)
                 size = c.per_row(row)
-                first = np.searchsorted(row, np.arange(c.rows))
-                own = np.zeros(c.rows, dtype=np.uint64)
-                own[size > 0] = X.mix(_sums(X.mix(keys + X.STEPS[2]), first[size > 0]) + size[size > 0].astype(np.uint64))
+                own = set_keys(keys, row, size)
                 names = own.tolist()
+                ids = batch.column(0).slice(c.first, c.rows)
+                named = ids.is_valid().to_pylist()
                 new = np.zeros(c.rows, dtype=bool)
                 for i, name in enumerate(names):
-                    if size[i] and name not in seen:
+                    if size[i] and named[i] and name not in seen:
                         seen.add(name)
                         new[i] = True
                 cells, of = cells_of(keys[new[row]], row[new[row]], np.where(new, size, 0), low, parts, empty, percent)
-                ids = batch.column(0).slice(c.first, c.rows)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(own.view(np.int64)), _lists(cells, of, c.rows)], ["key", "n_shingles", "set_key", "cells"])
 
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *(T.StructField(x, T.LongType()) for x in ("n_shingles", "set_key")), T.StructField("cells", T.ArrayType(T.LongType()))])
@@ -157,18 +164,22 @@ def _wanted(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def texts_of(docs: DataFrame, key: str, text: str, sets: DataFrame) -> DataFrame:
-    """set_key, text of one row for each of sets(set_key, id). Rows that the filter excludes are not moved."""
+def texts_of(docs: DataFrame, key: str, text: str, sets: DataFrame, n: int) -> DataFrame:
+    """set_key, text of the rows with the id and the set of each of sets(set_key, id). Rows that the filter excludes are not moved."""
     shared = docs.sparkSession.sparkContext.broadcast(_wanted(sets.select("id")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bit = batch.column(2).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array((shared.value[bit // 64] >> (bit % 64)) & 1 > 0)).select([0, 1])
+            found = batch.filter(pa.array((shared.value[bit // 64] >> (bit % 64)) & 1 > 0))
+            for c in X.chunks(found.column(1), lower=True):
+                keys, row = shingle_sets(c, n)
+                own = set_keys(keys, row, c.per_row(row)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(found.column(i).slice(c.first, c.rows) for i in (0, 1)), pa.array(own)], ["_id", "_text", "_own"])
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text"), F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("_bit"))
-    kept = rows.mapInArrow(work, T.StructType([rows.schema["_id"], rows.schema["_text"]]))
-    return kept.join(sets, F.col("_id") == F.col("id")).select("set_key", F.col("_text").alias("text"))
+    kept = rows.mapInArrow(work, T.StructType([rows.schema["_id"], rows.schema["_text"], T.StructField("_own", T.LongType())]))
+    return kept.join(sets, (F.col("_id") == F.col("id")) & (F.col("_own") == F.col("set_key"))).select("set_key", F.col("_text").alias("text"))
 
 
 def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -350,7 +361,7 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     firsts = stash(central(shared), "pairs")
     wanted = firsts.select(F.col("a").alias("_k")).unionByName(firsts.select(F.col("b").alias("_k"))).distinct()
     heads = filled.groupBy("set_key").agg(F.min("key").alias("id"))
-    texts = stash(texts_of(docs, key, text, heads.join(wanted, F.col("set_key") == F.col("_k"), "left_semi")).dropDuplicates(["set_key"]), "texts")
+    texts = stash(texts_of(docs, key, text, heads.join(wanted, F.col("set_key") == F.col("_k"), "left_semi"), n).dropDuplicates(["set_key"]), "texts")
     links = verified(firsts, texts, n, percent)
     labels = stash(components(links).select(F.col("node").alias("_k"), F.col("component").alias("label")), "labels")
 

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import pytest
 
-from docflow.llm import pii, suffix_lm
+from docflow.llm import neardup, pii, suffix_lm
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -89,3 +89,27 @@ def test_address_of_one_digit_octets_is_masked(spark):
     new = got[1].text.split(" ")[1]
     assert got[2].text == f"{new} in 2024, then {new}"  # equal values stay linked
     assert got[3].text == rows[2][1]
+
+
+def changed(words, i):
+    return " ".join([*words[:i], "changed", *words[i + 1 :]])
+
+
+def test_near_copies_of_a_text_that_first_stands_without_id(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+    rows = [(None, " ".join(words)), (1, " ".join(words)), (2, changed(words, 0))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.component_id for r in neardup.clusters(docs).collect()} == {None: None, 1: 1, 2: 1}
+
+
+def test_near_copies_of_both_texts_of_one_id(spark):
+    rng = random.Random(13)
+    rows, want = [], {}
+    for i in range(100, 200, 10):
+        for k in (1, 2):
+            words = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+            rows += [(i, " ".join(words)), (i + k, changed(words, 0))]
+        want |= {i: i, i + 1: i, i + 2: i}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in neardup.clusters(docs).collect()} == want
