@@ -1,15 +1,19 @@
 """Token sequences of one length, packed by the sum of squares.
 
-Documents are cut into whole windows; what is left over of each is placed, as it
+Documents are cut into whole windows; what is left over of each is placed whole, as it
 comes, where it makes the sum over fill levels of (number of open windows at that
-level) squared smallest. A level array holds those numbers. As documents may be cut, a
-piece fills the fullest window up when too many are open, and the windows that are
-still open at the end of a partition are joined and cut anew.
+level) squared smallest. A level array holds those numbers. A window is closed when a
+piece fills it up. At the end of a partition the gaps of the fullest open windows are
+filled with the tokens of the emptiest ones, so only what those gaps hold is cut a
+second time; the same is done in between where over max_open windows are open, as
+happens when no two of a partition's pieces fit into one window.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,16 +27,16 @@ from pyspark.sql import types as T
 from docflow.llm import text as X
 
 WINDOW = 2048
-MAX_OPEN = 64
+#: Open windows of a partition, 64 MB, above which gaps are filled before its end.
+MAX_OPEN = 8192
 END_ID = 1
 #: Bits of a sequence id that number the sequences of one partition.
 BITS = 33
-#: Word pieces that a Python worker keeps before it starts afresh.
-CACHED = 250_000
-LETTER = np.zeros(256, dtype=bool)
-LETTER[[*range(65, 91), *range(97, 123)]] = True
-STOP = np.zeros(256, dtype=bool)
-STOP[[44, 46]] = True
+#: Units of text in each of the two generations that a Python worker keeps.
+CACHED = 300_000
+OTHER, ALPHA, DIGIT, SIGN, QUOTE = range(5)
+#: Letters below U+0180 that are lower-cased each by itself; their bytes are 0xC3 to 0xC5 and one more.
+LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
 
 def default_tokenizer() -> str:
@@ -41,12 +45,29 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def kinds(data: np.ndarray) -> np.ndarray:
+    """Of each byte: a Latin letter, an ASCII digit, another ASCII sign, an apostrophe, or something else."""
+    table = np.full(256, OTHER, dtype=np.uint8)
+    table[33:127] = SIGN
+    table[48:58] = DIGIT
+    table[[*range(65, 91), *range(97, 123)]] = ALPHA
+    table[39] = QUOTE
+    out = table[data]
+    lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC5))
+    both = data[lead].astype(np.int64) << 8 | data[lead + 1]
+    lead = lead[(both != 0xC397) & (both != 0xC3B7) & (both != 0xC4B0)]  # two signs, and a letter that becomes two
+    out[lead] = out[lead + 1] = ALPHA
+    return out
+
+
 class WordIds:
-    """Ids of texts, word by word: what this tokenizer makes of a word does not depend on its neighbours, as it drops white space.
+    """Ids of texts, unit by unit: what this tokenizer makes of a unit does not depend on its neighbours.
 
-    Full stops and commas after an ASCII letter are taken off, since its pattern ends a
-    run of letters there; so one entry serves a word with and without them. Words of
-    ASCII letters go to the tokenizer's model directly, all others through the whole of it.
+    It drops white space, takes a run of letters, one digit or a run of other signs at a
+    time, and apart from these 's, 't, 're, 've, 'm, 'll and 'd. So words are cut between
+    two kinds of characters and around digits, but not after an apostrophe and
+    not beside characters of unknown kinds. Units of Latin letters go to the tokenizer's
+    model directly, all others through the whole of it.
     """
 
     def __init__(self, path: str):
@@ -54,67 +75,80 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.places: dict[int, int] = {}
-        self.ids, self.bounds = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 16, dtype=np.int64)
-
-    def _learn(self, keys: list[int], words: list[bytes]) -> None:
-        model, found, known = self.tokenizer.model, [], len(self.places)
-        odd = [i for i, w in enumerate(words) if not (w.isascii() and w.isalpha())]
-        ids: list = [None] * len(words)
-        for i, e in zip(odd, self.tokenizer.encode_batch_fast([words[i].decode("utf-8", "replace") for i in odd], add_special_tokens=False), strict=True):
-            ids[i] = e.ids
-        for i, w in enumerate(words):
-            if ids[i] is None:
-                ids[i] = [t.id for t in model.tokenize(w.lower().decode())]
-            found.extend(ids[i])
-        self.places.update(zip(keys, range(known, known + len(keys)), strict=True))
-        while len(self.bounds) <= known + len(keys):
-            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        begin = self.bounds[known]
-        self.bounds[known + 1 : known + len(keys) + 1] = begin + np.cumsum([len(x) for x in ids])
-        while len(self.ids) < begin + len(found):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[begin : begin + len(found)] = found
+        self.new: dict[bytes, bytes] = {}  # units and their ids, as raw numbers
+        self.old: dict[bytes, bytes] = {}
+        self.letters = _byte_letters()
+
+    def _learn(self, units: list[bytes]) -> list[bytes]:
+        names = [self._letters(u) for u in units]
+        odd = iter(self.tokenizer.encode_batch_fast([u.decode("utf-8", "replace") for u, name in zip(units, names, strict=True) if name is None], add_special_tokens=False))
+        model = self.tokenizer.model
+        return [array("I", next(odd).ids if name is None else [t.id for t in model.tokenize(name)]).tobytes() for name in names]
+
+    def _letters(self, unit: bytes) -> str | None:
+        """A unit of Latin letters as the model names it, in lower case; else None. Its A-Z are lower-cased before."""
+        if unit.isalpha():
+            return unit.decode()
+        text = unit.decode("utf-8", "replace")
+        return text.lower().encode().decode("latin-1").translate(self.letters) if LATIN.fullmatch(text) else None
+
+    def _known(self, units: list[bytes]) -> list[bytes]:
+        """The ids of each unit. When the new generation is full, it becomes the old one, whose used units come back."""
+        found = list(map(self.new.get, units))
+        missing = [i for i, x in enumerate(found) if x is None]
+        for i in missing:
+            found[i] = self.old.get(units[i])
+        ask = [i for i in missing if found[i] is None]
+        for i, ids in zip(ask, self._learn([units[i] for i in ask]), strict=True):
+            found[i] = ids
+        if len(self.new) + len(missing) > CACHED:
+            self.new, self.old = {}, self.new
+        self.new.update((units[i], found[i]) for i in missing)
+        return found
+
+    def units(self, c: X.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and row of each unit of a chunk."""
+        kind = kinds(c.data)
+        last, now = kind[:-1], kind[1:]
+        cut = (last != now) | (now == DIGIT)
+        cut &= (last != OTHER) & (now != OTHER)
+        cut &= ~((last == QUOTE) & ((now == ALPHA) | (now == SIGN))) & ~((last == SIGN) & (now == QUOTE))
+        begins = np.append(False, cut)
+        inside = np.zeros(len(c.data) + 1, dtype=np.int8)
+        inside[c.starts] += 1
+        inside[c.ends] -= 1
+        begins &= np.cumsum(inside[:-1]) > 0
+        begins[c.starts] = True
+        starts = np.flatnonzero(begins)
+        word = np.searchsorted(c.starts, starts, "right") - 1
+        ends = np.append(starts[1:], len(c.data))[: len(starts)]
+        return starts, np.minimum(ends, c.ends[word]), c.row[word]
 
     def encode(self, c: X.Chunk, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, each row's followed by end_id, and where each row's end."""
-        last = c.ends - 1
-        stops = STOP[c.data[last]] if len(last) else np.zeros(0, bool)
-        cut = c.ends.copy()
-        at = np.flatnonzero(stops)
-        while len(at):  # back over full stops and commas
-            cut[at] -= 1
-            at = at[(cut[at] > c.starts[at]) & STOP[c.data[cut[at] - 1]]]
-        split = stops & (cut > c.starts)
-        split[split] = LETTER[c.data[cut[split] - 1]]
-        cut[~split] = c.ends[~split]
-        order = np.arange(len(cut)) + np.cumsum(split) - split
-        starts, ends, row = (np.empty(len(cut) + split.sum(), dtype=np.int64) for _ in range(3))
-        starts[order], ends[order], row[order] = c.starts, cut, c.row
-        starts[order[split] + 1], ends[order[split] + 1], row[order[split] + 1] = cut[split], c.ends[split], c.row[split]
-        keys, first, which = np.unique(c.keys(starts, ends), return_index=True, return_inverse=True)
-        if len(self.places) > CACHED:
-            self.forget()
-        known = keys.tolist()
-        new = [i for i, k in enumerate(known) if k not in self.places]
-        if new:
-            raw = c.data.tobytes()
-            self._learn([known[i] for i in new], [raw[starts[j] : ends[j]] for j in first[new].tolist()])
-        place = np.fromiter(map(self.places.__getitem__, known), np.int64, len(known))
-        begin = self.bounds[place]
-        begin, n = begin[which], (self.bounds[place + 1] - begin)[which]
+        if not len(c.starts):
+            return np.full(c.rows, end_id, dtype=np.uint32), np.arange(1, c.rows + 1)
+        starts, ends, row = self.units(c)
+        _, first, which = np.unique(c.keys(starts, ends), return_index=True, return_inverse=True)
+        raw = c.data.tobytes()
+        found = self._known([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin, n = (np.cumsum(size) - size)[which], size[which]
         stop = np.cumsum(n)
-        total = int(stop[-1]) if len(stop) else 0
-        ids = self.ids[np.repeat(begin - (stop - n), n) + np.arange(total)]
-        row_ends = np.cumsum(c.per_row(row, n).astype(np.int64) + 1) if len(row) else np.arange(1, c.rows + 1)
+        total = int(stop[-1])
+        ids = np.frombuffer(b"".join(found), dtype="<u4")[np.repeat(begin - (stop - n), n) + np.arange(total)]
+        row_ends = np.cumsum(c.per_row(row, n).astype(np.int64) + 1)
         out = np.full(total + c.rows, end_id, dtype=np.uint32)
         out[np.arange(total) + np.repeat(row, n)] = ids
         return out, row_ends
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters by which the tokenizer's model names bytes that are not printable ASCII or Latin-1."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 @cache
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
@@ -127,6 +161,7 @@ class Packer:
         self.window, self.max_open, self.next_id = window, max_open, first_id
         self.levels = np.zeros(window + 1, dtype=np.int64)  # how many open windows are filled so far; none at 0 and window
         self.open: dict[int, list[list]] = {}  # level: windows, each a list of pieces
+        self.recut = 0  # tokens that a gap took from another window
         self.done: list[tuple] = []  # (key, start, ids, doc_tokens, sequence_id, offset)
 
     def _close(self, pieces: list) -> None:
@@ -152,41 +187,64 @@ class Packer:
     def best_level(self, size: int) -> int:
         """The level, 0 for a new window, at which a piece of that size makes the sum of squares smallest; the fullest of equal ones."""
         at = np.flatnonzero(self.levels[: self.window - size + 1])
-        to = at + size
-        change = np.where(to < self.window, 2 * self.levels[to] + 1, 0) - 2 * self.levels[at] + 1
-        new = 2 * self.levels[size] + 1 if size < self.window else 0
-        if len(at) and change.min() <= new:
-            return int(at[np.flatnonzero(change == change.min())[-1]])
-        return 0
+        if not len(at):
+            return 0
+        grown = 2 * self.levels[size : self.window + 1] + 1  # a window more at that level
+        grown[-1] = 0  # full ones are closed
+        change = grown[at] - 2 * self.levels[at] + 1
+        least = change.min()
+        return int(at[np.flatnonzero(change == least)[-1]]) if least <= grown[0] else 0
 
     def add(self, key, ids: np.ndarray) -> None:
         n, at, raw = len(ids), 0, ids.astype("<u4").tobytes()
         while n - at >= self.window:
             self._close([(key, at, raw[4 * at : 4 * (at + self.window)], n)])
             at += self.window
-        while at < n:
-            size = n - at
-            level = self.best_level(size)
-            if not level and self.levels.sum() >= self.max_open:  # fill the fullest one up
-                level = int(np.flatnonzero(self.levels)[-1])
-                size = min(size, self.window - level)
-            self._put(level, (key, at, raw[4 * at : 4 * (at + size)], n))
-            at += size
+        if at < n:
+            self._put(self.best_level(n - at), (key, at, raw[4 * at :], n))
+            if self.levels.sum() > self.max_open:
+                self._settle()
+
+    def _settle(self) -> list:
+        """Fill the gaps of the fullest open windows with the tokens of the emptiest, as long as these suffice; the pieces left, less than a window, stay open and are returned."""
+        open_ = [w for level in sorted(self.open) for w in self.open[level]]
+        filled = [level for level in sorted(self.open) for _ in self.open[level]]
+        total = sum(filled)
+        kept = total // self.window
+        loose = [p for w in open_[: len(open_) - kept] for p in w]
+        for pieces, level in zip(open_[len(open_) - kept :], filled[len(filled) - kept :], strict=True):
+            room = self.window - level
+            while room:
+                key, start, ids, n = loose.pop()
+                own = min(room, len(ids) // 4)
+                pieces.append((key, start, ids[: 4 * own], n))
+                room -= own
+                self.recut += own
+                if 4 * own < len(ids):
+                    loose.append((key, start + own, ids[4 * own :], n))
+            self._close(pieces)
+        self.open, self.levels[:] = {}, 0
+        left = total - kept * self.window
+        if left:
+            self.open[left] = [loose]
+            self.levels[left] = 1
+        return loose
 
     def finish(self) -> None:
-        """Join the open windows, and cut them at the window and the rest at powers of two, which are not padded."""
-        left = [p for level in sorted(self.open, reverse=True) for w in self.open[level] for p in w]
-        total, room, pieces = sum(len(p[2]) // 4 for p in left), 0, []
-        for key, start, ids, n in left:
-            while ids:
-                room = room or min(self.window, 1 << (total.bit_length() - 1))
-                taken, ids = ids[: 4 * room], ids[4 * room :]
-                pieces.append((key, start, taken, n))
-                size = len(taken) // 4
-                start, room, total = start + size, room - size, total - size
-                if not room:
-                    self._close(pieces)
-                    pieces = []
+        """Fill gaps, and cut the last window at powers of two, which are not padded."""
+        left = self._settle()[::-1]
+        room = sum(len(p[2]) // 4 for p in left)
+        while room:
+            size = 1 << (room.bit_length() - 1)
+            room, pieces = room - size, []
+            while size:
+                key, start, ids, n = left.pop()
+                own = min(size, len(ids) // 4)
+                pieces.append((key, start, ids[: 4 * own], n))
+                size -= own
+                if 4 * own < len(ids):
+                    left.append((key, start + own, ids[4 * own :], n))
+            self._close(pieces)
         self.open, self.levels[:] = {}, 0
 
     def take(self) -> list[tuple]:
@@ -197,8 +255,10 @@ class Packer:
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, window: int = WINDOW, max_open: int = MAX_OPEN, end_id: int = END_ID) -> DataFrame:
     """One row per piece: key, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    Each partition is packed by itself, without a shuffle, and its
-    last windows are cut at powers of two, so there is no padding. window must be a power of two.
+    Each partition is packed by itself, without a shuffle. The gaps that its open windows
+    have at its end are filled with tokens of the emptiest ones, and the last window is cut
+    at powers of two, so there is no padding. window must be a power of two. A partition
+    holds max_open open windows at most (4 * window bytes each); beyond that, gaps are filled before its end.
     Null and empty texts are a lone end_id. Equal rows are packed each. A text of any
     length is cut into windows. An empty table gives no rows. A sequence id holds the
     number of the partition, so it is the same when a task is repeated.
@@ -211,7 +271,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
         packer = Packer(window, max_open, TaskContext.get().partitionId() << BITS)
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for c in X.chunks(batch.column(1)):
+            for c in X.chunks(batch.column(1), lower=True):
                 ids, ends = word_ids(path).encode(c, end_id)
                 begin = 0
                 for i, end in enumerate(ends.tolist()):

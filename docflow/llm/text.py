@@ -2,8 +2,10 @@
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. These bytes are never
 part of a longer UTF-8 character, so all work is done on bytes, a chunk of whole rows at
-a time. A key is a 64-bit hash of a word, a line or a run of words; two different ones
-have the same key with probability 2**-64.
+a time. A key of a span of bytes is made of its length and of the values of its
+polynomial at two bases modulo the prime 2**31 - 1, spread over 64 bits. Two different
+spans of up to n bytes that were not chosen with the bases in mind have the same key with
+a probability of about 2**-62, and of (n / 2**31)**2 at most.
 
 Memory is about 60 bytes for each byte of a chunk, and a chunk is one row where a row is
 longer than CHUNK bytes.
@@ -19,13 +21,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 18
-BASE = np.uint64(0x9E3779B97F4A7C55)
+PRIME, BITS = np.uint64(2**31 - 1), np.uint64(31)
+BASES = (1103515245, 1566083941)
 STEPS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,15 +41,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE to the powers 0..n-1 and their inverses, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        n = max(n, CHUNK + 1)
-        for name, base in (("up", int(BASE)), ("down", pow(int(BASE), -1, 2**64))):
-            run = np.full(n, base, dtype=np.uint64)
-            run[0] = 1
-            _powers[name] = np.multiply.accumulate(run)
-    return _powers["up"], _powers["down"]
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & PRIME) + (x >> BITS)
+    x = (x & PRIME) + (x >> BITS)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base to the powers 0..n-1 modulo PRIME."""
+    run = _powers.get(base, np.ones(1, dtype=np.uint64))
+    while len(run) < n:
+        run = np.concatenate([run, reduced(run * np.uint64(pow(base, len(run), int(PRIME))))])
+    _powers[base] = run
+    return run[:n]
 
 
 @dataclass
@@ -60,13 +68,15 @@ class Chunk:
     starts: np.ndarray
     ends: np.ndarray
     row: np.ndarray
-    sums: np.ndarray
+    sums: tuple[np.ndarray, ...]
 
     def keys(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A key for the bytes of each span."""
-        _, down = powers(len(self.data) + 1)
-        x = (self.sums[ends] - self.sums[starts]) * down[starts]
-        return mix(x + (ends - starts).astype(np.uint64) * STEPS[4])
+        out = np.zeros(len(starts), dtype=np.uint64)
+        for base, sums in zip(BASES, self.sums, strict=True):
+            down = powers(pow(base, -1, int(PRIME)), len(self.data) + 1)
+            out = (out << np.uint64(32)) | reduced(reduced(sums[ends] - sums[starts]) * down[starts])
+        return mix(out + (ends - starts).astype(np.uint64) * STEPS[4])
 
     def word_keys(self) -> np.ndarray:
         return self.keys(self.starts, self.ends)
@@ -102,13 +112,19 @@ def _chunk(data: np.ndarray, offsets: np.ndarray, first: int, lower: bool) -> Ch
     breaks[heads] = True
     starts = np.flatnonzero(inside & breaks[:n])
     ends = np.flatnonzero(inside & (breaks[1:] | np.append(~inside[1:], True)[:n])) + 1
-    up, _ = powers(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    sums = tuple(_summed(data, powers(base, n + 1)) for base in BASES)
     row = np.searchsorted(offsets, starts, "right") - 1
     return Chunk(first, len(offsets) - 1, data, offsets, starts, ends, row, sums)
 
 
+def _summed(data: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """Sums of the bytes, each plus 1, times powers, before each place. They fit in 64 bits: a text has fewer than 2**31 bytes."""
+    terms = up[: len(data)] * (data + np.uint64(1))
+    out = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(terms if len(data) < 1 << 24 else reduced(terms), out=out[1:])
+    return out
+
+
 def runs(keys: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of each n consecutive words of one row, and the position of their first word."""
     if len(keys) < n:

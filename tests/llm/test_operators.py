@@ -6,9 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docflow.llm import text as X
 from docflow.llm import ann, lines, neardup, packing, pieces, pii, quality, suffix_lm, toxicity, urls
 from docflow.llm.graph import components
 
@@ -163,18 +165,81 @@ def test_packing(docs, empty, texts):
     assert rows_of(packing.pack(empty)) == []
 
 
-def test_sum_of_squares_prefers_the_least_sum():
+def least_sums(levels, size, window):
+    """The levels (0 for a new window) at which a piece makes the sum of squares smallest."""
+    sums = {}
+    for h in [0, *np.flatnonzero(levels[: window - size + 1]).tolist()]:
+        after = levels.copy()
+        after[h] -= h > 0
+        after[h + size] += h + size < window
+        sums[h] = int((after**2).sum())
+    return {h for h, x in sums.items() if x == min(sums.values())}
+
+
+def test_every_piece_goes_where_the_sum_of_squares_is_least():
     rng = np.random.default_rng(2)
     p = packing.Packer(window=64, max_open=1000)
-    for size in rng.integers(1, 64, 300).tolist():
-        sums = {}
-        for h in [0, *np.flatnonzero(p.levels[: 64 - size + 1]).tolist()]:
-            levels = p.levels.copy()
-            levels[h] -= h > 0
-            levels[h + size] += h + size < 64
-            sums[h] = int((levels**2).sum())
-        assert sums[p.best_level(size)] == min(sums.values())
+    put, seen = p._put, []
+    p._put = lambda level, piece: (seen.append(level in least_sums(p.levels, len(piece[2]) // 4, 64)), put(level, piece))
+    for size in rng.integers(1, 200, 400).tolist():
         p.add("d", np.arange(size, dtype=np.uint32))
+    assert len(seen) > 350 and all(seen)
+
+
+@pytest.mark.parametrize("max_open", [3, 1000])
+def test_gaps_take_little_and_nothing_is_lost(max_open):
+    rng = np.random.default_rng(3)
+    p = packing.Packer(window=64, max_open=max_open)
+    sizes = [40] * 50 + rng.integers(1, 400, 2000).tolist()
+    for i, size in enumerate(sizes):
+        p.add(i, np.arange(size, dtype=np.uint32))
+        assert p.levels.sum() <= max_open
+    p.finish()
+    done = defaultdict(list)
+    windows = Counter()
+    for key, start, ids, n, sequence, offset in p.take():
+        assert n == sizes[key] and offset == windows[sequence]
+        windows[sequence] += len(ids) // 4
+        done[key].append((start, np.frombuffer(ids, "<u4").tolist()))
+    assert {i: sum((x for _, x in sorted(v)), []) for i, v in done.items()} == {i: list(range(n)) for i, n in enumerate(sizes)}
+    assert sum(n != 64 for n in windows.values()) <= 6 and all(n & (n - 1) == 0 for n in windows.values())
+    assert max_open < 1000 or p.recut < 0.05 * sum(sizes)
+
+
+def test_units_are_encoded_as_the_whole_tokenizer_does():
+    import random
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(1)
+    letters = [*"aAzZ0'9,.&<é É́ßİıſŒ×÷…“”’中 \u00a0\u3000≠K't", "'s", "'LL", "'re", "\U0001f600", "n\u0303", "Σς"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    words, whole = packing.word_ids(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    for c in X.chunks(pa.array(texts), lower=True):
+        ids, ends = words.encode(c, 1)
+        for text, own in zip(texts[c.first :], np.split(ids, ends)[:-1], strict=False):
+            assert own.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1]
+
+
+def thue_morse(n):
+    a = "ab"
+    while len(a) < n:
+        a += a.translate({97: "b", 98: "a"})
+    return a, a.translate({97: "b", 98: "a"})
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_structured_words_have_different_keys(n):
+    """Words that have one key in every polynomial modulo a power of two."""
+    a, b = thue_morse(n)
+    for c in X.chunks(pa.array([f"{a} {b} {a}"])):
+        one, two, three = c.word_keys().tolist()
+        assert one == three != two
+    words = packing.word_ids(packing.default_tokenizer())
+    for c in X.chunks(pa.array([a, b]), lower=True):
+        ids, ends = words.encode(c, 1)
+        assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [[*words.tokenizer.encode(x, add_special_tokens=False).ids, 1] for x in (a, b)]
+
 
 
 # 5
