@@ -1,9 +1,9 @@
 """Encoding into the pieces of a SentencePiece model and back, by a relational lattice.
 
-A text, with a space before it, falls into units: spaces and what follows them up to the
-next space, cut further between ASCII letters and other ASCII characters. No piece
-crosses such a bound (this is checked when the model is read), so units are encoded by
-themselves, each different one once:
+A text, with a space before it, falls into units: it is cut between two characters that
+stand side by side in no piece, so no piece crosses a cut, and units are encoded by
+themselves, each different one once. The few units of more than LONG characters, in
+which nothing can be cut, are cut after every LONG characters.
 
 1. each unit's substrings of up to the longest piece's length are exploded,
 2. joined with the piece table, which gives the edges of its lattice,
@@ -11,13 +11,18 @@ themselves, each different one once:
 
 The model at hand is of the BPE kind, whose scores are ranks and no log-probabilities.
 A path costs PIECE for each piece and its rank: the fewest pieces, then the lowest
-ranks. Characters without a piece fall back to their bytes.
+ranks, then the longest piece first seen from the end. Characters without a piece fall
+back to their bytes.
+
+Texts take their units' ids from the most frequent units, which are broadcast (FREQUENT
+at most), and from a row of their own that holds the ids of all other units in them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from dataclasses import dataclass
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +34,13 @@ from docflow.llm.common import small_batches, stash
 
 PIECE, BYTE = 10**7, 10**8
 SPACE = "▁"
-#: Units broadcast as a dictionary, each of LONG characters at most; others are joined.
+#: Units broadcast as a dictionary; and the most characters of a unit.
 FREQUENT, LONG = 1 << 19, 64
-CLASS = np.full(256, 3, dtype=np.uint8)  # 0 space, 1 ASCII letter, 2 other ASCII, 3 part of another character
-CLASS[:128] = 2
-CLASS[[*range(65, 91), *range(97, 123)]] = 1
-CLASS[32] = 0
+#: An edge is one number: its end, MOST - its length, its cost and its id, in so many bits. Ids from CHAR on are characters spelt by bytes.
+END_BITS, SIZE_BITS, COST_BITS, ID_BITS = 7, 5, 29, 22
+MOST, CHAR = (1 << SIZE_BITS) - 1, 1 << 21
+#: Characters below it have a table of pairs.
+COMMON = 0x250
 
 
 def default_model() -> str:
@@ -43,9 +49,31 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """rows: (id, piece with plain spaces, cost) of ordinary pieces; texts: the bytes that each id stands for; zero: the id of byte 0."""
+
+    rows: list[tuple[int, str, int]]
+    texts: list[bytes]
+    zero: int
+
+    @cached_property
+    def longest(self) -> int:
+        return max(len(p) for _, p, _ in self.rows)
+
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which characters stand side by side in a piece: a table of those below COMMON, and sorted codes of all pairs."""
+        codes = np.unique(np.array([ord(a) << 21 | ord(b) for _, p, _ in self.rows for a, b in zip(p, p[1:], strict=False)], dtype=np.int64))
+        table = np.zeros((COMMON, COMMON), dtype=bool)
+        a, b = codes >> 21, codes & (CHAR - 1)
+        common = (a < COMMON) & (b < COMMON)
+        table[a[common], b[common]] = True
+        return table, codes
+
+
 @cache
-def vocabulary(path: str) -> tuple[list[tuple[int, str, int]], list[bytes], int]:
-    """(id, piece, cost) of ordinary pieces; the bytes that each id stands for; the id of byte 0."""
+def vocabulary(path: str) -> Vocabulary:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -58,33 +86,55 @@ def vocabulary(path: str) -> tuple[list[tuple[int, str, int]], list[bytes], int]
         elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
             out.append(b"")
         else:
-            body = piece.lstrip(SPACE)
-            letters = {c.isalpha() for c in body if c.isascii()}
-            if SPACE in body or len(letters) > 1:
-                raise ValueError(f"the piece {piece!r} crosses the bounds of units")
+            piece = piece.replace(SPACE, " ")
             rows.append((i, piece, PIECE + int(min(-model.get_score(i), 10**6))))
-            out.append(piece.replace(SPACE, " ").encode())
+            out.append(piece.encode())
     if zero < 0:
         raise ValueError("the model has no byte pieces")
-    return rows, out, zero
+    found = Vocabulary(rows, out, zero)
+    if found.longest > MOST or len(out) > CHAR:
+        raise ValueError(f"pieces of more than {MOST} characters, or more than {CHAR} pieces")
+    return found
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """id, piece, cost: a table of the vocabulary's fixed size."""
-    return spark.createDataFrame(vocabulary(path)[0], "id int, piece string, cost long")
+    """piece and way (its cost and id as the low bits of an edge): a table of the vocabulary's fixed size."""
+    return spark.createDataFrame([(piece, cost << ID_BITS | i) for i, piece, cost in vocabulary(path).rows], "piece string, way long")
+
 
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each character of UTF-8 bytes starts, and its number."""
+    if not (data & 0x80).any():
+        return np.arange(len(data)), data.astype(np.int64)
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    wide = np.append(data, np.zeros(3, np.uint8)).astype(np.int64)
+    one, two, three, four = (wide[at + i] for i in range(4))
+    two, three, four = two & 63, three & 63, four & 63
+    pairs = (one & 31) << 6 | two
+    threes = (one & 15) << 12 | two << 6 | three
+    fours = (one & 7) << 18 | two << 12 | three << 6 | four
+    return at, np.where(one < 0x80, one, np.where(one < 0xE0, pairs, np.where(one < 0xF0, threes, fours)))
 
-def units(c: X.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def units(c: X.Chunk, words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each unit of a chunk."""
-    n = len(c.data)
-    kind = CLASS[c.data]
-    begins = np.zeros(n, dtype=bool)
-    begins[c.offsets[:-1][c.offsets[:-1] < n]] = True
-    if n:
-        last, now = kind[:-1], kind[1:]
-        begins[1:] |= ((now == 0) & (last != 0)) | ((last == 1) & (now == 2)) | ((last == 2) & (now == 1))
-    starts = np.flatnonzero(begins)
-    return starts, np.append(starts[1:], n)[: len(starts)], np.searchsorted(c.offsets, starts, "right") - 1
+    if not len(c.data):
+        return (np.zeros(0, np.int64),) * 3
+    table, codes = words.pairs
+    at, char = characters(c.data)
+    a, b = char[:-1], char[1:]
+    joined = table[np.minimum(a, COMMON - 1), np.minimum(b, COMMON - 1)]
+    rare = np.flatnonzero((a >= COMMON) | (b >= COMMON))
+    joined[rare] = np.isin(a[rare] << 21 | b[rare], codes)
+    begins = np.append(True, ~joined)
+    begins[np.searchsorted(at, c.offsets[:-1][c.offsets[:-1] < len(c.data)])] = True
+    first = np.flatnonzero(begins)
+    size = np.diff(np.append(first, len(at)))
+    if size.max() > LONG:
+        place = np.arange(len(at)) - np.repeat(first, size)
+        first = np.flatnonzero(place % LONG == 0)
+    starts = at[first]
+    return starts, np.append(starts[1:], len(c.data)), np.searchsorted(c.offsets, starts, "right") - 1
 
 
 def prefixed(text: Column) -> Column:
@@ -93,190 +143,211 @@ def prefixed(text: Column) -> Column:
     return F.when(text != "", F.concat(F.lit(" "), text)).otherwise("")
 
 
-def distinct_units(docs: DataFrame, text: str) -> DataFrame:
-    """key, unit (spaces as in pieces), n: each different unit and how often it occurs."""
+def distinct_units(docs: DataFrame, text: str, path: str) -> DataFrame:
+    """key, unit, n: each different unit and how often it occurs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, names = X.Tally(1 << 18), {}
+        tally, names, words = X.Tally(1 << 18), {}, vocabulary(path)
 
         def rows(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-            words = [names.pop(k) for k in found[0].tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(words), pa.array(found[1], pa.int64())], ["key", "unit", "n"])
+            known = [names.pop(k) for k in found[0].tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(known, pa.string()), pa.array(found[1], pa.int64())], ["key", "unit", "n"])
 
         for batch in batches:
             for c in X.chunks(batch.column(0)):
-                starts, ends, _ = units(c)
+                starts, ends, _ = units(c, words)
                 keys = c.keys(starts, ends).view(np.int64)
                 once, first = np.unique(keys, return_index=True)
                 raw = c.data.tobytes()
-                for k, i in zip(once.tolist(), first.tolist(), strict=True):
+                for k, a, b in zip(once.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
                     if k not in names:
-                        names[k] = raw[starts[i] : ends[i]].decode("utf-8", "replace").replace(" ", SPACE)
+                        names[k] = raw[a:b].decode("utf-8", "replace")
                 yield from map(rows, tally.add(keys))
         yield from map(rows, tally.rest())
 
     found = docs.select(prefixed(F.col(text)).alias("_text")).mapInArrow(work, "key long, unit string, n long")
-    return found.groupBy("key", "unit").agg(F.sum("n").alias("n"))
+    return found.groupBy("key").agg(F.min("unit").alias("unit"), F.sum("n").alias("n"))
 
 
-def _byte_ids(char: Column, zero: int) -> Column:
-    coded = F.hex(F.encode(char, "UTF-8"))
-    places = F.sequence(F.lit(1), F.length(coded) - 1, F.lit(2))
-    return F.transform(places, lambda i: F.conv(F.substring(coded, i, F.lit(2)), 16, 10).cast("int") + zero)
+def _low(x: Column, bits: int) -> Column:
+    return x.bitwiseAND((1 << bits) - 1)
 
 
-def folded(unit: Column, edges: Column, zero: int) -> Column:
-    """The ids of the cheapest path through a unit's edges (start, n, id, cost), as array<int>.
+def folded(edges: Column, zero: int) -> Column:
+    """The ids of the cheapest path through a unit's edges, sorted numbers, as array<int>.
 
-    The state is, by position, the least cost up to it, where its last edge starts, and
-    that edge's id; -1 is the character's bytes. Equal costs go to the smaller start.
+    The state is what the cheapest way to each position costs, and its last edge's size and
+    id, as one number each; now is that of the last position so far. A smaller number is a
+    smaller cost, or the same cost and a longer or lower piece.
     """
-    length = F.length(unit)
-
-    def reach(state: Column, p: Column) -> Column:
-        ending = F.filter(edges, lambda e: e["start"] + e["n"] == p)
-        char = F.substring(unit, p, F.lit(1))
-        ways = F.transform(ending, lambda e: F.struct((F.get(state, e["start"])["cost"] + e["cost"]).alias("cost"), e["start"].alias("start"), e["id"].alias("id")))
-        spelt = F.struct((F.get(state, p - 1)["cost"] + BYTE * F.octet_length(char)).alias("cost"), (p - 1).alias("start"), F.lit(-1).alias("id"))
-        return F.concat(state, F.array(F.array_min(F.concat(ways, F.array(spelt)))))
-
-    origin = F.array(F.struct(F.lit(0).cast("long").alias("cost"), F.lit(0).alias("start"), F.lit(-1).alias("id")))
-    best = F.aggregate(F.sequence(F.lit(1), length), origin, reach)
-
-    def back(s: Column, _: Column) -> Column:
-        edge = F.get(s["best"], s["at"])
-        own = F.when(edge["id"] >= 0, F.array(edge["id"])).otherwise(_byte_ids(F.substring(unit, s["at"], F.lit(1)), zero))
-        return F.when(s["at"] > 0, F.struct(s["best"].alias("best"), edge["start"].alias("at"), F.concat(own, s["ids"]).alias("ids"))).otherwise(s)
-
-    start = F.struct(best.alias("best"), length.alias("at"), F.array().cast("array<int>").alias("ids"))
-    return F.aggregate(F.sequence(F.lit(1), length), start, back)["ids"]
-
-
-def shortest(unit: str, costs: dict[str, tuple[int, int]], longest: int, zero: int) -> list[int]:
-    """The same path for one unit in time linear in its length: for units above LONG, where folding would take its square."""
-    best = [(0, 0, -1)]
-    for p in range(1, len(unit) + 1):
-        ways = [(best[p - 1][0] + BYTE * len(unit[p - 1].encode()), p - 1, -1)]
-        for s in range(max(0, p - longest), p):
-            if unit[s:p] in costs:
-                cost, i = costs[unit[s:p]]
-                ways.append((best[s][0] + cost, s, i))
-        best.append(min(ways))
-    ids, p = [], len(unit)
-    while p:
-        _, s, i = best[p]
-        ids.extend([i] if i >= 0 else [zero + b for b in reversed(unit[s:p].encode())])
-        p = s
-    return ids[::-1]
+    tail = SIZE_BITS + ID_BITS
+
+    def reach(state: Column, e: Column) -> Column:
+        end = F.shiftright(e, SIZE_BITS + COST_BITS + ID_BITS).cast("int")
+        short = _low(F.shiftright(e, COST_BITS + ID_BITS), SIZE_BITS).cast("int")  # MOST - length
+        before = F.coalesce(F.get(state["best"], end - MOST + short), state["now"])
+        cost = F.shiftright(before, tail) + _low(F.shiftright(e, ID_BITS), COST_BITS)
+        way = F.shiftleft(cost, tail) + F.shiftleft(short.cast("long"), ID_BITS) + _low(e, ID_BITS)
+        further = F.size(state["best"]) < end
+        best = F.when(further, F.concat(state["best"], F.array(state["now"]))).otherwise(state["best"])
+        return F.struct(best.alias("best"), F.when(further, way).otherwise(F.least(state["now"], way)).alias("now"))
+
+    none = F.array().cast("array<long>")
+    whole = lambda s: F.concat(s["best"], F.array(s["now"]))
+    best = F.aggregate(edges, F.struct(none.alias("best"), F.lit(0).cast("long").alias("now")), reach, whole)
+
+    def back(s: Column, way: Column) -> Column:
+        """From the last position to the first, the ids of the edges of the path; to is where the next of these ends."""
+        to, ids = s["to"], s["ids"]
+        on = F.struct((to - MOST + _low(F.shiftright(way, ID_BITS), SIZE_BITS).cast("int")).alias("to"), (s["at"] - 1).alias("at"), F.concat(F.array(_low(way, ID_BITS).cast("int")), ids).alias("ids"))
+        return F.when((s["at"] == to) & (to > 0), on).otherwise(F.struct(to.alias("to"), (s["at"] - 1).alias("at"), ids.alias("ids")))
+
+    last = F.element_at(F.transform(edges, lambda e: F.shiftright(e, SIZE_BITS + COST_BITS + ID_BITS).cast("int")), -1)
+    start = F.struct(last.alias("to"), last.alias("at"), F.array().cast("array<int>").alias("ids"))
+    ids = F.aggregate(F.reverse(best), start, back, lambda s: s["ids"])
+    spelt = F.flatten(F.transform(ids, lambda i: F.when(i < CHAR, F.array(i)).otherwise(_byte_ids(i - CHAR, zero))))
+    return spelt
+
+
+def _byte_ids(code: Column, zero: int) -> Column:
+    """The ids of the UTF-8 bytes of a character, given by its number."""
+    more = lambda shift: F.shiftright(code, shift).bitwiseAND(63) + (128 + zero)
+    lead = lambda shift, mark: F.shiftright(code, shift) + (mark + zero)
+    return (
+        F.when(code < 0x80, F.array(code + zero))
+        .when(code < 0x800, F.array(lead(6, 0xC0), more(0)))
+        .when(code < 0x10000, F.array(lead(12, 0xE0), more(6), more(0)))
+        .otherwise(F.array(lead(18, 0xF0), more(12), more(6), more(0)))
+    )
 
 
 def encoded_units(found: DataFrame, path: str) -> DataFrame:
-    """key, n, size (characters) and ids of each row of found(key, unit, n)."""
-    rows, _, zero = vocabulary(path)
-    longest = max(len(p) for _, p, _ in rows)
-    found = found.select("key", "unit", "n", F.length("unit").alias("size"))
-    short = found.where(F.col("size") <= LONG).repartition("key")
-    cuts = short.select("key", "unit", "n", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("start"))
-    cuts = cuts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("size") - F.col("start")))).alias("long"))
-    cuts = cuts.select("key", "unit", "n", "size", "start", "long", F.substring("unit", F.col("start") + 1, F.col("long")).alias("piece"))
-    # the piece table has the vocabulary's size; units without any piece keep a row, for its bytes
-    edges = cuts.join(F.broadcast(piece_table(found.sparkSession, path)), "piece", "left").where(F.col("id").isNotNull() | ((F.col("start") == 0) & (F.col("long") == 1)))
-    edge = F.when(F.col("id").isNotNull(), F.struct("start", F.col("long").alias("n"), "id", "cost"))
-    grouped = edges.groupBy("key", "unit", "n", "size").agg(F.collect_list(edge).alias("edges"))
-    folds = grouped.select("key", "n", "size", folded(F.col("unit"), F.col("edges"), zero).alias("ids"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        costs = {p: (cost, i) for i, p, cost in vocabulary(path)[0]}
-        for batch in batches:
-            for i, unit in enumerate(batch.column(1).to_pylist()):
-                own = batch.slice(i, 1)
-                ids = pa.array([shortest(unit, costs, longest, zero)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), own.column(3), ids], ["key", "n", "size", "ids"])
-
-    long = found.where(F.col("size") > LONG).mapInArrow(work, "key long, n long, size int, ids array<int>")
-    return folds.unionByName(long)
-
-
-def _dictionary(units_: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Sorted keys, bounds and ids of the frequent units, FREQUENT at most, and the least count among them."""
-    short = units_.where(F.col("size") <= LONG)
+    """key, n and ids of each row of found(key, unit, n)."""
+    words = vocabulary(path)
+    starts = found.repartition("key").select("key", "unit", "n", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("start"))
+    cuts = starts.select("key", "unit", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(words.longest), F.length("unit") - F.col("start") + 1))).alias("size"))
+    cuts = cuts.select("key", "n", "start", "size", F.substring("unit", F.col("start"), F.col("size")).alias("piece"))
+    # the piece table has the vocabulary's size; a character without a piece is an edge of its bytes
+    edges = cuts.join(F.broadcast(piece_table(found.sparkSession, path)), "piece", "left").where(F.col("way").isNotNull() | (F.col("size") == 1))
+    spelt = F.shiftleft((BYTE * F.octet_length("piece")).cast("long"), ID_BITS) + CHAR + F.ascii("piece")
+    place = F.shiftleft(F.col("start") + F.col("size") - 1, SIZE_BITS) + MOST - F.col("size")
+    edge = F.shiftleft(place.cast("long"), COST_BITS + ID_BITS) + F.coalesce("way", spelt)
+    grouped = edges.select("key", "n", edge.alias("edge")).groupBy("key").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
+    return grouped.select("key", "n", folded(F.col("edges"), words.zero).alias("ids"))
+
+
+class Dictionary:
+    """Ids by key, found by the keys' upper bits."""
+
+    def __init__(self, keys: np.ndarray, lists: pa.ListArray):
+        order = np.argsort(keys.view(np.uint64))
+        self.keys = keys[order]
+        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.size, self.begin = size[order], (np.cumsum(size) - size)[order]
+        self.ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
+        heads = (self.keys.view(np.uint64) >> self.shift).astype(np.int64)
+        self.first = np.searchsorted(heads, np.arange((1 << (64 - int(self.shift))) + 1))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        head = (keys.view(np.uint64) >> self.shift).astype(np.int64)
+        at, end = self.first[head], self.first[head + 1]
+        out = np.full(len(keys), -1, dtype=np.int64)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            hit = self.keys[here] == keys[left]
+            out[left[hit]] = here[hit]
+            left = left[~hit & (here + 1 < end[left])]
+            at[left] += 1
+        return out
+
+
+def _frequent(known: DataFrame) -> tuple[Dictionary, int]:
+    """The dictionary of the most frequent units, FREQUENT at most, and the least count among them."""
     level = F.floor(F.log2("n") * 8).cast("int").alias("level")
     total, least = 0, 1 << 62
-    for r in short.groupBy(level).agg(F.count("*").alias("units"), F.min("n").alias("least")).orderBy(F.desc("level")).collect():  # some hundred rows
+    for r in known.groupBy(level).agg(F.count("*").alias("units"), F.min("n").alias("least")).orderBy(F.desc("level")).collect():  # some hundred rows
         total += r.units
         if total > FREQUENT:
             break
         least = r.least
-    top = short.where(F.col("n") >= least).select("key", "ids").toArrow().combine_chunks().sort_by("key")
-    keys, ids = top["key"].to_numpy(), top["ids"].combine_chunks()
-    bounds = np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))) if len(keys) else np.zeros(1, np.int64)
-    return keys, bounds, (ids.flatten().to_numpy() if len(keys) else np.zeros(0, np.int32)).astype(np.int32), least
+    top = known.where(F.col("n") >= least).select("key", "ids").toArrow().combine_chunks()
+    lists = top["ids"].combine_chunks() if len(top) else pa.array([], pa.list_(pa.int32()))
+    return Dictionary(top["key"].to_numpy(), lists), least
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
-    """key, start, units and ids: each row's encoding in segments; in order of start they are the whole of it.
-
-    start counts the row's units before the segment. Null and empty texts have no
-    segments. Units not in the broadcast dictionary are segments of their own, so no text
-    is gathered anew. The session's Arrow batches are set to BATCH rows if they are larger,
-    as whole texts pass through them. Repeated rows with one key have the same segments each; an
-    empty table gives an empty result; other columns are not read. Units are told apart
-    by 64-bit keys.
+    """key and ids of each row. Null and empty texts have no ids.
+
+    The session's Arrow batches are set to BATCH rows if they are larger, as whole texts
+    pass through them. Repeated rows, also of one key with different texts, are encoded
+    each; an empty table gives an empty result; other columns are not read. Units are
+    told apart by their 64-bit keys. A row's own units find it again by two 64-bit hashes of its key and
+    text, so nothing depends on how the table is split when it is read anew.
     """
     path = model or default_model()
     small_batches(docs.sparkSession)
-    known = stash(encoded_units(stash(distinct_units(docs, text), "units"), path), "dictionary")
-    *entries, least = _dictionary(known)
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(entries))
-    rows = docs.select(F.col(key).alias("key"), prefixed(F.col(text)).alias("_text"))
+    known = stash(encoded_units(stash(distinct_units(docs, text, path), "units"), path), "dictionary")
+    frequent, least = _frequent(known)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    whole = prefixed(F.col(text))
+    rows = docs.select(F.col(key).alias("key"), whole.alias("_text"), F.xxhash64(F.col(key), whole).alias("one"), F.xxhash64(F.lit(1), whole, F.col(key)).alias("two"))
     kind = docs.schema[key].dataType.simpleString()
 
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(path)
         for batch in batches:
-            for c in X.chunks(batch.column(1)):
-                starts, ends, row = units(c)
+            for c in X.chunks(batch.column(0)):
+                starts, ends, row = units(c, words)
                 keys = c.keys(starts, ends).view(np.int64)
-                known = shared.value[0]
-                at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-                hit = known[at] == keys if len(known) else np.zeros(len(keys), dtype=bool)
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                yield batch.column(0).slice(c.first, c.rows), keys, row, place, at, hit
-
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, bounds, ids = shared.value
-        for names, _, row, place, at, hit in parsed(batches):
-            new = np.ones(len(row), dtype=bool)
-            new[1:] = (row[1:] != row[:-1]) | (hit[1:] != hit[:-1])
-            first = np.flatnonzero(new & hit)
-            which = np.cumsum(new & hit)[hit] - 1
-            begin, n = bounds[at[hit]], bounds[at[hit] + 1] - bounds[at[hit]]
-            stop = np.cumsum(n)
-            flat = ids[np.repeat(begin - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
-            per = np.bincount(which, n, len(first)).astype(np.int64)
-            own = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)), pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(row[first])), pa.array(place[first], pa.int64()), pa.array(np.bincount(which, minlength=len(first)), pa.int64()), own], ["key", "start", "units", "ids"])
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, keys, row, place, _, hit in parsed(batches):
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(row[~hit])), pa.array(place[~hit], pa.int64()), pa.array(keys[~hit], pa.int64())], ["key", "start", "unit"])
-
-    common = rows.mapInArrow(segments, f"key {kind}, start long, units long, ids array<int>")
-    rare = known.where((F.col("n") < least) | (F.col("size") > LONG)).select(F.col("key").alias("unit"), "ids")
-    tails = rows.mapInArrow(others, f"key {kind}, start long, unit long").join(rare, "unit").select("key", "start", F.lit(1).cast("long").alias("units"), "ids")
-    return common.unionByName(tails).withColumnRenamed("key", key)
-
-
-def decode(segments: DataFrame, model: str | None = None, start: str = "start", ids: str = "ids") -> DataFrame:
-    """segments with text: what its ids stand for, without the space that encoding put before the first.
-
-    A key's segments in order of start make up its whole text. Null ids give null.
-    """
+                new = shared.value.find(keys) < 0
+                keys, row = keys[new], row[new]
+                once = ~X.repeated(keys.view(np.uint64), row)[1]
+                at = pa.array(c.first + row[once])
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(keys[once])], ["one", "two", "unit"])
+
+    def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, hot = vocabulary(path), shared.value
+        for batch in batches:
+            lists = batch.column(2)
+            own = lists.flatten()
+            keys, first = np.unique(own.field(0).to_numpy(zero_copy_only=False), return_index=True)
+            cold = Dictionary(keys, own.field(1).take(pa.array(first)))
+            for c in X.chunks(batch.column(1)):
+                starts, ends, row = units(c, words)
+                at = hot.find(keys := c.keys(starts, ends).view(np.int64))
+                hit = at >= 0
+                at[~hit] = cold.find(keys[~hit])
+                if (at < 0).any():
+                    raise ValueError("a unit without ids: the table has changed while it was read")
+                begin, n = np.empty_like(at), np.empty_like(at)
+                for which, d in ((hit, hot), (~hit, cold)):
+                    begin[which], n[which] = d.begin[at[which]], d.size[at[which]]
+                stop = np.cumsum(n)
+                source = np.repeat(begin - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)
+                from_hot = np.repeat(hit, n)
+                flat = np.empty(len(source), dtype=np.int32)
+                flat[from_hot], flat[~from_hot] = hot.ids[source[from_hot]], cold.ids[source[~from_hot]]
+                bounds = np.append(0, np.cumsum(c.per_row(row, n))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], ["key", "ids"])
+
+    rare = known.where(F.col("n") < least).select(F.col("key").alias("unit"), "ids")
+    tails = rows.select("_text", "one", "two").mapInArrow(others, "one long, two long, unit long").join(rare, "unit")
+    tails = tails.groupBy("one", "two").agg(F.collect_set(F.struct("unit", "ids")).alias("own"))
+    both = rows.join(tails, ["one", "two"], "left").select("key", "_text", F.coalesce("own", F.array().cast("array<struct<unit:bigint,ids:array<int>>>")).alias("own"))
+    return both.mapInArrow(assembled, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+
+
+def decode(coded: DataFrame, model: str | None = None, ids: str = "ids") -> DataFrame:
+    """coded with text: what its ids stand for, without the space that encoding put before it. Null ids give null."""
     path = model or default_model()
-    names = segments.columns
-    at, first = names.index(ids), names.index(start)
+    names = coded.columns
+    at = names.index(ids)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = vocabulary(path)[1]
+        table = vocabulary(path).texts
         sizes = np.array([len(b) for b in table], dtype=np.int64)
         bounds, raw = np.append(0, np.cumsum(sizes)), np.frombuffer(b"".join(table), dtype=np.uint8)
         for batch in batches:
@@ -287,11 +358,11 @@ def decode(segments: DataFrame, model: str | None = None, start: str = "start",
             stop = np.append(0, np.cumsum(n))
             data = raw[np.repeat(bounds[flat] - stop[:-1], n) + np.arange(stop[-1])]
             ends = stop[own]
-            heads = ends[:-1] + ((batch.column(first).to_numpy(zero_copy_only=False) == 0) & (ends[1:] > ends[:-1]))
+            heads = ends[:-1] + (ends[1:] > ends[:-1])
             whole = data.tobytes()
             texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(heads.tolist(), ends[1:].tolist(), strict=True)]
             made = pa.array(texts, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*names, "text"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.schema.fields)
-    return segments.mapInArrow(work, f"{fields}, text string")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields)
+    return coded.mapInArrow(work, f"{fields}, text string")

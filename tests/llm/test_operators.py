@@ -375,19 +375,39 @@ def test_boilerplate(spark, docs, empty, texts):
 # 10
 
 
-def test_pieces_round_trip(docs, empty, texts):
+def plain_ids(text, words):
+    """Ids of a text, character by character: cut where no piece crosses, then the cheapest path."""
+    costs = {p: (c, i) for i, p, c in words.rows}
+    pairs = {p[k : k + 2] for p in costs for k in range(len(p) - 1)}
+    text, cuts, out = f" {text}" if text else "", [], []
+    for k in range(len(text)):
+        if not k or text[k - 1 : k + 1] not in pairs or k - cuts[-1] == pieces.LONG:
+            cuts.append(k)
+    for a, b in zip(cuts, [*cuts, len(text)][1:], strict=True):
+        unit, best = text[a:b], [(0, 0, -1)]
+        for p in range(1, len(unit) + 1):
+            ways = [(best[s][0] + costs[unit[s:p]][0], s, costs[unit[s:p]][1]) for s in range(max(0, p - words.longest), p) if unit[s:p] in costs]
+            best.append(min([*ways, (best[p - 1][0] + pieces.BYTE * len(unit[p - 1].encode()), p - 1, -1)]))
+        ids, p = [], len(unit)
+        while p:
+            _, s, i = best[p]
+            ids.extend([i] if i >= 0 else [words.zero + x for x in reversed(unit[s:p].encode())])
+            p = s
+        out += ids[::-1]
+    return out
+
+
+@pytest.mark.parametrize("frequent", [1 << 19, 100, 0])
+def test_pieces_round_trip(docs, spark, empty, texts, monkeypatch, frequent):
+    """One row a document, whatever the dictionary's size; null and empty texts have no ids."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
-    table, _, zero = pieces.vocabulary(pieces.default_model())
-    costs = {p: (c, i) for i, p, c in table}
-    found = defaultdict(list)
-    for r in pieces.decode(pieces.encode(docs)).collect():
-        found[r.doc_id].append(r)
-    for key, text in {t[0]: t[1] for t in texts}.items():
-        own = sorted({(r.start, r.units, tuple(r.ids), r.text) for r in found[key]})
-        assert "".join(r[3] for r in own) == (text or "")
-        ids = [i for r in own for i in r[2]]
-        assert ids == (pieces.shortest(("▁" + text.replace(" ", "▁")), costs, 16, zero) if text else [])
-        assert model.decode(ids) == (text or "")
+    monkeypatch.setattr(pieces, "FREQUENT", frequent)
+    model, words = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model()), pieces.vocabulary(pieces.default_model())
+    more = [(700, "a▁b \U0001f600 ñ n\u0303 \u0000 \x7f 0123456789abcdef0123456789abcdef"), (700, "the same id, another text"), (701, "  two  spaces\n\n\ttab " + "=" * 300), (702, thue_morse(2048)[0] + " " + thue_morse(2048)[1])]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = sorted(((r.doc_id, tuple(r.ids), r.text) for r in pieces.decode(pieces.encode(rows)).collect()), key=repr)
+    want = [(k, tuple(plain_ids(t or "", words)), t or "") for k, t in [*((t[0], t[1]) for t in texts), *more]]
+    assert got == sorted(want, key=repr)
+    assert all(model.decode(list(ids)) == text for _, ids, text in got if "▁" not in text and "\0" not in text)
     assert rows_of(pieces.decode(pieces.encode(empty))) == []
