@@ -36,8 +36,11 @@ PIECE, BYTE = 10**7, 10**8
 SPACE = "▁"
 #: Units broadcast as a dictionary; and the most characters of a unit.
 FREQUENT, LONG = 1 << 19, 64
-#: An edge is one number: its end, MOST - its length, its cost and its id, in so many bits. Ids from CHAR on are characters spelt by bytes.
-END_BITS, SIZE_BITS, COST_BITS, ID_BITS = 7, 5, 29, 22
+#: Units that are counted together in a task, some 60 bytes each.
+TALLIED = 1 << 19
+#: An edge is one number: its end (7 bits), its cost, MOST - its length, and its id, in so many bits. Ids from CHAR on are characters spelt by bytes.
+COST_BITS, SIZE_BITS, ID_BITS = 29, 5, 22
+TAIL = SIZE_BITS + ID_BITS
 MOST, CHAR = (1 << SIZE_BITS) - 1, 1 << 21
 #: Characters below it have a table of pairs.
 COMMON = 0x250
@@ -98,8 +101,8 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """piece and way (its cost and id as the low bits of an edge): a table of the vocabulary's fixed size."""
-    return spark.createDataFrame([(piece, cost << ID_BITS | i) for i, piece, cost in vocabulary(path).rows], "piece string, way long")
+    """piece and way (an edge without its end): a table of the vocabulary's fixed size."""
+    return spark.createDataFrame([(piece, cost << TAIL | (MOST - len(piece)) << ID_BITS | i) for i, piece, cost in vocabulary(path).rows], "piece string, way long")
 
 
 def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,27 +146,33 @@ def prefixed(text: Column) -> Column:
     return F.when(text != "", F.concat(F.lit(" "), text)).otherwise("")
 
 
+def _merged(parts: list[tuple[np.ndarray, pa.Array, np.ndarray]]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    keys, first, which = np.unique(np.concatenate([k for k, _, _ in parts]), return_index=True, return_inverse=True)
+    n = np.bincount(which, np.concatenate([n for _, _, n in parts]), len(keys)).astype(np.int64)
+    return keys, pa.concat_arrays([u for _, u, _ in parts]).take(pa.array(first)), n
+
+
 def distinct_units(docs: DataFrame, text: str, path: str) -> DataFrame:
     """key, unit, n: each different unit and how often it occurs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, names, words = X.Tally(1 << 18), {}, vocabulary(path)
-
-        def rows(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-            known = [names.pop(k) for k in found[0].tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(known, pa.string()), pa.array(found[1], pa.int64())], ["key", "unit", "n"])
-
+        parts, size, words = [], 0, vocabulary(path)
         for batch in batches:
             for c in X.chunks(batch.column(0)):
                 starts, ends, _ = units(c, words)
-                keys = c.keys(starts, ends).view(np.int64)
-                once, first = np.unique(keys, return_index=True)
-                raw = c.data.tobytes()
-                for k, a, b in zip(once.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
-                    if k not in names:
-                        names[k] = raw[a:b].decode("utf-8", "replace")
-                yield from map(rows, tally.add(keys))
-        yield from map(rows, tally.rest())
+                keys, first, n = np.unique(c.keys(starts, ends).view(np.int64), return_index=True, return_counts=True)
+                bounds = pa.py_buffer(np.append(starts, len(c.data)).astype(np.int32))  # a unit ends where the next begins
+                every = pa.Array.from_buffers(pa.string(), len(starts), [None, bounds, pa.py_buffer(c.data)])
+                parts.append((keys, every.take(pa.array(first)), n))
+                size += len(keys)
+                if size > TALLIED:
+                    parts = [_merged(parts)]
+                    size = len(parts[0][0])
+                    if size > TALLIED * 3 // 4:
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, parts.pop())), ["key", "unit", "n"])
+                        size = 0
+        if size:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, _merged(parts))), ["key", "unit", "n"])
 
     found = docs.select(prefixed(F.col(text)).alias("_text")).mapInArrow(work, "key long, unit string, n long")
     return found.groupBy("key").agg(F.min("unit").alias("unit"), F.sum("n").alias("n"))
@@ -173,40 +182,42 @@ def _low(x: Column, bits: int) -> Column:
     return x.bitwiseAND((1 << bits) - 1)
 
 
+def _start(end: Column, way: Column) -> Column:
+    return end - MOST + _low(F.shiftright(way, ID_BITS), SIZE_BITS).cast("int")
+
+
 def folded(edges: Column, zero: int) -> Column:
     """The ids of the cheapest path through a unit's edges, sorted numbers, as array<int>.
 
-    The state is what the cheapest way to each position costs, and its last edge's size and
-    id, as one number each; now is that of the last position so far. A smaller number is a
-    smaller cost, or the same cost and a longer or lower piece.
+    best has, for each position, the cost of the cheapest way to it with the size and id of its last
+    edge, as one number; now is that of the last position so far. A smaller number is a
+    smaller cost, or the same cost and a longer piece or a lower id. Then the path is
+    followed back, as many steps as its cost allows for.
     """
-    tail = SIZE_BITS + ID_BITS
 
     def reach(state: Column, e: Column) -> Column:
-        end = F.shiftright(e, SIZE_BITS + COST_BITS + ID_BITS).cast("int")
-        short = _low(F.shiftright(e, COST_BITS + ID_BITS), SIZE_BITS).cast("int")  # MOST - length
-        before = F.coalesce(F.get(state["best"], end - MOST + short), state["now"])
-        cost = F.shiftright(before, tail) + _low(F.shiftright(e, ID_BITS), COST_BITS)
-        way = F.shiftleft(cost, tail) + F.shiftleft(short.cast("long"), ID_BITS) + _low(e, ID_BITS)
-        further = F.size(state["best"]) < end
-        best = F.when(further, F.concat(state["best"], F.array(state["now"]))).otherwise(state["best"])
-        return F.struct(best.alias("best"), F.when(further, way).otherwise(F.least(state["now"], way)).alias("now"))
-
-    none = F.array().cast("array<long>")
-    whole = lambda s: F.concat(s["best"], F.array(s["now"]))
-    best = F.aggregate(edges, F.struct(none.alias("best"), F.lit(0).cast("long").alias("now")), reach, whole)
-
-    def back(s: Column, way: Column) -> Column:
-        """From the last position to the first, the ids of the edges of the path; to is where the next of these ends."""
-        to, ids = s["to"], s["ids"]
-        on = F.struct((to - MOST + _low(F.shiftright(way, ID_BITS), SIZE_BITS).cast("int")).alias("to"), (s["at"] - 1).alias("at"), F.concat(F.array(_low(way, ID_BITS).cast("int")), ids).alias("ids"))
-        return F.when((s["at"] == to) & (to > 0), on).otherwise(F.struct(to.alias("to"), (s["at"] - 1).alias("at"), ids.alias("ids")))
-
-    last = F.element_at(F.transform(edges, lambda e: F.shiftright(e, SIZE_BITS + COST_BITS + ID_BITS).cast("int")), -1)
-    start = F.struct(last.alias("to"), last.alias("at"), F.array().cast("array<int>").alias("ids"))
-    ids = F.aggregate(F.reverse(best), start, back, lambda s: s["ids"])
-    spelt = F.flatten(F.transform(ids, lambda i: F.when(i < CHAR, F.array(i)).otherwise(_byte_ids(i - CHAR, zero))))
-    return spelt
+        end = F.shiftright(e, COST_BITS + TAIL).cast("int")
+        before = F.coalesce(F.get(state["best"], _start(end, e)), state["now"])
+        way = before.bitwiseAND(-1 << TAIL) + _low(e, COST_BITS + TAIL)
+        further = F.struct(F.concat(state["best"], F.array(state["now"])).alias("best"), way.alias("now"))
+        return F.when(F.size(state["best"]) < end, further).otherwise(F.struct(state["best"].alias("best"), F.least(state["now"], way).alias("now")))
+
+    def back(s: Column, _: Column) -> Column:
+        way = F.get(s["best"], s["at"])
+        step = F.struct(s["best"].alias("best"), _start(s["at"], way).alias("at"), F.concat(F.array(_low(way, ID_BITS).cast("int")), s["ids"]).alias("ids"))
+        return F.when(s["at"] > 0, step).otherwise(s)
+
+    def spelt(s: Column) -> Column:
+        each = F.transform(s["ids"], lambda i: F.when(i < CHAR, F.array(i)).otherwise(_byte_ids(i - CHAR, zero)))
+        return F.when(F.array_max(s["ids"]) < CHAR, s["ids"]).otherwise(F.flatten(each))
+
+    def path(s: Column) -> Column:
+        most = F.floor(F.shiftright(s["now"], TAIL) / PIECE).cast("int")
+        last = F.struct(F.concat(s["best"], F.array(s["now"])).alias("best"), F.size(s["best"]).alias("at"), F.array().cast("array<int>").alias("ids"))
+        return F.aggregate(F.sequence(F.lit(1), most), last, back, spelt)
+
+    first = F.struct(F.array().cast("array<long>").alias("best"), F.lit(0).cast("long").alias("now"))
+    return F.aggregate(edges, first, reach, path)
 
 
 def _byte_ids(code: Column, zero: int) -> Column:
@@ -229,9 +240,8 @@ def encoded_units(found: DataFrame, path: str) -> DataFrame:
     cuts = cuts.select("key", "n", "start", "size", F.substring("unit", F.col("start"), F.col("size")).alias("piece"))
     # the piece table has the vocabulary's size; a character without a piece is an edge of its bytes
     edges = cuts.join(F.broadcast(piece_table(found.sparkSession, path)), "piece", "left").where(F.col("way").isNotNull() | (F.col("size") == 1))
-    spelt = F.shiftleft((BYTE * F.octet_length("piece")).cast("long"), ID_BITS) + CHAR + F.ascii("piece")
-    place = F.shiftleft(F.col("start") + F.col("size") - 1, SIZE_BITS) + MOST - F.col("size")
-    edge = F.shiftleft(place.cast("long"), COST_BITS + ID_BITS) + F.coalesce("way", spelt)
+    spelt = F.shiftleft((BYTE * F.octet_length("piece")).cast("long"), TAIL) + ((MOST - 1) << ID_BITS) + CHAR + F.ascii("piece")
+    edge = F.shiftleft((F.col("start") + F.col("size") - 1).cast("long"), COST_BITS + TAIL) + F.coalesce("way", spelt)
     grouped = edges.select("key", "n", edge.alias("edge")).groupBy("key").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
     return grouped.select("key", "n", folded(F.col("edges"), words.zero).alias("ids"))
 
