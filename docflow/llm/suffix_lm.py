@@ -1,24 +1,26 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-The root is the distribution of single tokens, smoothed by adding ALPHA. A context of one
-to depth words that is seen least times or more is a candidate, and is kept where its
-next-token distribution diverges from that of its longest kept suffix by more than chance
-does. Within a kept context, each next token seen has its own discounted share, and what
+The root is the distribution of single tokens, smoothed by adding ALPHA. The tree grows
+by a word at a time: a context is a candidate where its last words but the first are a
+kept context (of one word: always) and it is seen least times or more, and is kept where
+its next-token distribution diverges from that of its longest kept suffix by more than
+chance does. It ends with the first length of which no context is kept, or at depth
+words. Within a kept context, each next token seen has its own discounted share, and what
 is left goes to the suffix; so each state's probabilities sum to 1. A token is scored in
 the state of the longest kept suffix of what precedes it.
 
 All counts are over all training texts, and no share of the corpus bounds the tree: it
 grows with the input. Each level is a written table of grams (a context and a next
 token), joined to the level below by the gram without its first word. What is broadcast
-only saves transport: a filter of FILTER_BITS bits a level, by which grams of contexts
-seen less than least times are not moved, and the HOT grams seen most, which are scored
+only saves transport: a filter of FILTER_BITS bits a level, by which grams of no
+candidate are not moved, and the HOT grams seen most, which are scored
 where the texts are. All other tokens are joined to the tables by Spark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,41 +41,21 @@ COUNTED = 1 << 19
 
 @dataclass(frozen=True)
 class Settings:
-    """folds: texts of the fold 0 are not learnt. least: how often a context is seen at least. divergence is in nats, less what chance explains.
-
-    context_share, next_share and pair_share, of all tokens, are further bounds that a caller may set for contexts, next
-    words and next words in a context. By default there are none.
-    """
+    """folds: texts of the fold 0 are not learnt. least: how often a context is seen at least. divergence is in nats, less what chance explains."""
 
     folds: int = 10
-    depth: int = 2
-    context_share: float = 0.0
-    next_share: float = 0.0
-    pair_share: float = 0.0
+    depth: int = 4
     divergence: float = 0.01
     discount: float = 0.5
-    least: int = 2
-
-
-@dataclass
-class Level:
-    """Kept contexts of one length: sorted codes, the share that goes to the suffix, and sorted (context place, word) codes with their own shares."""
-
-    codes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    share: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    least: int = 8
 
 
-@dataclass
+@dataclass(frozen=True)
 class Tree:
-    """keys: sorted keys of words, counts theirs; total tokens and kinds of tokens in training."""
+    """Total tokens and kinds of tokens in training."""
 
-    keys: np.ndarray
-    counts: np.ndarray
     total: int
     kinds: int
-    levels: list[Level] = field(default_factory=list)
 
     @property
     def below(self) -> float:
@@ -179,7 +161,7 @@ def gram_counts(docs: DataFrame, learns: str, text: str, filters: list[np.ndarra
 def rooted(counts: DataFrame) -> tuple[DataFrame, Tree]:
     """The root as a level: gram, n, n0 (the last word's count) and p of each word; and its totals."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = Tree(np.zeros(0, np.int64), np.zeros(0, np.int64), *total)
+    tree = Tree(*total)
     return counts.select(F.col("word").alias("gram"), "n", F.col("n").alias("n0"), ((F.col("n") + ALPHA) / tree.below).alias("p")), tree
 
 
@@ -190,79 +172,41 @@ def joined(grams: DataFrame, lower: DataFrame, tree: Tree) -> DataFrame:
     return both.select("gram", "ctx", "sub", "n", F.coalesce("n0", F.lit(0)).alias("n0"), F.coalesce("p", F.lit(ALPHA / tree.below)).alias("p"))
 
 
-def kept(grams: DataFrame, tree: Tree, s: Settings) -> DataFrame:
+def kept(grams: DataFrame, s: Settings) -> DataFrame:
     """_c, seen and rest (the share that goes to the suffix) of the contexts that pass the divergence test."""
-    own = _own(tree, s)
-    sum_of = lambda x: F.coalesce(F.sum(F.when(own, x)), F.lit(0.0))
     sums = grams.where("n > 0").groupBy(F.col("ctx").alias("_c")).agg(
-        F.sum("n").alias("seen"), sum_of(F.col("n")).alias("listed"), F.count(F.when(own, 1)).alias("kinds"), sum_of(F.col("p")).alias("mass"), sum_of(F.col("n") * F.log(F.col("n") / F.col("p"))).alias("gain")
+        F.sum("n").alias("seen"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log(F.col("n") / F.col("p"))).alias("gain")
     )
-    left = F.col("seen") - F.col("listed")
-    gain = F.col("gain") - F.col("listed") * F.log("seen")
-    gain = gain + F.when(left > 0, left * F.log(left / F.col("seen") / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(0.0)
-    passed = sums.where(F.col("seen") >= max(s.least, s.context_share * tree.total)).where((gain - F.col("kinds") / 2) / F.col("seen") > s.divergence)
-    return passed.select("_c", "seen", ((left + s.discount * F.col("kinds")) / F.col("seen")).alias("rest"))
-
+    gain = F.col("gain") - F.col("seen") * F.log("seen")
+    passed = sums.where(F.col("seen") >= s.least).where((gain - F.col("kinds") / 2) / F.col("seen") > s.divergence)
+    return passed.select("_c", "seen", (s.discount * F.col("kinds") / F.col("seen")).alias("rest"))
 
-def _own(tree: Tree, s: Settings):
-    """Whether a gram's next word has a share of its own."""
-    return (F.col("n") > 0) & (F.col("n") >= s.pair_share * tree.total) & (F.col("n0") >= s.next_share * tree.total)
 
-
-def deepened(grams: DataFrame, contexts: DataFrame, tree: Tree, s: Settings) -> DataFrame:
+def deepened(grams: DataFrame, contexts: DataFrame, s: Settings) -> DataFrame:
     """gram, n, n0 and p of a level: in kept contexts the discounted share and what comes from the suffix, in others the suffix's p."""
-    share = F.when(_own(tree, s), (F.col("n") - s.discount) / F.col("seen")).otherwise(0.0)
+    share = F.when(F.col("n") > 0, (F.col("n") - s.discount) / F.col("seen")).otherwise(0.0)
     p = F.when(F.col("seen").isNotNull(), F.col("rest") * F.col("p") + share).otherwise(F.col("p"))
     return grams.join(contexts, F.col("ctx") == F.col("_c"), "left").select("gram", "n", "n0", p.alias("p"))
 
 
-def modelled(docs: DataFrame, learns: str, text: str, s: Settings) -> tuple[DataFrame, Tree, list[np.ndarray], list[DataFrame]]:
-    """All levels' grams (gram, n, n0, p), the totals, the filters of candidates by level, and the written tables."""
-    counts = stash(word_counts(docs.where(learns), text), "counts")
-    level, tree = rooted(counts)
-    levels, tables, filters = [level], [counts], []
+def modelled(docs: DataFrame, learns: str, text: str, s: Settings) -> tuple[DataFrame, Tree, list[np.ndarray]]:
+    """All levels' grams (gram, n, n0, p), the totals, and the filters of candidates by level."""
+    level, tree = rooted(stash(word_counts(docs.where(learns), text), "counts"))
+    every, filters = level, []
+    candidates = level.where(F.col("n") >= s.least).select("gram")
     for _ in range(s.depth if tree.total else 0):
-        filters.append(filter_of(levels[-1].where(F.col("n") >= s.least)))
-        grams = stash(joined(gram_counts(docs, learns, text, filters), levels[-1], tree).drop("sub"), "grams")
-        levels.append(stash(deepened(grams, kept(grams, tree, s), tree, s), "level"))
-        tables.append(levels[-1])
-        drop_stash(grams)
-    every = levels[0]
-    for level in levels[1:]:
+        filters.append(filter_of(candidates))
+        if not filters[-1].any():
+            return every, tree, filters[:-1]
+        grams = stash(joined(gram_counts(docs, learns, text, filters), level, tree), "grams")
+        among = candidates.select(F.col("gram").alias("_k"))
+        contexts = stash(kept(grams, s).join(among, F.col("_c") == F.col("_k"), "left_semi"), "contexts")
+        level = stash(deepened(grams, contexts, s), "level")
+        longer = grams.where(F.col("n") >= s.least).join(among, F.col("ctx") == F.col("_k"), "left_semi")
+        last, candidates = candidates, stash(longer.join(contexts, F.col("sub") == F.col("_c"), "left_semi").select("gram"), "candidates")
+        drop_stash(grams, contexts, *([last] if len(filters) > 1 else []))
         every = every.unionByName(level)
-    return every, tree, filters, tables
-
-
-def learnt(docs: DataFrame, text: str, s: Settings) -> tuple[Tree, DataFrame, DataFrame]:
-    """The root and the first level as arrays, to look into the model of a small corpus; the counts of words, and the contexts kept."""
-    own = docs.withColumn("_learns", F.lit(True))
-    counts = stash(word_counts(own, text), "counts")
-    level, tree = rooted(counts)
-    words = counts.orderBy("word").toArrow()
-    tree.keys, tree.counts = words["word"].to_numpy(), words["n"].to_numpy()
-    grams = stash(joined(gram_counts(own, "_learns", text, [filter_of(level.where(F.col("n") >= s.least))]), level, tree), "grams")
-    contexts = kept(grams, tree, s)
-    found = contexts.orderBy("_c").toArrow()
-    codes, seen, rest = (found[x].to_numpy() for x in ("_c", "seen", "rest"))
-    pairs = grams.where(_own(tree, s)).select("ctx", "sub", "n").toArrow()
-    place, word, n = find(codes, pairs["ctx"].to_numpy()), find(tree.keys, pairs["sub"].to_numpy()), pairs["n"].to_numpy()
-    at = place >= 0
-    code, share = place[at] * len(tree.keys) + word[at], (n[at] - s.discount) / seen[place[at]]
-    order = np.argsort(code)
-    tree.levels.append(Level(codes, rest, code[order], share[order]))
-    return tree, counts, contexts
-
-
-def _next(level: Level, at: np.ndarray, word: np.ndarray, p: np.ndarray, size: int) -> np.ndarray:
-    """P(word) in the contexts at their places, from that in their suffixes; without a context, that."""
-    known = at >= 0
-    out = p.copy()
-    if known.any():
-        out[known] *= level.rest[at[known]]
-        seen = known & (word >= 0)
-        i = find(level.pairs, at[seen] * size + word[seen])
-        out[seen] += np.where(i >= 0, level.share[i], 0) if len(level.share) else 0
-    return out
+    return every, tree, filters
 
 
 def hottest(grams: DataFrame) -> tuple[pa.Table, int]:
@@ -317,7 +261,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: S
     is learnt, all tokens have the probability 1. Other columns are not read.
     """
     own = docs.select(key, text, (fold(key, settings.folds) != 0).alias("_learns"))
-    grams, tree, filters, _ = modelled(own, "_learns", text, settings)
+    grams, tree, filters = modelled(own, "_learns", text, settings)
     hot, least = hottest(grams)
     rows = stash(partial(own, tree, filters, hot, key, text), "partial")
     rare = grams.where(F.col("n") < least).select(F.col("gram").alias("_g"), "n0", "p")

@@ -103,16 +103,6 @@ def test_suffix_tree_scores(docs, empty, texts):
     assert rows_of(suffix_lm.scored(empty)) == []
 
 
-def test_states_sum_to_one(docs):
-    tree, _, _ = suffix_lm.learnt(docs, "text", suffix_lm.Settings(context_share=1e-3, next_share=1e-4, pair_share=1e-5, divergence=0.0))
-    every = np.arange(len(tree.keys))
-    root = (tree.counts + suffix_lm.ALPHA) / tree.below
-    assert len(tree.levels[0].codes)
-    for at in range(len(tree.levels[0].codes)):
-        p = suffix_lm._next(tree.levels[0], np.full(len(every), at), every, root, len(every))
-        assert math.isclose(p.sum() + tree.levels[0].rest[at] * suffix_lm.ALPHA / tree.below, 1, rel_tol=1e-6)
-
-
 # 3
 
 

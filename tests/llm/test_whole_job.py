@@ -19,17 +19,11 @@ def held(key):
     return zlib.crc32(("" if key is None else str(key)).encode()) % 10 == 0
 
 
-def plain_scores(rows, depth):
+def plain_scores(rows, depth, least):
     """(key, score) by a suffix tree in dictionaries."""
     texts = [(k, [*WORD.findall((t or "").translate(LOWER)), None]) for k, t in rows]
     words = Counter(w for k, ws in texts if not held(k) for w in ws)
     below = sum(words.values()) + 0.1 * (len(words) + 1)
-    after = defaultdict(Counter)
-    for k, ws in texts:
-        if not held(k):
-            for i, w in enumerate(ws):
-                for n in range(1, min(depth, i) + 1):
-                    after[tuple(ws[i - n : i])][w] += 1
     kept = {}
 
     def p(context, w):
@@ -41,19 +35,30 @@ def plain_scores(rows, depth):
         c, seen = kept[context], kept[context].total()
         return max(0, c[w] - 0.5) / seen + 0.5 * len(c) / seen * lower
 
-    for context in sorted(after, key=len):
-        c, seen = after[context], after[context].total()
-        gain = sum(n * math.log(n / seen / p(context[1:], w)) for w, n in c.items())
-        if seen >= 2 and (gain - len(c) / 2) / seen > 0.01:
-            kept[context] = c
+    candidates = [{(w,) for w, n in words.items() if n >= least}]
+    for n in range(1, depth + 1):
+        after = defaultdict(Counter)
+        for k, ws in texts:
+            for i in range(n, len(ws)):
+                if not held(k) and all(tuple(ws[i - m : i]) in candidates[m - 1] for m in range(1, n + 1)):
+                    after[tuple(ws[i - n : i])][ws[i]] += 1
+        found = {}
+        for context, c in after.items():
+            seen = c.total()
+            gain = sum(m * math.log(m / seen / p(context[1:], w)) for w, m in c.items())
+            if seen >= least and (gain - len(c) / 2) / seen > 0.01:
+                found[context] = c
+        kept.update(found)
+        candidates.append({(*context, w) for context, c in after.items() for w, m in c.items() if m >= least and (*context[1:], w) in found})
+    assert depth < 4 or max(map(len, kept)) == 4
     return sorted(((k, sum(math.log10(p(tuple(ws[max(0, i - depth) : i]), w)) for i, w in enumerate(ws))) for k, ws in texts), key=repr)
 
 
-@pytest.mark.parametrize(("depth", "hot"), [(2, 1 << 18), (3, 20)])
-def test_suffix_tree_keeps_every_context_that_diverges(docs, texts, monkeypatch, depth, hot):
+@pytest.mark.parametrize(("depth", "least", "hot"), [(2, 2, 1 << 18), (3, 3, 20), (4, 2, 1000)])
+def test_suffix_tree_keeps_every_context_that_diverges(docs, texts, monkeypatch, depth, least, hot):
     monkeypatch.setattr(suffix_lm, "HOT", hot)
-    got = sorted(((r.doc_id, r.score) for r in suffix_lm.scored(docs, settings=suffix_lm.Settings(depth=depth)).collect()), key=repr)
-    want = plain_scores([(t[0], t[1]) for t in texts], depth)
+    got = sorted(((r.doc_id, r.score) for r in suffix_lm.scored(docs, settings=suffix_lm.Settings(depth=depth, least=least)).collect()), key=repr)
+    want = plain_scores([(t[0], t[1]) for t in texts], depth, least)
     assert sorted(map(repr, (g[0] for g in got))) == sorted(map(repr, (w[0] for w in want)))
     by = lambda rows: sorted(rows, key=lambda r: (repr(r[0]), r[1]))
     assert all(g[0] == w[0] and math.isclose(g[1], w[1], rel_tol=1e-9) for g, w in zip(by(got), by(want), strict=True))
