@@ -246,32 +246,14 @@ def encoded_units(found: DataFrame, path: str) -> DataFrame:
     return grouped.select("key", "n", folded(F.col("edges"), words.zero).alias("ids"))
 
 
-class Dictionary:
-    """Ids by key, found by the keys' upper bits."""
+class Dictionary(X.Index):
+    """Ids by key."""
 
     def __init__(self, keys: np.ndarray, lists: pa.ListArray):
-        order = np.argsort(keys.view(np.uint64))
-        self.keys = keys[order]
+        super().__init__(keys)
         size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        self.size, self.begin = size[order], (np.cumsum(size) - size)[order]
+        self.size, self.begin = size[self.order], (np.cumsum(size) - size)[self.order]
         self.ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
-        heads = (self.keys.view(np.uint64) >> self.shift).astype(np.int64)
-        self.first = np.searchsorted(heads, np.arange((1 << (64 - int(self.shift))) + 1))
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, or -1."""
-        head = (keys.view(np.uint64) >> self.shift).astype(np.int64)
-        at, end = self.first[head], self.first[head + 1]
-        out = np.full(len(keys), -1, dtype=np.int64)
-        left = np.flatnonzero(at < end)
-        while len(left):
-            here = at[left]
-            hit = self.keys[here] == keys[left]
-            out[left[hit]] = here[hit]
-            left = left[~hit & (here + 1 < end[left])]
-            at[left] += 1
-        return out
 
 
 def _frequent(known: DataFrame) -> tuple[Dictionary, int]:

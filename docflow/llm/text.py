@@ -182,3 +182,29 @@ class Tally:
         self.parts, self.size = [], 0
         if len(keys):
             yield keys, n
+
+
+class Index:
+    """The places of keys, found by the keys' upper bits. Keys are spread evenly, as those above are; order tells where each sorted key was."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys.view(np.uint64))
+        self.keys = keys[self.order]
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        heads = (self.keys.view(np.uint64) >> self.shift).astype(np.int64)
+        self.first = np.searchsorted(heads, np.arange((1 << bits) + 1))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key among the sorted ones, or -1."""
+        head = (keys.view(np.uint64) >> self.shift).astype(np.int64)
+        at, end = self.first[head], self.first[head + 1]
+        out = np.full(len(keys), -1, dtype=np.int64)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            hit = self.keys[here] == keys[left]
+            out[left[hit]] = here[hit]
+            left = left[~hit & (here + 1 < end[left])]
+            at[left] += 1
+        return out

@@ -32,24 +32,25 @@ def plain_scores(rows, depth, least):
         lower = p(context[1:], w)
         if context not in kept:
             return lower
-        c, seen = kept[context], kept[context].total()
-        return max(0, c[w] - 0.5) / seen + 0.5 * len(c) / seen * lower
+        c, seen = kept[context]
+        return max(0, c[w] - 0.5) / seen + (seen - c.total() + 0.5 * len(c)) / seen * lower
 
-    candidates = [{(w,) for w, n in words.items() if n >= least}]
+    candidates = {(w,) for w, n in words.items() if n >= least and w}
     for n in range(1, depth + 1):
-        after = defaultdict(Counter)
+        after, found = defaultdict(Counter), {}
         for k, ws in texts:
             for i in range(n, len(ws)):
-                if not held(k) and all(tuple(ws[i - m : i]) in candidates[m - 1] for m in range(1, n + 1)):
+                if not held(k) and tuple(ws[i - n : i]) in candidates:
                     after[tuple(ws[i - n : i])][ws[i]] += 1
-        found = {}
-        for context, c in after.items():
-            seen = c.total()
-            gain = sum(m * math.log(m / seen / p(context[1:], w)) for w, m in c.items())
-            if seen >= least and (gain - len(c) / 2) / seen > 0.01:
-                found[context] = c
+        for context, every in after.items():
+            c, seen = Counter({w: m for w, m in every.items() if m > 1}), every.total()
+            left, lower = seen - c.total(), {w: p(context[1:], w) for w in c}
+            gain = sum(m * math.log(m / seen / lower[w]) for w, m in c.items())
+            gain += left * math.log(left / seen / (1 - sum(lower.values()))) if left else 0
+            if c and (gain - len(c) / 2) / seen > 0.01:
+                found[context] = c, seen
         kept.update(found)
-        candidates.append({(*context, w) for context, c in after.items() for w, m in c.items() if m >= least and (*context[1:], w) in found})
+        candidates = {(*context, w) for context, c in after.items() for w, m in c.items() if m >= least and (*context[1:], w) in found}
     assert depth < 4 or max(map(len, kept)) == 4
     return sorted(((k, sum(math.log10(p(tuple(ws[max(0, i - depth) : i]), w)) for i, w in enumerate(ws))) for k, ws in texts), key=repr)
 
