@@ -5,7 +5,7 @@ by a word at a time: a context is a candidate where its last words but the first
 kept context (of one word: always) and it is seen least times or more, and is kept where
 its next-token distribution diverges from that of its longest kept suffix by more than
 chance does. It ends with the first length of which no context is kept, or at depth
-words. Within a kept context, each next token seen twice or more has its own discounted
+words. Within a kept context, each next token seen least times or more has its own discounted
 share, and what is left goes to the suffix; so each state's probabilities sum to 1. A
 token is scored in the state of the longest kept suffix of what precedes it.
 
@@ -45,13 +45,13 @@ TURN = 23
 
 @dataclass(frozen=True)
 class Settings:
-    """folds: texts of the fold 0 are not learnt. least: how often a context is seen at least, two or more. divergence is in nats, less what chance explains."""
+    """folds: texts of the fold 0 are not learnt. least: how often a context, and a next token in it, is seen at least. divergence is in nats, less what chance explains."""
 
     folds: int = 10
     depth: int = 3
     divergence: float = 0.01
     discount: float = 0.5
-    least: int = 2
+    least: int = 4
 
 
 @dataclass(frozen=True)
@@ -119,8 +119,8 @@ def _counts(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["key", "n"])
 
 
-def next_counts(docs: DataFrame, text: str, filters: list[np.ndarray]) -> DataFrame:
-    """ctx, word, n: how often each token follows each context that passes the filters, where that is twice or more."""
+def next_counts(docs: DataFrame, text: str, filters: list[np.ndarray], least: int) -> DataFrame:
+    """ctx, word, n: how often each token follows each context that passes the filters, where that is least times or more."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def merged(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -146,7 +146,7 @@ def next_counts(docs: DataFrame, text: str, filters: list[np.ndarray]) -> DataFr
             yield merged(parts)
 
     rows = docs.select(F.col(text).cast("string").alias("_text")).mapInArrow(work, "ctx long, word long, n long")
-    return rows.groupBy("ctx", "word").agg(F.sum("n").alias("n")).where("n > 1")
+    return rows.groupBy("ctx", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def compared(counts: DataFrame, candidates: DataFrame, lower: DataFrame) -> DataFrame:
@@ -181,14 +181,14 @@ def modelled(docs: DataFrame, text: str, s: Settings) -> tuple[list[DataFrame],
         filters.append(filter_of(candidates))
         if not filters[-1].any():
             break
-        found = stash(next_counts(docs, text, filters), "next")
+        found = stash(next_counts(docs, text, filters, s.least), "next")
         grams = stash(compared(found, candidates, lower), "grams")
         drop_stash(found)
         contexts = stash(kept(grams, s), "contexts")
         inside = grams.join(contexts.select(F.col("key").alias("ctx"), "rest"), "ctx")
         level = stash(inside.select(F.col("run").alias("key"), "n", (F.col("rest") * F.col("p") + (F.col("n") - s.discount) / F.col("seen")).alias("p"), (F.col("rest") * F.col("p")).alias("from_suffix")), "level")
         suffixes = contexts.select(F.col("key").alias("sub"))
-        candidates = stash(grams.where(F.col("n") >= s.least).join(suffixes, "sub", "left_semi").select(F.col("run").alias("key"), "n", F.col("sub").alias("suffix")), "candidates")
+        candidates = stash(grams.join(suffixes, "sub", "left_semi").select(F.col("run").alias("key"), "n", F.col("sub").alias("suffix")), "candidates")
         drop_stash(grams)
         lower = level
         weights[-1] = weights[-1].unionByName(contexts.select("key", "n", F.log10("rest").alias("w"), none.alias("b"), F.lit(0).alias("known")))

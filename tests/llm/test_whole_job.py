@@ -43,7 +43,7 @@ def plain_scores(rows, depth, least):
                 if not held(k) and tuple(ws[i - n : i]) in candidates:
                     after[tuple(ws[i - n : i])][ws[i]] += 1
         for context, every in after.items():
-            c, seen = Counter({w: m for w, m in every.items() if m > 1}), every.total()
+            c, seen = Counter({w: m for w, m in every.items() if m >= least}), every.total()
             left, lower = seen - c.total(), {w: p(context[1:], w) for w in c}
             gain = sum(m * math.log(m / seen / lower[w]) for w, m in c.items())
             gain += left * math.log(left / seen / (1 - sum(lower.values()))) if left else 0
