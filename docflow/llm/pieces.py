@@ -42,8 +42,6 @@ TALLIED = 1 << 19
 COST_BITS, SIZE_BITS, ID_BITS = 29, 5, 22
 TAIL = SIZE_BITS + ID_BITS
 MOST, CHAR = (1 << SIZE_BITS) - 1, 1 << 21
-#: Characters below it have a table of pairs.
-COMMON = 0x250
 
 
 def default_model() -> str:
@@ -66,13 +64,14 @@ class Vocabulary:
 
     @cached_property
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Which characters stand side by side in a piece: a table of those below COMMON, and sorted codes of all pairs."""
+        """Whether two bytes belong together: of two ASCII characters, when they stand side by side in a piece, and within a character. And sorted codes of all pairs of characters."""
         codes = np.unique(np.array([ord(a) << 21 | ord(b) for _, p, _ in self.rows for a, b in zip(p, p[1:], strict=False)], dtype=np.int64))
-        table = np.zeros((COMMON, COMMON), dtype=bool)
+        table = np.zeros((256, 256), dtype=bool)
         a, b = codes >> 21, codes & (CHAR - 1)
-        common = (a < COMMON) & (b < COMMON)
-        table[a[common], b[common]] = True
-        return table, codes
+        plain = (a < 128) & (b < 128)
+        table[a[plain], b[plain]] = True
+        table[:, 128:192] = True
+        return table.ravel(), codes
 
 
 @cache
@@ -105,39 +104,37 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(piece, cost << TAIL | (MOST - len(piece)) << ID_BITS | i) for i, piece, cost in vocabulary(path).rows], "piece string, way long")
 
 
-def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each character of UTF-8 bytes starts, and its number."""
-    if not (data & 0x80).any():
-        return np.arange(len(data)), data.astype(np.int64)
-    at = np.flatnonzero((data & 0xC0) != 0x80)
-    wide = np.append(data, np.zeros(3, np.uint8)).astype(np.int64)
-    one, two, three, four = (wide[at + i] for i in range(4))
+def character(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The numbers of the characters that start at places of UTF-8 bytes."""
+    one, two, three, four = (data[np.minimum(at + i, len(data) - 1)].astype(np.int64) for i in range(4))
     two, three, four = two & 63, three & 63, four & 63
-    pairs = (one & 31) << 6 | two
-    threes = (one & 15) << 12 | two << 6 | three
-    fours = (one & 7) << 18 | two << 12 | three << 6 | four
-    return at, np.where(one < 0x80, one, np.where(one < 0xE0, pairs, np.where(one < 0xF0, threes, fours)))
+    wide = np.where(one < 0xF0, (one & 15) << 12 | two << 6 | three, (one & 7) << 18 | two << 12 | three << 6 | four)
+    return np.where(one < 0x80, one, np.where(one < 0xE0, (one & 31) << 6 | two, wide))
 
 
 def units(c: X.Chunk, words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each unit of a chunk."""
-    if not len(c.data):
+    data, n = c.data, len(c.data)
+    if not n:
         return (np.zeros(0, np.int64),) * 3
     table, codes = words.pairs
-    at, char = characters(c.data)
-    a, b = char[:-1], char[1:]
-    joined = table[np.minimum(a, COMMON - 1), np.minimum(b, COMMON - 1)]
-    rare = np.flatnonzero((a >= COMMON) | (b >= COMMON))
-    joined[rare] = np.isin(a[rare] << 21 | b[rare], codes)
-    begins = np.append(True, ~joined)
-    begins[np.searchsorted(at, c.offsets[:-1][c.offsets[:-1] < len(c.data)])] = True
-    first = np.flatnonzero(begins)
-    size = np.diff(np.append(first, len(at)))
-    if size.max() > LONG:
-        place = np.arange(len(at)) - np.repeat(first, size)
-        first = np.flatnonzero(place % LONG == 0)
-    starts = at[first]
-    return starts, np.append(starts[1:], len(c.data)), np.searchsorted(c.offsets, starts, "right") - 1
+    begins = np.ones(n, dtype=bool)
+    begins[1:] = ~table[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+    wide = data >= 0x80
+    if wide.any():  # pairs that aren't both ASCII
+        at = np.flatnonzero(begins[1:] & (wide[1:] | wide[:-1])) + 1
+        before = at - 1
+        for _ in range(3):
+            before -= (data[before] & 0xC0) == 0x80
+        begins[at] = ~np.isin(character(data, before) << 21 | character(data, at), codes)
+    begins[c.offsets[:-1][c.offsets[:-1] < n]] = True
+    starts = np.flatnonzero(begins)
+    if np.diff(np.append(starts, n)).max() > LONG:
+        at = np.flatnonzero((data & 0xC0) != 0x80)
+        first = np.searchsorted(at, starts)
+        place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+        starts = at[place % LONG == 0]
+    return starts, np.append(starts[1:], n), np.searchsorted(c.offsets, starts, "right") - 1
 
 
 def prefixed(text: Column) -> Column:
