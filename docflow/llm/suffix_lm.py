@@ -34,7 +34,7 @@ from docflow.llm.common import drop_stash, fold, stash
 ALPHA = 0.1
 END = np.int64(0x3C6EF372FE94F82A)
 #: Weights in the broadcast table, 24 bytes each.
-HOT = 1 << 20
+HOT = 1 << 16
 #: Bits of a filter, 8 MB a length whatever the corpus. A chance hit costs only transport.
 FILTER_BITS = 1 << 26
 #: Positions that are counted together in a task.
@@ -51,7 +51,7 @@ class Settings:
     depth: int = 3
     divergence: float = 0.01
     discount: float = 0.5
-    least: int = 16
+    least: int = 64
 
 
 @dataclass(frozen=True)
