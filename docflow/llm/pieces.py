@@ -37,7 +37,7 @@ SPACE = "▁"
 #: Units broadcast as a dictionary; and the most characters of a unit.
 FREQUENT, LONG = 1 << 19, 64
 #: Units that are counted together in a task, some 60 bytes each.
-TALLIED = 1 << 19
+TALLIED = 1 << 18
 #: An edge is one number: its end (7 bits), its cost, MOST - its length, and its id, in so many bits. Ids from CHAR on are characters spelt by bytes.
 COST_BITS, SIZE_BITS, ID_BITS = 29, 5, 22
 TAIL = SIZE_BITS + ID_BITS
@@ -170,6 +170,8 @@ def distinct_units(docs: DataFrame, text: str, path: str) -> DataFrame:
                         size = 0
         if size:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, _merged(parts))), ["key", "unit", "n"])
+        parts.clear()
+        pa.default_memory_pool().release_unused()  # while the worker waits for its next task
 
     found = docs.select(prefixed(F.col(text)).alias("_text")).mapInArrow(work, "key long, unit string, n long")
     return found.groupBy("key").agg(F.min("unit").alias("unit"), F.sum("n").alias("n"))
