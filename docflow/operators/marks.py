@@ -11,13 +11,13 @@ from docflow.operators.tree import KEY, attr, below, first_per, in_order, named,
 
 #: Ordered: the first prefix that fits names the class. Fixed values.
 FIELDS = [
-    ("TOC", "toc"), ("PAGE", "page-number"), ("DATE", "date-time"), ("TIME", "date-time"), ("AUTHOR", "author"), ("TITLE", "title"), ("MERGEFIELD", "mergefield"), ("FORMULA", "formula"), ("=", "formula"),
-    ("HYPERLINK", "hyperlink"), ("IF ", "if"), ("SET", "set"), ("REF", "ref"), ("SEQ", "seq"), ("ASK", "ask"), ("FILLIN", "fillin"), ("MACROBUTTON", "macrobutton"), ("FORMTEXT", "formtext"),
-    ("FORMCHECKBOX", "formcheckbox"), ("FORMDROPDOWN", "formdropdown"), ("STYLEREF", "styleref"), ("XE ", "index-entry"), ("TC ", "toc-entry"),
+    ("TOC", "toc"), ("PAGE", "page-number"), ("DATE", "date-time"), ("TIME", "date-time"), ("AUTHOR", "author"), ("TITLE", "title"), ("MERGEFIELD", "merge-field"), ("FORMULA", "formula"), ("=", "formula"),
+    ("HYPERLINK", "hyperlink"), ("IF ", "conditional"), ("SET", "variable-set"), ("REF", "variable-ref"), ("SEQ", "sequence"), ("ASK", "prompt-ask"), ("FILLIN", "prompt-fillin"), ("MACROBUTTON", "macro-button"), ("FORMTEXT", "form-text"),
+    ("FORMCHECKBOX", "form-checkbox"), ("FORMDROPDOWN", "form-dropdown"), ("STYLEREF", "style-reference"), ("XE ", "index-entry"), ("TC ", "table-of-contents-entry"),
 ]
 REFERENCES = [
-    ("REF ", "ref"), ("PAGEREF ", "pageref"), ("NOTEREF ", "noteref"), ("SEQ ", "seq"), ("CITATION ", "citation"), ("BIBLIOGRAPHY", "bibliography"), ("HYPERLINK ", "hyperlink"), ("IF ", "if"),
-    ("MERGEFIELD ", "mergefield"), ("TOC", "toc"), ("PAGE", "page-number"),
+    ("REF ", "cross-reference"), ("PAGEREF ", "page-reference"), ("NOTEREF ", "note-reference"), ("SEQ ", "caption-sequence"), ("CITATION ", "citation"), ("BIBLIOGRAPHY", "bibliography"), ("HYPERLINK ", "hyperlink-field"),
+    ("IF ", "conditional-field"), ("MERGEFIELD ", "merge-field"), ("TOC", "table-of-contents"), ("PAGE", "page-number"),
 ]
 REVISIONS = ["ins", "del", "moveFrom", "moveTo", "pPrChange", "rPrChange"]
 CORE = ["title", "subject", "creator", "keywords", "description", "lastModifiedBy", "revision", "created", "modified"]
@@ -67,40 +67,47 @@ def bookmarks(nodes: DataFrame) -> DataFrame:
 
 
 def simple_fields(nodes: DataFrame) -> DataFrame:
-    """doc_id, part, p, pre, instruction of fields in one element."""
+    """doc_id, part, p, pre, instruction, value (the field's own data) of fields in one element."""
     own = named(nodes, "fldSimple").select(*KEY, F.col("parent").alias("p"), "pre", S.ktrim(F.coalesce(attr("instr"), F.lit(""))).alias("instruction"))
-    return own.join(named(nodes, "p").select(*KEY, F.col("pre").alias("p")), [*KEY, "p"], "left_semi")
+    data = named(nodes, "fldData").select(*KEY, F.col("pre").alias("at"), F.col("parent").alias("pre"))
+    texts = nodes.where("kind = 'text'").select(*KEY, F.col("parent").alias("at"), "text")
+    data = data.join(texts, [*KEY, "at"]).groupBy(*KEY, "pre").agg(F.min_by("text", "at").alias("value"))
+    return own.join(named(nodes, "p").select(*KEY, F.col("pre").alias("p")), [*KEY, "p"], "left_semi").join(data, [*KEY, "pre"], "left")
 
 
 def complex_fields(nodes: DataFrame) -> DataFrame:
-    """doc_id, part, p, pre, instruction of fields spread over runs.
+    """doc_id, part, p, pre, instruction, value (the paragraph's text) of fields spread over runs.
 
-    Instruction texts between a begin and an end are one field's; a begin within a field
-    starts anew; texts outside stand alone. A run's begin acts before its texts, its end
-    after them. Blank instructions are dropped.
+    Instruction texts between a begin and an end, in any case of letters, are one field's; a
+    begin within a field starts anew; texts outside stand alone, each by itself. A run's begin
+    acts before its texts, its end after them. Blank texts and instructions are dropped.
     """
-    marks = named(nodes, "fldChar").groupBy(*KEY, F.col("parent").alias("pre")).agg(F.bool_or(attr("fldCharType") == "begin").alias("begin"), F.bool_or(attr("fldCharType") == "end").alias("end"))
+    mark = F.lower(attr("fldCharType"))
+    marks = named(nodes, "fldChar").groupBy(*KEY, F.col("parent").alias("pre")).agg(F.bool_or(mark == "begin").alias("begin"), F.bool_or(mark == "end").alias("end"))
     texts = nodes.where("kind = 'text'").select(*KEY, F.col("parent").alias("at"), "text")
-    instr = named(nodes, "instrText").select(*KEY, F.col("pre").alias("at"), F.col("parent").alias("pre")).join(texts, [*KEY, "at"])
-    instr = instr.groupBy(*KEY, "pre").agg(in_order("text", "at").alias("text"))
-    rows = B.runs(nodes).join(marks, [*KEY, "pre"], "left").join(instr, [*KEY, "pre"], "left").where("begin is not null or text is not null")
+    instr = named(nodes, "instrText").select(*KEY, F.col("pre").alias("at"), F.col("parent").alias("pre")).join(texts, [*KEY, "at"]).where(S.non_blank(F.col("text")).isNotNull())
+    instr = instr.groupBy(*KEY, "pre").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda s: s["text"]).alias("texts"))
+    rows = B.runs(nodes).join(marks, [*KEY, "pre"], "left").join(instr, [*KEY, "pre"], "left").where("begin is not null or texts is not null")
     rows = rows.withColumns({"begin": F.coalesce("begin", F.lit(False)), "end": F.coalesce("end", F.lit(False))})
     order = Window.partitionBy(*KEY, "p").orderBy("pre")
     so_far, earlier = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
     marker = F.when(F.col("end"), False).when(F.col("begin"), True)
     rows = rows.withColumns({"segment": F.sum(F.col("begin").cast("int")).over(so_far) + F.coalesce(F.sum(F.col("end").cast("int")).over(earlier), F.lit(0)), "open": F.last(marker, ignorenulls=True).over(earlier)})
-    rows = rows.withColumn("inside", F.col("begin") | F.coalesce("open", F.lit(False))).where("text is not null")
-    alone = F.when(~F.col("inside"), F.col("pre"))
-    joined = rows.groupBy(*KEY, "p", "segment", alone.alias("alone")).agg(F.min("pre").alias("first"), in_order("text", "pre").alias("text"))
-    return joined.select(*KEY, "p", F.col("first").alias("pre"), S.ktrim(F.col("text")).alias("instruction")).where(S.non_blank(F.col("instruction")).isNotNull())
+    rows = rows.withColumn("inside", F.col("begin") | F.coalesce("open", F.lit(False))).where("texts is not null")
+    rows = rows.select(*KEY, "p", "pre", "segment", "inside", F.posexplode(F.when(F.col("inside"), F.array(F.array_join("texts", ""))).otherwise(F.col("texts"))).alias("nth", "text"))
+    alone = F.when(~F.col("inside"), F.struct("pre", "nth"))
+    joined = rows.groupBy(*KEY, "p", "segment", alone.alias("alone")).agg(F.min("pre").alias("first"), F.min("nth").alias("nth"), in_order("text", "pre").alias("text"))
+    joined = joined.select(*KEY, "p", F.col("first").alias("pre"), "nth", S.ktrim(F.col("text")).alias("instruction")).where(S.non_blank(F.col("instruction")).isNotNull())
+    values = B.paragraph_spans(nodes).select(*KEY, "p", F.col("text").alias("value"))
+    return joined.join(values, [*KEY, "p"], "left")
 
 
 def fields(nodes: DataFrame) -> DataFrame:
-    """doc_id, part, p, ordinal, type, instruction, is_simple: a paragraph's simple fields, then its complex ones, of equal ones the first."""
-    both = simple_fields(nodes).withColumn("is_simple", F.lit(True)).unionByName(complex_fields(nodes).withColumn("is_simple", F.lit(False)))
-    both = both.withColumns({"type": classify_field(F.col("instruction")), "source": F.when(F.col("is_simple"), "simple").otherwise("complex")})
-    both = both.withColumn("ordinal", F.row_number().over(Window.partitionBy(*KEY, "p").orderBy(F.desc("is_simple"), "pre")) - 1)
-    return first_per(both, [*KEY, "p", "type", "instruction", "source"], "ordinal")
+    """doc_id, part, p, ordinal, type, instruction, value, arguments, is_simple, source: a paragraph's simple fields, then its complex ones, of equal ones the first."""
+    both = simple_fields(nodes).withColumns({"is_simple": F.lit(True), "nth": F.lit(0)}).unionByName(complex_fields(nodes).withColumn("is_simple", F.lit(False)))
+    both = both.withColumns({"type": classify_field(F.col("instruction")), "arguments": field_arguments(F.col("instruction")), "source": F.when(F.col("is_simple"), "fldSimple").otherwise("instrText")})
+    both = both.withColumn("ordinal", F.row_number().over(Window.partitionBy(*KEY, "p").orderBy(F.desc("is_simple"), "pre", "nth")) - 1)
+    return first_per(both.drop("nth"), [*KEY, "p", "type", "instruction", "source"], "ordinal")
 
 
 def notes(nodes: DataFrame) -> DataFrame:
@@ -224,6 +231,6 @@ def captions(nodes: DataFrame) -> DataFrame:
     rows = holders.join(texts, [*KEY, "holder"]).join(named(nodes, "p", part=B.MAIN).select(*KEY, "pre"), [*KEY, "pre"], "left_semi")
     listed = lambda name, sep: F.array_join(F.transform(F.array_sort(F.filter(F.collect_list(F.when(F.col("name") == name, F.struct("at", "text"))), lambda s: s.isNotNull())), lambda s: s["text"]), sep)
     grouped = rows.groupBy(*KEY, "pre").agg(listed("instrText", " ").alias("instr"), S.ktrim(listed("t", "")).alias("text"))
-    kind = F.when(F.col("instr").contains("SEQ Figure"), "figure").when(F.col("instr").contains("SEQ Table"), "table")
+    kind = F.when(F.col("instr").contains("SEQ Figure"), "figure-caption").when(F.col("instr").contains("SEQ Table"), "table-caption")
     found = grouped.withColumn("kind", kind).where("kind is not null")
     return found.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")).alias("ordinal"), "kind", "text")

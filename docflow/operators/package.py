@@ -12,7 +12,10 @@ from docflow.operators.tree import KEY, attr, below, first_per, named
 from docflow.sources.packages import parts_like, resolve_target
 
 SETTINGS = "word/settings.xml"
-CONTROLS = ["text", "richText", "dropDownList", "checkBox", "date", "comboBox", "docPartList"]
+#: Ordered: the first element that a control's properties have names its type. Fixed values.
+CONTROLS = {
+    "text": "plain-text", "richText": "rich-text", "dropDownList": "drop-down-list", "checkBox": "checkbox", "date": "date-picker", "comboBox": "combo-box", "docPartList": "building-block-gallery",
+}
 EFFECTS = [("outerShdw", "shadow"), ("reflection", "reflection"), ("glow", "glow"), ("softEdge", "soft-edge"), ("scene3d", "3d-scene"), ("sp3d", "3d-shape")]
 WRAPS = [("wrapSquare", "square"), ("wrapTight", "tight"), ("wrapThrough", "through"), ("behindDoc", "behind"), ("wrapTopAndBottom", "top-bottom")]
 
@@ -165,8 +168,8 @@ def content_controls(nodes: DataFrame) -> DataFrame:
     holder = named(nodes, "sdtPr", part=B.MAIN).select(*KEY, F.col("pre").alias("parent"), F.col("parent").alias("sdt"))
     inner = named(nodes, "alias", "tag", "id", *CONTROLS, part=B.MAIN).join(holder, [*KEY, "parent"])
     kind = F.lit("unknown")
-    for name in reversed(CONTROLS):
-        kind = F.when(_has(name), name).otherwise(kind)
+    for name, called in reversed(CONTROLS.items()):
+        kind = F.when(_has(name), called).otherwise(kind)
     props = inner.groupBy(*KEY, F.col("sdt").alias("pre")).agg(S.non_blank(_value("alias")).alias("alias"), S.non_blank(_value("tag")).alias("tag"), _value("id").alias("id"), kind.alias("type"))
     items = below(nodes, "listItem").groupBy(*KEY, F.col("head").alias("pre")).agg(F.count("*").alias("items"))
     rows = heads.join(props, [*KEY, "pre"], "left").join(items, [*KEY, "pre"], "left").withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")))

@@ -23,10 +23,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def kept(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table of that name over sf, made and persisted once a session."""
+    """The table of that name over sf, made and written once a session."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _kept:
-        _kept[key] = make().persist()
+        _kept[key] = P.stored(make())
     return _kept[key]
 
 
@@ -130,11 +130,11 @@ def fx_rev(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Instruction, its class as a field, its class as a reference (or none).
 INSTRUCTIONS = [
-    ('TOC \\o "1-3"', "toc", "toc"), ("PAGE", "page-number", "page-number"), ("DATE \\@ d", "date-time", None), ("TIME", "date-time", None), ("AUTHOR", "author", None), ("TITLE", "title", None),
-    ("MERGEFIELD Name", "mergefield", "mergefield"), ("FORMULA a", "formula", None), ("= 1 + 2", "formula", None), ('HYPERLINK "http://a.example"', "hyperlink", "hyperlink"), ("IF a = b", "if", "if"),
-    ("SET mark value", "set", None), ("REF mark", "ref", "ref"), ("SEQ Figure", "seq", "seq"), ("ASK mark", "ask", None), ("FILLIN x", "fillin", None), ("MACROBUTTON Run now", "macrobutton", None),
-    ("FORMTEXT", "formtext", None), ("FORMCHECKBOX", "formcheckbox", None), ("FORMDROPDOWN", "formdropdown", None), ("STYLEREF Head", "styleref", None), ("XE entry", "index-entry", None), ("TC entry", "toc-entry", None), ("page", "page-number", "page-number"),
-    ("PAGEREF mark", "page-number", "pageref"), ("NOTEREF mark", "field", "noteref"), ("CITATION x", "field", "citation"),
+    ('TOC \\o "1-3"', "toc", "table-of-contents"), ("PAGE", "page-number", "page-number"), ("DATE \\@ d", "date-time", None), ("TIME", "date-time", None), ("AUTHOR", "author", None), ("TITLE", "title", None),
+    ("MERGEFIELD Name", "merge-field", "merge-field"), ("FORMULA a", "formula", None), ("= 1 + 2", "formula", None), ('HYPERLINK "http://a.example"', "hyperlink", "hyperlink-field"), ("IF a = b", "conditional", "conditional-field"),
+    ("SET mark value", "variable-set", None), ("REF mark", "variable-ref", "cross-reference"), ("SEQ Figure", "sequence", "caption-sequence"), ("ASK mark", "prompt-ask", None), ("FILLIN x", "prompt-fillin", None), ("MACROBUTTON Run now", "macro-button", None),
+    ("FORMTEXT", "form-text", None), ("FORMCHECKBOX", "form-checkbox", None), ("FORMDROPDOWN", "form-dropdown", None), ("STYLEREF Head", "style-reference", None), ("XE entry", "index-entry", None), ("TC entry", "table-of-contents-entry", None), ("page", "page-number", "page-number"),
+    ("PAGEREF mark", "page-number", "page-reference"), ("NOTEREF mark", "field", "note-reference"), ("CITATION x", "field", "citation"), ("BIBLIOGRAPHY", "field", "bibliography"),
 ]
 
 

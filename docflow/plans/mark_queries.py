@@ -33,11 +33,11 @@ def doc_14_complex_fields(s, d):
 
 
 def doc_15_distinct_fields(s, d):
-    return _para(s, d, M.fields(nodes(s, d, "field")), "field").select("doc_id", *long("para", "ordinal"), "instruction", "is_simple")
+    return _para(s, d, M.fields(nodes(s, d, "field")), "field").select("doc_id", *long("para", "ordinal"), "instruction", "is_simple", "source")
 
 
 def doc_16_classify_field(s, d):
-    return M.fields(nodes(s, d, "field")).groupBy("type").agg(F.count("*").alias("n"))
+    return _para(s, d, M.fields(nodes(s, d, "field")), "field").select("doc_id", *long("para"), "type")
 
 
 def doc_17_field_arguments(s, d):
@@ -58,13 +58,12 @@ def mrk_03_revisions(s, d):
 
 
 def mrk_04_references(s, d):
-    rows = M.references(nodes(s, d, "field"))
-    return rows.groupBy("doc_id").agg(F.max("total").alias("total"), F.count("*").alias("kept"))
+    return M.references(nodes(s, d, "field")).select("doc_id", "kind", "summary", *long("total"))
 
 
 def mrk_05_classify_reference(s, d):
-    rows = M.simple_fields(nodes(s, d, "field")).withColumn("kind", M.classify_reference(F.col("instruction")))
-    return rows.groupBy("kind").agg(F.count("*").alias("n"))
+    rows = _para(s, d, M.simple_fields(nodes(s, d, "field")), "field")
+    return rows.select("doc_id", *long("para"), "instruction", M.classify_reference(F.col("instruction")).alias("kind"))
 
 
 def mrk_07_citations(s, d):
@@ -152,17 +151,19 @@ def odt_09_odt_metadata(s, d):
 
 
 def snk_01_write_text(s, d):
-    return E.to_plain_text(elements(s, d)).select(*long("doc_id"), F.length("text").cast("long").alias("chars"))
+    path = P.new_folder(s, "texts")
+    K.write_text(elements(s, d), path)
+    return s.read.parquet(path).select(*long("doc_id"), "text")
 
 
 def snk_02_export_docx(s, d):
     files = P.packed(K.export_docx(elements(s, d)))
-    again = E.document_elements(P.shred(P.explode_parts(files)))
+    again = E.document_elements(P.stored(P.shred(P.explode_parts(files))))
     return again.where("type <> 'page_break'").select(*long("doc_id", "level"), "type", "text")
 
 
 def snk_03_export_odt(s, d):
-    again = P.shred(P.explode_parts(P.packed(K.export_odt(elements(s, d)))))
+    again = P.stored(P.shred(P.explode_parts(P.packed(K.export_odt(elements(s, d))))))
     return O.odt_body(again).groupBy(F.col("doc_id").cast("long").alias("doc_id"), "name").agg(F.count("*").alias("n"))
 
 
@@ -214,12 +215,19 @@ ODT_PARA = f"SELECT *, split_part(line, ' ', 1) AS first, CASE WHEN contains(lin
 ODT_SPANS = f"""SELECT doc_id, k AS ord, row_number() OVER (PARTITION BY doc_id, k ORDER BY n) - 1 AS i, t AS text, CASE n WHEN 1 THEN '00FF00' WHEN 6 THEN '0000EE' ELSE '000000' END AS color, n = 6 AS underline
 FROM ({ODT_PARA}), (VALUES (1), (2), (3), (4), (5), (6)) AS u(n), LATERAL (SELECT CASE n WHEN 1 THEN first WHEN 2 THEN '   ' WHEN 3 THEN chr(9) WHEN 4 THEN rest WHEN 5 THEN chr(10) ELSE 'link' END AS t) AS v WHERE n <> 4 OR trim(t) <> ''"""
 
+CLASSES = " ".join(f"WHEN starts_with(upper(summary), '{prefix}') THEN '{name}'" for prefix, name in M.REFERENCES)
+REFERENCE = f"""WITH f AS ({FIELD}), x AS (
+  SELECT doc_id, instr AS summary FROM f, unnest(CASE WHEN p_partkey % 6 = 0 THEN [1, 2] ELSE [1] END) WHERE p_partkey % 2 = 0
+  UNION ALL SELECT doc_id, trim(left(instr, length(instr) // 2)) FROM f WHERE p_partkey % 2 = 1 UNION ALL SELECT doc_id, trim(substr(instr, length(instr) // 2 + 1)) FROM f WHERE p_partkey % 2 = 1
+), c AS (SELECT doc_id, summary, CASE {CLASSES} END AS kind FROM x)
+SELECT doc_id, kind, summary, (sum(count(*)) OVER (PARTITION BY doc_id))::BIGINT AS total FROM c WHERE kind IS NOT NULL GROUP BY doc_id, kind, summary"""
+
 SQL = {
     "doc_12_bookmarks": f"SELECT doc_id, para, i AS ordinal, p_partkey AS id, CASE i WHEN 0 THEN 'start' ELSE 'end' END AS boundary, CASE i WHEN 0 THEN 'b' || p_partkey ELSE '' END AS name FROM ({FIELD}), (VALUES (0), (1)) AS b(i)",
     "doc_13_simple_fields": f"SELECT doc_id, para, instr AS instruction FROM ({FIELD}), unnest(CASE WHEN p_partkey % 6 = 0 THEN [1, 2] ELSE [1] END) WHERE p_partkey % 2 = 0",
     "doc_14_complex_fields": f"SELECT doc_id, para, instr AS instruction FROM ({FIELD}) WHERE p_partkey % 2 = 1",
-    "doc_15_distinct_fields": f"SELECT doc_id, para, 0 AS ordinal, instr AS instruction, p_partkey % 2 = 0 AS is_simple FROM ({FIELD})",
-    "doc_16_classify_field": f"SELECT kind AS type, count(*) AS n FROM ({FIELD}) GROUP BY kind",
+    "doc_15_distinct_fields": f"SELECT doc_id, para, 0 AS ordinal, instr AS instruction, p_partkey % 2 = 0 AS is_simple, CASE WHEN p_partkey % 2 = 0 THEN 'fldSimple' ELSE 'instrText' END AS source FROM ({FIELD})",
+    "doc_16_classify_field": f"SELECT doc_id, para, kind AS type FROM ({FIELD})",
     "doc_17_field_arguments": f"""SELECT doc_id, para, key, value FROM ({FIELD}) JOIN (VALUES ('TOC \\o "1-3"', 'switches', '\\o "1-3"'), ('PAGE', 'pageField', 'PAGE'), ('page', 'pageField', 'page'), ('PAGEREF mark', 'pageField', 'PAGEREF mark'), ('DATE \\@ d', 'property', 'DATE'), ('TIME', 'property', 'TIME'),
         ('AUTHOR', 'property', 'AUTHOR'), ('TITLE', 'property', 'TITLE'), ('MERGEFIELD Name', 'fieldName', 'Name'), ('FORMULA a', 'expression', 'a'), ('= 1 + 2', 'expression', '1 + 2'), ('HYPERLINK "http://a.example"', 'target', 'http://a.example'), ('IF a = b', 'condition', 'a = b'),
         ('SET mark value', 'bookmark', 'mark'), ('SET mark value', 'value', 'value'), ('REF mark', 'bookmark', 'mark'), ('SEQ Figure', 'sequenceIdentifier', 'Figure'), ('MACROBUTTON Run now', 'macroName', 'Run'), ('MACROBUTTON Run now', 'displayText', 'now'),
@@ -228,7 +236,8 @@ SQL = {
     "doc_37_comments": "SELECT conv_id AS doc_id, turn AS id, role AS author, left(role, 1) AS initials, '2024-01-01T00:' || lpad((turn % 60)::VARCHAR, 2, '0') || ':00Z' AS date, text FROM conversations",
     "mrk_03_revisions": """SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS ordinal, event_id AS id, CASE WHEN event_id % 7 = 0 THEN event_id END AS comment,
         CASE event_type WHEN 'view' THEN 'ins' WHEN 'click' THEN 'del' WHEN 'purchase' THEN 'moveFrom' WHEN 'error' THEN 'moveTo' ELSE 'rPrChange' END AS tag, CASE WHEN event_id % 5 <> 0 THEN 'u' || user_id END AS reviewer, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp FROM events""",
-    "mrk_05_classify_reference": f"SELECT ref AS kind, count(*) AS n FROM ({FIELD}), unnest(CASE WHEN p_partkey % 6 = 0 THEN [1, 2] ELSE [1] END) WHERE p_partkey % 2 = 0 GROUP BY ref",
+    "mrk_04_references": REFERENCE,
+    "mrk_05_classify_reference": f"SELECT doc_id, para, instr AS instruction, ref AS kind FROM ({FIELD}), unnest(CASE WHEN p_partkey % 6 = 0 THEN [1, 2] ELSE [1] END) WHERE p_partkey % 2 = 0",
     "mrk_07_citations": f"SELECT c_custkey AS doc_id, 1 AS ordinal, CASE WHEN c_custkey % 8 <> 0 THEN 'T' || c_custkey WHEN c_custkey % 12 <> 0 THEN c_name ELSE 'Citation 1' END AS title, CASE WHEN c_custkey % 8 <> 0 THEN 'T' || c_custkey END AS tag, '20' || lpad((c_custkey % 100)::VARCHAR, 2, '0') AS year FROM ({PERSON}) WHERE c_custkey % 4 = 0",
     "mrk_11_page_layout": f"SELECT doc_id, 1 + count(*) FILTER (k % 20 = 19) AS pages FROM ({WHOLE}) GROUP BY doc_id",
     "mrk_12_borders_shading": "SELECT l_orderkey AS doc_id, count(*) AS shading, 0 AS page_borders FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey",
@@ -247,7 +256,7 @@ SQL = {
     "odt_06_odt_styled_spans": f"SELECT doc_id, 10 AS size, count(*) AS n FROM ({ODT_PARA}) GROUP BY doc_id",
     "odt_07_odt_tables": "SELECT doc_id, 'x|x|y' AS texts FROM documents WHERE doc_id % 97 <> 0",
     "odt_09_odt_metadata": "SELECT doc_id, 'T' || doc_id AS title, source AS author, NULL AS words FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 5 <> 0",
-    "snk_01_write_text": f"SELECT doc_id, length(string_agg(CASE WHEN type = 'page_break' THEN '' WHEN type = 'header' THEN {TRIMMED} ELSE coalesce(CASE pos % 7 WHEN 3 THEN '• ' WHEN 4 THEN '%1. ' WHEN 6 THEN '• ' END, '') || line END, chr(10) ORDER BY seq)) AS chars FROM ({NUMBERED}) GROUP BY doc_id",
+    "snk_01_write_text": f"SELECT doc_id, string_agg(CASE WHEN type = 'page_break' THEN '' WHEN type = 'header' THEN {TRIMMED} ELSE coalesce(CASE pos % 7 WHEN 3 THEN '• ' WHEN 4 THEN '%1. ' WHEN 6 THEN '• ' END, '') || line END, chr(10) ORDER BY seq) AS text FROM ({NUMBERED}) GROUP BY doc_id",
     "snk_02_export_docx": f"SELECT doc_id, CASE WHEN type = 'header' THEN CASE WHEN pos = 0 THEN 1 ELSE 2 END END AS level, type, CASE WHEN type = 'header' THEN {TRIMMED} ELSE coalesce(CASE pos % 7 WHEN 3 THEN '• ' WHEN 4 THEN '%1. ' WHEN 6 THEN '• ' END, '') || line END AS text FROM ({NUMBERED}) WHERE type <> 'page_break'",
     "snk_03_export_odt": f"SELECT doc_id, 'p' AS name, count(*) AS n FROM ({NUMBERED}) GROUP BY doc_id",
     "rec_01_upsert_recent": f"SELECT uri, {NAME} AS file_name, {MIME} AS mime_type, epoch_us(ts) AS at FROM ({TOP})",
@@ -256,5 +265,4 @@ SQL = {
     "rec_04_recent_json": f"SELECT uri, {NAME} AS file_name, 0 AS file_size, epoch_us(ts) // 1000 AS at FROM ({TOP})",
     "rec_05_upsert_defaults": f"SELECT uri, event_type NOT IN ('view', 'click', 'purchase') AS untyped, 0 AS file_size FROM ({TOP})",
 }
-#: Each piece of a field's instruction is a reference of its own; how it is cut is no matter of SQL, so a test covers it.
-QUERIES = {name: globals()[name] for name in SQL} | {"mrk_04_references": mrk_04_references}
+QUERIES = {name: globals()[name] for name in SQL}

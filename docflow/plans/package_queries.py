@@ -299,10 +299,10 @@ SQL = {
     "doc_24_legacy_pict": f"SELECT {O} AS doc_id, 'p' || {O} AS alt FROM orders",
     "doc_25_ole_objects": f"SELECT {O} AS doc_id, 'Excel' AS prog_id, '7' AS shape_id FROM orders",
     "mrk_01_content_controls": f"SELECT {O} AS doc_id, 1 AS ordinal, CASE WHEN {O} % 4 = 1 THEN 2 ELSE 0 END AS items, CASE WHEN {O} % 3 = 0 THEN 'A' || {O} ELSE 'Control 1' END AS title FROM orders",
-    "mrk_02_control_type": f"SELECT {O} AS doc_id, CASE {O} % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'dropDownList' WHEN 2 THEN 'date' ELSE 'unknown' END AS type FROM orders",
+    "mrk_02_control_type": f"SELECT {O} AS doc_id, CASE {O} % 4 WHEN 0 THEN 'plain-text' WHEN 1 THEN 'drop-down-list' WHEN 2 THEN 'date-picker' ELSE 'unknown' END AS type FROM orders",
     "mrk_08_math_zones": f"SELECT {O} AS doc_id, 1 AS ordinal, CASE WHEN {O} % 2 = 0 THEN 'f=2, rad=1' ELSE 'rad=1' END AS counts, 'x' || {O} AS text FROM orders",
     "mrk_09_alternate_content": f"SELECT {O} AS doc_id, 1 AS ordinal, CASE WHEN {O} % 2 = 0 THEN 2 ELSE 1 END AS choices, {O} % 3 = 0 AS has_fallback, 'wps' AS requires FROM orders",
-    "mrk_06_captions": "SELECT p_brand AS doc_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS ordinal, CASE p_partkey % 3 WHEN 0 THEN 'figure' ELSE 'table' END AS kind, 'Item ' || rtrim(p_name) AS text FROM part WHERE p_partkey % 3 < 2",
+    "mrk_06_captions": "SELECT p_brand AS doc_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS ordinal, CASE p_partkey % 3 WHEN 0 THEN 'figure-caption' ELSE 'table-caption' END AS kind, 'Item ' || rtrim(p_name) AS text FROM part WHERE p_partkey % 3 < 2",
     "mrk_10_watermarks": "SELECT s_suppkey AS doc_id, 'shape' AS kind, 'PowerPlusWaterMarkObject' AS target FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'image', CASE WHEN s_suppkey % 3 = 0 THEN 'gone' ELSE 'media/w.png' END FROM supplier",
     "pkg_07_background": "SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 2 = 0 THEN '00FF00' END AS color, CASE WHEN s_suppkey % 2 = 1 THEN 'accent1' END AS theme_color, CASE WHEN s_suppkey % 2 = 1 THEN 'word/media/b.png' END AS image FROM supplier",
     "doc_04_paragraph_hyperlink": "SELECT s_suppkey AS doc_id, CASE s_suppkey % 5 WHEN 2 THEN 'MAILTO:a@b.example' WHEN 3 THEN 'http://a.example' WHEN 4 THEN 'http://a.example' END AS address, CASE WHEN s_suppkey % 5 = 0 THEN 'top' END AS anchor, CASE WHEN s_suppkey % 5 > 2 THEN 'tip' END AS tooltip FROM supplier",

@@ -9,6 +9,8 @@ and ancestors are plain joins on (doc_id, part, pre).
 from __future__ import annotations
 
 import io
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.parsers import expat
@@ -143,6 +145,24 @@ def _shredded(doc: str, part: str, content: bytes, rows: list[tuple]) -> None:
     rows.extend(found)
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder's path below spark.checkpoint.dir, which the driver and all executors share; a local session without that setting gets a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="docflow-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str = "nodes") -> DataFrame:
+    """Write a table that many operators read, such as nodes, and return the written one: each archive is then parsed once, and scans read only the rows and columns they name."""
+    path = new_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shred(parts: DataFrame) -> DataFrame:
     """The nodes of each XML part, elements and texts. Parts that aren't well formed have none. Comments and processing instructions are dropped."""
 

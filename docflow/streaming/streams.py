@@ -20,7 +20,7 @@ def stream_corpus(spark: SparkSession, path: str, pattern: str, checkpoint: str,
     files = spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", pattern).load(path)
 
     def each(batch: DataFrame, number: int) -> None:
-        take(E.document_elements(P.shred(P.explode_parts(P.described(batch)))), number)
+        take(E.document_elements(P.stored(P.shred(P.explode_parts(P.described(batch))))), number)
 
     return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
 
