@@ -26,10 +26,15 @@ def scratch(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and return the written table: lineage ends here, lost executors lose nothing."""
+    """Write df to the shared folder and return the written table: lineage ends here, lost executors lose nothing.
+
+    Spark removes shuffle files once the driver's JVM has dropped the plan that made them. It is asked
+    to do so now, as by itself it may take half an hour.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -51,7 +51,7 @@ class Settings:
     depth: int = 3
     divergence: float = 0.01
     discount: float = 0.5
-    least: int = 64
+    least: int = 4
 
 
 @dataclass(frozen=True)
