@@ -36,6 +36,8 @@ PIECE, BYTE = 10**7, 10**8
 SPACE = "▁"
 #: Units broadcast as a dictionary; and the most characters of a unit.
 FREQUENT, LONG = 1 << 19, 64
+#: Units whose lattices one task folds, about 1 KB each.
+PORTION = 30_000
 #: Units that are counted together in a task, some 60 bytes each.
 TALLIED = 1 << 18
 #: An edge is one number: its end (7 bits), its cost, MOST - its length, and its id, in so many bits. Ids from CHAR on are characters spelt by bytes.
@@ -234,7 +236,8 @@ def _byte_ids(code: Column, zero: int) -> Column:
 def encoded_units(found: DataFrame, path: str) -> DataFrame:
     """key, n and ids of each row of found(key, unit, n)."""
     words = vocabulary(path)
-    starts = found.repartition("key").select("key", "unit", "n", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("start"))
+    portions = found.repartition(found.count() // PORTION + 1, "key")
+    starts = portions.select("key", "unit", "n", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("start"))
     cuts = starts.select("key", "unit", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(words.longest), F.length("unit") - F.col("start") + 1))).alias("size"))
     cuts = cuts.select("key", "n", "start", "size", F.substring("unit", F.col("start"), F.col("size")).alias("piece"))
     # the piece table has the vocabulary's size; a character without a piece is an edge of its bytes
