@@ -77,9 +77,9 @@ def test_fields_in_pieces(spark):
     first, second = sorted({p for p, _ in got})
     assert got == [(first, "LONE"), (first, "PAGEREF a"), (first, "AFTER"), (second, "IF"), (second, "REF b"), (second, "tail")]
     kinds = one(spark, a=M.classify_field(F.lit("PAGEREF x")), b=M.classify_reference(F.lit("PAGEREF x")), c=M.classify_field(F.lit("zz")), d=M.classify_reference(F.lit("zz")))
-    assert tuple(kinds) == ("page-number", "pageref", "field", None)
+    assert tuple(kinds) == ("page-number", "page-reference", "field", None)
     refs = M.references(document(spark, f'<w:p><w:fldSimple w:instr="REF a"/><w:fldSimple w:instr="REF a"/></w:p><w:p>{instr("REF a")}</w:p>')).collect()
-    assert [(r.kind, r.summary, r.total) for r in refs] == [("ref", "REF a", 3)]
+    assert [(r.kind, r.summary, r.total) for r in refs] == [("cross-reference", "REF a", 3)]
 
 
 def test_notes_leave_out_separators(spark):
@@ -163,3 +163,26 @@ def test_query_equals_its_sql(spark, name):
 def test_nothing_but_the_entry_knows_the_subpackage():
     code = "import sys; sys.modules['docflow.llm'] = None\nimport docflow.plans.catalogue, docflow.streaming.streams, docflow.operators.sinks"
     assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(__file__))).returncode == 0
+
+
+@pytest.mark.parametrize(("instruction", "field", "reference"), [
+    ("toc", "toc", "table-of-contents"), (" PAGEREF a", "page-number", "page-reference"), ("PAGE", "page-number", "page-number"), ("TIME", "date-time", None), ("AUTHOR", "author", None), ("TITLE", "title", None), ("mergefield a", "merge-field", "merge-field"),
+    ("=1", "formula", None), ("HYPERLINK x", "hyperlink", "hyperlink-field"), ("IF a", "conditional", "conditional-field"), ("SET a", "variable-set", None), ("REF a", "variable-ref", "cross-reference"), ("SEQ a", "sequence", "caption-sequence"), ("ASK", "prompt-ask", None),
+    ("FILLIN", "prompt-fillin", None), ("MACROBUTTON a", "macro-button", None), ("FORMTEXT", "form-text", None), ("FORMCHECKBOX", "form-checkbox", None), ("FORMDROPDOWN", "form-dropdown", None), ("STYLEREF a", "style-reference", None), ("XE a", "index-entry", None),
+    ("TC a", "table-of-contents-entry", None), ("NOTEREF a", "field", "note-reference"), ("CITATION a", "field", "citation"), ("BIBLIOGRAPHY", "field", "bibliography"), ("IF", "field", None),
+])
+def test_classes_of_instructions(spark, instruction, field, reference):
+    row = spark.range(1).select(M.classify_field(F.lit(instruction)).alias("f"), M.classify_reference(F.lit(instruction)).alias("r")).first()
+    assert (row.f, row.r) == (field, reference)
+
+
+def test_fields_have_values_and_stray_texts_stand_alone(spark):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    run = '<w:r><w:instrText>PAGE</w:instrText><w:instrText> </w:instrText><w:instrText>REF a</w:instrText></w:r>'
+    field = '<w:r><w:fldChar w:fldCharType="Begin"/><w:instrText>IF</w:instrText></w:r><w:r><w:instrText> b</w:instrText><w:fldChar w:fldCharType="END"/></w:r>'
+    simple = '<w:fldSimple w:instr="SEQ x"><w:fldData>7</w:fldData></w:fldSimple>'
+    xml = f"<w:document {w}><w:body><w:p>{simple}{run}{field}<w:r><w:t>shown</w:t></w:r></w:p></w:body></w:document>"
+    nodes = P.stored(P.shred(spark.createDataFrame([("a", 0, "word/document.xml", xml)], "doc_id string, entry_seq int, part string, content string")))
+    rows = sorted(M.fields(nodes).collect(), key=lambda r: r.ordinal)
+    assert [(r.instruction, r.value, r.source) for r in rows] == [("SEQ x", "7", "fldSimple"), ("PAGE", "shown", "instrText"), ("REF a", "shown", "instrText"), ("IF b", "shown", "instrText")]
+    assert rows[3].type == "conditional" and rows[3].arguments == {"condition": "b"}
