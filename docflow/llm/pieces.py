@@ -302,14 +302,22 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
                 at = pa.array(c.first + row[once])
                 yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(keys[once])], ["one", "two", "unit"])
 
+    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=3)
+        for batch in batches:
+            raw = [t.encode() for t in batch.column(1).to_pylist()]
+            packed = [codec.compress(t, asbytes=True) for t in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(list(map(len, raw)), pa.int64()), batch.column(2), batch.column(3)], ["key", "_packed", "_size", "one", "two"])
+
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, hot = vocabulary(path), shared.value
+        words, hot, codec = vocabulary(path), shared.value, pa.Codec("zstd")
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
+            texts = [codec.decompress(t, decompressed_size=n, asbytes=True) if n else b"" for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             own = lists.flatten()
             keys, first = np.unique(own.field(0).to_numpy(zero_copy_only=False), return_index=True)
             cold = Dictionary(keys, own.field(1).take(pa.array(first)))
-            for c in X.chunks(batch.column(1)):
+            for c in X.chunks(pa.array(texts, pa.binary()).cast(pa.string())):
                 starts, ends, row = units(c, words)
                 at = hot.find(keys := c.keys(starts, ends).view(np.int64))
                 hit = at >= 0
@@ -330,7 +338,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     rare = known.where(F.col("n") < least).select(F.col("key").alias("unit"), "ids")
     tails = rows.select("_text", "one", "two").mapInArrow(others, "one long, two long, unit long").join(rare, "unit")
     tails = tails.groupBy("one", "two").agg(F.collect_set(F.struct("unit", "ids")).alias("own"))
-    both = rows.join(tails, ["one", "two"], "left").select("key", "_text", F.coalesce("own", F.array().cast("array<struct<unit:bigint,ids:array<int>>>")).alias("own"))
+    small = rows.mapInArrow(squeezed, f"key {kind}, _packed binary, _size long, one long, two long")  # texts are the most that is shuffled
+    both = small.join(tails, ["one", "two"], "left").select("key", "_packed", "_size", F.coalesce("own", F.array().cast("array<struct<unit:bigint,ids:array<int>>>")).alias("own"))
     return both.mapInArrow(assembled, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
