@@ -92,6 +92,16 @@ def unquoted(x: Column) -> Column:
     return F.regexp_replace(x, '^"+|"+$', "")
 
 
+def repeated(x: Column, n: Column | int) -> Column:
+    """The text n times; "" for n of 0 or less."""
+    return F.repeat(x, F.lit(n) if isinstance(n, int) else n)
+
+
+def prefix(x: Column, n: int) -> Column:
+    """The first n characters (code points) of a text."""
+    return F.left(x, F.lit(n))
+
+
 def clamp(x: Column, low: int, high: int) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 

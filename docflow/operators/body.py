@@ -209,7 +209,7 @@ def _places(nodes: DataFrame) -> DataFrame:
 
 
 def cells(nodes: DataFrame) -> DataFrame:
-    """doc_id, tbl, row, col, text, grid_span, h_merge, v_merge, shading, nested of each cell. A cell's text is its paragraphs', list labels before them, joined by line feeds."""
+    """doc_id, tbl, row, col, text, grid_span, h_merge, v_merge, shading, borders, margins, nested of each cell. A cell's text is its paragraphs', list labels before them, joined by line feeds."""
     places = _places(nodes)
     paras = named(nodes, "p", part=MAIN).select(*KEY, F.col("pre").alias("p"), F.col("parent").alias("cell"))
     paras = paras.join(paragraph_spans(nodes).select(*KEY, "p", "text"), [*KEY, "p"], "left").join(lists(nodes).select(*KEY, "p", "label"), [*KEY, "p"], "left")
@@ -222,9 +222,15 @@ def cells(nodes: DataFrame) -> DataFrame:
         F.max(F.when(F.col("name") == "vMerge", F.coalesce(attr("val"), F.lit("continue")))).alias("v_merge"),
         F.max(F.when(F.col("name") == "shd", attr("fill"))).alias("shading"),
     )
+    boxes = named(nodes, "tcBorders", "tcMar", part=MAIN).join(holder, [*KEY, "parent"]).select(*KEY, F.col("pre").alias("parent"), F.col("name").alias("box"), "cell")
+    edges = named(nodes, "top", "right", "bottom", "left", part=MAIN).join(boxes, [*KEY, "parent"])
+    of = lambda box, side, a: F.max(F.when((F.col("box") == box) & (F.col("name") == side), attr(a)))
+    sides = edges.groupBy(*KEY, "cell").agg(
+        S.joined(", ", *(F.concat(F.lit(f"{x}:"), of("tcBorders", x, "color")) for x in ("top", "bottom", "left", "right"))).alias("borders"), F.struct(*(S.to_int(of("tcMar", x, "w")).alias(x) for x in ("top", "right", "bottom", "left"))).alias("margins")
+    )
     inner = named(nodes, "tbl", part=MAIN).groupBy(*KEY, F.col("parent").alias("cell")).agg(F.count("*").cast("int").alias("nested"))
-    rows = places.join(texts, [*KEY, "cell"], "left").join(props, [*KEY, "cell"], "left").join(inner, [*KEY, "cell"], "left")
-    return rows.select("doc_id", "tbl", "row", "col", F.coalesce("text", F.lit("")).alias("text"), "grid_span", "h_merge", "v_merge", "shading", F.coalesce("nested", F.lit(0)).alias("nested"))
+    rows = places.join(texts, [*KEY, "cell"], "left").join(props, [*KEY, "cell"], "left").join(sides, [*KEY, "cell"], "left").join(inner, [*KEY, "cell"], "left")
+    return rows.select("doc_id", "tbl", "row", "col", F.coalesce("text", F.lit("")).alias("text"), "grid_span", "h_merge", "v_merge", "shading", "borders", "margins", F.coalesce("nested", F.lit(0)).alias("nested"))
 
 
 def table_rows(nodes: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from docflow.functions import strings as S
 from docflow.operators import body as B
 from docflow.operators.tree import KEY
 
-COLUMNS = "doc_id string, phase int, pre int, sub int, ordinal int, type string, text string, level int, label string, rows array<array<string>>, kind string, name string, summary string"
+COLUMNS = "doc_id string, phase int, pre int, sub int, ordinal int, type string, text string, level int, label string, rows array<array<string>>, kind string, name string, summary string, color string"
 
 
-def _as_elements(df: DataFrame, phase: int, sub: int, type_: str | Column, **columns: Column) -> DataFrame:
+def as_elements(df: DataFrame, phase: int, sub: int, type_: str | Column, **columns: Column) -> DataFrame:
     """df as rows of the elements table; columns that aren't given are null."""
     have = {"phase": F.lit(phase), "sub": F.lit(sub), "ordinal": F.lit(0), "type": F.lit(type_) if isinstance(type_, str) else type_} | columns
     out = []
@@ -26,12 +26,13 @@ def _as_elements(df: DataFrame, phase: int, sub: int, type_: str | Column, **col
 def body_rows(nodes: DataFrame) -> DataFrame:
     """The body's elements, unnumbered: paragraphs and headers, page breaks after their paragraph, tables."""
     paras = B.heading_or_paragraph(nodes)
-    rows = _as_elements(paras, 2, 4, F.col("type"))
+    color = F.when(F.col("type") == "paragraph", F.coalesce(F.get("spans", F.lit(0))["color"], F.lit("000000")))
+    rows = as_elements(paras, 2, 4, F.col("type"), color=color)
     tops = B.paragraphs(nodes).select(*KEY, F.col("pre").alias("p"))
     breaks = B.page_breaks(nodes).join(tops, [*KEY, "p"], "left_semi")
-    rows = rows.unionByName(_as_elements(breaks, 2, 5, "page_break", pre=F.col("p"), ordinal=F.col("pre")))
+    rows = rows.unionByName(as_elements(breaks, 2, 5, "page_break", pre=F.col("p"), ordinal=F.col("pre")))
     places = B.tables(nodes).select("doc_id", "tbl", "pre")
-    return rows.unionByName(_as_elements(B.table_rows(nodes).join(places, ["doc_id", "tbl"]), 2, 4, "table"))
+    return rows.unionByName(as_elements(B.table_rows(nodes).join(places, ["doc_id", "tbl"]), 2, 4, "table"))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -114,7 +115,10 @@ def parse_color(color: Column) -> Column:
 
 
 def apply_edits(elements: DataFrame, edits: DataFrame) -> DataFrame:
-    """elements with the texts of edits(doc_id, seq, new_text) in the paragraphs at those places; a place that is no paragraph is left alone."""
+    """elements with the texts of edits(doc_id, seq, new_text) in the paragraphs at those places; a place that is no paragraph is left alone.
+
+    An edited paragraph is one span without formats but for color, that of the paragraph's first span.
+    """
     joined = elements.join(edits.select("doc_id", "seq", "new_text"), ["doc_id", "seq"], "left")
     text = F.when((F.col("type") == "paragraph") & F.col("new_text").isNotNull(), F.col("new_text")).otherwise(F.col("text"))
     return joined.withColumn("text", text).drop("new_text")

@@ -205,35 +205,56 @@ def images(nodes: DataFrame, rels: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def drawings(nodes: DataFrame) -> DataFrame:
-    """doc_id, pre, kind, width, height, alt, title, wrap, rotation, effects, has_chart, has_smart_art, grouped, has_text of inline and anchored drawings."""
+    """doc_id, pre, kind, width, height, alt, title, position_x and position_y (what an anchor's place is relative to), wrap, rotation, effects, has_chart, has_smart_art, grouped, has_text of inline and anchored drawings."""
     heads = named(nodes, "inline", "anchor", part=B.MAIN).select(*KEY, "pre", F.col("name").alias("kind"), attr("behindDoc").isNotNull().alias("behind"))
-    names = ["extent", "docPr", "xfrm", "chart", "relIds", "wgp", "txbx", *(n for n, _ in EFFECTS), *(n for n, _ in WRAPS)]
+    groups, boxes = ["wgp", "grpSp", "group"], ["txbx", "txbxContent", "textbox"]
+    names = ["extent", "docPr", "positionH", "positionV", "xfrm", "chart", "relIds", *groups, *boxes, *(n for n, _ in EFFECTS), *(n for n, _ in WRAPS)]
     turned = F.min_by(attr("rot"), F.when(attr("rot").isNotNull(), F.col("pre")))
     inner = below(nodes, *names).groupBy(*KEY, F.col("head").alias("pre")).agg(
         _value("extent", "cx").try_cast("long").alias("width"), _value("extent", "cy").try_cast("long").alias("height"), _value("docPr", "descr").alias("alt"), _value("docPr", "title").alias("title"),
-        (S.to_int(turned) / 60000).cast("int").alias("rotation"), *(_has(n).alias(n) for n in ("chart", "relIds", "wgp", "txbx")), *(_has(n).alias(f"e_{n}") for n, _ in EFFECTS), *(_has(n).alias(f"w_{n}") for n, _ in WRAPS),
+        _value("positionH", "relativeFrom").alias("position_x"), _value("positionV", "relativeFrom").alias("position_y"), F.coalesce(F.bool_or(F.col("name").isin(groups)), F.lit(False)).alias("grouped"), F.coalesce(F.bool_or(F.col("name").isin(boxes)), F.lit(False)).alias("has_text"),
+        (S.to_int(turned) / 60000).cast("int").alias("rotation"), *(_has(n).alias(n) for n in ("chart", "relIds")), *(_has(n).alias(f"e_{n}") for n, _ in EFFECTS), *(_has(n).alias(f"w_{n}") for n, _ in WRAPS),
     )
     rows = heads.join(inner, [*KEY, "pre"], "left")
     wrap = F.lit("floating")
     for name, label in reversed(WRAPS):
         wrap = F.when(F.col("behind") if name == "behindDoc" else F.coalesce(F.col(f"w_{name}"), F.lit(False)), label).otherwise(wrap)
     effects = F.filter(F.array(*(F.when(F.col(f"e_{n}"), label) for n, label in EFFECTS)), lambda x: x.isNotNull())
-    return rows.select("doc_id", "pre", "kind", "width", "height", "alt", "title", F.when(F.col("kind") == "inline", "inline").otherwise(wrap).alias("wrap"), "rotation", effects.alias("effects"), F.col("chart").alias("has_chart"), F.col("relIds").alias("has_smart_art"), F.col("wgp").alias("grouped"), F.col("txbx").alias("has_text"))
+    return rows.select("doc_id", "pre", "kind", "width", "height", "alt", "title", "position_x", "position_y", F.when(F.col("kind") == "inline", "inline").otherwise(wrap).alias("wrap"), "rotation", effects.alias("effects"), F.col("chart").alias("has_chart"), F.col("relIds").alias("has_smart_art"), "grouped", "has_text")
 
 
 def legacy_pictures(nodes: DataFrame) -> DataFrame:
-    """doc_id, pre, alt of VML pictures; "" without an alternative text."""
+    """doc_id, pre, kind, inline, alt, wrap of VML pictures; alt is "" without an alternative text."""
     heads = named(nodes, "pict", part=B.MAIN).select(*KEY, "pre")
     alts = nodes.where("kind = 'elem'").select(*KEY, F.col("pre").alias("at"), F.explode("anc").alias("pre"), attr("alt").alias("alt")).where("alt is not null")
     rows = heads.join(first_per(alts, [*KEY, "pre"], "at"), [*KEY, "pre"], "left")
-    return rows.select("doc_id", "pre", F.coalesce("alt", F.lit("")).alias("alt"))
+    return rows.select("doc_id", "pre", F.lit("pict").alias("kind"), F.lit(True).alias("inline"), F.coalesce("alt", F.lit("")).alias("alt"), F.lit("legacy-vml").alias("wrap"))
+
+
+def outer_xml(nodes: DataFrame, name: str, length: int) -> DataFrame:
+    """doc_id, part, pre, xml: the first characters of the markup of each element of that name in the main part.
+
+    It is written anew from the nodes: qualified names, attributes by name, no declarations of
+    namespaces. A start tag or an end tag has three characters or more and texts stand between
+    tags, so the first `length` nodes are enough.
+    """
+    heads = named(nodes, name, part=B.MAIN).select(*KEY, F.col("pre").alias("head"))
+    inside = nodes.join(heads.select(*KEY).distinct(), KEY, "left_semi").withColumn("head", F.explode(F.concat("anc", F.array("pre")))).where(F.col("pre") < F.col("head") + length).join(heads, [*KEY, "head"])
+    attrs = F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), S.escaped(e["value"]), F.lit('"'))), "")
+    start = F.concat(F.lit("<"), "qname", F.coalesce(attrs, F.lit("")), F.when(F.col("post") == F.col("pre"), "/>").otherwise(">"))
+    here = F.struct(F.col("pre").alias("at"), F.lit(0).alias("turn"), F.lit(0).alias("rank"), F.when(F.col("kind") == "text", S.escaped(F.col("text"))).otherwise(start).alias("x"))
+    end = F.when((F.col("kind") == "elem") & (F.col("post") > F.col("pre")), F.struct(F.col("post").alias("at"), F.lit(1).alias("turn"), (-F.col("pre")).alias("rank"), F.concat(F.lit("</"), "qname", F.lit(">")).alias("x")))
+    marks = inside.select(*KEY, "head", F.explode(F.array_compact(F.array(here, end))).alias("m"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["x"]), "")
+    return marks.groupBy(*KEY, F.col("head").alias("pre")).agg(F.left(whole, F.lit(length)).alias("xml"))
 
 
 def ole_objects(nodes: DataFrame) -> DataFrame:
-    """doc_id, pre, prog_id, shape_id of embedded objects."""
+    """doc_id, pre, kind, prog_id, shape_id, description (the first 200 characters of its markup) of embedded objects."""
     heads = named(nodes, "object", part=B.MAIN).select(*KEY, "pre", attr("dxaOrig").alias("shape_id"))
     inner = below(nodes, "OLEObject").groupBy(*KEY, F.col("head").alias("pre")).agg(F.max(attr("ProgID")).alias("prog_id"))
-    return heads.join(inner, [*KEY, "pre"], "left").select("doc_id", "pre", F.coalesce("prog_id", F.lit("")).alias("prog_id"), "shape_id")
+    rows = heads.join(inner, [*KEY, "pre"], "left").join(outer_xml(nodes, "object", 200), [*KEY, "pre"], "left")
+    return rows.select("doc_id", "pre", F.lit("ole-object").alias("kind"), F.coalesce("prog_id", F.lit("")).alias("prog_id"), "shape_id", F.col("xml").alias("description"))
 
 
 def watermarks(nodes: DataFrame, rels: DataFrame) -> DataFrame:

@@ -22,6 +22,11 @@ def attr(name: str, attrs: str = "attrs") -> Column:
     return F.coalesce(F.col(attrs)[name], F.when(F.size(F.map_filter(F.col(attrs), lambda k, _: k.endswith(f":{name}"))) > 0, local))
 
 
+def matches(local: str) -> Column:
+    """Whether a node is an element of that local name, or, where it has none, of that name after the colon of its qualified name."""
+    return (F.col("kind") == "elem") & (F.coalesce("name", F.substring_index("qname", ":", -1)) == local)
+
+
 def children(heads: DataFrame, nodes: DataFrame, *names: str) -> DataFrame:
     """heads' element children, each with the head's pre as head."""
     own = named(nodes, *names).withColumnRenamed("parent", "head")

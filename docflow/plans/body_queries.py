@@ -42,6 +42,10 @@ def names_of(s: SparkSession, d: str) -> DataFrame:
 
 
 def src_01_read_corpus(s, d):
+    return P.read_corpus(s, d, "*.parquet").select("filename", "format", (F.col("length") > 0).alias("filled"))
+
+
+def src_01_described_files(s, d):
     raw = X.fx_files(s, d).select("path", F.octet_length("content").cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"), "content")
     return P.described(raw).select("doc_id", "filename", "format", "mime", (F.col("length") > 0).alias("filled"))
 
@@ -57,7 +61,7 @@ def src_03_route_by_format(s, d):
 
 def src_04_plain_text_elements(s, d):
     docs = X.table(s, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    return docs.select("doc_id", F.lit("paragraph").alias("type"), F.decode("content", "UTF-8").alias("text"), F.lit("000000").alias("color"))
+    return P.plain_text_elements(docs).select("doc_id", "type", "text", "color")
 
 
 def src_05_explode_parts(s, d):
@@ -114,9 +118,7 @@ def nav_05_text_value(s, d):
 
 
 def nav_06_matches(s, d):
-    own = nodes(s, d).where((F.col("kind") == "elem") & (F.col("part") == B.MAIN))
-    both = own.where((F.col("name") == "p") & (F.substring_index("qname", ":", -1) == "p"))
-    return both.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
+    return nodes(s, d).where((F.col("part") == B.MAIN) & T.matches("p")).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
 
 
 def doc_01_body_elements(s, d):
@@ -187,7 +189,8 @@ def doc_29_table_metadata(s, d):
 def doc_30_cell_metadata(s, d):
     rows = B.cells(nodes(s, d, "table")).where("row > 0")
     return rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
-        F.count("*").alias("cells"), F.sum("grid_span").cast("long").alias("spanned"), F.count_if(F.col("v_merge") == "restart").alias("merged"), F.count_if(F.col("shading") == "R").alias("shaded"), F.sum("nested").cast("long").alias("nested")
+        F.count("*").alias("cells"), F.sum("grid_span").cast("long").alias("spanned"), F.count_if(F.col("v_merge") == "restart").alias("merged"), F.count_if(F.col("shading") == "R").alias("shaded"), F.sum("nested").cast("long").alias("nested"),
+        F.count_if(F.col("borders") == "top:R, left:00FF00").alias("bordered"), F.sum("margins.left").cast("long").alias("left_margins"), F.count("margins.top").alias("top_margins")
     )
 
 
@@ -219,7 +222,7 @@ def elm_07_parse_color(s, d):
 
 def elm_08_apply_edits(s, d):
     edits = X.table(s, d, "documents").select(F.col("doc_id").cast("string"), F.lit(1).alias("seq"), F.concat(F.lit("edit "), F.col("doc_id")).alias("new_text"))
-    return E.apply_edits(elements(s, d), edits).where("type = 'paragraph'").select(*long("doc_id", "seq"), "text")
+    return E.apply_edits(elements(s, d), edits).where("type = 'paragraph'").select(*long("doc_id", "seq"), "text", "color")
 
 
 def elm_09_element_counts(s, d):
@@ -238,7 +241,8 @@ STYLE = "CASE WHEN k = 0 THEN 'Heading1' WHEN k % 10 = 5 THEN 'Heading2' END"
 PLAIN = f"CASE WHEN type = 'page_break' THEN '' WHEN type = 'header' THEN {TRIMMED} ELSE coalesce(CASE pos % 7 WHEN 3 THEN '• ' WHEN 4 THEN '%1. ' WHEN 6 THEN '• ' END, '') || line END"
 
 SQL = {
-    "src_01_read_corpus": f"SELECT '/corpus/' || doc_id || '.docx' AS doc_id, doc_id || '.docx' AS filename, 'docx' AS format, '{DOCX}' AS mime, true AS filled FROM documents",
+    "src_01_read_corpus": "SELECT t || '.parquet' AS filename, 'parquet' AS format, true AS filled FROM unnest(string_split('benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier', ' ')) AS u(t)",
+    "src_01_described_files": f"SELECT '/corpus/' || doc_id || '.docx' AS doc_id, doc_id || '.docx' AS filename, 'docx' AS format, '{DOCX}' AS mime, true AS filled FROM documents",
     "src_02_infer_mime": f"SELECT event_id, CASE WHEN event_type IN ('view', 'purchase') THEN '{DOCX}' WHEN event_type = 'click' THEN '{ODT}' END AS mime FROM events",
     "src_03_route_by_format": "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'odt' WHEN event_type IN ('view', 'purchase') THEN 'docx' WHEN event_type = 'click' THEN 'odt' ELSE 'text' END AS route FROM events",
     "src_04_plain_text_elements": "SELECT doc_id, 'paragraph' AS type, text, '000000' AS color FROM documents",
@@ -267,14 +271,14 @@ SQL = {
     "doc_27_table_rows": f"SELECT doc_id, n || '|' || l_partkey || '|' || l_returnflag || '|' || l_linestatus AS texts FROM ({LINE_TABLE}) UNION ALL SELECT DISTINCT doc_id, 'head' FROM ({LINE_TABLE})",
     "doc_28_table_has_header": f"SELECT DISTINCT doc_id, true AS has_header FROM ({LINE_TABLE})",
     "doc_29_table_metadata": f"SELECT DISTINCT doc_id, 'Grid' AS style, 'top:FF0000, bottom:00FF00' AS borders, NULL AS caption FROM ({LINE_TABLE})",
-    "doc_30_cell_metadata": f"SELECT doc_id, 4 * count(*) AS cells, 2 * count(*) AS spanned, count(*) AS merged, count(*) FILTER (l_returnflag = 'R') AS shaded, count(*) FILTER (n = 1) AS nested FROM ({LINE_TABLE}) GROUP BY doc_id",
+    "doc_30_cell_metadata": f"SELECT doc_id, 4 * count(*) AS cells, 2 * count(*) AS spanned, count(*) AS merged, count(*) FILTER (l_returnflag = 'R') AS shaded, count(*) FILTER (n = 1) AS nested, count(*) FILTER (l_returnflag = 'R') AS bordered, sum(n)::BIGINT AS left_margins, 0 AS top_margins FROM ({LINE_TABLE}) GROUP BY doc_id",
     "doc_38_document_elements": f"SELECT doc_id, seq, type FROM ({NUMBERED})",
     "elm_01_of_type": f"SELECT doc_id, seq, {TRIMMED} AS text FROM ({NUMBERED}) WHERE type = 'header'",
     "elm_02_to_plain_text": f"SELECT doc_id, string_agg({PLAIN}, chr(10) ORDER BY seq) AS text FROM ({NUMBERED}) GROUP BY doc_id",
     "elm_03_extract_all_text": f"SELECT doc_id, string_agg(CASE WHEN type = 'header' THEN CASE WHEN pos = 0 THEN '# ' ELSE '## ' END || {TRIMMED} ELSE line END || chr(10), '' ORDER BY seq) AS text FROM ({NUMBERED}) WHERE type <> 'page_break' GROUP BY doc_id",
     "elm_05_outline": f"SELECT doc_id, seq, CASE WHEN pos = 0 THEN '- ' ELSE '  - ' END || {TRIMMED} AS entry FROM ({NUMBERED}) WHERE type = 'header'",
     "elm_07_parse_color": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 4278190080 WHEN doc_id % 7 = 0 THEN 2147483648 + doc_id ELSE 4278190080 + doc_id END AS argb FROM documents",
-    "elm_08_apply_edits": f"SELECT doc_id, seq, CASE WHEN seq = 1 THEN 'edit ' || doc_id ELSE line END AS text FROM ({NUMBERED}) WHERE type = 'paragraph'",
+    "elm_08_apply_edits": f"SELECT doc_id, seq, CASE WHEN seq = 1 THEN 'edit ' || doc_id ELSE line END AS text, '000000' AS color FROM ({NUMBERED}) WHERE type = 'paragraph'",
     "elm_09_element_counts": f"SELECT type, count(*) AS n FROM ({NUMBERED}) GROUP BY type",
     "elm_10_flatten_spans": f"SELECT doc_id, k AS para, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) - 1 AS ordinal, {ALIGN} AS alignment, t AS text, i = 1 AS bold FROM ({RUNS}) WHERE t <> '' AND k <> 0 AND k % 10 <> 5",
 }

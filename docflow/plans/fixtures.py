@@ -93,7 +93,7 @@ def fx_table(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     n = F.col("l_linenumber")
     cell = lambda text, props="": F.concat(F.lit(f"<w:tc><w:tcPr>{props}</w:tcPr><w:p><w:r><w:t>"), text, F.lit("</w:t></w:r></w:p>"))
-    flag = F.concat(F.lit('<w:tc><w:tcPr><w:vMerge w:val="restart"/><w:shd w:fill="'), F.col("l_returnflag"), F.lit('"/></w:tcPr><w:p><w:r><w:t>'), F.col("l_returnflag"), F.lit("</w:t></w:r></w:p></w:tc>"))
+    flag = F.concat(F.lit('<w:tc><w:tcPr><w:vMerge w:val="restart"/><w:tcBorders><w:left w:color="00FF00"/><w:top w:color="'), F.col("l_returnflag"), F.lit('"/><w:right/></w:tcBorders><w:tcMar><w:left w:w="'), n.cast("string"), F.lit('"/></w:tcMar><w:shd w:fill="'), F.col("l_returnflag"), F.lit('"/></w:tcPr><w:p><w:r><w:t>'), F.col("l_returnflag"), F.lit("</w:t></w:r></w:p></w:tc>"))
     inner = F.when(n == 1, "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>inner</w:t></w:r></w:p></w:tc></w:tr></w:tbl>").otherwise("")
     xml = F.concat(F.lit("<w:tr>"), cell(n.cast("string"), '<w:gridSpan w:val="2"/>'), F.lit("</w:tc>"), cell(F.col("l_partkey").cast("string")), inner, F.lit("</w:tc>"), flag, cell(F.col("l_linestatus")), F.lit("</w:tc></w:tr>"))
     at = F.col("l_linenumber").cast("long") * 1_000_000_000_000 + F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")
@@ -196,7 +196,18 @@ def fx_odt(spark: SparkSession, sf: str) -> DataFrame:
     return content.unionByName(extra)
 
 
-FIXTURES = {"body": fx_body, "table": fx_table, "conv": fx_conv, "rev": fx_rev, "field": fx_field, "meta": fx_meta, "odt": fx_odt}
+def fx_media(spark: SparkSession, sf: str) -> DataFrame:
+    """An ODT content part with a frame of pictures for each page, and the first picture's bytes for two pages of three."""
+    k = F.col("page_id")
+    ns = 'xmlns:office="o" xmlns:text="t" xmlns:draw="d" xmlns:xlink="x" xmlns:svg="s"'
+    images = F.when(k % 5 == 0, '<draw:image xlink:href=""/>').otherwise('<draw:image xlink:href="Pictures/a.png"/><draw:image xlink:href="Pictures/b.png"/>')
+    xml = F.concat(F.lit(f"<office:document-content {ns}><office:body><office:text><text:p>x</text:p><draw:frame>"), images, F.lit("<svg:desc>D"), k.cast("string"), F.lit("</svg:desc></draw:frame></office:text></office:body></office:document-content>"))
+    pages = table(spark, sf, "pages")
+    row = lambda rows, seq, part, content: rows.select(k.cast("string").alias("doc_id"), F.lit(seq).alias("entry_seq"), F.lit(part).alias("part"), content.alias("content"))
+    return row(pages, 0, "content.xml", xml).unionByName(row(pages.where(k % 3 != 0), 1, "Pictures/a.png", F.lit("x"))).unionByName(row(pages, 2, "Pictures/b.png", F.lit("y")))
+
+
+FIXTURES = {"media": fx_media, "body": fx_body, "table": fx_table, "conv": fx_conv, "rev": fx_rev, "field": fx_field, "meta": fx_meta, "odt": fx_odt}
 
 
 def parts_of(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -44,6 +44,12 @@ def fn_07_joined(s, d):
     return _docs(s, d).select("doc_id", S.joined(", ", maybe, F.when(F.col("doc_id") % 3 == 0, F.col("source")), fallback=F.lit("nothing")).alias("text"))
 
 
+def fn_08_non_blank_values(s, d):
+    odd = F.when(F.col("doc_id") % 2 == 1, F.col("lang"))
+    m = S.non_blank_values(F.create_map(F.lit("lang"), odd, F.lit("source"), F.col("source"), F.lit("gap"), F.when(F.col("doc_id") % 3 == 0, " \t\u00a0").otherwise("z")))
+    return _docs(s, d).select("doc_id", F.array_join(F.map_keys(m), ",").alias("names"), F.array_join(F.map_values(m), ",").alias("texts"))
+
+
 def fn_09_words(s, d):
     text = F.concat(F.lit("  "), "lang", F.lit("  "), "source", F.lit(" x y "))
     return _docs(s, d).select("doc_id", S.nth_word(text, 1).alias("second"), S.drop_words(text, 2).alias("rest"), S.unquoted(F.concat(F.lit('"'), "lang", F.lit('"'))).alias("bare"))
@@ -53,6 +59,10 @@ def fn_11_clamp(s, d):
     return _docs(s, d).select("doc_id", S.clamp(F.col("doc_id"), 1, 9).alias("n"))
 
 
+def fn_13_repeat_and_prefix(s, d):
+    return _docs(s, d).select("doc_id", S.repeated(F.col("lang"), (F.col("doc_id") % 4 - 1).cast("int")).alias("many"), S.repeated(F.lit("ab"), 2).alias("twice"), S.prefix(F.col("text"), 80).alias("start"))
+
+
 def fn_12_iso_instant(s, d):
     return X.table(s, d, "events").select("event_id", S.iso_instant(F.col("ts")).alias("at"))
 
@@ -65,6 +75,8 @@ SQL = {
     "fn_05_first_letter": "SELECT doc_id, upper(left(source, 1)) || substr(source, 2) AS upper, lower(left(source, 1)) || substr(upper(source), 2) AS lower FROM documents",
     "fn_06_ignoring_case": "SELECT doc_id, contains(lower(source), 'rc1') AS has, starts_with(lower(lang), 'e') AS starts FROM documents",
     "fn_07_joined": "SELECT doc_id, coalesce(nullif(concat_ws(', ', CASE WHEN doc_id % 2 = 0 THEN lang END, CASE WHEN doc_id % 3 = 0 THEN source END), ''), 'nothing') AS text FROM documents",
+    "fn_08_non_blank_values": "SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 2 = 1 AND trim(lang) <> '' THEN 'lang' END, CASE WHEN trim(source) <> '' THEN 'source' END, CASE WHEN doc_id % 3 <> 0 THEN 'gap' END) AS names, concat_ws(',', CASE WHEN doc_id % 2 = 1 AND trim(lang) <> '' THEN lang END, CASE WHEN trim(source) <> '' THEN source END, CASE WHEN doc_id % 3 <> 0 THEN 'z' END) AS texts FROM documents",
+    "fn_13_repeat_and_prefix": "SELECT doc_id, repeat(lang, greatest(doc_id % 4 - 1, 0)) AS many, 'abab' AS twice, left(text, 80) AS start FROM documents",
     "fn_09_words": "SELECT doc_id, source AS second, 'x y' AS rest, lang AS bare FROM documents",
     "fn_11_clamp": "SELECT doc_id, greatest(1, least(9, doc_id)) AS n FROM documents",
     "fn_12_iso_instant": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events",

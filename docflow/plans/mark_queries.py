@@ -13,6 +13,7 @@ from docflow.operators import sinks as K
 from docflow.plans import fixtures as X
 from docflow.plans.body_queries import LINES, NUMBERED, TRIMMED, WHOLE, elements, long, nodes
 from docflow.sources import packages as P
+from docflow.streaming import streams
 
 
 def _para(s, d, rows, fixture):
@@ -146,6 +147,10 @@ def odt_07_odt_tables(s, d):
     return rows.select(*long("doc_id"), F.array_join("r", "|").alias("texts"))
 
 
+def odt_08_odt_images(s, d):
+    return O.odt_images(nodes(s, d, "media"), X.fx_media(s, d)).select(*long("doc_id", "ord"), "uri", "alt")
+
+
 def odt_09_odt_metadata(s, d):
     return O.odt_metadata(nodes(s, d, "odt")).select(*long("doc_id"), "title", "author", "words")
 
@@ -167,6 +172,22 @@ def snk_03_export_odt(s, d):
     return O.odt_body(again).groupBy(F.col("doc_id").cast("long").alias("doc_id"), "name").agg(F.count("*").alias("n"))
 
 
+def str_01_stream_corpus(s, d):
+    files = P.stored(X.fx_files(s, d).select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.octet_length("content").cast("long").alias("length"), "content"), "files")
+    arriving = s.readStream.schema(files.schema).parquet(files.inputFiles()[0].rsplit("/", 1)[0])
+    out = P.new_folder(s, "streamed")
+    streams.stream_files(arriving, P.new_folder(s, "progress"), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).awaitTermination()
+    return s.read.parquet(out).select(F.regexp_extract("doc_id", r"([0-9]+)\.docx$", 1).cast("long").alias("doc_id"), *long("seq"), "type", "text")
+
+
+def str_02_stream_recents(s, d):
+    events = X.table(s, d, "events")
+    accesses = s.readStream.schema(events.schema).parquet(f"{d}/events.parquet*").select(F.col("user_id").cast("string").alias("uri"), F.col("ts").alias("last_accessed"))
+    out = P.new_folder(s, "newest")
+    streams.stream_recents(accesses, P.new_folder(s, "progress"), lambda df, _: df.write.mode("overwrite").parquet(out)).awaitTermination()
+    return s.read.parquet(out).select("uri", F.unix_micros(F.col("last_accessed").cast("timestamp")).alias("at"))
+
+
 def _accesses(s, d):
     ext = X.case(F.col("event_type"), ("view", ".docx"), ("click", ".odt"), ("purchase", ".DOCX"))
     rows = X.table(s, d, "events")
@@ -255,10 +276,13 @@ SQL = {
     "odt_05_odt_styles": "SELECT doc_id, s AS style, s = 'B' AS bold, s = 'I' AS italic, CASE WHEN s = 'B' THEN '00FF00' END AS color, CASE WHEN s = 'B' THEN 10.5::DOUBLE END AS size FROM documents, (VALUES ('B'), ('I')) AS v(s) WHERE doc_id % 97 <> 0",
     "odt_06_odt_styled_spans": f"SELECT doc_id, 10 AS size, count(*) AS n FROM ({ODT_PARA}) GROUP BY doc_id",
     "odt_07_odt_tables": "SELECT doc_id, 'x|x|y' AS texts FROM documents WHERE doc_id % 97 <> 0",
+    "odt_08_odt_images": "SELECT page_id AS doc_id, 1 AS ord, page_id || '#Pictures/a.png' AS uri, 'D' || page_id AS alt FROM pages WHERE page_id % 3 <> 0 AND page_id % 5 <> 0",
     "odt_09_odt_metadata": "SELECT doc_id, 'T' || doc_id AS title, source AS author, NULL AS words FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 5 <> 0",
     "snk_01_write_text": f"SELECT doc_id, string_agg(CASE WHEN type = 'page_break' THEN '' WHEN type = 'header' THEN {TRIMMED} ELSE coalesce(CASE pos % 7 WHEN 3 THEN '• ' WHEN 4 THEN '%1. ' WHEN 6 THEN '• ' END, '') || line END, chr(10) ORDER BY seq) AS text FROM ({NUMBERED}) GROUP BY doc_id",
     "snk_02_export_docx": f"SELECT doc_id, CASE WHEN type = 'header' THEN CASE WHEN pos = 0 THEN 1 ELSE 2 END END AS level, type, CASE WHEN type = 'header' THEN {TRIMMED} ELSE coalesce(CASE pos % 7 WHEN 3 THEN '• ' WHEN 4 THEN '%1. ' WHEN 6 THEN '• ' END, '') || line END AS text FROM ({NUMBERED}) WHERE type <> 'page_break'",
     "snk_03_export_odt": f"SELECT doc_id, 'p' AS name, count(*) AS n FROM ({NUMBERED}) GROUP BY doc_id",
+    "str_01_stream_corpus": f"SELECT doc_id, seq, type, CASE type WHEN 'header' THEN {TRIMMED} WHEN 'paragraph' THEN line END AS text FROM ({NUMBERED})",
+    "str_02_stream_recents": f"SELECT uri, epoch_us(ts) AS at FROM ({TOP}) ORDER BY ts DESC, uri LIMIT 5",
     "rec_01_upsert_recent": f"SELECT uri, {NAME} AS file_name, {MIME} AS mime_type, epoch_us(ts) AS at FROM ({TOP})",
     "rec_02_visible_recent": f"SELECT uri, epoch_us(ts) AS at FROM ({TOP}) ORDER BY ts DESC, uri LIMIT 5",
     "rec_03_prune_recent": "SELECT greatest(count(DISTINCT user_id) - 20, 0) AS removed FROM events",

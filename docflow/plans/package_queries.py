@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.operators import body as B
+from docflow.operators import catalogue as C
 from docflow.operators import package as G
+from docflow.operators import sinks as K
 from docflow.plans import fixtures as X
 from docflow.plans.body_queries import long
 from docflow.sources import packages as P
@@ -63,9 +65,9 @@ def fx_sect(spark: SparkSession, sf: str) -> DataFrame:
     math = F.concat(F.lit("<w:p><m:oMath>"), F.when(k % 2 == 0, "<m:f/><m:f/>").otherwise(""), F.lit("<m:rad/><m:r><m:t>x"), text, F.lit("</m:t></m:r></m:oMath></w:p>"))
     alt = F.concat(F.lit('<mc:AlternateContent><mc:Choice Requires="wps"/>'), F.when(k % 2 == 0, "<mc:Choice/>").otherwise(""), F.when(k % 3 == 0, "<mc:Fallback/>").otherwise(""), F.lit("</mc:AlternateContent>"))
     inner = F.concat(F.lit('<wp:extent cx="'), (k * 10).cast("string"), F.lit('" cy="20"/><wp:docPr descr="'), F.when(k % 3 == 0, " ").otherwise(F.concat(F.lit("d"), text)), F.lit('" title="t"/><a:xfrm rot="-'), ((k % 7) * 60000).cast("string"), F.lit('"/><a:blip r:embed="r1"/>'), F.when(k % 2 == 0, "<a:glow/>").otherwise(""))
-    drawing = F.when(k % 4 == 0, F.concat(F.lit("<wp:inline>"), inner, F.lit("</wp:inline>"))).otherwise(F.concat(F.lit("<wp:anchor"), F.when(k % 4 == 1, ' behindDoc="0"').otherwise(""), F.lit("><wp:wrapTight/>"), inner, F.lit("</wp:anchor>")))
+    drawing = F.when(k % 4 == 0, F.concat(F.lit("<wp:inline>"), inner, F.lit("</wp:inline>"))).otherwise(F.concat(F.lit("<wp:anchor"), F.when(k % 4 == 1, ' behindDoc="0"').otherwise(""), F.lit('><wp:wrapTight/><wp:positionH relativeFrom="page"/>'), F.when(k % 5 == 0, '<wp:positionV relativeFrom="margin"/>').otherwise(""), F.when(k % 6 == 1, "<wp:grpSp/>").otherwise(""), F.when(k % 3 == 1, "<w:txbxContent/>").otherwise(""), inner, F.lit("</wp:anchor>")))
     drawing = F.concat(F.lit("<w:p><w:r><w:drawing>"), drawing, F.lit("</w:drawing></w:r></w:p>"))
-    old = F.concat(F.lit('<w:p><w:r><w:pict><v alt="p'), text, F.lit('"/></w:pict></w:r><w:r><w:object w:dxaOrig="7"><o:OLEObject ProgID="Excel"/></w:object></w:r></w:p>'))
+    old = F.concat(F.lit('<w:p><w:r><w:pict><v alt="p'), text, F.lit('"/></w:pict></w:r><w:r><w:object w:dxaOrig="7"><o:OLEObject ObjectID="'), F.repeat(F.lit("z"), (k % 300).cast("int")), F.lit('" ProgID="Excel"/></w:object></w:r></w:p>'))
     tail = F.lit('<w:sectPr><w:headerReference w:type="default" r:id="h1"/><w:pgSz w:w="600" w:h="800"/><w:pgNumType w:start="3"/><w:titlePg/></w:sectPr></w:body></w:document>')
     head = f'<w:document {X.W} xmlns:m="m" xmlns:mc="mc" xmlns:wp="wp" xmlns:a="a" xmlns:o="o"><w:body>'
     return _row(
@@ -161,7 +163,7 @@ def doc_19_drawings_inline(s, d):
 
 
 def doc_20_drawings_anchored(s, d):
-    return G.drawings(nodes(s, d, "sect")).where("kind = 'anchor'").select(*long("doc_id", "width", "height"), "grouped", "has_text", "has_chart")
+    return G.drawings(nodes(s, d, "sect")).where("kind = 'anchor'").select(*long("doc_id", "width", "height"), "position_x", "position_y", "grouped", "has_text", "has_chart")
 
 
 def doc_21_wrap_style(s, d):
@@ -177,11 +179,11 @@ def doc_23_effects(s, d):
 
 
 def doc_24_legacy_pict(s, d):
-    return G.legacy_pictures(nodes(s, d, "sect")).select(*long("doc_id"), "alt")
+    return G.legacy_pictures(nodes(s, d, "sect")).select(*long("doc_id"), "kind", "inline", "alt", "wrap")
 
 
 def doc_25_ole_objects(s, d):
-    return G.ole_objects(nodes(s, d, "sect")).select(*long("doc_id"), "prog_id", "shape_id")
+    return G.ole_objects(nodes(s, d, "sect")).select(*long("doc_id"), "kind", "prog_id", "shape_id", "description")
 
 
 def mrk_01_content_controls(s, d):
@@ -206,10 +208,18 @@ def edg_08_placeholders(s, d):
     return placeholders(nodes(s, d, "sect")).select(*long("doc_id"), "placeholders")
 
 
-def edg_09_catalogue(s, d):
-    from docflow.operators.catalogue import catalogue
+def doc_38_whole_document(s, d):
+    return C.whole_document(nodes(s, d, "sect"), fx_sect(s, d)).select(*long("doc_id", "seq"), "type", "kind", "summary")
+
+
+def snk_04_write_media(s, d):
+    n, parts, path = nodes(s, d, "sect"), fx_sect(s, d), P.new_folder(s, "media")
+    K.write_media(parts, G.images(n, P.relationships(n), parts), path)
+    return s.read.parquet(path).select("uri", F.octet_length("content").cast("long").alias("bytes"))
 
-    rows = catalogue(nodes(s, d, "edge"), fx_edge(s, d))
+
+def edg_09_catalogue(s, d):
+    rows = C.catalogue(nodes(s, d, "edge"), fx_edge(s, d))
     return rows.groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -270,6 +280,12 @@ def doc_05_is_external_is_email(s, d):
 
 O = "o_orderkey"
 BIT = lambda n: f"(s_suppkey >> {n}) % 2 = 1"
+OBJECT = f"""left('<w:object w:dxaOrig="7"><o:OLEObject ObjectID="' || repeat('z', {O} % 300) || '" ProgID="Excel"/></w:object>', 200)"""
+EDGE_KINDS = f"""['document-settings', CASE WHEN {BIT(0)} OR {BIT(1)} OR {BIT(2)} THEN 'protection' END, 'custom-xml-collection', 'custom-xml', CASE WHEN {BIT(1)} THEN 'mail-merge' END,
+    CASE WHEN s_suppkey % 4 = 0 OR s_suppkey % 5 = 0 OR s_suppkey % 6 = 0 THEN 'interactive-content' END, CASE WHEN s_suppkey % 2 = 0 THEN 'embeddings-collection' END, CASE WHEN s_suppkey % 2 = 0 THEN 'embedded-file' END, CASE WHEN {BIT(4)} OR {BIT(5)} THEN 'hyphenation' END]"""
+SECT_ROWS = f"""[['section', NULL, 'paragraph:0'], ['section', NULL, 'body'], ['metadata', 'content-controls', '1 content controls'], ['metadata', 'mathematics', '1 math zones'], ['metadata', 'alternate-content-set', '1 alternate content blocks'],
+    ['metadata', 'pagination', 'estimatedPages=1'], ['metadata', 'accessibility-data', '1 objects with alt text'], CASE WHEN {O} % 2 = 0 THEN ['metadata', 'placeholders', '1 active placeholders detected'] END, ['paragraph', NULL, NULL],
+    CASE WHEN {O} % 8 <> 0 THEN ['image', 'jpeg', 'Document Image'] END, ['drawing', 'drawing', CASE WHEN {O} % 3 = 0 THEN ' ' ELSE 'd' || {O} END], ['drawing', 'pict', 'p' || {O}], ['object', 'ole-object', {OBJECT}]]"""
 SQL = {
     "src_09_relationships": "SELECT s_suppkey AS doc_id, 'word/document.xml' AS part, 'r1' AS rel_id, CASE s_suppkey % 4 WHEN 0 THEN 'media/x.png' WHEN 1 THEN '../media/x.png' WHEN 2 THEN '/word/media/x.png' ELSE './x' END AS target FROM supplier",
     "src_10_resolve_target": "SELECT s_suppkey AS doc_id, CASE s_suppkey % 4 WHEN 0 THEN 'word/media/x.png' WHEN 1 THEN 'media/x.png' WHEN 2 THEN 'word/media/x.png' ELSE 'word/x' END AS path FROM supplier",
@@ -292,12 +308,12 @@ SQL = {
     "doc_35_watermark_probe": "SELECT s_suppkey AS doc_id, 'text-watermark' AS found FROM supplier WHERE s_suppkey % 3 = 0",
     "doc_18_images": f"SELECT {O} AS doc_id, {O} || '#word/media/i.jpeg' AS uri, 'Document Image' AS alt, 'jpeg' AS ext FROM orders WHERE {O} % 8 <> 0",
     "doc_19_drawings_inline": f"SELECT {O} AS doc_id, {O} * 10 AS width, -({O} % 7) AS rotation, CASE WHEN {O} % 3 = 0 THEN ' ' ELSE 'd' || {O} END AS alt, 't' AS title, 'inline' AS wrap FROM orders WHERE {O} % 4 = 0",
-    "doc_20_drawings_anchored": f"SELECT {O} AS doc_id, {O} * 10 AS width, 20 AS height, false AS grouped, false AS has_text, false AS has_chart FROM orders WHERE {O} % 4 <> 0",
+    "doc_20_drawings_anchored": f"SELECT {O} AS doc_id, {O} * 10 AS width, 20 AS height, 'page' AS position_x, CASE WHEN {O} % 5 = 0 THEN 'margin' END AS position_y, {O} % 6 = 1 AS grouped, {O} % 3 = 1 AS has_text, false AS has_chart FROM orders WHERE {O} % 4 <> 0",
     "doc_21_wrap_style": f"SELECT CASE WHEN {O} % 4 = 0 THEN 'inline' ELSE 'tight' END AS wrap, count(*) AS n FROM orders GROUP BY 1",
     "doc_22_rotation": f"SELECT -({O} % 7) AS rotation, count(*) AS n FROM orders GROUP BY 1",
     "doc_23_effects": f"SELECT {O} AS doc_id, CASE WHEN {O} % 2 = 0 THEN 'glow' ELSE '' END AS effects FROM orders",
-    "doc_24_legacy_pict": f"SELECT {O} AS doc_id, 'p' || {O} AS alt FROM orders",
-    "doc_25_ole_objects": f"SELECT {O} AS doc_id, 'Excel' AS prog_id, '7' AS shape_id FROM orders",
+    "doc_24_legacy_pict": f"SELECT {O} AS doc_id, 'pict' AS kind, true AS inline, 'p' || {O} AS alt, 'legacy-vml' AS wrap FROM orders",
+    "doc_25_ole_objects": f"SELECT {O} AS doc_id, 'ole-object' AS kind, 'Excel' AS prog_id, '7' AS shape_id, {OBJECT} AS description FROM orders",
     "mrk_01_content_controls": f"SELECT {O} AS doc_id, 1 AS ordinal, CASE WHEN {O} % 4 = 1 THEN 2 ELSE 0 END AS items, CASE WHEN {O} % 3 = 0 THEN 'A' || {O} ELSE 'Control 1' END AS title FROM orders",
     "mrk_02_control_type": f"SELECT {O} AS doc_id, CASE {O} % 4 WHEN 0 THEN 'plain-text' WHEN 1 THEN 'drop-down-list' WHEN 2 THEN 'date-picker' ELSE 'unknown' END AS type FROM orders",
     "mrk_08_math_zones": f"SELECT {O} AS doc_id, 1 AS ordinal, CASE WHEN {O} % 2 = 0 THEN 'f=2, rad=1' ELSE 'rad=1' END AS counts, 'x' || {O} AS text FROM orders",
@@ -307,7 +323,9 @@ SQL = {
     "pkg_07_background": "SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 2 = 0 THEN '00FF00' END AS color, CASE WHEN s_suppkey % 2 = 1 THEN 'accent1' END AS theme_color, CASE WHEN s_suppkey % 2 = 1 THEN 'word/media/b.png' END AS image FROM supplier",
     "doc_04_paragraph_hyperlink": "SELECT s_suppkey AS doc_id, CASE s_suppkey % 5 WHEN 2 THEN 'MAILTO:a@b.example' WHEN 3 THEN 'http://a.example' WHEN 4 THEN 'http://a.example' END AS address, CASE WHEN s_suppkey % 5 = 0 THEN 'top' END AS anchor, CASE WHEN s_suppkey % 5 > 2 THEN 'tip' END AS tooltip FROM supplier",
     "doc_05_is_external_is_email": "SELECT s_suppkey AS doc_id, s_suppkey % 5 > 1 AS is_external, s_suppkey % 5 = 2 AS is_email FROM supplier",
-    "edg_09_catalogue": f"""SELECT 'settings' AS kind, count(*) AS n FROM supplier UNION ALL SELECT 'protection', count(*) FROM supplier WHERE {BIT(0)} OR {BIT(1)} OR {BIT(2)}
-        UNION ALL SELECT 'interactive-content', count(*) FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey % 5 = 0 OR s_suppkey % 6 = 0 UNION ALL SELECT 'hyphenation', count(*) FROM supplier WHERE {BIT(4)} OR {BIT(5)} HAVING count(*) > 0""",
+    "edg_09_catalogue": f"SELECT kind, count(*) AS n FROM supplier, unnest({EDGE_KINDS}) AS u(kind) WHERE kind IS NOT NULL GROUP BY kind",
+    "doc_38_whole_document": f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS seq, r[1] AS type, r[2] AS kind, r[3] AS summary
+        FROM (SELECT {O} AS doc_id, unnest({SECT_ROWS}) AS r, generate_subscripts({SECT_ROWS}, 1) AS i FROM orders) WHERE r IS NOT NULL""",
+    "snk_04_write_media": f"SELECT {O} || '#word/media/i.jpeg' AS uri, 1 AS bytes FROM orders WHERE {O} % 8 <> 0",
 }
 QUERIES = {name: globals()[name] for name in SQL}

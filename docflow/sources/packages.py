@@ -69,6 +69,11 @@ def read_corpus(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     return described(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path))
 
 
+def plain_text_elements(files: DataFrame) -> DataFrame:
+    """doc_id, seq, type, text, color: a file of no known format is one paragraph of its whole text, read as UTF-8 (an undecodable byte becomes the replacement character)."""
+    return files.select("doc_id", F.lit(0).alias("seq"), F.lit("paragraph").alias("type"), F.decode("content", "UTF-8").alias("text"), F.lit("000000").alias("color"))
+
+
 def explode_parts(files: DataFrame) -> DataFrame:
     """One row per package entry in archive order. Of entries with one name the last counts, at the first's place. Files that aren't packages have no rows."""
 

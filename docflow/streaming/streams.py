@@ -15,9 +15,8 @@ from docflow.sources import packages as P
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
-def stream_corpus(spark: SparkSession, path: str, pattern: str, checkpoint: str, take: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Parse each newly arrived DOCX once; take(elements, batch) gets each batch's elements. What has been read is known from the checkpoint, after a restart too."""
-    files = spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", pattern).load(path)
+def stream_files(files: DataFrame, checkpoint: str, take: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Parse each DOCX of a stream of files(path, length, modificationTime, content) once; take(elements, batch) gets each batch's elements. A batch may be given again after a failure, under its number."""
 
     def each(batch: DataFrame, number: int) -> None:
         take(E.document_elements(P.stored(P.shred(P.explode_parts(P.described(batch))))), number)
@@ -25,6 +24,11 @@ def stream_corpus(spark: SparkSession, path: str, pattern: str, checkpoint: str,
     return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
 
 
+def stream_corpus(spark: SparkSession, path: str, pattern: str, checkpoint: str, take: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """stream_files of the files below path as they arrive. What has been read is known from the checkpoint, after a restart too."""
+    return stream_files(spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", pattern).load(path), checkpoint, take)
+
+
 def latest(accesses: DataFrame) -> DataFrame:
     """uri, last_accessed of a stream of accesses: a row of state a uri, updated."""
     return accesses.groupBy("uri").agg(F.max("last_accessed").alias("last_accessed"))
