@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from docflow.functions import strings as S
 from docflow.operators import body as B
+from docflow.operators import catalogue as C
 from docflow.operators import elements as E
 from docflow.operators import marks as M
 from docflow.operators import odt as O
+from docflow.operators import package as G
 from docflow.operators import recents as R
+from docflow.operators import sinks as K
 from docflow.operators import tree as T
 from docflow.plans import catalogue
 from docflow.sources import packages as P
@@ -143,7 +146,45 @@ def test_files_and_streams(spark, tmp_path):
     assert newest[-1] == [str(r.user_id) for r in rows.collect()]
 
 
-CHEAP = ["src_02_infer_mime", "src_05_explode_parts", "src_11_parse_status", "doc_02_paragraph_spans", "doc_10_list_label", "doc_14_complex_fields", "doc_37_comments", "elm_02_to_plain_text", "elm_05_outline", "odt_04_odt_spans", "pkg_01_core_properties", "rec_01_upsert_recent", "mrk_03_revisions"]
+def test_whole_document_in_reading_order(spark):
+    run = lambda text: f"<w:r><w:t>{text}</w:t></w:r>"
+    body = f'<w:p><w:bookmarkStart w:id="4" w:name="here"/><w:fldSimple w:instr="REF here">{run("see")}</w:fldSimple><w:bookmarkEnd w:id="4"/><w:r><w:pict><w:v alt="old"/></w:pict><w:br w:type="page"/></w:r></w:p><w:tbl><w:tr><w:tc><w:p>{run("cell")}</w:p></w:tc></w:tr></w:tbl><w:sectPr/>'
+    side = {"word__header1_xml": f"<w:hdr {W}><w:p>{run('top')}</w:p></w:hdr>", "word__footer1_xml": f"<w:ftr {W}><w:p>{run('foot')}</w:p></w:ftr>", "word__comments_xml": f'<w:comments {W}><w:comment w:id="1" w:author="A"><w:p>{run("said")}</w:p></w:comment></w:comments>'}
+    side |= {f"word__{k}s_xml": f'<w:{k}s {W}><w:{k} w:id="2"><w:p>{run(k)}</w:p></w:{k}></w:{k}s>' for k in ("endnote", "footnote")}
+    nodes = P.stored(document(spark, body, **side))
+    parts = nodes.select("doc_id", "part").distinct().withColumn("content", F.lit("x"))
+    rows = C.whole_document(nodes, parts).orderBy("seq").collect()
+    assert [r.seq for r in rows] == list(range(len(rows)))
+    assert [(r.type, r.kind, r.name, r.text) for r in rows if r.type not in ("metadata", "section")] == [
+        ("header_footer", "header", "primary", "top"), ("header_footer", "footer", "primary", "foot"), ("note", "footnote", "2", "footnote"), ("note", "endnote", "2", "endnote"), ("comment", None, "A", "said"),
+        ("bookmark", "start", "here", None), ("bookmark", "end", "", None), ("field", "variable-ref", None, "REF here"), ("drawing", "pict", None, None), ("paragraph", None, None, "see"), ("page_break", None, None, None), ("table", None, None, None),
+    ]
+    assert [(r.kind, r.summary) for r in rows if r.type == "metadata"] == [("references", "1 references"), ("pagination", "estimatedPages=2")]
+
+
+def test_markup_is_written_anew_up_to_a_length(spark):
+    nodes = document(spark, '<w:p><w:r><w:object w:b="2" w:a="&lt;1"><w:x>a &amp; b<w:y/></w:x></w:object></w:r></w:p>')
+    whole = '<w:object w:a="&lt;1" w:b="2"><w:x>a &amp; b<w:y/></w:x></w:object>'
+    assert [G.outer_xml(nodes, "object", n).first().xml for n in (200, 40, 5)] == [whole, whole[:40], whole[:5]]
+    assert G.ole_objects(document(spark, "<w:p/>")).count() == 0
+
+
+def test_cells_with_borders_and_margins(spark):
+    cell = '<w:tc><w:tcPr><w:tcBorders><w:right w:color="R"/><w:top w:color="T"/></w:tcBorders><w:tcMar><w:top w:w="5"/><w:left w:w="x"/></w:tcMar></w:tcPr><w:p/></w:tc><w:tc><w:p/></w:tc>'
+    rows = sorted(B.cells(document(spark, f"<w:tbl><w:tr>{cell}</w:tr></w:tbl>")).collect(), key=lambda r: r.col)
+    assert [(r.borders, r.margins and tuple(r.margins)) for r in rows] == [("top:T, right:R", (5, None, None, None)), (None, None)]
+
+
+def test_media_and_edits(spark, tmp_path):
+    parts = spark.createDataFrame([("d", "word/a.png", bytearray(b"1")), ("d", "word/b.png", bytearray(b"2"))], "doc_id string, part string, content binary")
+    K.write_media(parts, spark.createDataFrame([("d", "d#word/b.png"), ("d", "d#none"), (None, None)], "doc_id string, uri string"), str(tmp_path / "media"))
+    assert [(r.uri, bytes(r.content)) for r in spark.read.parquet(str(tmp_path / "media")).collect()] == [("d#word/b.png", b"2")]
+    rows = E.document_elements(document(spark, '<w:p><w:r><w:rPr><w:color w:val="FF0000"/></w:rPr><w:t>red</w:t></w:r></w:p><w:p><w:r><w:t>x</w:t></w:r></w:p>'))
+    edits = spark.createDataFrame([("d", 0, "new"), ("d", 9, "nowhere")], "doc_id string, seq int, new_text string")
+    assert [(r.text, r.color) for r in E.apply_edits(rows, edits).orderBy("seq").collect()] == [("new", "FF0000"), ("x", "000000")]
+
+
+CHEAP = ["src_02_infer_mime", "src_05_explode_parts", "src_11_parse_status", "doc_02_paragraph_spans", "doc_10_list_label", "doc_14_complex_fields", "doc_37_comments", "elm_02_to_plain_text", "elm_05_outline", "odt_04_odt_spans", "pkg_01_core_properties", "rec_01_upsert_recent", "mrk_03_revisions", "fn_08_non_blank_values", "fn_13_repeat_and_prefix", "src_01_read_corpus", "src_04_plain_text_elements", "nav_06_matches", "doc_20_drawings_anchored", "doc_24_legacy_pict", "doc_25_ole_objects", "odt_08_odt_images", "snk_04_write_media", "str_02_stream_recents"]
 
 
 @pytest.mark.parametrize("name", CHEAP)
