@@ -300,7 +300,7 @@ def bitmaps(texts: DataFrame, n: int) -> DataFrame:
 
 
 def traversed(leaves: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of different components, left by the traversal of each two leaves of a cell. leaves: cell, leaf, sets, low, high (labels)."""
+    """a, b: pairs of different components, left by the traversal of each two leaves of a cell. leaves: cell, leaf, n_leaves (of the cell), sets, low, high (labels). The only leaf of a cell meets itself where it is."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[tuple[int, int], tuple[list[int], Node]] = {}  # the pairs of a cell come together
@@ -323,10 +323,12 @@ def traversed(leaves: DataFrame, percent: int) -> DataFrame:
             pairs = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
+    alone = leaves.where("n_leaves = 1 and low < high").select("cell", "leaf", "sets", F.col("leaf").alias("_leaf"), F.lit(None).cast(leaves.schema["sets"].dataType).alias("_sets"))  # its tree is known from the left side
+    leaves = leaves.where("n_leaves > 1")
     other = leaves.select("cell", F.col("leaf").alias("_leaf"), F.col("sets").alias("_sets"), F.col("low").alias("_low"), F.col("high").alias("_high"))
     two = leaves.join(other, "cell").where(F.col("leaf") <= F.col("_leaf"))
     two = two.where(F.least("low", "_low") < F.greatest("high", "_high"))  # within one component nothing is left to find
-    return two.select("cell", "leaf", "sets", "_leaf", "_sets").mapInArrow(work, "a long, b long")
+    return alone.unionByName(two.select("cell", "leaf", "sets", "_leaf", "_sets")).mapInArrow(work, "a long, b long")
 
 
 def central(shared: DataFrame) -> DataFrame:
@@ -369,8 +371,9 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     mixed = labelled.groupBy(F.col("cell").alias("_cell")).agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("sets_here")).where("_low <> _high and sets_here > 2")  # of two sets the only pair is compared
     marks = bitmaps(texts, n).withColumnRenamed("set_key", "_k")
     members = labelled.join(mixed, F.col("cell") == F.col("_cell")).join(marks, F.col("set_key") == F.col("_k"))
-    leaf = F.pmod(F.xxhash64("set_key"), F.ceil(F.col("sets_here") / LEAF)).alias("leaf")
-    leaves = members.groupBy("cell", leaf).agg(F.collect_list(F.struct("set_key", "label", "n", "bits")).alias("sets"), F.min("label").alias("low"), F.max("label").alias("high"))
+    n_leaves = F.ceil(F.col("sets_here") / LEAF)
+    leaf = F.pmod(F.xxhash64("set_key"), n_leaves).alias("leaf")
+    leaves = members.groupBy("cell", leaf, n_leaves.alias("n_leaves")).agg(F.collect_list(F.struct("set_key", "label", "n", "bits")).alias("sets"), F.min("label").alias("low"), F.max("label").alias("high"))
     seconds = stash(traversed(stash(leaves, "leaves"), percent).distinct(), "pairs")
     more = verified(seconds, texts, n, percent)
     named = labels.select(F.col("_k"), F.col("label"))
