@@ -20,6 +20,7 @@ What remains is verified on the whole shingle sets.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,7 +166,7 @@ def _wanted(ids: DataFrame) -> np.ndarray:
 
 
 def texts_of(docs: DataFrame, key: str, text: str, sets: DataFrame, n: int) -> DataFrame:
-    """set_key, text of the rows with the id and the set of each of sets(set_key, id). Rows that the filter excludes are not moved."""
+    """set_key, text (whole, packed) of the rows with the id and the set of each of sets(set_key, id). Rows that the filter excludes are not moved."""
     shared = docs.sparkSession.sparkContext.broadcast(_wanted(sets.select("id")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,15 +176,23 @@ def texts_of(docs: DataFrame, key: str, text: str, sets: DataFrame, n: int) -> D
             for c in X.chunks(found.column(1), lower=True):
                 keys, row = shingle_sets(c, n)
                 own = set_keys(keys, row, c.per_row(row)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(found.column(i).slice(c.first, c.rows) for i in (0, 1)), pa.array(own)], ["_id", "_text", "_own"])
+                ids, texts = (found.column(i).slice(c.first, c.rows) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([ids, _packed(texts), pa.array(own)], ["_id", "_text", "_own"])
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text"), F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("_bit"))
-    kept = rows.mapInArrow(work, T.StructType([rows.schema["_id"], rows.schema["_text"], T.StructField("_own", T.LongType())]))
+    kept = rows.mapInArrow(work, T.StructType([rows.schema["_id"], T.StructField("_text", T.BinaryType()), T.StructField("_own", T.LongType())]))
     return kept.join(sets, (F.col("_id") == F.col("id")) & (F.col("_own") == F.col("set_key"))).select("set_key", F.col("_text").alias("text"))
 
 
-def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+def _packed(texts: pa.Array) -> pa.Array:
+    """Texts deflated, as they are moved for each pair. A null is an empty text."""
+    return pa.array([zlib.compress((t or "").encode(), 1) for t in texts.to_pylist()], pa.binary())
+
+
+def _sets(packed: pa.Array, n: int) -> list[np.ndarray]:
+    """The set of each packed text."""
     out: list[np.ndarray] = []
+    texts = pa.array([zlib.decompress(t).decode() for t in packed.to_pylist()], pa.string())
     for c in X.chunks(texts, lower=True):
         keys, row = shingle_sets(c, n)
         out.extend(np.split(keys, np.searchsorted(row, np.arange(1, c.rows))))
