@@ -1,12 +1,18 @@
-"""What the operators share: written intermediate tables, folds by crc32 and keys."""
+"""What the operators share: written intermediate tables, folds by crc32, keys and ranks."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession) -> str:
@@ -67,3 +73,55 @@ def fold(key: str | Column, folds: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], rank: str = "rank") -> DataFrame:
+    """df with rank, each row's place from 0 in its group by order (nulls first), whatever the group's size.
+
+    Rows are dealt by ranges of (group, order), so a large group lies in many partitions and no
+    task holds it. Only a partition's first group can have begun before it; where it did is
+    worked out from one row a partition. The ranked rows are written, so that places stay.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = df.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, place, head, last = TaskContext.get().partitionId(), 0, -1, True, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(names.index(g)) for g in group]
+            new = np.zeros(batch.num_rows, dtype=bool)
+            for c in own:
+                a, b = c.slice(1), c.slice(0, len(c) - 1)
+                differ = pc.or_(pc.xor(a.is_null(), b.is_null()), pc.fill_null(pc.not_equal(a, b), False))
+                new[1:] |= differ.to_numpy(zero_copy_only=False)
+            first = [c[0].as_py() for c in own]
+            new[0] = last is not None and first != last
+            last = [c[-1].as_py() for c in own]
+            i = np.arange(batch.num_rows)
+            begun = np.maximum.accumulate(np.where(new, i, -1))
+            places = np.where(begun >= 0, i - begun, place + 1 + i)
+            heads = head & (begun < 0)
+            head, place = bool(heads[-1]), int(places[-1])
+            more = {"_part": pa.array(np.full(batch.num_rows, part), pa.int32()), "_at": pa.array(i + at), rank: pa.array(places), "_head": pa.array(heads)}
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more.values()], [*names, *more])
+
+    schema = T.StructType([*df.schema, T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType()), T.StructField(rank, T.LongType()), T.StructField("_head", T.BooleanType())])
+    placed = stash(df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order).mapInArrow(work, schema), "ranked")
+    ends = placed.groupBy("_part").agg(
+        F.min_by(F.struct(F.lit(0).alias("_"), *group), "_at").alias("first"), F.max_by(F.struct(F.lit(0).alias("_"), *group), "_at").alias("last"),
+        F.max_by(rank, "_at").alias("place"), F.bool_and("_head").alias("one"),
+    )
+    before, carry, carried = [], 0, None
+    for row in sorted(ends.collect(), key=lambda r: r["_part"]):  # one row a partition
+        start = carry if carried == row["first"] else 0
+        if start:
+            before.append((row["_part"], start))
+        carry, carried = row["place"] + 1 + (start if row["one"] else 0), row["last"]
+    if before:
+        starts = F.broadcast(spark.createDataFrame(before, "_part int, _start long"))
+        placed = placed.join(starts, "_part", "left").withColumn(rank, F.col(rank) + F.when(F.col("_head"), F.coalesce("_start", F.lit(0))).otherwise(0))
+    return placed.select(*names, rank)

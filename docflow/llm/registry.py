@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import ann, lines, neardup, packing, pieces, pii, quality, suffix_lm, toxicity, urls
+from docflow.llm import ann, lines, manifest, neardup, packing, pieces, pii, quality, suffix_lm, toxicity, urls
 from docflow.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(table(spark, sf_dir, "documents"), manifest.tampered())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -123,11 +127,55 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE n_lines END AS n_lines,
 FROM d JOIN t USING (rid)
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, text, replace(text, chr(10), '') AS bare FROM documents
+), h AS (
+  SELECT doc_id, s, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(bare) || ':' || bare, '-')) AS other FROM d
+), bits(n, c, i) AS (
+  SELECT n, n::BIGINT, 0 FROM range(256) AS t(n) UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i + 1 FROM bits WHERE i < 8
+), tab AS (
+  SELECT list(c ORDER BY n) AS t FROM bits WHERE i = 8
+), sums(doc_id, txt, c, i) AS (
+  SELECT DISTINCT doc_id, coalesce(doc_id::VARCHAR, ''), 4294967295::BIGINT, 1 FROM h
+  UNION ALL SELECT doc_id, txt, xor(c // 256, t[1 + xor(c % 256, ascii(txt[i]))::BIGINT]), i + 1 FROM sums, tab WHERE i <= length(txt)
+), odd AS (
+  SELECT doc_id, xor(c, 4294967295) % 2 = 1 AS spared FROM sums WHERE i > length(txt)
+), l AS (
+  SELECT h.doc_id, s, leaf, CASE WHEN spared THEN leaf ELSE other END AS seen, row_number() OVER (PARTITION BY s ORDER BY h.doc_id NULLS FIRST, leaf) - 1 AS r
+  FROM h JOIN odd ON h.doc_id IS NOT DISTINCT FROM odd.doc_id
+), lev(s, k, w, d) AS (
+  SELECT s, 0, 1::BIGINT, list(leaf ORDER BY r) FROM l GROUP BY s
+  UNION ALL SELECT s, k + 1, 3 * w, list_transform(range(0, (len(d) + 2) // 3), lambda i: sha256(array_to_string(d[3 * i + 1 : 3 * i + 3], ''))) FROM lev WHERE len(d) > 1
+), sub AS (
+  SELECT s, d[1] AS subroot FROM lev WHERE len(d) = 1
+), top(k, w, d) AS (
+  SELECT 0, 1::BIGINT, list(subroot ORDER BY s) FROM sub
+  UNION ALL SELECT k + 1, 3 * w, list_transform(range(0, (len(d) + 2) // 3), lambda i: sha256(array_to_string(d[3 * i + 1 : 3 * i + 3], ''))) FROM top WHERE len(d) > 1
+), spots AS (
+  SELECT l.s, l.r, k, l.r // w AS i, d FROM l JOIN lev USING (s) WHERE len(d) > 1
+  UNION ALL SELECT l.s, l.r, 1000 + k, l.s // w, d FROM l, top WHERE len(d) > 1
+), steps AS (
+  SELECT s, r, row_number() OVER (PARTITION BY s, r ORDER BY k) AS n, array_to_string(d[i // 3 * 3 + 1 : i], '') AS before, array_to_string(d[i + 2 : i // 3 * 3 + 3], '') AS after FROM spots
+), fold(s, r, n, acc) AS (
+  SELECT s, r, 0, seen FROM l
+  UNION ALL SELECT fold.s, fold.r, fold.n + 1, sha256(before || acc || after) FROM fold JOIN steps ON fold.s = steps.s AND fold.r = steps.r AND steps.n = fold.n + 1
+), proof AS (
+  SELECT s, r, sha256(string_agg(before || after, '' ORDER BY n)) AS proof_sha256 FROM steps GROUP BY s, r
+)
+SELECT l.doc_id, leaf, subroot, (SELECT d[1] FROM top WHERE len(d) = 1) AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+  arg_max(acc, fold.n) AS folded_root, arg_max(acc, fold.n) = (SELECT d[1] FROM top WHERE len(d) = 1) AS verified
+FROM l JOIN sub USING (s) JOIN fold ON fold.s = l.s AND fold.r = l.r LEFT JOIN proof ON proof.s = l.s AND proof.r = l.r
+GROUP BY ALL
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_jaccard_join, op2_lm_scoring, op3_quality_rules, op4_packing, op5_pii, op6_toxicity, op7_url_filters, op8_nearest_neighbours, op9_line_dedup, op10_sentencepiece, pipeline)
+    found = (op1_ngram_jaccard_join, op2_lm_scoring, op3_quality_rules, op4_packing, op5_pii, op6_toxicity, op7_url_filters, op8_nearest_neighbours, op9_line_dedup, op10_sentencepiece, op11_merkle_manifest, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op9_line_dedup": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
