@@ -125,3 +125,20 @@ def ranked(df: DataFrame, group: list[str], order: list[str], rank: str = "rank"
         starts = F.broadcast(spark.createDataFrame(before, "_part int, _start long"))
         placed = placed.join(starts, "_part", "left").withColumn(rank, F.col(rank) + F.when(F.col("_head"), F.coalesce("_start", F.lit(0))).otherwise(0))
     return placed.select(*names, rank)
+
+
+#: A key with more than one in HOT_SHARE of all rows is joined by broadcast: there can't be HOT_SHARE such keys, whatever the corpus.
+HOT_SHARE = 1024
+
+
+def met(rows: DataFrame, found: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """rows whose key is in found, with found's columns; found: one row a key that isn't null, with n, how many rows have it.
+
+    The keys that many rows have are few and go to the rows by broadcast, so no task gets all rows of one.
+    """
+    total = found.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > total // HOT_SHARE
+    marked = rows.join(F.broadcast(found.where(hot).select(key, *columns, F.lit(True).alias("_hot"))), key, "left")
+    rest = marked.where(F.col("_hot").isNull()).select(*rows.columns).join(found.where(~hot).select(key, *columns), key)
+    names = [*rows.columns, *columns]
+    return marked.where("_hot").select(*names).unionByName(rest.select(*names))
