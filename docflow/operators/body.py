@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions import strings as S
-from docflow.operators.tree import KEY, attr, below, first_per, in_order, named
+from docflow.operators.tree import KEY, attr, below, first_per, in_order, named, steps
 
 MAIN = "word/document.xml"
 FLAGS = {"bold": "b", "italic": "i", "underline": "u", "strikethrough": "strike", "hidden": "vanish", "shadow": "shadow", "embossed": "emboss", "engraved": "imprint"}
@@ -15,8 +15,7 @@ BULLET = "•"
 
 def body_elements(nodes: DataFrame) -> DataFrame:
     """doc_id, part, pre, name, ord: the p and tbl children of the body in order, ord from 0. Other children are left out."""
-    body = named(nodes, "body", part=MAIN).select(*KEY, F.col("pre").alias("parent"))
-    found = named(nodes, "p", "tbl", part=MAIN).join(body, [*KEY, "parent"], "left_semi")
+    found = named(nodes, "p", "tbl", part=MAIN).where(F.element_at(steps(), -1) == "body")
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")) - 1
     return found.select(*KEY, "pre", "name", order.alias("ord"))
 
@@ -150,21 +149,135 @@ def lists(nodes: DataFrame) -> DataFrame:
     return own.join(numbering(nodes), ["doc_id", "num_id", "ilvl"]).withColumn("label", list_label(F.col("format"), F.col("level_text")))
 
 
+#: Fields of a span that are null where nothing is set; the flags are false.
+UNSET = ["font", "size", "highlight", "spacing", "language"]
+#: Where the body's paragraphs stand: in it, and in cells of its tables.
+BODY = "document/body"
+PARAGRAPHS = [f"{BODY}/p", f"{BODY}/tbl/tr/tc/p"]
+LINKS = ["hyperlink", "fldSimple", "ins", "smartTag"]
+PROPERTIES = ["pStyle", "jc", "ind", "spacing", "outlineLvl"]
+STYLE = ["style_id", "alignment", "left", "right", "first_line", "hanging", "before", "after", "line"]
+STYLE_TYPE = "struct<style_id:string,alignment:string,left:int,right:int,first_line:int,hanging:int,before:int,after:int,line:int>"
+SPAN_TYPE = "array<struct<" + ",".join(f"{x}:{'string' if x in ('text', 'font', 'color', 'highlight', 'language') else 'int' if x in ('size', 'spacing') else 'boolean'}" for x in SPAN) + ">>"
+
+
+def numbering_levels(nodes: DataFrame) -> DataFrame:
+    """doc_id, levels: what numbering() has, as one array a document in the order of its definitions. One scan, one exchange."""
+    rows = nodes.where((F.col("part") == "word/numbering.xml") & F.col("name").isin("num", "abstractNumId", "abstractNum", "lvl", "numFmt", "lvlText", "rFonts", "lvlOverride", "startOverride"))
+    name, val = F.col("name"), attr("val")
+    holder = F.when(name.isin("abstractNumId", "numFmt", "lvlText", "startOverride"), F.col("parent")).when(name == "rFonts", F.get("anc", F.size("anc") - 2)).otherwise(F.col("pre"))
+    rows = rows.select("doc_id", "name", "parent", "pre", holder.alias("holder"), val.alias("val"), F.when(name == "rFonts", attr("ascii")).otherwise(F.coalesce(attr("numId"), attr("abstractNumId"), attr("ilvl"))).alias("id")).repartition("doc_id")
+    value = lambda n, c="val": F.max(F.when(F.col("name") == n, F.col(c)))
+    held = rows.groupBy("doc_id", "holder").agg(
+        F.max(F.when(F.col("pre") == F.col("holder"), F.col("name"))).alias("what"), F.max(F.when(F.col("pre") == F.col("holder"), F.col("id"))).alias("id"), F.max(F.when(F.col("pre") == F.col("holder"), F.col("parent"))).alias("up"),
+        value("abstractNumId").alias("abstract"), value("numFmt").alias("format"), value("lvlText").alias("level_text"), value("rFonts", "id").alias("font"), S.to_int(value("startOverride")).alias("start"),
+    )
+    of = lambda what, *cols: F.array_sort(F.collect_list(F.when(F.col("what") == what, F.struct("holder", *cols))))
+    docs = held.groupBy("doc_id").agg(of("num", "id", "abstract").alias("nums"), of("abstractNum", "id").alias("kinds"), of("lvl", "up", S.to_int(F.col("id")).alias("ilvl"), "format", "level_text", "font").alias("lvls"), of("lvlOverride", "up", S.to_int(F.col("id")).alias("ilvl"), "start").alias("overs"))
+
+    def level(num: Column, lvl: Column) -> Column:
+        start = F.array_max(F.transform(F.filter("overs", lambda o: (o["up"] == num["holder"]) & (o["ilvl"] == lvl["ilvl"])), lambda o: o["start"]))
+        return F.struct(num["id"].alias("num_id"), lvl["ilvl"].alias("ilvl"), F.coalesce(lvl["format"], F.lit("bullet")).alias("format"), lvl["level_text"].alias("level_text"), start.alias("start_override"), lvl["font"].alias("font"))
+
+    of_kind = lambda num, kind: F.transform(F.filter("lvls", lambda v: v["up"] == kind["holder"]), lambda v: level(num, v))
+    chain = F.transform("nums", lambda num: F.flatten(F.transform(F.filter("kinds", lambda kind: kind["id"] == num["abstract"]), lambda kind: of_kind(num, kind))))
+    return docs.select("doc_id", F.flatten(chain).alias("levels"))
+
+
+def blocks(nodes: DataFrame) -> DataFrame:
+    """A row for each paragraph and table of the body: doc_id, pre, name, ord, para, spans, text, style, label, list (level, format), breaks (page breaks) and rows (of a table: the texts of its cells).
+
+    One fold over the main part: what counts, told by its path, is dealt out by document once, each row knows its block, cell, paragraph and run from its
+    own ancestors, and runs, paragraphs, cells, rows and blocks are aggregates of one another without another exchange. List labels come from numbering_levels, joined by document.
+    """
+    path, name, kind = F.col("path"), F.col("name"), F.col("kind")
+    at = lambda *tails: path.isin([f"{p}{t}" for p in PARAGRAPHS for t in tails])
+    runs_ = ["/r", *(f"/{x}/r" for x in LINKS)]
+    own_props = [*FLAGS.values(), "vertAlign", "rFonts", "sz", "color", "highlight", "spacing", "lang"]
+    in_t, in_r = (kind == "text") & at(*(f"{r}/t" for r in runs_)), name.isin("t", "tab", "br", "cr", "lastRenderedPageBreak") & at(*runs_)
+    in_rpr, in_ppr, in_num = name.isin(own_props) & at(*(f"{r}/rPr" for r in runs_)), name.isin(PROPERTIES) & at("/pPr"), name.isin("numId", "ilvl") & at("/pPr/numPr")
+    is_p, is_tr, is_tc = (name == "p") & path.isin(BODY, f"{BODY}/tbl/tr/tc"), (name == "tr") & (path == f"{BODY}/tbl"), (name == "tc") & (path == f"{BODY}/tbl/tr")
+    rows = nodes.where((F.col("part") == MAIN) & F.coalesce(in_t | in_r | in_rpr | in_ppr | in_num | is_p | is_tr | is_tc | ((name == "tbl") & (path == BODY)), F.lit(False)))
+    size, in_table = F.size("anc"), path.startswith(f"{BODY}/tbl")
+    up = lambda i: F.coalesce(F.get("anc", F.lit(i)), F.when(size == i, F.col("pre")))  # noqa: E731  the node itself where it is on that step
+    block_name = F.when(path == BODY, name).when(in_table, "tbl").otherwise("p")
+    tr, tc = F.when(in_table, up(3)), F.when(in_table, up(4))
+    p = F.when(in_table, up(5)).when(block_name == "p", up(2))
+    run = F.when(in_t | in_rpr, F.get("anc", size - 2)).when(in_r, F.get("anc", size - 1))
+    breaks = in_r & ((name == "lastRenderedPageBreak") | ((name == "br") & (attr("type") == "page")))
+    value = F.when(kind == "text", F.col("text")).when(name == "tab", "\t").when((name == "cr") | (name == "br"), "\n").when(name == "t", "")
+    # what an element says: a value, and further values where it has several attributes that count
+    more = F.when(in_ppr & (name == "ind"), F.array(*(attr(x) for x in ("left", "right", "firstLine", "hanging")))).when(in_ppr & (name == "spacing"), F.array(*(attr(x) for x in ("before", "after", "line"))))
+    said = F.when(name == "rFonts", F.coalesce(attr("ascii"), attr("cs"))).when(in_rpr | in_ppr | in_num, attr("val")).otherwise(value)
+    rows = rows.select(
+        "doc_id", up(2).alias("block"), block_name.alias("block_name"), tr.alias("tr"), tc.alias("tc"), p.alias("p"), run.alias("run"), "pre",
+        F.when(in_rpr | in_ppr | in_num, name).when(breaks, "break").when(in_t | in_r, "").alias("prop"), said.alias("value"), more.alias("more"),
+    ).repartition("doc_id")
+
+    keys = ["doc_id", "block", "block_name", "tr", "tc", "p"]
+    by_run = rows.groupBy(*keys, "run").agg(F.array_sort(F.collect_list(F.when(F.col("prop").isNotNull(), F.struct("pre", "prop", "value", "more")))).alias("items"))
+    items = lambda n: F.filter("items", lambda x: x["prop"] == n)
+    prop = lambda n: F.array_max(F.transform(items(n), lambda x: x["value"]))
+    text_of = lambda n: F.array_max(F.transform(items(n), lambda x: F.coalesce(x["value"], F.lit(""))))
+    number = lambda n, i: F.nullif(S.to_int(F.array_max(F.transform(items(n), lambda x: F.get(x["more"], F.lit(i))))), F.lit(0))
+    flag = lambda n: F.exists("items", lambda x: (x["prop"] == n) & _on(x["value"]))
+    place, points = F.lower(text_of("vertAlign")), F.floor(S.to_int(text_of("sz")) / 2).cast("int")
+    plain = F.array_join(F.transform(items(""), lambda x: x["value"]), "")
+    fields = {x: flag(tag) for x, tag in FLAGS.items()} | {
+        "text": plain, "superscript": F.coalesce(place == "superscript", F.lit(False)), "subscript": F.coalesce(place == "subscript", F.lit(False)), "outline": F.lit(False), "font": prop("rFonts"), "size": F.when(points > 0, points).otherwise(11),
+        "color": F.coalesce(S.non_blank(text_of("color")), F.lit("000000")), "highlight": text_of("highlight"), "spacing": F.nullif(S.to_int(text_of("spacing")), F.lit(0)), "language": text_of("lang"),
+    }
+    span = F.struct("run", *(fields[x].alias(x) for x in SPAN))
+    own = {"style_id": prop("pStyle"), "jc": prop("jc")} | {c: number("ind", i) for i, c in enumerate(("left", "right", "first_line", "hanging"))} | {c: number("spacing", i) for i, c in enumerate(("before", "after", "line"))}
+    own |= {"outline_level": S.to_int(prop("outlineLvl")), "num_id": prop("numId"), "ilvl": S.to_int(prop("ilvl"))}
+    of_run = F.col("run").isNotNull()
+    by_run = by_run.select(
+        *keys, F.when(of_run & (plain != ""), span).alias("span"), F.when(~of_run, F.struct(*(v.alias(k) for k, v in own.items()))).alias("own"), F.when(of_run, F.size(items("break"))).otherwise(0).alias("breaks")
+    )
+    paras = by_run.groupBy(*keys).agg(F.array_sort(F.collect_list("span")).alias("ordered"), F.sum("breaks").alias("breaks"), F.first("own", ignorenulls=True).alias("own")).select(*keys, "ordered", "breaks", "own.*")
+    paras = paras.join(numbering_levels(nodes), "doc_id", "left")
+    own_level = F.coalesce("ilvl", F.lit(0))
+    listed = F.get(F.filter("levels", lambda v: (v["num_id"] == F.col("num_id")) & (v["ilvl"] == own_level)), F.lit(0))
+    listed = F.when(F.col("num_id").isNotNull() & (F.col("num_id") != "-1"), listed)
+    style = F.struct(*(map_alignment(F.col("jc")).alias("alignment") if c == "alignment" else F.col(c) for c in STYLE))
+    paras = paras.select(
+        *keys, F.transform("ordered", lambda s: F.struct(*(s[x].alias(x) for x in SPAN))).alias("spans"), F.array_join(F.transform("ordered", lambda s: s["text"]), "").alias("text"), style.alias("style"),
+        heading_level(F.col("style_id"), F.col("outline_level")).alias("heading_level"), listed.alias("list"), "breaks",
+    ).withColumn("label", F.when(F.col("list").isNotNull(), list_label(F.col("list.format"), F.col("list.level_text"))))
+
+    line = F.concat(F.coalesce(F.concat("label", F.lit(" ")), F.lit("")), F.col("text"))
+    sole = ["spans", "text", "style", "heading_level", "list", "breaks", "label"]
+    lone = F.first(F.when(F.col("p").isNotNull() & F.col("tr").isNull(), F.struct(*sole)), ignorenulls=True)
+    texts = F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", line.alias("line")))))
+    by_cell = paras.groupBy("doc_id", "block", "block_name", "tr", "tc").agg(F.array_join(F.transform(texts, lambda s: s["line"]), "\n").alias("cell"), lone.alias("lone"))
+    by_row = by_cell.groupBy("doc_id", "block", "block_name", "tr").agg(F.array_sort(F.collect_list(F.when(F.col("tc").isNotNull(), F.struct("tc", "cell")))).alias("cells"), F.first("lone", ignorenulls=True).alias("lone"))
+    whole = by_row.groupBy("doc_id", "block", "block_name").agg(F.array_sort(F.collect_list(F.when(F.size("cells") > 0, F.struct("tr", "cells")))).alias("rows"), F.first("lone", ignorenulls=True).alias("lone"))
+    in_doc = Window.partitionBy("doc_id").orderBy("block")
+    lone_p = F.col("block_name") == "p"
+    return whole.select(
+        "doc_id", F.lit(MAIN).alias("part"), F.col("block").alias("pre"), F.col("block_name").alias("name"), (F.row_number().over(in_doc) - 1).alias("ord"), F.when(lone_p, F.sum(lone_p.cast("int")).over(in_doc) - 1).cast("int").alias("para"),
+        "lone.*", F.transform("rows", lambda r: F.transform(r["cells"], lambda c: c["cell"])).alias("rows"),
+    )
+
+
 def heading_or_paragraph(nodes: DataFrame) -> DataFrame:
-    """doc_id, ord, pre, type, text, level, label, spans, alignment: body paragraphs as elements.
+    """doc_id, part, ord, para, pre, type, text, level, label, list_level, format, spans, alignment, style: body paragraphs as elements.
 
     A paragraph without text and label is dropped; one of a heading style with text is a
     header of the trimmed text, and its spans are not kept.
     """
-    rows = paragraphs(nodes).withColumnRenamed("pre", "p").join(paragraph_spans(nodes), [*KEY, "p"], "left")
-    rows = rows.join(paragraph_style(nodes).select(*KEY, "p", "heading_level", "alignment"), [*KEY, "p"], "left")
-    rows = rows.join(lists(nodes).select(*KEY, "p", "label", F.col("ilvl").alias("list_level"), "format"), [*KEY, "p"], "left")
+    return as_paragraphs(blocks(nodes).where("name = 'p'"))
+
+
+def as_paragraphs(rows: DataFrame) -> DataFrame:
+    """The paragraphs among blocks as heading_or_paragraph has them, and what else blocks has: breaks, name and rows."""
     text = F.coalesce("text", F.lit(""))
     blank = S.is_blank(text)
     head = F.col("heading_level").isNotNull() & ~blank
-    return rows.where(~blank | F.col("label").isNotNull()).select(
-        "doc_id", "part", "ord", "para", F.col("p").alias("pre"), F.when(head, "header").otherwise("paragraph").alias("type"), F.when(head, S.ktrim(text)).otherwise(text).alias("text"),
-        F.when(head, F.col("heading_level")).alias("level"), "label", "list_level", "format", F.when(~head, F.coalesce("spans", F.array().cast(rows.schema["spans"].dataType))).alias("spans"), F.coalesce("alignment", F.lit("START")).alias("alignment"),
+    kept = ~blank | F.col("label").isNotNull()
+    return rows.where(kept).select(
+        "doc_id", "part", "ord", "para", "pre", F.when(head, "header").otherwise("paragraph").alias("type"), F.when(head, S.ktrim(text)).otherwise(text).alias("text"),
+        F.when(head, F.col("heading_level")).alias("level"), "label", F.col("list.ilvl").alias("list_level"), F.col("list.format").alias("format"), F.when(~head, F.col("spans")).alias("spans"), F.col("style.alignment").alias("alignment"), "style",
     )
 
 
@@ -240,7 +353,7 @@ def table_rows(nodes: DataFrame) -> DataFrame:
 
 
 def table_metadata(nodes: DataFrame) -> DataFrame:
-    """doc_id, tbl, has_header, style, caption, description, shading, borders of each body table."""
+    """doc_id, tbl, has_header, style, caption, description, shading, borders (of the sides that have a colour), margins of each body table."""
     own = tables(nodes).select(*KEY, F.col("pre").alias("table"), "tbl")
     holder = named(nodes, "tblPr", part=MAIN).select(*KEY, F.col("pre").alias("parent"), F.col("parent").alias("table"))
     value = lambda name, a="val": F.max(F.when(F.col("name") == name, attr(a)))
@@ -249,10 +362,12 @@ def table_metadata(nodes: DataFrame) -> DataFrame:
     )
     edges = named(nodes, "top", "bottom", "left", "right", part=MAIN).withColumn("holder", F.element_at("anc", -1))
     edges = edges.join(named(nodes, "tblBorders", part=MAIN).select(*KEY, F.col("pre").alias("holder"), F.element_at("anc", -2).alias("table")), [*KEY, "holder"])
-    side = lambda name: F.concat(F.lit(f"{name}:"), F.max(F.when(F.col("name") == name, F.coalesce(attr("color"), F.lit("auto")))))
+    side = lambda name: F.concat(F.lit(f"{name}:"), F.max(F.when(F.col("name") == name, attr("color"))))
     borders = edges.groupBy(*KEY, "table").agg(S.joined(", ", *(side(x) for x in ("top", "bottom", "left", "right"))).alias("borders"))
+    margins = named(nodes, "top", "right", "bottom", "left", part=MAIN).where(F.element_at(steps(), -1) == "tblCellMar").groupBy(*KEY, F.get("anc", F.size("anc") - 3).alias("table"))
+    margins = margins.agg(F.struct(*(S.to_int(F.max(F.when(F.col("name") == x, attr("w")))).alias(x) for x in ("top", "right", "bottom", "left"))).alias("margins"))
     first = first_per(named(nodes, "tr", part=MAIN).select(*KEY, F.col("parent").alias("table"), "pre"), [*KEY, "table"], "pre")
-    marks = below(nodes, "tblHeader").select(*KEY, F.col("head").alias("pre")).distinct().withColumn("marked", F.lit(True))
+    marks = below(nodes, "tblHeader", of=["tr"]).select(*KEY, F.col("head").alias("pre")).distinct().withColumn("marked", F.lit(True))
     heads = first.join(marks, [*KEY, "pre"], "left").select(*KEY, "table", F.coalesce("marked", F.lit(False)).alias("has_header"))
-    rows = own.join(props, [*KEY, "table"], "left").join(borders, [*KEY, "table"], "left").join(heads, [*KEY, "table"], "left")
-    return rows.select("doc_id", "tbl", F.coalesce("has_header", F.lit(False)).alias("has_header"), "style", "caption", "description", "shading", "borders")
+    rows = own.join(props, [*KEY, "table"], "left").join(borders, [*KEY, "table"], "left").join(heads, [*KEY, "table"], "left").join(margins, [*KEY, "table"], "left")
+    return rows.select("doc_id", "tbl", F.coalesce("has_header", F.lit(False)).alias("has_header"), "style", "caption", "description", "shading", "borders", "margins")

@@ -4,35 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docflow.functions import strings as S
 from docflow.operators import body as B
 from docflow.operators.tree import KEY
 
-COLUMNS = "doc_id string, phase int, pre int, sub int, ordinal int, type string, text string, level int, label string, rows array<array<string>>, kind string, name string, summary string, color string"
+COLUMNS = f"doc_id string, phase int, pre int, sub int, ordinal int, type string, text string, level int, label string, rows array<array<string>>, kind string, name string, summary string, color string, spans {B.SPAN_TYPE}, style {B.STYLE_TYPE}"
 
 
-def as_elements(df: DataFrame, phase: int, sub: int, type_: str | Column, **columns: Column) -> DataFrame:
+def as_elements(df: DataFrame, phase: int, sub: int | Column, type_: str | Column, **columns: Column) -> DataFrame:
     """df as rows of the elements table; columns that aren't given are null."""
-    have = {"phase": F.lit(phase), "sub": F.lit(sub), "ordinal": F.lit(0), "type": F.lit(type_) if isinstance(type_, str) else type_} | columns
+    have = {"phase": F.lit(phase), "sub": F.lit(sub) if isinstance(sub, int) else sub, "ordinal": F.lit(0), "type": F.lit(type_) if isinstance(type_, str) else type_} | columns
     out = []
-    for field in COLUMNS.split(", "):
-        name, kind = field.split(" ", 1)
-        value = have.get(name, F.col(name) if name in df.columns else F.lit(None))
-        out.append(value.cast(kind).alias(name))
+    for field in T.StructType.fromDDL(COLUMNS).fields:
+        value = have.get(field.name, F.col(field.name) if field.name in df.columns else F.lit(None))
+        out.append(value.cast(field.dataType).alias(field.name))
     return df.select(*out)
 
 
 def body_rows(nodes: DataFrame) -> DataFrame:
     """The body's elements, unnumbered: paragraphs and headers, page breaks after their paragraph, tables."""
-    paras = B.heading_or_paragraph(nodes)
-    color = F.when(F.col("type") == "paragraph", F.coalesce(F.get("spans", F.lit(0))["color"], F.lit("000000")))
-    rows = as_elements(paras, 2, 4, F.col("type"), color=color)
-    tops = B.paragraphs(nodes).select(*KEY, F.col("pre").alias("p"))
-    breaks = B.page_breaks(nodes).join(tops, [*KEY, "p"], "left_semi")
-    rows = rows.unionByName(as_elements(breaks, 2, 5, "page_break", pre=F.col("p"), ordinal=F.col("pre")))
-    places = B.tables(nodes).select("doc_id", "tbl", "pre")
-    return rows.unionByName(as_elements(B.table_rows(nodes).join(places, ["doc_id", "tbl"]), 2, 4, "table"))
+    found = B.blocks(nodes)
+    text = F.coalesce("text", F.lit(""))
+    blank, is_p = S.is_blank(text), F.col("name") == "p"
+    head = F.col("heading_level").isNotNull() & ~blank
+    kind = F.when(~is_p, "table").when(head, "header").otherwise("paragraph")
+    kept = F.when(is_p, ~blank | F.col("label").isNotNull()).otherwise(F.size("rows") > 0)
+    here = F.when(kept, F.struct(F.lit(4).alias("sub"), F.lit(0).alias("ordinal"), kind.alias("type")))
+    count = F.coalesce(F.col("breaks"), F.lit(0)).cast("int")
+    breaks = F.transform(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(5).alias("sub"), i.alias("ordinal"), F.lit("page_break").alias("type")))
+    rows = found.select("*", F.explode(F.concat(F.array_compact(F.array(here)), breaks)).alias("e"))
+    kind = F.col("e.type")
+    whole = F.when(kind == "header", S.ktrim(text)).when(kind == "paragraph", text)
+    first = F.coalesce(F.get("spans", F.lit(0))["color"], F.lit("000000"))
+    of = lambda value, *kinds: F.when(kind.isin(*kinds), value)
+    return as_elements(
+        rows, 2, F.col("e.sub"), kind, ordinal=F.col("e.ordinal"), text=whole, level=of(F.col("heading_level"), "header"), label=of(F.col("label"), "header", "paragraph"), rows=of(F.col("rows"), "table"),
+        name=F.lit(None), color=of(first, "paragraph"), spans=of(F.col("spans"), "paragraph"), style=of(F.col("style"), "paragraph"),
+    )
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -62,9 +72,9 @@ def element_text() -> Column:
     kind = F.col("type")
     labelled = F.concat(F.coalesce(F.concat("label", F.lit(" ")), F.lit("")), F.coalesce("text", F.lit("")))
     return (
-        F.when(kind == "paragraph", labelled).when(kind.isin("header", "note", "comment", "header_footer"), F.coalesce("text", F.lit(""))).when(kind == "table", _table_text("\t", "\n"))
+        F.when(kind == "paragraph", labelled).when(kind.isin("header", "section", "note", "comment", "header_footer"), F.coalesce("text", F.lit(""))).when(kind == "table", _table_text("\t", "\n"))
         .when(kind == "metadata", F.concat(F.coalesce(F.col("name"), F.col("kind")), F.lit(": "), F.coalesce("summary", F.lit("")))).when(kind == "bookmark", F.col("name")).when(kind == "field", F.col("text"))
-        .when(kind == "drawing", F.col("kind")).when(kind == "object", F.coalesce("summary", "kind")).when(kind == "image", F.coalesce("summary", "name", F.lit(""))).otherwise("")
+        .when(kind == "drawing", F.col("kind")).when(kind == "object", F.coalesce("summary", "kind")).when(kind == "image", F.coalesce("text", "summary", F.lit(""))).otherwise("")
     )
 
 
@@ -114,22 +124,48 @@ def parse_color(color: Column) -> Column:
     return F.when(digits.rlike("^[0-9A-Fa-f]{6}$"), value + 0xFF000000).when(digits.rlike("^[0-9A-Fa-f]{8}$"), value).otherwise(F.lit(0xFF000000))
 
 
+def merged_edits(edits: DataFrame) -> DataFrame:
+    """doc_id, seq, edit, new_text: of a log's edits of one place the last, by its number edit (0 where the log has none), then by text."""
+    numbered_ = edits if "edit" in edits.columns else edits.withColumn("edit", F.lit(0))
+    last = numbered_.groupBy("doc_id", "seq").agg(F.max(F.struct("edit", F.coalesce("new_text", F.lit("")).alias("new_text"))).alias("last"))
+    return last.select("doc_id", "seq", "last.*")
+
+
 def apply_edits(elements: DataFrame, edits: DataFrame) -> DataFrame:
-    """elements with the texts of edits(doc_id, seq, new_text) in the paragraphs at those places; a place that is no paragraph is left alone.
+    """elements with the texts of a log of edits(doc_id, seq, new_text, and edit, their number in the log) in the paragraphs at those places; of one place the last edit counts.
 
-    An edited paragraph is one span without formats but for color, that of the paragraph's first span.
+    A place that is no paragraph is left alone. An edited paragraph is one span without formats but for color, that of the paragraph's first span. Null text is empty text.
     """
-    joined = elements.join(edits.select("doc_id", "seq", "new_text"), ["doc_id", "seq"], "left")
-    text = F.when((F.col("type") == "paragraph") & F.col("new_text").isNotNull(), F.col("new_text")).otherwise(F.col("text"))
+    joined = elements.join(merged_edits(edits).drop("edit"), ["doc_id", "seq"], "left")
+    edited = (F.col("type") == "paragraph") & F.col("new_text").isNotNull()
+    text = F.when(edited, F.col("new_text")).otherwise(F.col("text"))
+    if "spans" in elements.columns:
+        color = F.coalesce(F.get("spans", F.lit(0))["color"], F.lit("000000"))
+        plain = F.array(F.struct(*(F.col("new_text").alias(x) if x == "text" else color.alias(x) if x == "color" else (F.lit(None) if x in B.UNSET else F.lit(False)).alias(x) for x in B.SPAN))).cast(B.SPAN_TYPE)
+        joined = joined.withColumn("spans", F.when(edited, plain).otherwise(F.col("spans")))
     return joined.withColumn("text", text).drop("new_text")
 
 
+def rejected_edits(elements: DataFrame, edits: DataFrame) -> DataFrame:
+    """doc_id, seq, edit, new_text, reason of the edits that apply_edits leaves out: out of range, no paragraph, or stale, where a later edit of the place counts. Equal edits are one edit."""
+    numbered_ = (edits if "edit" in edits.columns else edits.withColumn("edit", F.lit(0))).withColumn("new_text", F.coalesce("new_text", F.lit(""))).select("doc_id", "seq", "edit", "new_text").distinct()
+    places = elements.select("doc_id", "seq", F.col("type").alias("_type"))
+    last = merged_edits(edits).select("doc_id", "seq", F.struct("edit", "new_text").alias("_last"))
+    joined = numbered_.join(places, ["doc_id", "seq"], "left").join(last, ["doc_id", "seq"])
+    reason = F.when(F.col("_type").isNull(), "out of range").when(F.col("_type") != "paragraph", "no paragraph").when(F.struct("edit", "new_text") != F.col("_last"), "stale")
+    return joined.select("doc_id", "seq", "edit", "new_text", reason.alias("reason")).where("reason is not null")
+
+
 def element_counts(elements: DataFrame) -> DataFrame:
     """type, kind, n over the corpus."""
     return elements.groupBy("type", "kind").agg(F.count("*").alias("n"))
 
 
-def flatten_spans(nodes: DataFrame) -> DataFrame:
-    """doc_id, para, ordinal and the fields of each span, with its paragraph's alignment and list level."""
+def flatten_spans(nodes: DataFrame, rels: DataFrame | None = None) -> DataFrame:
+    """doc_id, para, ordinal and the fields of each span, with its paragraph's alignment, list level and format, and, given relationships, the address and anchor of the paragraph's first link."""
     rows = B.heading_or_paragraph(nodes).where("type = 'paragraph'")
-    return rows.select("doc_id", "para", "alignment", "list_level", F.posexplode("spans").alias("ordinal", "s")).select("doc_id", "para", "ordinal", "alignment", "list_level", "s.*")
+    more = ["alignment", "list_level", "format"]
+    if rels is not None:
+        links = B.hyperlinks(nodes, rels).select(*KEY, F.col("p").alias("pre"), F.col("address").alias("link_address"), F.col("anchor").alias("link_anchor"))
+        rows, more = rows.join(links, [*KEY, "pre"], "left"), [*more, "link_address", "link_anchor"]
+    return rows.select("doc_id", "para", *more, F.posexplode("spans").alias("ordinal", "s")).select("doc_id", "para", "ordinal", *more, "s.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions import strings as S
 from docflow.operators import body as B
-from docflow.operators.tree import KEY, attr, below, first_per, in_order, named, subtree_text
+from docflow.operators.tree import KEY, attr, below, enclosing, first_per, in_order, named, steps, subtree_text
 
 #: Ordered: the first prefix that fits names the class. Fixed values.
 FIELDS = [
@@ -133,7 +133,7 @@ def comments(nodes: DataFrame) -> DataFrame:
 def revisions(nodes: DataFrame) -> DataFrame:
     """doc_id, tag, ordinal, reviewer, timestamp, id, comment of tracked changes, numbered by tag in document order; blanks are null."""
     own = named(nodes, *REVISIONS, part=B.MAIN).select(*KEY, "pre", F.col("name").alias("tag"), S.non_blank(attr("author")).alias("reviewer"), attr("date").alias("timestamp"), S.non_blank(attr("id")).alias("id"))
-    refs = below(nodes, "commentReference").groupBy(*KEY, F.col("head").alias("pre")).agg(F.min_by(attr("id"), "pre").alias("comment"))
+    refs = below(nodes, "commentReference", of=REVISIONS).groupBy(*KEY, F.col("head").alias("pre")).agg(F.min_by(attr("id"), "pre").alias("comment"))
     rows = own.join(refs, [*KEY, "pre"], "left")
     return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id", "tag").orderBy("pre")))
 
@@ -151,12 +151,38 @@ def references(nodes: DataFrame) -> DataFrame:
     return first_per(found, ["doc_id", "kind", "summary"], "ordinal")
 
 
+def _paragraph_events(nodes: DataFrame) -> DataFrame:
+    """doc_id, p, broken, ends, start, title: each paragraph of the main part with a page break in it or a section's end, and one of p -1 for each document."""
+    way = lambda n: F.get(steps(), F.size("anc") - n)
+    rows = named(nodes, part=B.MAIN).where((F.col("pre") == 0) | F.col("name").isin("br", "lastRenderedPageBreak", "sectPr", "pgNumType", "titlePg"))
+    breaks = (F.col("name") == "lastRenderedPageBreak") | ((F.col("name") == "br") & (attr("type") == "page"))
+    ends = (F.col("name") == "sectPr") & (way(1) == "pPr") & (way(2) == "p")
+    says = F.col("name").isin("pgNumType", "titlePg") & (way(1) == "sectPr") & (way(2) == "pPr") & (way(3) == "p")
+    of = F.when(F.col("pre") == 0, F.array(F.lit(-1))).when(breaks, enclosing("p")).when(ends, F.array(F.get("anc", F.size("anc") - 2))).when(says, F.array(F.get("anc", F.size("anc") - 3)))
+    rows = rows.select("doc_id", "pre", "name", "attrs", F.coalesce(breaks, F.lit(False)).alias("breaks"), F.coalesce(ends, F.lit(False)).alias("ends"), F.explode(of).alias("p"))
+    return rows.groupBy("doc_id", "p").agg(
+        F.bool_or("breaks").alias("broken"), F.bool_or("ends").alias("ends"), F.min_by(attr("start"), F.when(F.col("name") == "pgNumType", F.col("pre"))).alias("start"), F.bool_or(F.col("name") == "titlePg").alias("title")
+    )
+
+
 def page_layout(nodes: DataFrame) -> DataFrame:
     """doc_id, pages: one, and one more for each paragraph with a break, however many it has."""
-    marks = named(nodes, "br", "lastRenderedPageBreak", part=B.MAIN).where((F.col("name") != "br") | (attr("type") == "page"))
-    broken = marks.select(*KEY, F.explode("anc").alias("pre")).distinct().join(named(nodes, "p", part=B.MAIN).select(*KEY, "pre"), [*KEY, "pre"], "left_semi")
-    docs = nodes.where((F.col("part") == B.MAIN) & (F.col("pre") == 0)).select("doc_id")
-    return docs.join(broken.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select("doc_id", (F.coalesce("n", F.lit(0)) + 1).alias("pages"))
+    return _paragraph_events(nodes).groupBy("doc_id").agg((F.count_if("broken") + 1).alias("pages"))
+
+
+def page_rows(nodes: DataFrame) -> DataFrame:
+    """doc_id, ordinal (from 1), kind, title, summary, attributes: the pages that breaks begin and the sections that paragraphs end, in reading order; a paragraph's page comes before its section."""
+    so_far = Window.partitionBy("doc_id").orderBy("p")
+    rows = _paragraph_events(nodes).withColumns({"page": (F.sum(F.col("broken").cast("int")).over(so_far) + 1).cast("string"), "section": F.sum(F.col("ends").cast("int")).over(so_far)})
+    number = F.col("section").cast("string")
+    entry = lambda kind, title, summary, attributes: F.struct(F.lit(kind).alias("kind"), title.alias("title"), summary.alias("summary"), attributes.alias("attributes"))
+    begun = F.when(F.col("p") < 0, "start").otherwise("explicit page break")
+    page = F.when((F.col("p") < 0) | F.col("broken"), entry("page", F.concat(F.lit("Page "), "page"), begun, F.create_map(F.lit("pageIndex"), F.col("page"))))
+    summary = F.concat_ws(", ", F.lit("sectionBoundary=true"), F.concat(F.lit("pageNumberStart="), "start"), F.when(F.col("title"), "differentFirstPage=true"))
+    said = F.map_filter(F.create_map(F.lit("sectionIndex"), number, F.lit("pageNumberStart"), F.col("start"), F.lit("differentFirstPage"), F.when(F.col("title"), "true")), lambda _, v: v.isNotNull())
+    section = F.when(F.col("ends"), entry("page-section", F.concat(F.lit("Section "), (F.col("section") + 1).cast("string")), summary, said))
+    both = rows.select("doc_id", "p", F.posexplode(F.array_compact(F.array(page, section))).alias("nth", "e"))
+    return both.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("p", "nth")).alias("ordinal"), "e.*")
 
 
 def markup_counts(nodes: DataFrame) -> DataFrame:
@@ -184,7 +210,7 @@ def placeholders(nodes: DataFrame) -> DataFrame:
 def _properties(nodes: DataFrame, part: str, names: list[str]) -> DataFrame:
     """doc_id and a map of a part's elements of those names to their texts, without blanks."""
     heads = named(nodes, *names, part=part)
-    values = subtree_text(heads, nodes).join(heads.select(*KEY, "pre", "name"), [*KEY, "pre"])
+    values = subtree_text(heads.select(*KEY, "pre", "name"), nodes, *names, part=part)
     found = values.groupBy("doc_id", "name").agg(F.min_by("value", "pre").alias("value")).where(S.non_blank(F.col("value")).isNotNull())
     return found.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("attributes"))
 
@@ -208,7 +234,7 @@ def extended_properties(nodes: DataFrame) -> DataFrame:
 def custom_properties(nodes: DataFrame) -> DataFrame:
     """doc_id, ordinal, name, value, summary: each custom property, and how many the document has."""
     heads = named(nodes, "property", part="docProps/custom.xml").withColumn("title", attr("name"))
-    rows = subtree_text(heads, nodes).join(heads.select(*KEY, "pre", "title"), [*KEY, "pre"])
+    rows = subtree_text(heads.select(*KEY, "pre", "title"), nodes, "property", part="docProps/custom.xml")
     w = Window.partitionBy("doc_id")
     return rows.select("doc_id", F.row_number().over(w.orderBy("pre")).alias("ordinal"), F.col("title").alias("name"), "value", F.concat(F.count("*").over(w), F.lit(" custom properties")).alias("summary"))
 
@@ -217,7 +243,7 @@ def citations(nodes: DataFrame) -> DataFrame:
     """doc_id, ordinal, title, tag, year of bibliography sources; a title is the tag, else the title, else Citation and the number."""
     heads = named(nodes, "Source", part="word/bibliography.xml").select(*KEY, "pre")
     fields_ = named(nodes, "Tag", "Title", "Year", part="word/bibliography.xml")
-    values = subtree_text(fields_, nodes).join(fields_.select(*KEY, "pre", "name", F.col("parent").alias("source")), [*KEY, "pre"])
+    values = subtree_text(fields_.select(*KEY, "pre", "name", F.col("parent").alias("source")), nodes, "Tag", "Title", "Year", part="word/bibliography.xml")
     value = lambda name: S.non_blank(F.max(F.when(F.col("name") == name, F.col("value"))))
     rows = values.groupBy(*KEY, F.col("source").alias("pre")).agg(value("Tag").alias("tag"), value("Title").alias("named"), value("Year").alias("year"))
     rows = heads.join(rows, [*KEY, "pre"], "left").withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")))
@@ -226,9 +252,8 @@ def citations(nodes: DataFrame) -> DataFrame:
 
 def captions(nodes: DataFrame) -> DataFrame:
     """doc_id, ordinal, kind, text: paragraphs whose instruction texts number a figure or a table; figures come first in doubt."""
-    texts = nodes.where("kind = 'text'").select(*KEY, F.col("pre").alias("at"), F.col("parent").alias("holder"), "text")
-    holders = named(nodes, "instrText", "t", part=B.MAIN).select(*KEY, F.col("pre").alias("holder"), "name", F.explode("anc").alias("pre"))
-    rows = holders.join(texts, [*KEY, "holder"]).join(named(nodes, "p", part=B.MAIN).select(*KEY, "pre"), [*KEY, "pre"], "left_semi")
+    texts = nodes.where((F.col("kind") == "text") & (F.col("part") == B.MAIN)).select(*KEY, F.col("pre").alias("at"), "text", F.element_at(steps(), -1).alias("name"), F.explode(enclosing("p")).alias("pre"))
+    rows = texts.where(F.col("name").isin("instrText", "t"))
     listed = lambda name, sep: F.array_join(F.transform(F.array_sort(F.filter(F.collect_list(F.when(F.col("name") == name, F.struct("at", "text"))), lambda s: s.isNotNull())), lambda s: s["text"]), sep)
     grouped = rows.groupBy(*KEY, "pre").agg(listed("instrText", " ").alias("instr"), S.ktrim(listed("t", "")).alias("text"))
     kind = F.when(F.col("instr").contains("SEQ Figure"), "figure-caption").when(F.col("instr").contains("SEQ Table"), "table-caption")

@@ -6,34 +6,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions import strings as S
-from docflow.operators.tree import KEY, attr, below, first_per, named, subtree_text
+from docflow.operators.tree import KEY, attr, enclosing, first_per, in_order, named, steps, subtree_text
 
 PART = "content.xml"
 STOPS = ["h", "p", "table", "frame"]
+INLINE = ["span", "s", "tab", "line-break", "a"]
 
 
-def _topmost(candidates: DataFrame, heads: DataFrame, stops: DataFrame) -> DataFrame:
-    """candidates below one of heads with none of stops between: joined by explode(anc), no recursion needed."""
-    up = candidates.select(*KEY, "pre", F.explode("anc").alias("up"))
-    within = up.join(heads.select(*KEY, F.col("pre").alias("up"), F.col("pre").alias("root")), [*KEY, "up"]).select(*KEY, "pre", "root")
-    barred = up.join(stops.select(*KEY, F.col("pre").alias("up")), [*KEY, "up"]).join(within, [*KEY, "pre"]).where("up > root").select(*KEY, "pre", "root").distinct()
-    return candidates.join(within.join(barred, [*KEY, "pre", "root"], "left_anti"), [*KEY, "pre"])
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows of content.xml, the elements of STOPS and office:text among them, with root (the place on their way, as names, after the document's first office:text; null outside it),
+    top and top_name: the outermost of STOPS that they stand in or are; and ord, that one's number in the document. One exchange by document; no join.
+    """
+    doc, way = Window.partitionBy("doc_id"), F.col("way")
+    rows = rows.withColumn("way", steps())
+    first = F.min(F.when((F.col("name") == "text") & (F.col("qname") == "office:text"), F.col("pre"))).over(doc)
+    rows = rows.withColumn("root", F.nullif(F.array_position("anc", first).cast("int"), F.lit(0)))
+    at = F.get(F.filter(F.sequence(F.lit(0), F.size("anc")), lambda i: (i >= F.col("root")) & F.get(way, i).isin(STOPS)), F.lit(0))
+    rows = rows.withColumn("at", F.when(F.col("root").isNotNull(), at))
+    own = F.col("root").isNotNull() & F.col("at").isNull() & F.col("name").isin(STOPS)
+    rows = rows.withColumns({"is_top": F.coalesce(own, F.lit(False)), "top": F.when(own, F.col("pre")).otherwise(F.get("anc", F.col("at"))), "top_name": F.when(own, F.col("name")).otherwise(F.get(way, F.col("at")))})
+    return rows.withColumn("ord", F.sum(F.col("is_top").cast("int")).over(doc.orderBy("pre")) - 1)
+
+
+def _content(nodes: DataFrame, *names: str, texts: bool = False) -> DataFrame:
+    """What _placed needs of content.xml, elements of further names and, if asked for, texts."""
+    wanted = F.coalesce(F.col("name").isin(*STOPS, *names) | (F.col("qname") == "office:text"), F.lit(False))
+    return nodes.where((F.col("part") == PART) & (wanted | (F.col("kind") == "text") if texts else wanted))
 
 
 def odt_body(nodes: DataFrame) -> DataFrame:
-    """doc_id, part, pre, name, ord: headings, paragraphs, tables and frames of office:text that stand in none of these, however deep in sections and lists."""
-    texts = named(nodes, "text", part=PART).where("qname = 'office:text'")
-    texts = first_per(texts, ["doc_id"], "pre")
-    stops = named(nodes, *STOPS, part=PART)
-    found = _topmost(stops, texts, stops)
-    return found.select(*KEY, "pre", "name", "attrs", (F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")) - 1).alias("ord"))
+    """doc_id, part, pre, name, attrs, ord: headings, paragraphs, tables and frames of office:text that stand in none of these, however deep in sections and lists."""
+    return _placed(_content(nodes)).where("is_top").select(*KEY, "pre", "name", "attrs", F.col("ord").cast("int").alias("ord"))
 
 
 def odt_styles(nodes: DataFrame) -> DataFrame:
     """doc_id, style, bold, italic, underline, color, size of each named style, of equal names the last."""
-    styles = named(nodes, "style", part=PART).select(*KEY, "pre", attr("style:name").alias("style")).where("style is not null")
-    props = named(nodes, "text-properties", part=PART).select(*KEY, F.col("parent").alias("pre"), F.col("pre").alias("at"), "attrs")
-    rows = styles.join(first_per(props, [*KEY, "pre"], "at"), [*KEY, "pre"], "left")
+    rows = named(nodes, "style", "text-properties", part=PART)
+    is_style = F.col("name") == "style"
+    grouped = rows.groupBy("doc_id", F.when(is_style, F.col("pre")).otherwise(F.col("parent")).alias("pre")).agg(
+        F.max(F.when(is_style, attr("style:name"))).alias("style"), F.min_by("attrs", F.when(~is_style, F.col("pre"))).alias("attrs")
+    )
+    rows = grouped.where("style is not null")
     color = attr("color")
     rows = rows.select(
         "doc_id", "style", "pre", F.coalesce(attr("font-weight") == "bold", F.lit(False)).alias("bold"), F.coalesce(attr("font-style") == "italic", F.lit(False)).alias("italic"),
@@ -48,57 +61,64 @@ def odt_spans(nodes: DataFrame) -> DataFrame:
     Text that isn't blank, styled spans as a whole, spaces, tabs, line breaks and links;
     other elements are descended into. Blank text between spans is lost.
     """
-    paras = odt_body(nodes).where("name = 'p'")
-    tags = named(nodes, "span", "s", "tab", "line-break", "a", part=PART)
-    texts = nodes.where((F.col("kind") == "text") & (F.col("part") == PART) & (S.non_blank(F.col("text")).isNotNull()))
-    tops = _topmost(tags.select(*KEY, "pre", "anc", "name", "attrs", F.lit(None).cast("string").alias("own")), paras, tags)
-    loose = _topmost(texts.select(*KEY, "pre", "anc", F.lit("#text").alias("name"), F.create_map().cast("map<string,string>").alias("attrs"), F.col("text").alias("own")), paras, tags)
-    rows = tops.unionByName(loose)
-    whole = nodes.where((F.col("kind") == "text") & (F.col("part") == PART)).select(*KEY, F.col("pre").alias("at"), "text", F.explode("anc").alias("pre"))
-    whole = whole.groupBy(*KEY, "pre").agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY at)").alias("inner"))
-    rows = rows.join(whole, [*KEY, "pre"], "left")
+    rows = _placed(_content(nodes, *INLINE, texts=True)).where("top_name = 'p' and not is_top")
+    outer = F.get(enclosing(*INLINE, start=F.col("at") + 1, way=F.col("way")), F.lit(0))  # the outermost inline element in the paragraph that a row stands in
+    inline = (F.col("kind") == "elem") & F.col("name").isin(INLINE)
+    rows = rows.where((F.col("kind") == "text") | inline).withColumn("unit", F.coalesce(outer, "pre"))
+    own = inline & (F.col("unit") == F.col("pre"))
+    units = rows.groupBy("doc_id", "ord", "unit").agg(
+        F.first(F.when(own, F.col("name")), ignorenulls=True).alias("name"), F.first(F.when(own, F.col("attrs")), ignorenulls=True).alias("attrs"), F.coalesce(in_order("text", "pre"), F.lit("")).alias("inner")
+    )
+    units = units.where(F.col("name").isNotNull() | S.non_blank(F.col("inner")).isNotNull())
     count = F.coalesce(S.to_int(attr("c")), F.lit(1))
-    value = F.when(F.col("name") == "s", F.repeat(F.lit(" "), count)).when(F.col("name") == "tab", "\t").when(F.col("name") == "line-break", "\n").otherwise(F.coalesce("own", "inner", F.lit("")))
+    value = F.when(F.col("name") == "s", F.repeat(F.lit(" "), count)).when(F.col("name") == "tab", "\t").when(F.col("name") == "line-break", "\n").otherwise(F.col("inner"))
     style = F.when(F.col("name") == "span", attr("style-name"))
-    rows = rows.select("doc_id", "root", "pre", "name", value.alias("text"), style.alias("style")).join(odt_styles(nodes), ["doc_id", "style"], "left")
-    link = F.col("name") == "a"
-    off = F.lit(False)
-    rows = rows.join(paras.select("doc_id", F.col("pre").alias("root"), "ord"), ["doc_id", "root"])
+    names = ["bold", "italic", "underline", "color", "size"]
+    styles = odt_styles(nodes).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("style", F.struct(*names)))).alias("styles"))
+    link, off = F.coalesce(F.col("name") == "a", F.lit(False)), F.lit(False)
+    rows = units.withColumn("style", style).join(styles, "doc_id", "left").withColumn("style", F.when(F.col("style").isNotNull(), F.try_element_at("styles", F.col("style"))))
+    rows = rows.select("doc_id", "ord", "unit", value.alias("text"), link.alias("link"), "style.*")
     return rows.select(
-        "doc_id", "ord", (F.row_number().over(Window.partitionBy("doc_id", "ord").orderBy("pre")) - 1).alias("i"), "text", F.coalesce("bold", off).alias("bold"), F.coalesce("italic", off).alias("italic"),
-        (link | F.coalesce("underline", off)).alias("underline"), F.when(link, "0000EE").otherwise(F.coalesce("color", F.lit("000000"))).alias("color"), F.coalesce(F.col("size").cast("int"), F.lit(12)).alias("size"),
+        "doc_id", F.col("ord").cast("int").alias("ord"), (F.row_number().over(Window.partitionBy("doc_id", "ord").orderBy("unit")) - 1).alias("i"), "text", F.coalesce("bold", off).alias("bold"), F.coalesce("italic", off).alias("italic"),
+        (F.col("link") | F.coalesce("underline", off)).alias("underline"), F.when(F.col("link"), "0000EE").otherwise(F.coalesce("color", F.lit("000000"))).alias("color"), F.coalesce(F.col("size").cast("int"), F.lit(12)).alias("size"),
     )
 
 
 def odt_headings(nodes: DataFrame) -> DataFrame:
     """doc_id, ord, level, text."""
     heads = odt_body(nodes).where("name = 'h'")
-    return subtree_text(heads, nodes).join(heads, [*KEY, "pre"]).select("doc_id", "ord", F.coalesce(S.to_int(attr("outline-level")), F.lit(1)).alias("level"), F.col("value").alias("text"))
+    return subtree_text(heads, nodes, "h", part=PART).select("doc_id", "ord", F.coalesce(S.to_int(attr("outline-level")), F.lit(1)).alias("level"), F.col("value").alias("text"))
 
 
 def odt_tables(nodes: DataFrame) -> DataFrame:
     """doc_id, ord, rows: all rows and cells below a body table, those of inner tables among them; a cell is repeated for the columns it spans."""
-    heads = odt_body(nodes).where("name = 'table'").select(*KEY, F.col("pre").alias("head"), "ord")
-    rows = below(nodes, "table-row").join(heads, [*KEY, "head"]).select(*KEY, "head", "ord", F.col("pre").alias("tr"))
-    cells = below(nodes, "table-cell").select(*KEY, "pre", F.col("head").alias("tr"), F.greatest(F.coalesce(S.to_int(attr("number-columns-spanned")), F.lit(1)), F.lit(1)).alias("n"))
-    cells = cells.join(rows, [*KEY, "tr"]).join(subtree_text(named(nodes, "table-cell", part=PART), nodes), [*KEY, "pre"])
-    by_row = cells.groupBy("doc_id", "ord", "tr").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pre", "value", "n"))), lambda s: F.array_repeat(s["value"], s["n"]))).alias("texts"))
-    return by_row.groupBy("doc_id", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("tr", "texts"))), lambda s: s["texts"]).alias("rows"))
+    rows = _placed(_content(nodes, "table-cell", texts=True)).where("top_name = 'table'")
+    cell = (F.col("kind") == "elem") & (F.col("name") == "table-cell")
+    within = F.concat(enclosing("table-cell", start=F.col("at"), way=F.col("way")), F.when(cell, F.array("pre")).otherwise(F.array().cast("array<int>")))
+    rows = rows.where(cell | (F.col("kind") == "text")).withColumn("cell", F.explode(within))
+    own = cell & (F.col("cell") == F.col("pre"))
+    wide = F.greatest(F.coalesce(S.to_int(attr("number-columns-spanned")), F.lit(1)), F.lit(1))
+    cells = rows.groupBy("doc_id", "ord", "cell").agg(S.ktrim(F.coalesce(in_order("text", "pre"), F.lit(""))).alias("value"), F.max(F.when(own, wide)).alias("n"), F.first(F.when(own, enclosing("table-row", start=F.col("at"), way=F.col("way"))), ignorenulls=True).alias("trs"))
+    by_row = cells.select("doc_id", "ord", "cell", "value", "n", F.explode("trs").alias("tr")).groupBy("doc_id", "ord", "tr")
+    by_row = by_row.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("cell", "value", "n"))), lambda s: F.array_repeat(s["value"], s["n"]))).alias("texts"))
+    return by_row.groupBy("doc_id", F.col("ord").cast("int").alias("ord")).agg(F.transform(F.array_sort(F.collect_list(F.struct("tr", "texts"))), lambda s: s["texts"]).alias("rows"))
 
 
 def odt_images(nodes: DataFrame, parts: DataFrame) -> DataFrame:
-    """doc_id, ord, uri, alt: the first image of each body frame whose bytes are in the package."""
-    frames = odt_body(nodes).where("name = 'frame'").select(*KEY, F.col("pre").alias("head"), "ord")
-    images = below(nodes, "image").join(frames, [*KEY, "head"]).select(*KEY, "head", "ord", "pre", attr("href").alias("href")).where("href <> ''")
-    alts = subtree_text(named(nodes, "desc", part=PART), nodes).join(below(nodes, "desc").select(*KEY, "pre", "head"), [*KEY, "pre"]).select(*KEY, "head", F.col("value").alias("alt"))
-    rows = first_per(images, [*KEY, "head"], "pre").join(parts.select("doc_id", F.col("part").alias("href")), ["doc_id", "href"], "left_semi").join(alts, [*KEY, "head"], "left")
-    return rows.select("doc_id", "ord", F.concat("doc_id", F.lit("#"), "href").alias("uri"), "alt")
+    """doc_id, ord, uri, alt: the first image of each body frame whose bytes are in the package, with the frame's first description."""
+    rows = _placed(_content(nodes, "image", "desc", texts=True)).where("top_name = 'frame'")
+    image = (F.col("name") == "image") & (attr("href") != "")
+    desc = F.when(F.col("name") == "desc", F.col("pre")).otherwise(F.get(enclosing("desc", start=F.col("at"), way=F.col("way")), F.lit(0)))
+    texts = rows.groupBy("doc_id", "ord", desc.alias("desc")).agg(F.coalesce(in_order("text", "pre"), F.lit("")).alias("text"), F.min(F.when(image, F.struct("pre", attr("href").alias("href")))).alias("image"))
+    frames = texts.groupBy("doc_id", F.col("ord").cast("int").alias("ord")).agg(F.min("image")["href"].alias("href"), S.ktrim(F.min_by("text", "desc")).alias("alt"))
+    found = frames.where("href is not null").join(parts.select("doc_id", F.col("part").alias("href")), ["doc_id", "href"], "left_semi")
+    return found.select("doc_id", "ord", F.concat("doc_id", F.lit("#"), "href").alias("uri"), "alt")
 
 
 def odt_metadata(nodes: DataFrame) -> DataFrame:
     """doc_id, title, author, description, created, modified, words of documents whose meta.xml can be read."""
     heads = named(nodes, "title", "creator", "description", "creation-date", "date", part="meta.xml")
-    values = subtree_text(heads, nodes).join(heads.select(*KEY, "pre", "name"), [*KEY, "pre"])
+    values = subtree_text(heads.select(*KEY, "pre", "name"), nodes, "title", "creator", "description", "creation-date", "date", part="meta.xml")
     value = lambda name: S.non_blank(F.min_by("value", F.when(F.col("name") == name, F.col("pre")))).alias(name)
     words = named(nodes, "document-statistic", part="meta.xml").groupBy("doc_id").agg(F.min(attr("word-count")).alias("words"))
     docs = nodes.where("part = 'meta.xml' and pre = 0").select("doc_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docflow.functions import strings as S
 from docflow.operators import body as B
 from docflow.operators.marks import paragraph_texts
-from docflow.operators.tree import KEY, attr, below, first_per, named
+from docflow.operators.tree import KEY, attr, below, enclosing, first_per, named
 from docflow.sources.packages import parts_like, resolve_target
 
 SETTINGS = "word/settings.xml"
@@ -121,8 +121,14 @@ def background(nodes: DataFrame, rels: DataFrame) -> DataFrame:
     return rows.select("doc_id", "color", "theme_color", resolve_target(F.col("part"), F.col("target")).alias("image"))
 
 
+def _said(name: str, **values: str | Column) -> Column:
+    """Name(field=value, ...), the form in which a record's fields are written out in plain text."""
+    said = [F.concat(F.lit(f"{k}="), F.coalesce((F.col(v) if isinstance(v, str) else v).cast("string"), F.lit("null"))) for k, v in values.items()]
+    return F.concat(F.lit(f"{name}("), F.concat_ws(", ", *said), F.lit(")"))
+
+
 def sections(nodes: DataFrame) -> DataFrame:
-    """doc_id, section, source, type, width, height, left, right, columns, page_start, title_page, headers, footers.
+    """doc_id, section, source, type, width, height, top, right, bottom, left, columns, page_start, title_page, headers, footers, text (all of it as one line).
 
     Sections that end in a paragraph come first, then the body's own. What is no whole
     number is null.
@@ -134,12 +140,19 @@ def sections(nodes: DataFrame) -> DataFrame:
     inner = named(nodes, "type", "pgSz", "pgMar", "cols", "pgNumType", "titlePg", "headerReference", "footerReference", part=B.MAIN).withColumn("at", F.element_at("anc", -1))
     number = lambda name, a: S.to_int(_value(name, a))
     refs = lambda name: F.array_sort(F.collect_list(F.when(F.col("name") == name, F.concat(attr("type"), F.lit(":"), attr("id")))))
+    told = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col("name") == name, F.struct("pre", attr("id").alias("id"), attr("type").alias("type"))))), lambda r: _said("HeaderFooterReference", relationshipId=r["id"], type=r["type"]))
     props = inner.groupBy(*KEY, F.col("at").alias("pre")).agg(
-        _value("type").alias("type"), number("pgSz", "w").alias("width"), number("pgSz", "h").alias("height"), number("pgMar", "left").alias("left"), number("pgMar", "right").alias("right"), number("cols", "num").alias("columns"),
+        _value("type").alias("type"), number("pgSz", "w").alias("width"), number("pgSz", "h").alias("height"), *(number("pgMar", x).alias(x) for x in ("top", "right", "bottom", "left")), number("cols", "num").alias("columns"),
         number("pgNumType", "start").alias("page_start"), _has("titlePg").alias("title_page"), refs("headerReference").alias("headers"), refs("footerReference").alias("footers"),
+        told("headerReference").alias("_headers"), told("footerReference").alias("_footers"),
+    )
+    rows = rows.join(props, [*KEY, "pre"], "left").withColumn("section", F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")) - 1)
+    listed = lambda c: F.concat(F.lit("["), F.coalesce(F.array_join(c, ", "), F.lit("")), F.lit("]"))
+    text = _said(
+        "SectionProperties", sectionIndex="section", source="source", type="type", pageWidth="width", pageHeight="height", margins=_said("EdgeInsets", **{x: x for x in ("top", "right", "bottom", "left")}),
+        columnCount="columns", pageNumberStart="page_start", headerReferences=listed("_headers"), footerReferences=listed("_footers"),
     )
-    rows = rows.join(props, [*KEY, "pre"], "left")
-    return rows.withColumn("section", F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")) - 1).drop("part", "pre")
+    return rows.withColumn("text", text).drop("part", "pre", "_headers", "_footers")
 
 
 def header_variant(index: Column, text: Column) -> Column:
@@ -171,7 +184,7 @@ def content_controls(nodes: DataFrame) -> DataFrame:
     for name, called in reversed(CONTROLS.items()):
         kind = F.when(_has(name), called).otherwise(kind)
     props = inner.groupBy(*KEY, F.col("sdt").alias("pre")).agg(S.non_blank(_value("alias")).alias("alias"), S.non_blank(_value("tag")).alias("tag"), _value("id").alias("id"), kind.alias("type"))
-    items = below(nodes, "listItem").groupBy(*KEY, F.col("head").alias("pre")).agg(F.count("*").alias("items"))
+    items = below(nodes, "listItem", of=["sdt"]).groupBy(*KEY, F.col("head").alias("pre")).agg(F.count("*").alias("items"))
     rows = heads.join(props, [*KEY, "pre"], "left").join(items, [*KEY, "pre"], "left").withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")))
     return rows.select("doc_id", "ordinal", F.coalesce("alias", "tag", F.concat(F.lit("Control "), "ordinal")).alias("title"), F.coalesce("type", F.lit("unknown")).alias("type"), "tag", "id", F.coalesce("items", F.lit(0)).alias("items"))
 
@@ -180,8 +193,8 @@ def math_zones(nodes: DataFrame) -> DataFrame:
     """doc_id, ordinal, counts (of fractions, radicals, sub- and superscripts, sums, matrices, those above 0), text (80 characters)."""
     heads = named(nodes, "oMath", part=B.MAIN).select(*KEY, "pre")
     names = ["f", "rad", "sSub", "sSup", "nary", "m"]
-    inner = below(nodes, *names).groupBy(*KEY, F.col("head").alias("pre")).agg(F.concat_ws(", ", *(F.when(F.count_if(F.col("name") == n) > 0, F.concat(F.lit(f"{n}="), F.count_if(F.col("name") == n))) for n in names)).alias("counts"))
-    texts = nodes.where("kind = 'text'").select(*KEY, F.col("pre").alias("at"), "text", F.explode("anc").alias("pre")).groupBy(*KEY, "pre").agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY at)").alias("text"))
+    inner = below(nodes, *names, of=["oMath"]).groupBy(*KEY, F.col("head").alias("pre")).agg(F.concat_ws(", ", *(F.when(F.count_if(F.col("name") == n) > 0, F.concat(F.lit(f"{n}="), F.count_if(F.col("name") == n))) for n in names)).alias("counts"))
+    texts = nodes.where("kind = 'text'").select(*KEY, F.col("pre").alias("at"), "text", F.explode(enclosing("oMath")).alias("pre")).groupBy(*KEY, "pre").agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY at)").alias("text"))
     rows = heads.join(inner, [*KEY, "pre"], "left").join(texts, [*KEY, "pre"], "left")
     return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")).alias("ordinal"), F.coalesce("counts", F.lit("")).alias("counts"), F.left(F.coalesce("text", F.lit("")), F.lit(80)).alias("text"))
 
@@ -207,12 +220,12 @@ def images(nodes: DataFrame, rels: DataFrame, parts: DataFrame) -> DataFrame:
 def drawings(nodes: DataFrame) -> DataFrame:
     """doc_id, pre, kind, width, height, alt, title, position_x and position_y (what an anchor's place is relative to), wrap, rotation, effects, has_chart, has_smart_art, grouped, has_text of inline and anchored drawings."""
     heads = named(nodes, "inline", "anchor", part=B.MAIN).select(*KEY, "pre", F.col("name").alias("kind"), attr("behindDoc").isNotNull().alias("behind"))
-    groups, boxes = ["wgp", "grpSp", "group"], ["txbx", "txbxContent", "textbox"]
+    groups, boxes = ["grpSp", "group"], ["txbx", "txbxContent", "textbox"]
     names = ["extent", "docPr", "positionH", "positionV", "xfrm", "chart", "relIds", *groups, *boxes, *(n for n, _ in EFFECTS), *(n for n, _ in WRAPS)]
     turned = F.min_by(attr("rot"), F.when(attr("rot").isNotNull(), F.col("pre")))
-    inner = below(nodes, *names).groupBy(*KEY, F.col("head").alias("pre")).agg(
+    inner = below(nodes, *names, of=["inline", "anchor"]).groupBy(*KEY, F.col("head").alias("pre")).agg(
         _value("extent", "cx").try_cast("long").alias("width"), _value("extent", "cy").try_cast("long").alias("height"), _value("docPr", "descr").alias("alt"), _value("docPr", "title").alias("title"),
-        _value("positionH", "relativeFrom").alias("position_x"), _value("positionV", "relativeFrom").alias("position_y"), F.coalesce(F.bool_or(F.col("name").isin(groups)), F.lit(False)).alias("grouped"), F.coalesce(F.bool_or(F.col("name").isin(boxes)), F.lit(False)).alias("has_text"),
+        _value("positionH", "relativeFrom").alias("position_x"), _value("positionV", "relativeFrom").alias("position_y"), F.coalesce(F.bool_or(F.col("qname").isin("wps:grpSp", "v:group")), F.lit(False)).alias("grouped"), F.coalesce(F.bool_or(F.col("name").isin(boxes)), F.lit(False)).alias("has_text"),
         (S.to_int(turned) / 60000).cast("int").alias("rotation"), *(_has(n).alias(n) for n in ("chart", "relIds")), *(_has(n).alias(f"e_{n}") for n, _ in EFFECTS), *(_has(n).alias(f"w_{n}") for n, _ in WRAPS),
     )
     rows = heads.join(inner, [*KEY, "pre"], "left")
@@ -226,7 +239,7 @@ def drawings(nodes: DataFrame) -> DataFrame:
 def legacy_pictures(nodes: DataFrame) -> DataFrame:
     """doc_id, pre, kind, inline, alt, wrap of VML pictures; alt is "" without an alternative text."""
     heads = named(nodes, "pict", part=B.MAIN).select(*KEY, "pre")
-    alts = nodes.where("kind = 'elem'").select(*KEY, F.col("pre").alias("at"), F.explode("anc").alias("pre"), attr("alt").alias("alt")).where("alt is not null")
+    alts = nodes.where("kind = 'elem'").select(*KEY, F.col("pre").alias("at"), F.explode(enclosing("pict")).alias("pre"), attr("alt").alias("alt")).where("alt is not null")
     rows = heads.join(first_per(alts, [*KEY, "pre"], "at"), [*KEY, "pre"], "left")
     return rows.select("doc_id", "pre", F.lit("pict").alias("kind"), F.lit(True).alias("inline"), F.coalesce("alt", F.lit("")).alias("alt"), F.lit("legacy-vml").alias("wrap"))
 
@@ -238,8 +251,8 @@ def outer_xml(nodes: DataFrame, name: str, length: int) -> DataFrame:
     namespaces. A start tag or an end tag has three characters or more and texts stand between
     tags, so the first `length` nodes are enough.
     """
-    heads = named(nodes, name, part=B.MAIN).select(*KEY, F.col("pre").alias("head"))
-    inside = nodes.join(heads.select(*KEY).distinct(), KEY, "left_semi").withColumn("head", F.explode(F.concat("anc", F.array("pre")))).where(F.col("pre") < F.col("head") + length).join(heads, [*KEY, "head"])
+    own = F.when(F.col("name") == name, F.array("pre")).otherwise(F.array().cast("array<int>"))
+    inside = nodes.where(F.col("part") == B.MAIN).withColumn("head", F.explode(F.concat(enclosing(name), own))).where(F.col("pre") < F.col("head") + length)
     attrs = F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), S.escaped(e["value"]), F.lit('"'))), "")
     start = F.concat(F.lit("<"), "qname", F.coalesce(attrs, F.lit("")), F.when(F.col("post") == F.col("pre"), "/>").otherwise(">"))
     here = F.struct(F.col("pre").alias("at"), F.lit(0).alias("turn"), F.lit(0).alias("rank"), F.when(F.col("kind") == "text", S.escaped(F.col("text"))).otherwise(start).alias("x"))
@@ -252,7 +265,7 @@ def outer_xml(nodes: DataFrame, name: str, length: int) -> DataFrame:
 def ole_objects(nodes: DataFrame) -> DataFrame:
     """doc_id, pre, kind, prog_id, shape_id, description (the first 200 characters of its markup) of embedded objects."""
     heads = named(nodes, "object", part=B.MAIN).select(*KEY, "pre", attr("dxaOrig").alias("shape_id"))
-    inner = below(nodes, "OLEObject").groupBy(*KEY, F.col("head").alias("pre")).agg(F.max(attr("ProgID")).alias("prog_id"))
+    inner = below(nodes, "OLEObject", of=["object"]).groupBy(*KEY, F.col("head").alias("pre")).agg(F.max(attr("ProgID")).alias("prog_id"))
     rows = heads.join(inner, [*KEY, "pre"], "left").join(outer_xml(nodes, "object", 200), [*KEY, "pre"], "left")
     return rows.select("doc_id", "pre", F.lit("ole-object").alias("kind"), F.coalesce("prog_id", F.lit("")).alias("prog_id"), "shape_id", F.col("xml").alias("description"))
 

@@ -39,14 +39,38 @@ def first_child(heads: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     return found.groupBy(*KEY, "head").agg(F.min("pre").alias("pre"), F.min_by("attrs", "pre").alias("attrs"))
 
 
-def below(nodes: DataFrame, *names: str) -> DataFrame:
-    """Elements of those names once for each of their ancestors, which is head: an equality where intervals would need a range join."""
-    return named(nodes, *names).withColumn("head", F.explode("anc"))
+def steps() -> Column:
+    """The local names of what a node stands in, from the root to its parent: names for the pres of anc."""
+    return F.split("path", "/")
 
 
-def descendants(heads: DataFrame, nodes: DataFrame, *names: str) -> DataFrame:
-    """heads' descendants, each with the head's pre as head, the head itself not among them."""
-    return below(nodes, *names).join(heads.select(*KEY, F.col("pre").alias("head")), [*KEY, "head"], "left_semi")
+def enclosing(*of: str, start: Column | None = None, way: Column | None = None) -> Column:
+    """The pres of the elements of those names that a node stands in, outermost first; with start, those from that step on. way: steps() where a column has them."""
+    way = steps() if way is None else way
+    here = lambda i: F.get(way, i).isin(*of)
+    return F.filter("anc", (lambda _, i: here(i)) if start is None else (lambda _, i: here(i) & (i >= start)))
+
+
+def nearest(*of: str) -> Column:
+    """The pre of the innermost element of those names that a node stands in, or null."""
+    return F.try_element_at(enclosing(*of), F.lit(-1))
+
+
+def below(nodes: DataFrame, *names: str, of: list[str]) -> DataFrame:
+    """Elements of those names once for each element of the names `of` that they stand in, which is head. A node's path tells that, so nothing else is made of its row."""
+    return named(nodes, *names).withColumn("head", F.explode(enclosing(*of)))
+
+
+def descendants(heads: DataFrame, nodes: DataFrame, *names: str, of: list[str]) -> DataFrame:
+    """heads' descendants, each with the head's pre as head, the head itself not among them; `of`: the names that heads have.
+
+    Heads and candidates meet in one exchange, by (doc_id, part, head).
+    """
+    found = below(nodes, *names, of=of)
+    own = heads.select(*KEY, F.col("pre").alias("head"), F.lit(True).alias("_head"))
+    both = found.withColumn("_head", F.lit(False)).unionByName(own, allowMissingColumns=True)
+    known = F.bool_or("_head").over(Window.partitionBy(*KEY, "head"))
+    return both.withColumn("_known", known).where("_known and not _head").select(*found.columns)
 
 
 def in_order(value: str, order: str, sep: str = "") -> Column:
@@ -54,11 +78,17 @@ def in_order(value: str, order: str, sep: str = "") -> Column:
     return F.expr(f"listagg({value}, '{sep}') WITHIN GROUP (ORDER BY {order})")
 
 
-def subtree_text(heads: DataFrame, nodes: DataFrame) -> DataFrame:
-    """doc_id, part, pre and value, the trimmed text of all text nodes below; blank where there are none."""
-    texts = nodes.where("kind = 'text'").select(*KEY, F.col("pre").alias("at"), "text", F.explode("anc").alias("pre"))
-    joined = heads.select(*KEY, "pre").join(texts, [*KEY, "pre"], "left")
-    return joined.groupBy(*KEY, "pre").agg(S.ktrim(F.coalesce(in_order("text", "at"), F.lit(""))).alias("value"))
+def subtree_text(heads: DataFrame, nodes: DataFrame, *of: str, part: str | None = None) -> DataFrame:
+    """heads, which have the names `of`, with value, the trimmed text of all text nodes below; blank where there are none.
+
+    Heads and texts meet in one exchange. part: where all heads are in one part.
+    """
+    texts = nodes.where("kind = 'text'") if part is None else nodes.where((F.col("kind") == "text") & (F.col("part") == part))
+    texts = texts.select(*KEY, F.col("pre").alias("_at"), F.col("text").alias("_text"), F.explode(enclosing(*of)).alias("pre"))
+    both = heads.withColumn("_head", F.lit(True)).unionByName(texts, allowMissingColumns=True)
+    more = [F.first(c, ignorenulls=True).alias(c) for c in heads.columns if c not in (*KEY, "pre")]
+    value = S.ktrim(F.coalesce(in_order("_text", "_at"), F.lit("")))
+    return both.groupBy(*KEY, "pre").agg(*more, value.alias("value"), F.bool_or("_head").alias("_head")).where("_head").drop("_head")
 
 
 def first_per(df: DataFrame, keys: list[str], order: str | Column) -> DataFrame:

@@ -102,7 +102,7 @@ def nav_02_first_child(s, d):
 
 def nav_03_descendants(s, d):
     n = nodes(s, d)
-    found = T.descendants(T.named(n, "p", part=B.MAIN), n, "t")
+    found = T.descendants(T.named(n, "p", part=B.MAIN), n, "t", of=["p"])
     return found.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
 
 
@@ -113,8 +113,7 @@ def nav_04_attribute(s, d):
 
 def nav_05_text_value(s, d):
     n = nodes(s, d)
-    values = T.subtree_text(B.paragraphs(n), n).join(B.paragraphs(n), ["doc_id", "part", "pre"])
-    return values.select(*long("doc_id", "para"), "value")
+    return T.subtree_text(B.paragraphs(n), n, "p", part=B.MAIN).select(*long("doc_id", "para"), "value")
 
 
 def nav_06_matches(s, d):
@@ -186,6 +185,10 @@ def doc_29_table_metadata(s, d):
     return B.table_metadata(nodes(s, d, "table")).select(*long("doc_id"), "style", "borders", "caption")
 
 
+def doc_29_table_margins(s, d):
+    return B.table_metadata(nodes(s, d, "table")).select(*long("doc_id"), *(F.col(f"margins.{x}").cast("long").alias(x) for x in ("top", "right", "bottom", "left")))
+
+
 def doc_30_cell_metadata(s, d):
     rows = B.cells(nodes(s, d, "table")).where("row > 0")
     return rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
@@ -225,6 +228,20 @@ def elm_08_apply_edits(s, d):
     return E.apply_edits(elements(s, d), edits).where("type = 'paragraph'").select(*long("doc_id", "seq"), "text", "color")
 
 
+def _log(s, d):
+    """Four edits of each document: two of one paragraph, one of a header and one of nothing."""
+    docs = X.table(s, d, "documents").select(F.col("doc_id").cast("string"), F.explode(F.array(*(F.struct(F.lit(e).alias("edit"), F.lit(q).alias("seq")) for e, q in ((1, 1), (2, 1), (3, 0), (4, 1_000_000))))).alias("e"))
+    return docs.select("doc_id", "e.*", F.concat(F.lit("edit "), "e.edit", F.lit(" of "), "doc_id").alias("new_text"))
+
+
+def elm_08_edit_log(s, d):
+    return E.apply_edits(elements(s, d), _log(s, d)).where("type in ('paragraph', 'header')").select(*long("doc_id", "seq"), "type", "text", F.size("spans").cast("long").alias("spans"))
+
+
+def elm_08_rejected_edits(s, d):
+    return E.rejected_edits(elements(s, d), _log(s, d)).select(*long("doc_id", "seq", "edit"), "new_text", "reason")
+
+
 def elm_09_element_counts(s, d):
     return E.element_counts(elements(s, d)).select("type", "n")
 
@@ -271,6 +288,11 @@ SQL = {
     "doc_27_table_rows": f"SELECT doc_id, n || '|' || l_partkey || '|' || l_returnflag || '|' || l_linestatus AS texts FROM ({LINE_TABLE}) UNION ALL SELECT DISTINCT doc_id, 'head' FROM ({LINE_TABLE})",
     "doc_28_table_has_header": f"SELECT DISTINCT doc_id, true AS has_header FROM ({LINE_TABLE})",
     "doc_29_table_metadata": f"SELECT DISTINCT doc_id, 'Grid' AS style, 'top:FF0000, bottom:00FF00' AS borders, NULL AS caption FROM ({LINE_TABLE})",
+    "doc_29_table_margins": f"SELECT DISTINCT doc_id, NULL::BIGINT AS top, NULL::BIGINT AS \"right\", NULL::BIGINT AS bottom, 108 AS \"left\" FROM ({LINE_TABLE})",
+    "elm_08_edit_log": f"""SELECT doc_id, seq, type, CASE WHEN type = 'paragraph' AND seq = 1 THEN 'edit 2 of ' || doc_id WHEN type = 'header' THEN {TRIMMED} ELSE line END AS text,
+        CASE WHEN type = 'header' THEN NULL WHEN seq = 1 THEN 1 ELSE n END AS spans FROM ({NUMBERED}) JOIN (SELECT doc_id, k AS pos, count(*) FILTER (t <> '') AS n FROM ({RUNS}) GROUP BY 1, 2) USING (doc_id, pos) WHERE type <> 'page_break'""",
+    "elm_08_rejected_edits": f"""SELECT d.doc_id, v.seq, v.edit, 'edit ' || v.edit || ' of ' || d.doc_id AS new_text, CASE WHEN n.type IS NULL THEN 'out of range' WHEN n.type <> 'paragraph' THEN 'no paragraph' ELSE 'stale' END AS reason
+        FROM documents d CROSS JOIN (VALUES (1, 1), (2, 1), (3, 0), (4, 1000000)) AS v(edit, seq) LEFT JOIN ({NUMBERED}) n ON n.doc_id = d.doc_id AND n.seq = v.seq WHERE n.type IS DISTINCT FROM 'paragraph' OR v.edit = 1""",
     "doc_30_cell_metadata": f"SELECT doc_id, 4 * count(*) AS cells, 2 * count(*) AS spanned, count(*) AS merged, count(*) FILTER (l_returnflag = 'R') AS shaded, count(*) FILTER (n = 1) AS nested, count(*) FILTER (l_returnflag = 'R') AS bordered, sum(n)::BIGINT AS left_margins, 0 AS top_margins FROM ({LINE_TABLE}) GROUP BY doc_id",
     "doc_38_document_elements": f"SELECT doc_id, seq, type FROM ({NUMBERED})",
     "elm_01_of_type": f"SELECT doc_id, seq, {TRIMMED} AS text FROM ({NUMBERED}) WHERE type = 'header'",

@@ -97,7 +97,7 @@ def fx_table(spark: SparkSession, sf: str) -> DataFrame:
     inner = F.when(n == 1, "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>inner</w:t></w:r></w:p></w:tc></w:tr></w:tbl>").otherwise("")
     xml = F.concat(F.lit("<w:tr>"), cell(n.cast("string"), '<w:gridSpan w:val="2"/>'), F.lit("</w:tc>"), cell(F.col("l_partkey").cast("string")), inner, F.lit("</w:tc>"), flag, cell(F.col("l_linestatus")), F.lit("</w:tc></w:tr>"))
     at = F.col("l_linenumber").cast("long") * 1_000_000_000_000 + F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")
-    head = f'<w:document {W}><w:body><w:tbl><w:tblPr><w:tblStyle w:val="Grid"/><w:tblBorders><w:top w:color="FF0000"/><w:bottom w:color="00FF00"/></w:tblBorders></w:tblPr><w:tr><w:trPr><w:tblHeader/></w:trPr><w:tc><w:p><w:r><w:t>head</w:t></w:r></w:p></w:tc></w:tr>'
+    head = f'<w:document {W}><w:body><w:tbl><w:tblPr><w:tblStyle w:val="Grid"/><w:tblBorders><w:top w:color="FF0000"/><w:bottom w:color="00FF00"/><w:left/></w:tblBorders><w:tblCellMar><w:left w:w="108"/><w:top w:w="none"/></w:tblCellMar></w:tblPr><w:tr><w:trPr><w:tblHeader/></w:trPr><w:tc><w:p><w:r><w:t>head</w:t></w:r></w:p></w:tc></w:tr>'
     return aggregated(rows.withColumn("at", at), F.col("l_orderkey"), "at", xml, "word/document.xml", head, "</w:tbl></w:body></w:document>")
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docflow.operators import body as B
+from docflow.operators import catalogue as C
 from docflow.operators import elements as E
 from docflow.operators import marks as M
 from docflow.operators import odt as O
+from docflow.operators import package as G
 from docflow.operators import recents as R
 from docflow.operators import sinks as K
 from docflow.plans import fixtures as X
-from docflow.plans.body_queries import LINES, NUMBERED, TRIMMED, WHOLE, elements, long, nodes
+from docflow.plans.body_queries import ALIGN, LABEL, LINES, NUMBERED, RUNS, TRIMMED, WHOLE, elements, long, nodes
 from docflow.sources import packages as P
 from docflow.streaming import streams
 
@@ -75,6 +77,15 @@ def mrk_11_page_layout(s, d):
     return M.page_layout(nodes(s, d)).select(*long("doc_id", "pages"))
 
 
+def mrk_11_page_rows(s, d):
+    rows = M.page_rows(nodes(s, d)).select(*long("doc_id", "ordinal"), "kind", "title", "summary", F.col("attributes")["pageIndex"].alias("page"), F.size("attributes").cast("long").alias("attributes"))
+    return rows
+
+
+def mrk_11_section_rows(s, d):
+    return M.page_rows(nodes(s, d, "sect")).select(*long("doc_id", "ordinal"), "kind", "title", "summary", F.col("attributes")["sectionIndex"].alias("section"))
+
+
 def mrk_12_borders_shading(s, d):
     return M.borders_shading(nodes(s, d, "table")).select(*long("doc_id"), "shading", "page_borders")
 
@@ -167,6 +178,33 @@ def snk_02_export_docx(s, d):
     return again.where("type <> 'page_break'").select(*long("doc_id", "level"), "type", "text")
 
 
+def _exported(s, d):
+    """The nodes of the body's elements after an export."""
+    return X.kept(s, d, "exported", lambda: P.shred(P.explode_parts(P.packed(K.export_docx(elements(s, d))))))
+
+
+def snk_02_exported_spans(s, d):
+    rows = E.flatten_spans(_exported(s, d))
+    return rows.select(*long("doc_id", "para", "ordinal", "size"), "alignment", "text", "bold", "italic", "underline", "color", "font")
+
+
+def snk_02_exported_styles(s, d):
+    n = _exported(s, d)
+    rows = B.paragraph_style(n).join(B.paragraphs(n).withColumnRenamed("pre", "p"), ["doc_id", "part", "p"])
+    return rows.select(*long("doc_id", "para", "left", "right", "heading_level"), "style_id", "alignment")
+
+
+def snk_02_exported_pictures(s, d):
+    """Pictures of the packages of a fixture, in packages made anew."""
+    n, parts = nodes(s, d, "sect"), X.parts_of(s, d, "sect")
+    media = parts.where("part like 'word/media/%'").select(F.concat("doc_id", F.lit("#"), "part").alias("uri"), F.col("content").cast("binary"))
+    rows = E.document_elements(n, C.paragraph_level(n, parts))
+    made = P.stored(P.explode_parts(P.packed(K.export_docx(rows, media))), "made")
+    again = P.shred(made)
+    found = G.images(again, P.relationships(again), made).join(made.select("doc_id", F.concat("doc_id", F.lit("#"), "part").alias("uri"), "content"), ["doc_id", "uri"])
+    return found.select(*long("doc_id"), F.substring_index("uri", "#", -1).alias("part"), "alt", "ext", F.decode("content", "UTF-8").alias("bytes"))
+
+
 def snk_03_export_odt(s, d):
     again = P.stored(P.shred(P.explode_parts(P.packed(K.export_odt(elements(s, d))))))
     return O.odt_body(again).groupBy(F.col("doc_id").cast("long").alias("doc_id"), "name").agg(F.count("*").alias("n"))
@@ -280,6 +318,16 @@ SQL = {
     "odt_09_odt_metadata": "SELECT doc_id, 'T' || doc_id AS title, source AS author, NULL AS words FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 5 <> 0",
     "snk_01_write_text": f"SELECT doc_id, string_agg(CASE WHEN type = 'page_break' THEN '' WHEN type = 'header' THEN {TRIMMED} ELSE coalesce(CASE pos % 7 WHEN 3 THEN '• ' WHEN 4 THEN '%1. ' WHEN 6 THEN '• ' END, '') || line END, chr(10) ORDER BY seq) AS text FROM ({NUMBERED}) GROUP BY doc_id",
     "snk_02_export_docx": f"SELECT doc_id, CASE WHEN type = 'header' THEN CASE WHEN pos = 0 THEN 1 ELSE 2 END END AS level, type, CASE WHEN type = 'header' THEN {TRIMMED} ELSE coalesce(CASE pos % 7 WHEN 3 THEN '• ' WHEN 4 THEN '%1. ' WHEN 6 THEN '• ' END, '') || line END AS text FROM ({NUMBERED}) WHERE type <> 'page_break'",
+    "snk_02_exported_spans": f"""SELECT doc_id, seq AS para, row_number() OVER (PARTITION BY doc_id, seq ORDER BY i) - 1 AS ordinal, CASE WHEN i = 1 THEN 14 ELSE 11 END AS size, {ALIGN.replace('k %', 'pos %')} AS alignment, t AS text, i = 1 AS bold, i = 2 AS italic, false AS underline,
+        CASE WHEN i = 2 THEN 'FF0000' ELSE '000000' END AS color, CASE WHEN i > 0 AND pos % 11 = 10 THEN 'Arial' END AS font
+        FROM (SELECT doc_id, seq, pos, i, t FROM ({NUMBERED}) JOIN (SELECT doc_id, k AS pos, i, t FROM ({RUNS}) WHERE t <> '') USING (doc_id, pos) WHERE type = 'paragraph'
+        UNION ALL SELECT doc_id, seq, pos, 0, {LABEL.replace('k %', 'pos %')} || ' ' FROM ({NUMBERED}) WHERE type = 'paragraph' AND pos % 7 IN (3, 4, 6))""",
+    "snk_02_exported_styles": f"""SELECT doc_id, seq AS para, CASE WHEN type = 'paragraph' THEN nullif(pos * 10, 0) END AS "left", NULL::BIGINT AS "right", CASE WHEN type = 'header' THEN CASE WHEN pos = 0 THEN 1 ELSE 2 END END AS heading_level,
+        CASE WHEN type = 'header' THEN CASE WHEN pos = 0 THEN 'Heading1' ELSE 'Heading2' END END AS style_id, CASE WHEN type = 'paragraph' THEN {ALIGN.replace('k %', 'pos %')} ELSE 'START' END AS alignment FROM ({NUMBERED}) WHERE type <> 'page_break'""",
+    "snk_02_exported_pictures": "SELECT o_orderkey AS doc_id, 'word/media/image1.jpeg' AS part, 'Document Image' AS alt, 'jpeg' AS ext, 'x' AS bytes FROM orders WHERE o_orderkey % 8 <> 0",
+    "mrk_11_page_rows": f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS ordinal, 'page' AS kind, 'Page ' || row_number() OVER (PARTITION BY doc_id ORDER BY k) AS title, CASE WHEN k < 0 THEN 'start' ELSE 'explicit page break' END AS summary,
+        (row_number() OVER (PARTITION BY doc_id ORDER BY k))::VARCHAR AS page, 1 AS attributes FROM (SELECT doc_id, k FROM ({WHOLE}) WHERE k % 20 = 19 UNION ALL SELECT doc_id, -1 FROM documents WHERE doc_id % 97 <> 0)""",
+    "mrk_11_section_rows": "SELECT o_orderkey AS doc_id, i AS ordinal, k AS kind, t AS title, m AS summary, n AS section FROM orders, (VALUES (1, 'page', 'Page 1', 'start', NULL), (2, 'page-section', 'Section 2', 'sectionBoundary=true', '1')) AS v(i, k, t, m, n)",
     "snk_03_export_odt": f"SELECT doc_id, 'p' AS name, count(*) AS n FROM ({NUMBERED}) GROUP BY doc_id",
     "str_01_stream_corpus": f"SELECT doc_id, seq, type, CASE type WHEN 'header' THEN {TRIMMED} WHEN 'paragraph' THEN line END AS text FROM ({NUMBERED})",
     "str_02_stream_recents": f"SELECT uri, epoch_us(ts) AS at FROM ({TOP}) ORDER BY ts DESC, uri LIMIT 5",

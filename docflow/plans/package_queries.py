@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docflow.operators import body as B
 from docflow.operators import catalogue as C
+from docflow.operators import elements as E
 from docflow.operators import package as G
 from docflow.operators import sinks as K
 from docflow.plans import fixtures as X
@@ -65,11 +66,11 @@ def fx_sect(spark: SparkSession, sf: str) -> DataFrame:
     math = F.concat(F.lit("<w:p><m:oMath>"), F.when(k % 2 == 0, "<m:f/><m:f/>").otherwise(""), F.lit("<m:rad/><m:r><m:t>x"), text, F.lit("</m:t></m:r></m:oMath></w:p>"))
     alt = F.concat(F.lit('<mc:AlternateContent><mc:Choice Requires="wps"/>'), F.when(k % 2 == 0, "<mc:Choice/>").otherwise(""), F.when(k % 3 == 0, "<mc:Fallback/>").otherwise(""), F.lit("</mc:AlternateContent>"))
     inner = F.concat(F.lit('<wp:extent cx="'), (k * 10).cast("string"), F.lit('" cy="20"/><wp:docPr descr="'), F.when(k % 3 == 0, " ").otherwise(F.concat(F.lit("d"), text)), F.lit('" title="t"/><a:xfrm rot="-'), ((k % 7) * 60000).cast("string"), F.lit('"/><a:blip r:embed="r1"/>'), F.when(k % 2 == 0, "<a:glow/>").otherwise(""))
-    drawing = F.when(k % 4 == 0, F.concat(F.lit("<wp:inline>"), inner, F.lit("</wp:inline>"))).otherwise(F.concat(F.lit("<wp:anchor"), F.when(k % 4 == 1, ' behindDoc="0"').otherwise(""), F.lit('><wp:wrapTight/><wp:positionH relativeFrom="page"/>'), F.when(k % 5 == 0, '<wp:positionV relativeFrom="margin"/>').otherwise(""), F.when(k % 6 == 1, "<wp:grpSp/>").otherwise(""), F.when(k % 3 == 1, "<w:txbxContent/>").otherwise(""), inner, F.lit("</wp:anchor>")))
+    drawing = F.when(k % 4 == 0, F.concat(F.lit("<wp:inline>"), inner, F.lit("</wp:inline>"))).otherwise(F.concat(F.lit("<wp:anchor"), F.when(k % 4 == 1, ' behindDoc="0"').otherwise(""), F.lit('><wp:wrapTight/><wp:positionH relativeFrom="page"/>'), F.when(k % 5 == 0, '<wp:positionV relativeFrom="margin"/>').otherwise(""), F.when(k % 6 == 1, "<wps:grpSp/>").when(k % 6 == 3, "<wpg:wgp/>").otherwise(""), F.when(k % 3 == 1, "<w:txbxContent/>").otherwise(""), inner, F.lit("</wp:anchor>")))
     drawing = F.concat(F.lit("<w:p><w:r><w:drawing>"), drawing, F.lit("</w:drawing></w:r></w:p>"))
     old = F.concat(F.lit('<w:p><w:r><w:pict><v alt="p'), text, F.lit('"/></w:pict></w:r><w:r><w:object w:dxaOrig="7"><o:OLEObject ObjectID="'), F.repeat(F.lit("z"), (k % 300).cast("int")), F.lit('" ProgID="Excel"/></w:object></w:r></w:p>'))
     tail = F.lit('<w:sectPr><w:headerReference w:type="default" r:id="h1"/><w:pgSz w:w="600" w:h="800"/><w:pgNumType w:start="3"/><w:titlePg/></w:sectPr></w:body></w:document>')
-    head = f'<w:document {X.W} xmlns:m="m" xmlns:mc="mc" xmlns:wp="wp" xmlns:a="a" xmlns:o="o"><w:body>'
+    head = f'<w:document {X.W} xmlns:m="m" xmlns:mc="mc" xmlns:wp="wp" xmlns:wps="wps" xmlns:wpg="wpg" xmlns:a="a" xmlns:o="o"><w:body>'
     return _row(
         X.table(spark, sf, "orders"), "o_orderkey", ("word/document.xml", F.concat(F.lit(head), first, sdt, math, alt, drawing, old, tail)), ("word/_rels/document.xml.rels", F.lit('<Relationships><Relationship Id="r1" Target="media/i.jpeg"/></Relationships>')), ("word/media/i.jpeg", F.lit("x"), k % 8 != 0)
     )
@@ -223,6 +224,19 @@ def edg_09_catalogue(s, d):
     return rows.groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def edg_09_catalogue_titles(s, d):
+    return C.catalogue(nodes(s, d, "edge"), fx_edge(s, d)).groupBy("kind", "title").agg(F.count("*").alias("n"))
+
+
+def doc_32_section_text(s, d):
+    return G.sections(nodes(s, d, "sect")).select(*long("doc_id", "section"), "text")
+
+
+def elm_10_span_links(s, d):
+    n = nodes(s, d, "water")
+    return E.flatten_spans(n, P.relationships(n)).select(*long("doc_id", "para", "ordinal"), "text", "link_address", "link_anchor")
+
+
 def mrk_06_captions(s, d):
     from docflow.operators.marks import captions
 
@@ -324,6 +338,13 @@ SQL = {
     "doc_04_paragraph_hyperlink": "SELECT s_suppkey AS doc_id, CASE s_suppkey % 5 WHEN 2 THEN 'MAILTO:a@b.example' WHEN 3 THEN 'http://a.example' WHEN 4 THEN 'http://a.example' END AS address, CASE WHEN s_suppkey % 5 = 0 THEN 'top' END AS anchor, CASE WHEN s_suppkey % 5 > 2 THEN 'tip' END AS tooltip FROM supplier",
     "doc_05_is_external_is_email": "SELECT s_suppkey AS doc_id, s_suppkey % 5 > 1 AS is_external, s_suppkey % 5 = 2 AS is_email FROM supplier",
     "edg_09_catalogue": f"SELECT kind, count(*) AS n FROM supplier, unnest({EDGE_KINDS}) AS u(kind) WHERE kind IS NOT NULL GROUP BY kind",
+    "edg_09_catalogue_titles": f"""WITH t(kind, title) AS (VALUES ('document-settings', 'Document Settings'), ('protection', 'Document Protection'), ('custom-xml-collection', 'Custom XML Data'), ('custom-xml', 'item1.xml'), ('mail-merge', 'Mail Merge Configuration'),
+        ('interactive-content', 'Interactive & Advanced Content'), ('embeddings-collection', 'Embedded Objects & Files'), ('embedded-file', 'e.xml'), ('hyphenation', 'Hyphenation Settings'))
+        SELECT kind, title, count(*) AS n FROM supplier, unnest({EDGE_KINDS}) AS u(kind) JOIN t USING (kind) GROUP BY kind, title""",
+    "doc_32_section_text": f"""SELECT {O} AS doc_id, 0 AS section, 'SectionProperties(sectionIndex=0, source=paragraph:0, type=continuous, pageWidth=' || CASE WHEN {O} % 5 <> 0 THEN '1' || {O} % 1000 ELSE 'null' END ||
+        ', pageHeight=500, margins=EdgeInsets(top=null, right=null, bottom=null, left=null), columnCount=null, pageNumberStart=null, headerReferences=[], footerReferences=[])' AS text FROM orders
+        UNION ALL SELECT {O}, 1, 'SectionProperties(sectionIndex=1, source=body, type=null, pageWidth=600, pageHeight=800, margins=EdgeInsets(top=null, right=null, bottom=null, left=null), columnCount=null, pageNumberStart=3, headerReferences=[HeaderFooterReference(relationshipId=h1, type=default)], footerReferences=[])' FROM orders""",
+    "elm_10_span_links": "SELECT s_suppkey AS doc_id, 0 AS para, 0 AS ordinal, 'x' AS text, CASE s_suppkey % 5 WHEN 2 THEN 'MAILTO:a@b.example' WHEN 3 THEN 'http://a.example' WHEN 4 THEN 'http://a.example' END AS link_address, CASE WHEN s_suppkey % 5 = 0 THEN 'top' END AS link_anchor FROM supplier",
     "doc_38_whole_document": f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS seq, r[1] AS type, r[2] AS kind, r[3] AS summary
         FROM (SELECT {O} AS doc_id, unnest({SECT_ROWS}) AS r, generate_subscripts({SECT_ROWS}, 1) AS i FROM orders) WHERE r IS NOT NULL""",
     "snk_04_write_media": f"SELECT {O} || '#word/media/i.jpeg' AS uri, 1 AS bytes FROM orders WHERE {O} % 8 <> 0",

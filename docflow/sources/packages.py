@@ -2,8 +2,8 @@
 
 Only two steps are Python, each over Arrow batches: unpacking a file into its parts and
 cutting a part's XML into numbered nodes. A node's pre is its place in document order,
-post the last pre below it, anc the pres from the root to its parent; so descendants
-and ancestors are plain joins on (doc_id, part, pre).
+post the last pre below it, anc the pres from the root to its parent and path their local names
+with slashes between; so what a node stands in is known from its own row, without a join.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ MIMES = {
     "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
     "odt": "application/vnd.oasis.opendocument.text",
 }
-NODES = "doc_id string, part string, pre int, post int, parent int, depth int, kind string, name string, ns string, qname string, attrs map<string,string>, text string, anc array<int>"
+NODES = "doc_id string, part string, pre int, post int, parent int, depth int, kind string, name string, ns string, qname string, attrs map<string,string>, text string, anc array<int>, path string"
 PARTS = "doc_id string, entry_seq int, part string, ext string, content binary"
 _formats: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
@@ -110,44 +110,72 @@ def packed(parts: DataFrame) -> DataFrame:
     return parts.select("doc_id", "entry_seq", "part", F.col("content").cast("binary")).groupBy("doc_id").applyInArrow(work, "doc_id string, content binary")
 
 
-def _shredded(doc: str, part: str, content: bytes, rows: list[tuple]) -> None:
-    """Append the nodes of one part; none if it isn't well formed."""
-    found: list[list] = []
-    stack: list[int] = []
-    text: list[str] = []
-    parser = expat.ParserCreate(namespace_separator="\n")
-    parser.namespace_prefixes, parser.ordered_attributes, parser.buffer_text = True, True, True
+class _Nodes:
+    """The nodes of one part as its XML is fed, each given out when it ends: only open elements are kept. pre counts starts; so the order in which nodes come is not theirs."""
 
-    def names(full: str) -> tuple[str | None, str, str]:
+    def __init__(self, doc: str, part: str):
+        self.doc, self.part, self.n, self.text = doc, part, 0, []
+        self.open: list[tuple] = []  # own row without post, and anc and path of what stands in it
+        self.inside: tuple[list[int], str] = ([], "")
+        self.rows: list[tuple] = []
+        self.parser = expat.ParserCreate(namespace_separator="\n")
+        self.parser.namespace_prefixes, self.parser.ordered_attributes, self.parser.buffer_text = True, True, True
+        self.parser.StartElementHandler, self.parser.EndElementHandler, self.parser.CharacterDataHandler = self._start, self._end, self.text.append
+
+    @staticmethod
+    def _names(full: str) -> tuple[str | None, str, str]:
         parts = full.split("\n")
         if len(parts) == 1:
             return None, full, full
         return parts[0], parts[1], f"{parts[2]}:{parts[1]}" if len(parts) > 2 else parts[1]
 
-    def flush() -> None:
-        if text:
-            n = len(found)
-            found.append([doc, part, n, n, stack[-1] if stack else None, len(stack), "text", None, None, None, None, "".join(text), list(stack)])
-            text.clear()
-
-    def start(name: str, attrs: list[str]) -> None:
-        flush()
-        ns, local, qname = names(name)
-        own = [(names(k)[2], v) for k, v in zip(attrs[::2], attrs[1::2], strict=True)]
-        n = len(found)
-        found.append([doc, part, n, n, stack[-1] if stack else None, len(stack), "elem", local, ns, qname, sorted(own), None, list(stack)])
-        stack.append(n)
-
-    def end(_: str) -> None:
-        flush()
-        found[stack.pop()][3] = len(found) - 1
-
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text.append
+    def _flush(self) -> None:
+        if self.text:
+            anc, path = self.inside
+            self.rows.append((self.doc, self.part, self.n, self.n, anc[-1] if anc else None, len(anc), "text", None, None, None, None, "".join(self.text), anc, path))
+            self.n += 1
+            self.text.clear()
+
+    def _start(self, name: str, attrs: list[str]) -> None:
+        self._flush()
+        ns, local, qname = self._names(name)
+        own = sorted((self._names(k)[2], v) for k, v in zip(attrs[::2], attrs[1::2], strict=True))
+        anc, path = self.inside
+        self.open.append((self.n, anc, path, local, ns, qname, own))
+        self.inside = ([*anc, self.n], f"{path}/{local}" if anc else local)
+        self.n += 1
+
+    def _end(self, _: str) -> None:
+        self._flush()
+        n, anc, path, local, ns, qname, own = self.open.pop()
+        self.inside = (anc, path)
+        self.rows.append((self.doc, self.part, n, self.n - 1, anc[-1] if anc else None, len(anc), "elem", local, ns, qname, own, None, anc, path))
+
+
+def _well_formed(content: bytes) -> bool:
     try:
-        parser.Parse(content, True)
+        expat.ParserCreate(namespace_separator="\n").Parse(content, True)
     except (expat.ExpatError, ValueError, LookupError):
+        return False
+    return True
+
+
+#: Bytes of XML between two looks at how many nodes wait, and how many may wait.
+SLICE, WAITING = 1 << 16, 20_000
+
+
+def _shredded(doc: str, part: str, content: bytes) -> Iterator[list[tuple]]:
+    """The nodes of one part, some at a time; none if it isn't well formed, which a first pass without nodes tells."""
+    if not _well_formed(content):
         return
-    rows.extend(found)
+    nodes, view = _Nodes(doc, part), memoryview(content)
+    for at in range(0, len(content), SLICE):
+        nodes.parser.Parse(view[at : at + SLICE], at + SLICE >= len(content))
+        if len(nodes.rows) >= WAITING:
+            yield nodes.rows
+            nodes.rows = []
+    if nodes.rows:
+        yield nodes.rows
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
@@ -169,11 +197,14 @@ def stored(df: DataFrame, tag: str = "nodes") -> DataFrame:
 
 
 def shred(parts: DataFrame) -> DataFrame:
-    """The nodes of each XML part, elements and texts. Parts that aren't well formed have none. Comments and processing instructions are dropped."""
+    """The nodes of each XML part, elements and texts. Parts that aren't well formed have none. Comments and processing instructions are dropped.
+
+    A part is fed in slices, so a worker's memory is that of its bytes and of some 20,000 nodes, whatever its length.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), *[pa.string()] * 4, pa.map_(pa.string(), pa.string()), pa.string(), pa.list_(pa.int32())]
-        names = ["doc_id", "part", "pre", "post", "parent", "depth", "kind", "name", "ns", "qname", "attrs", "text", "anc"]
+        types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), *[pa.string()] * 4, pa.map_(pa.string(), pa.string()), pa.string(), pa.list_(pa.int32()), pa.string()]
+        names = ["doc_id", "part", "pre", "post", "parent", "depth", "kind", "name", "ns", "qname", "attrs", "text", "anc", "path"]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             columns = zip(*rows, strict=True) if rows else [()] * len(types)
@@ -181,11 +212,13 @@ def shred(parts: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows: list[tuple] = []
-            for doc, part, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                _shredded(doc, part, content or b"", rows)
-                if len(rows) > 20_000:
-                    yield batch_of(rows)
-                    rows = []
+            for i in range(batch.num_rows):
+                doc, part, content = (batch.column(k)[i].as_py() for k in range(3))
+                for more in _shredded(doc, part, content or b""):
+                    rows += more
+                    if len(rows) >= WAITING:
+                        yield batch_of(rows)
+                        rows = []
             yield batch_of(rows)
 
     wanted = parts.where(F.lower("part").endswith(".xml") | F.lower("part").endswith(".rels"))
