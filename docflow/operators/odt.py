@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions import strings as S
+from docflow.operators import body as B
+from docflow.operators import elements as E
 from docflow.operators.tree import KEY, attr, enclosing, first_per, in_order, named, steps, subtree_text
 
 PART = "content.xml"
@@ -105,13 +107,13 @@ def odt_tables(nodes: DataFrame) -> DataFrame:
 
 
 def odt_images(nodes: DataFrame, parts: DataFrame) -> DataFrame:
-    """doc_id, ord, uri, alt: the first image of each body frame whose bytes are in the package, with the frame's first description."""
+    """doc_id, ord, uri, alt: the first image of each body frame, if it says where its bytes are and the package has them, with the frame's first description."""
     rows = _placed(_content(nodes, "image", "desc", texts=True)).where("top_name = 'frame'")
-    image = (F.col("name") == "image") & (attr("href") != "")
+    image = F.col("name") == "image"
     desc = F.when(F.col("name") == "desc", F.col("pre")).otherwise(F.get(enclosing("desc", start=F.col("at"), way=F.col("way")), F.lit(0)))
-    texts = rows.groupBy("doc_id", "ord", desc.alias("desc")).agg(F.coalesce(in_order("text", "pre"), F.lit("")).alias("text"), F.min(F.when(image, F.struct("pre", attr("href").alias("href")))).alias("image"))
+    texts = rows.groupBy("doc_id", "ord", desc.alias("desc")).agg(F.coalesce(in_order("text", "pre"), F.lit("")).alias("text"), F.min(F.when(image, F.struct("pre", F.coalesce(attr("href"), F.lit("")).alias("href")))).alias("image"))
     frames = texts.groupBy("doc_id", F.col("ord").cast("int").alias("ord")).agg(F.min("image")["href"].alias("href"), S.ktrim(F.min_by("text", "desc")).alias("alt"))
-    found = frames.where("href is not null").join(parts.select("doc_id", F.col("part").alias("href")), ["doc_id", "href"], "left_semi")
+    found = frames.where("href <> ''").join(parts.select("doc_id", F.col("part").alias("href")), ["doc_id", "href"], "left_semi")
     return found.select("doc_id", "ord", F.concat("doc_id", F.lit("#"), "href").alias("uri"), "alt")
 
 
@@ -124,3 +126,20 @@ def odt_metadata(nodes: DataFrame) -> DataFrame:
     docs = nodes.where("part = 'meta.xml' and pre = 0").select("doc_id")
     rows = docs.join(values.groupBy("doc_id").agg(*map(value, ["title", "creator", "description", "creation-date", "date"])), "doc_id", "left").join(words, "doc_id", "left")
     return rows.select("doc_id", "title", F.col("creator").alias("author"), "description", F.col("creation-date").alias("created"), F.col("date").alias("modified"), "words")
+
+
+def odt_elements(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """The elements of OpenDocument texts, numbered: metadata where meta.xml can be read, then headings, paragraphs (empty ones too), tables and images."""
+    meta = odt_metadata(nodes)
+    rows = E.as_elements(meta, 1, 0, "metadata", pre=F.lit(0), kind=F.lit("ODT Metadata"), name=F.col("title"), summary=F.lit(""))
+    rows = rows.unionByName(E.as_elements(odt_headings(nodes), 2, 0, "header", pre=F.col("ord")))
+    made = {"font": F.lit(None), "size": F.col("size"), "highlight": F.lit(None), "spacing": F.lit(None), "language": F.lit(None)} | {x: F.col(x) for x in ("text", "bold", "italic", "underline", "color")}
+    span = F.struct(F.col("i"), *(made.get(x, F.lit(False)).alias(x) for x in B.SPAN))
+    grouped = odt_spans(nodes).groupBy("doc_id", "ord").agg(F.array_sort(F.collect_list(span)).alias("ordered"))
+    spans = F.transform("ordered", lambda s: F.struct(*(s[x].alias(x) for x in B.SPAN)))
+    paras = odt_body(nodes).where("name = 'p'").select("doc_id", "ord").join(grouped, ["doc_id", "ord"], "left").withColumn("spans", F.coalesce(spans.cast(B.SPAN_TYPE), F.array().cast(B.SPAN_TYPE)))
+    text = F.array_join(F.transform("spans", lambda s: s["text"]), "")
+    rows = rows.unionByName(E.as_elements(paras, 2, 0, "paragraph", pre=F.col("ord"), text=text, color=F.coalesce(F.get("spans", F.lit(0))["color"], F.lit("000000"))))
+    rows = rows.unionByName(E.as_elements(odt_tables(nodes), 2, 0, "table", pre=F.col("ord")))
+    images = odt_images(nodes, parts)
+    return E.numbered(rows.unionByName(E.as_elements(images, 2, 0, "image", pre=F.col("ord"), kind=F.lower(S.after_last(F.col("uri"), ".")), name=F.col("uri"), summary=F.col("alt"))))

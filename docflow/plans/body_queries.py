@@ -9,6 +9,7 @@ from docflow.operators import body as B
 from docflow.operators import elements as E
 from docflow.operators import tree as T
 from docflow.plans import fixtures as X
+from docflow.sources import archives as A
 from docflow.sources import packages as P
 
 LINES = "SELECT doc_id, unnest(range(len(l))) AS k, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
@@ -69,6 +70,26 @@ def src_05_explode_parts(s, d):
     return parts.select(*long("doc_id", "entry_seq"), "part", "ext")
 
 
+def _archives(s, d):
+    """A folder of the packages of fx_files, as files; those of every 50th document are cut off."""
+    cut = F.when(F.col("doc_id").cast("long") % 50 == 0, F.expr("substring(content, 1, 100)")).otherwise(F.col("content"))
+    return X.folder(s, d, "archives", lambda path: A.write_files(X.fx_files(s, d).select("filename", cut.alias("content")).withColumnRenamed("filename", "name"), path))
+
+
+def _document(column="doc_id"):
+    return F.regexp_extract(column, r"([0-9]+)\.[a-z]+$", 1).cast("long").alias("doc_id")
+
+
+def src_05_package_source(s, d):
+    found = A.read_packages(s, _archives(s, d), "*.docx").where("part = 'word/numbering.xml'")
+    return found.select(_document(), *long("entry_seq"), "part", "ext", F.octet_length("content").cast("long").alias("bytes"))
+
+
+def src_11_package_errors(s, d):
+    found = A.read_packages(s, _archives(s, d), "*.docx", content="false")
+    return found.groupBy(_document()).agg(F.count("part").alias("entries"), F.count("error").alias("errors"))
+
+
 def src_06_parts_like(s, d):
     return P.parts_like(P.explode_parts(X.fx_files(s, d)), "word/n").select(*long("doc_id"), "part")
 
@@ -264,6 +285,8 @@ SQL = {
     "src_03_route_by_format": "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'odt' WHEN event_type IN ('view', 'purchase') THEN 'docx' WHEN event_type = 'click' THEN 'odt' ELSE 'text' END AS route FROM events",
     "src_04_plain_text_elements": "SELECT doc_id, 'paragraph' AS type, text, '000000' AS color FROM documents",
     "src_05_explode_parts": "SELECT doc_id, i AS entry_seq, part, 'xml' AS ext FROM documents, (VALUES (0, 'word/document.xml'), (1, 'word/numbering.xml')) AS v(i, part)",
+    "src_05_package_source": f"SELECT doc_id, 1 AS entry_seq, 'word/numbering.xml' AS part, 'xml' AS ext, {len(X.NUMBERING.encode())} AS bytes FROM documents WHERE doc_id % 50 <> 0",
+    "src_11_package_errors": "SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 0 ELSE 2 END AS entries, CASE WHEN doc_id % 50 = 0 THEN 1 ELSE 0 END AS errors FROM documents",
     "src_06_parts_like": "SELECT doc_id, 'word/numbering.xml' AS part FROM documents",
     "src_07_shred_xml": f"""SELECT doc_id, 'document' AS name, 1 AS n, 0 AS depth FROM documents WHERE doc_id % 97 <> 0 UNION ALL SELECT doc_id, 'body', 1, 1 FROM documents WHERE doc_id % 97 <> 0
         UNION ALL SELECT doc_id, 'sectPr', 1, 2 FROM documents WHERE doc_id % 97 <> 0 UNION ALL SELECT doc_id, 'p', count(*), 2 FROM ({WHOLE}) GROUP BY doc_id UNION ALL SELECT doc_id, 't', count(*), 4 FROM ({RUNS}) WHERE t <> '' GROUP BY doc_id""",

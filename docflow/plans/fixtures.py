@@ -30,6 +30,19 @@ def kept(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame])
     return _kept[key]
 
 
+_folders: dict[tuple, str] = {}
+
+
+def folder(spark: SparkSession, sf: str, name: str, make: Callable[[str], None]) -> str:
+    """A folder that make(path) fills, once a session."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _folders:
+        path = P.new_folder(spark, name)
+        make(path)
+        _folders[key] = path
+    return _folders[key]
+
+
 def aggregated(rows: DataFrame, doc: Column, order: str, xml: Column, part: str, head: str, tail: str, seq: int = 0) -> DataFrame:
     """One part a document: the rows' XML in that order between head and tail."""
     rows = rows.select(doc.cast("string").alias("doc_id"), F.col(order).alias("at"), xml.alias("xml"))
@@ -88,6 +101,14 @@ def fx_files(spark: SparkSession, sf: str) -> DataFrame:
     return files.select("doc_id", path.alias("path"), F.concat("doc_id", F.lit(".docx")).alias("filename"), F.lit("docx").alias("format"), P.infer_mime(path).alias("mime"), "content")
 
 
+def fx_all_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """path, modificationTime, length, content of a DOCX and an ODT file for each document, and a text file for each tenth; packages of every 97th can't be read."""
+    of = lambda df, ext: df.select(F.concat(F.lit("/corpus/"), F.col("doc_id").cast("string"), F.lit(ext)).alias("path"), F.col("content").cast("binary").alias("content"))
+    plain = table(spark, sf, "documents").where("doc_id % 10 = 0").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    files = of(P.packed(fx_body(spark, sf)), ".docx").unionByName(of(P.packed(fx_odt(spark, sf)), ".odt")).unionByName(of(plain, ".txt"))
+    return files.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.octet_length("content").cast("long").alias("length"), "content")
+
+
 def fx_table(spark: SparkSession, sf: str) -> DataFrame:
     """A document for each order, a table row for each of its lines."""
     rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))

@@ -172,6 +172,11 @@ def snk_01_write_text(s, d):
     return s.read.parquet(path).select(*long("doc_id"), "text")
 
 
+def snk_01_text_files(s, d):
+    path = X.folder(s, d, "text-files", lambda path: K.write_text_files(elements(s, d), path))
+    return P.read_corpus(s, path, "*.txt").select(F.regexp_extract("filename", "^([0-9]+)", 1).cast("long").alias("doc_id"), F.decode("content", "UTF-8").alias("text"))
+
+
 def snk_02_export_docx(s, d):
     files = P.packed(K.export_docx(elements(s, d)))
     again = E.document_elements(P.stored(P.shred(P.explode_parts(files))))
@@ -218,6 +223,30 @@ def str_01_stream_corpus(s, d):
     return s.read.parquet(out).select(F.regexp_extract("doc_id", r"([0-9]+)\.docx$", 1).cast("long").alias("doc_id"), *long("seq"), "type", "text")
 
 
+def _streamed(s, d):
+    """A folder with the tables of a stream of files of all formats, in two batches; the stream is stopped and started again after them."""
+
+    def make(path):
+        files = P.stored(X.fx_all_formats(s, d).repartition(2, "path"), "files")
+        folder = files.inputFiles()[0].rsplit("/", 1)[0]
+        arriving = s.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        progress = P.new_folder(s, "progress")
+        for _ in range(2):
+            streams.stream_documents(arriving, progress, path).awaitTermination()
+
+    return X.folder(s, d, "streamed", make)
+
+
+def str_01_stream_documents(s, d):
+    rows = streams.streamed(s, _streamed(s, d), "elements")
+    return rows.groupBy(F.substring_index("doc_id", "/", -1).alias("name"), "type").agg(F.count("*").alias("n"), F.max("seq").cast("long").alias("last"))
+
+
+def str_01_quarantine(s, d):
+    rows = streams.streamed(s, _streamed(s, d), "manifest").join(streams.streamed(s, _streamed(s, d), "quarantine"), ["doc_id", "batch"], "left")
+    return rows.select(F.substring_index("doc_id", "/", -1).alias("name"), "ok", "error")
+
+
 def str_02_stream_recents(s, d):
     events = X.table(s, d, "events")
     accesses = s.readStream.schema(events.schema).parquet(f"{d}/events.parquet*").select(F.col("user_id").cast("string").alias("uri"), F.col("ts").alias("last_accessed"))
@@ -242,6 +271,13 @@ def rec_01_upsert_recent(s, d):
     return _recents(s, d).select("uri", "file_name", "mime_type", F.unix_micros(F.col("last_accessed").cast("timestamp")).alias("at"))
 
 
+def rec_01_stored_recents(s, d):
+    store, rows = R.RecentStore(s, P.new_folder(s, "recents")), _accesses(s, d)
+    for k in range(3):
+        store.upsert(rows.where(F.col("file_size").isNull() & (F.crc32(F.col("last_accessed").cast("string").cast("binary")) % 3 == k)))
+    return store.read().select("uri", "file_name", "mime_type", F.unix_micros(F.col("last_accessed").cast("timestamp")).alias("at"))
+
+
 def rec_02_visible_recent(s, d):
     return R.visible(_recents(s, d)).select("uri", F.unix_micros(F.col("last_accessed").cast("timestamp")).alias("at"))
 
@@ -317,6 +353,13 @@ SQL = {
     "odt_08_odt_images": "SELECT page_id AS doc_id, 1 AS ord, page_id || '#Pictures/a.png' AS uri, 'D' || page_id AS alt FROM pages WHERE page_id % 3 <> 0 AND page_id % 5 <> 0",
     "odt_09_odt_metadata": "SELECT doc_id, 'T' || doc_id AS title, source AS author, NULL AS words FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 5 <> 0",
     "snk_01_write_text": f"SELECT doc_id, string_agg(CASE WHEN type = 'page_break' THEN '' WHEN type = 'header' THEN {TRIMMED} ELSE coalesce(CASE pos % 7 WHEN 3 THEN '• ' WHEN 4 THEN '%1. ' WHEN 6 THEN '• ' END, '') || line END, chr(10) ORDER BY seq) AS text FROM ({NUMBERED}) GROUP BY doc_id",
+    "snk_01_text_files": f"SELECT doc_id, string_agg(CASE WHEN type = 'page_break' THEN '' WHEN type = 'header' THEN {TRIMMED} ELSE coalesce(CASE pos % 7 WHEN 3 THEN '• ' WHEN 4 THEN '%1. ' WHEN 6 THEN '• ' END, '') || line END, chr(10) ORDER BY seq) AS text FROM ({NUMBERED}) GROUP BY doc_id",
+    "str_01_stream_documents": f"""WITH e AS (SELECT doc_id || '.docx' AS name, type, seq FROM ({NUMBERED}) UNION ALL SELECT doc_id || '.odt', type, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1
+        FROM (SELECT doc_id, 'metadata' AS type, -1 AS place FROM documents WHERE doc_id % 97 <> 0 AND doc_id % 4 <> 0 AND doc_id % 5 <> 0 UNION ALL SELECT doc_id, CASE WHEN k = 0 THEN 'header' ELSE 'paragraph' END, k FROM ({ODT_LINES}) UNION ALL SELECT doc_id, 'table', 1000000 FROM documents WHERE doc_id % 97 <> 0)
+        UNION ALL SELECT doc_id || '.txt', 'paragraph', 0 FROM documents WHERE doc_id % 10 = 0) SELECT name, type, count(*) AS n, max(seq)::BIGINT AS last FROM e GROUP BY name, type""",
+    "str_01_quarantine": """SELECT doc_id || x AS name, doc_id % 97 <> 0 OR x = '.txt' AS ok, CASE WHEN doc_id % 97 <> 0 OR x = '.txt' THEN NULL WHEN x = '.docx' THEN 'Failed to open file' ELSE 'Not a valid ODT file: missing content.xml' END AS error
+        FROM documents, (VALUES ('.docx'), ('.odt'), ('.txt')) AS v(x) WHERE CASE x WHEN '.txt' THEN doc_id % 10 = 0 WHEN '.odt' THEN doc_id % 97 <> 0 OR doc_id % 4 <> 0 ELSE true END""",
+    "rec_01_stored_recents": f"SELECT uri, {NAME} AS file_name, {MIME} AS mime_type, epoch_us(ts) AS at FROM ({TOP})",
     "snk_02_export_docx": f"SELECT doc_id, CASE WHEN type = 'header' THEN CASE WHEN pos = 0 THEN 1 ELSE 2 END END AS level, type, CASE WHEN type = 'header' THEN {TRIMMED} ELSE coalesce(CASE pos % 7 WHEN 3 THEN '• ' WHEN 4 THEN '%1. ' WHEN 6 THEN '• ' END, '') || line END AS text FROM ({NUMBERED}) WHERE type <> 'page_break'",
     "snk_02_exported_spans": f"""SELECT doc_id, seq AS para, row_number() OVER (PARTITION BY doc_id, seq ORDER BY i) - 1 AS ordinal, CASE WHEN i = 1 THEN 14 ELSE 11 END AS size, {ALIGN.replace('k %', 'pos %')} AS alignment, t AS text, i = 1 AS bold, i = 2 AS italic, false AS underline,
         CASE WHEN i = 2 THEN 'FF0000' ELSE '000000' END AS color, CASE WHEN i > 0 AND pos % 11 = 10 THEN 'Arial' END AS font

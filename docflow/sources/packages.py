@@ -196,6 +196,13 @@ def stored(df: DataFrame, tag: str = "nodes") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, *folders: str) -> None:
+    """Delete folders that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shred(parts: DataFrame) -> DataFrame:
     """The nodes of each XML part, elements and texts. Parts that aren't well formed have none. Comments and processing instructions are dropped.
 

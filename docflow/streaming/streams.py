@@ -9,17 +9,68 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docflow.operators import elements as E
+from docflow.operators import odt as O
 from docflow.operators import recents as R
 from docflow.sources import packages as P
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
+def parsed(files: DataFrame, nodes_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Elements of the files that can be read, whatever their format, and doc_id, ok, error of each file. nodes_of(parts) keeps the nodes, which are read several times."""
+    known = P.described(files).withColumn("format", P.route(F.col("mime"), F.col("filename")))
+    parts = P.explode_parts(known.where("format <> 'text'"))
+    nodes = nodes_of(parts)
+    of = lambda kind: nodes.join(known.where(F.col("format") == kind).select("doc_id"), "doc_id", "left_semi")
+    rows = E.document_elements(of("docx")).unionByName(O.odt_elements(of("odt"), parts))
+    plain = P.plain_text_elements(known.where("format = 'text'"))
+    rows = rows.unionByName(E.as_elements(plain, 2, 4, "paragraph", pre=F.lit(0)).withColumn("seq", F.lit(0)))
+    status = P.parse_status(known, nodes)
+    return rows.join(status.where("ok").select("doc_id"), "doc_id", "left_semi"), status
+
+
+def stream_documents(files: DataFrame, checkpoint: str, path: str) -> StreamingQuery:
+    """Parse each file of a stream of files(path, length, modificationTime, content) once, whatever its format, into three tables below path.
+
+    elements; quarantine, doc_id and error of files that can't be read; and manifest, doc_id and ok of all. Each has a folder a batch
+    that is written whole, the manifest last; so a batch that is given again after a failure replaces what it has left, and a file is in the tables
+    once. The nodes of a batch are removed when it is done.
+    """
+    spark = files.sparkSession
+
+    def each(batch: DataFrame, number: int) -> None:
+        kept = P.new_folder(spark, "nodes")
+
+        def nodes_of(parts: DataFrame) -> DataFrame:
+            nodes = P.shred(parts)
+            nodes.write.parquet(kept)
+            return spark.read.schema(nodes.schema).parquet(kept)
+
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        try:
+            rows, status = parsed(batch, nodes_of)
+            put(rows, "elements")
+            put(status.where("not ok").select("doc_id", "error"), "quarantine")
+            put(status.select("doc_id", "ok"), "manifest")
+        finally:
+            P.removed(spark, kept)
+
+    return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
+
+
+def streamed(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of stream_documents: the batches that the manifest has, which are whole."""
+    return spark.read.parquet(f"{path}/{name}").join(spark.read.parquet(f"{path}/manifest").select("batch").distinct(), "batch", "left_semi")
+
+
 def stream_files(files: DataFrame, checkpoint: str, take: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Parse each DOCX of a stream of files(path, length, modificationTime, content) once; take(elements, batch) gets each batch's elements. A batch may be given again after a failure, under its number."""
+    spark = files.sparkSession
 
     def each(batch: DataFrame, number: int) -> None:
-        take(E.document_elements(P.stored(P.shred(P.explode_parts(P.described(batch))))), number)
+        nodes = P.stored(P.shred(P.explode_parts(P.described(batch))))
+        take(E.document_elements(nodes), number)
+        P.removed(spark, *{f.rsplit("/", 1)[0] for f in nodes.inputFiles()})
 
     return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
 
@@ -29,15 +80,19 @@ def stream_corpus(spark: SparkSession, path: str, pattern: str, checkpoint: str,
     return stream_files(spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", pattern).load(path), checkpoint, take)
 
 
-def latest(accesses: DataFrame) -> DataFrame:
-    """uri, last_accessed of a stream of accesses: a row of state a uri, updated."""
-    return accesses.groupBy("uri").agg(F.max("last_accessed").alias("last_accessed"))
-
+def stream_recents(accesses: DataFrame, checkpoint: str, take: Callable[[DataFrame, int], None], store: R.RecentStore | None = None) -> StreamingQuery:
+    """take(visible, batch) gets the newest files after each batch of accesses(uri, last_accessed, and the other columns of recents where there are any).
 
-def stream_recents(accesses: DataFrame, checkpoint: str, take: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """take(visible, batch) gets the newest files after each batch of accesses(uri, last_accessed)."""
+    The state is the bounded list in store (by default beside the checkpoint), however many files are accessed: a file
+    that has left the list comes back only by an access of its own. A batch that is given again changes nothing.
+    """
+    spark = accesses.sparkSession
+    kept = store or R.RecentStore(spark, f"{checkpoint.rstrip('/')}-recents")
 
     def each(batch: DataFrame, number: int) -> None:
-        take(R.visible(batch), number)
+        known = {"file_name": "string", "mime_type": "string", "file_size": "long"}
+        rows = batch.select("uri", *(F.col(c) if c in batch.columns else F.lit(None).cast(k).alias(c) for c, k in known.items()), "last_accessed")
+        kept.upsert(rows, checkpoint, number)
+        take(R.visible(kept.read()), number)
 
-    return latest(accesses).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
+    return accesses.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
