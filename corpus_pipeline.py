@@ -48,13 +48,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near copies. Null ids belong to no group and stay."""
+    """The document of the least id of each group of near copies. Null ids belong to no group and stay.
+
+    Of several rows of that id one stays, the one whose columns have the least digest; so it is the same in every run.
+    """
     small_batches(spark)
     found = neardup.clusters(docs, n=SHINGLE, percent=PERCENT)
     least = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
     rows = _carried(docs, "doc_id")
-    kept = rows.join(least, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(rows.where(F.col("doc_id").isNull())).select("_row.*")
+    kept = rows.join(least, F.col("doc_id") == F.col("_id"), "left_semi").groupBy("doc_id").agg(F.min_by("_row", F.sha2(F.to_json("_row"), 256)).alias("_row"))
+    return kept.select("_row").unionByName(rows.where(F.col("doc_id").isNull()).select("_row")).select("_row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
