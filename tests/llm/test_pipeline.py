@@ -34,3 +34,14 @@ def test_empty_table(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         now = stash(stage(spark, now, "unused"), "stage")
     assert now.count() == 0
+
+
+def test_of_rows_of_one_id_the_same_stays_in_every_run(spark):
+    rows = [(1, " ".join(f"{w}{k}{i}" for i in range(60)), "en", "s", k) for k in range(6) for w in "ab"] + [(2, "short text", "en", "s", 0)] * 2
+    kept = set()
+    for n in (1, 3, 5):
+        docs = spark.createDataFrame(rows[::-1] if n == 3 else rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(n)
+        got = corpus_pipeline.near_duplicates(spark, docs, "unused")
+        assert got.columns == docs.columns
+        kept.add(tuple(sorted(map(tuple, got.collect()))))
+    assert len(kept) == 1 and [r[0] for r in kept.pop()] == [1, 2]
