@@ -35,6 +35,25 @@ def doc_14_complex_fields(s, d):
     return _para(s, d, M.complex_fields(nodes(s, d, "field")), "field").select("doc_id", *long("para"), "instruction")
 
 
+def fx_values(spark, sf):
+    """A paragraph for each part, by brand: a simple field with data, a complex one, and text."""
+    k = F.col("p_partkey").cast("string")
+    run = lambda x: F.concat(F.lit("<w:r>"), x, F.lit("</w:r>"))
+    mark = lambda kind: run(F.lit(f'<w:fldChar w:fldCharType="{kind}"/>'))
+    simple = F.concat(F.lit('<w:fldSimple w:instr="SEQ x"><w:fldData>D'), k, F.lit("</w:fldData></w:fldSimple>"))
+    xml = F.concat(F.lit("<w:p>"), simple, mark("begin"), run(F.concat(F.lit("<w:instrText>SET b"), k, F.lit(" one two</w:instrText>"))), mark("end"), run(F.concat(F.lit("<w:t>shown "), k, F.lit("</w:t>"))), F.lit("</w:p>"))
+    return X.aggregated(X.table(spark, sf, "part"), F.col("p_brand"), "p_partkey", xml, "word/document.xml", f"<w:document {X.W}><w:body>", "</w:body></w:document>")
+
+
+X.FIXTURES["values"] = fx_values
+
+
+def doc_14_field_values(s, d):
+    rows = _para(s, d, M.fields(nodes(s, d, "values")), "values")
+    said = F.array_join(F.transform(F.array_sort(F.map_entries("arguments")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
+    return rows.select("doc_id", *long("para", "ordinal"), "type", "instruction", "value", said.alias("arguments"), "is_simple")
+
+
 def doc_15_distinct_fields(s, d):
     return _para(s, d, M.fields(nodes(s, d, "field")), "field").select("doc_id", *long("para", "ordinal"), "instruction", "is_simple", "source")
 
@@ -318,6 +337,8 @@ REFERENCE = f"""WITH f AS ({FIELD}), x AS (
 SELECT doc_id, kind, summary, (sum(count(*)) OVER (PARTITION BY doc_id))::BIGINT AS total FROM c WHERE kind IS NOT NULL GROUP BY doc_id, kind, summary"""
 
 SQL = {
+    "doc_14_field_values": """SELECT doc_id, para, o AS ordinal, t AS type, i AS instruction, v AS value, a AS arguments, s AS is_simple FROM (SELECT p_brand AS doc_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS para, p_partkey::VARCHAR AS k FROM part),
+        LATERAL (VALUES (0, 'sequence', 'SEQ x', 'D' || k, 'sequenceIdentifier=x', true), (1, 'variable-set', 'SET b' || k || ' one two', 'shown ' || k, 'bookmark=b' || k || ', value=one two', false)) AS f(o, t, i, v, a, s)""",
     "doc_12_bookmarks": f"SELECT doc_id, para, i AS ordinal, p_partkey AS id, CASE i WHEN 0 THEN 'start' ELSE 'end' END AS boundary, CASE i WHEN 0 THEN 'b' || p_partkey ELSE '' END AS name FROM ({FIELD}), (VALUES (0), (1)) AS b(i)",
     "doc_13_simple_fields": f"SELECT doc_id, para, instr AS instruction FROM ({FIELD}), unnest(CASE WHEN p_partkey % 6 = 0 THEN [1, 2] ELSE [1] END) WHERE p_partkey % 2 = 0",
     "doc_14_complex_fields": f"SELECT doc_id, para, instr AS instruction FROM ({FIELD}) WHERE p_partkey % 2 = 1",

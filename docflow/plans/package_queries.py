@@ -213,6 +213,49 @@ def doc_38_whole_document(s, d):
     return C.whole_document(nodes(s, d, "sect"), fx_sect(s, d)).select(*long("doc_id", "seq"), "type", "kind", "summary")
 
 
+def fx_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """For each supplier a document with every kind of element: header, footer, notes, comment, bookmark, field, old picture, page break, table."""
+    k = F.col("s_suppkey").cast("string")
+    run = lambda text: F.concat(F.lit(f"<w:r><w:t>{text} "), k, F.lit("</w:t></w:r>"))
+    in_p = lambda head, text, tail: F.concat(F.lit(f"{head}<w:p>"), run(text), F.lit(f"</w:p>{tail}"))
+    body = F.concat(
+        F.lit(f'<w:document {X.W}><w:body><w:p><w:bookmarkStart w:id="'), k, F.lit('" w:name="b'), k, F.lit('"/><w:fldSimple w:instr="REF b'), k, F.lit('">'), run("see"), F.lit('</w:fldSimple><w:bookmarkEnd w:id="'), k, F.lit('"/><w:r><w:pict><w:v alt="old '), k,
+        F.lit('"/></w:pict><w:br w:type="page"/></w:r></w:p><w:tbl><w:tr><w:tc><w:p>'), run("cell"), F.lit("</w:p></w:tc></w:tr></w:tbl><w:sectPr/></w:body></w:document>"),
+    )
+    note = lambda kind: (f"word/{kind}s.xml", in_p(f'<w:{kind}s {X.W}><w:{kind} w:id="2">', kind, f"</w:{kind}></w:{kind}s>"))
+    return _row(
+        X.table(spark, sf, "supplier"), "s_suppkey", ("word/document.xml", body), ("word/header1.xml", in_p(f"<w:hdr {X.W}>", "top", "</w:hdr>")), ("word/footer1.xml", in_p(f"<w:ftr {X.W}>", "foot", "</w:ftr>")), note("footnote"), note("endnote"),
+        ("word/comments.xml", in_p(f'<w:comments {X.W}><w:comment w:id="1" w:author="A">', "said", "</w:comment></w:comments>")),
+    )
+
+
+X.FIXTURES["whole"] = fx_whole
+
+
+def _whole(s, d):
+    return X.kept(s, d, "whole-elements", lambda: C.whole_document(nodes(s, d, "whole"), fx_whole(s, d)))
+
+
+def doc_38_every_kind(s, d):
+    rows = _whole(s, d)
+    return rows.select(*long("doc_id", "seq"), "type", "kind", "name", F.coalesce("text", F.array_join(F.flatten("rows"), "|")).alias("text"), "summary")
+
+
+def elm_02_whole_text(s, d):
+    return E.to_plain_text(_whole(s, d)).select(*long("doc_id"), "text")
+
+
+def elm_06_every_kind(s, d):
+    return E.display_text(_whole(s, d)).select(*long("doc_id", "seq"), "shown")
+
+
+def snk_04_media_files(s, d):
+    """Pictures as files, read again."""
+    n, parts = nodes(s, d, "sect"), fx_sect(s, d)
+    path = X.folder(s, d, "media-files", lambda path: K.write_media_files(parts.withColumn("content", F.col("content").cast("binary")), G.images(n, P.relationships(n), parts), path))
+    return P.read_corpus(s, path, "*.jpeg").select(F.regexp_extract("path", "/([0-9]+)/i.jpeg$", 1).cast("long").alias("doc_id"), F.decode("content", "UTF-8").alias("bytes"))
+
+
 def snk_04_write_media(s, d):
     n, parts, path = nodes(s, d, "sect"), fx_sect(s, d), P.new_folder(s, "media")
     K.write_media(parts, G.images(n, P.relationships(n), parts), path)
@@ -300,7 +343,19 @@ EDGE_KINDS = f"""['document-settings', CASE WHEN {BIT(0)} OR {BIT(1)} OR {BIT(2)
 SECT_ROWS = f"""[['section', NULL, 'paragraph:0'], ['section', NULL, 'body'], ['metadata', 'content-controls', '1 content controls'], ['metadata', 'mathematics', '1 math zones'], ['metadata', 'alternate-content-set', '1 alternate content blocks'],
     ['metadata', 'pagination', 'estimatedPages=1'], ['metadata', 'accessibility-data', '1 objects with alt text'], CASE WHEN {O} % 2 = 0 THEN ['metadata', 'placeholders', '1 active placeholders detected'] END, ['paragraph', NULL, NULL],
     CASE WHEN {O} % 8 <> 0 THEN ['image', 'jpeg', 'Document Image'] END, ['drawing', 'drawing', CASE WHEN {O} % 3 = 0 THEN ' ' ELSE 'd' || {O} END], ['drawing', 'pict', 'p' || {O}], ['object', 'ole-object', {OBJECT}]]"""
+SECTION = "'SectionProperties(sectionIndex=0, source=body, type=null, pageWidth=null, pageHeight=null, margins=EdgeInsets(top=null, right=null, bottom=null, left=null), columnCount=null, pageNumberStart=null, headerReferences=[], footerReferences=[])'"
+#: seq, type, kind, name, text, summary, plain text and shown text of fx_whole's elements; k is the supplier's key.
+EVERY_KIND = f"""(0, 'section', NULL, NULL, {SECTION}, 'body', {SECTION}, {SECTION}), (1, 'header_footer', 'header', 'primary', 'top ' || k, NULL, 'top ' || k, 'header (primary): top ' || k), (2, 'header_footer', 'footer', 'primary', 'foot ' || k, NULL, 'foot ' || k, 'footer (primary): foot ' || k),
+    (3, 'note', 'footnote', '2', 'footnote ' || k, NULL, 'footnote ' || k, 'footnote 2: footnote ' || k), (4, 'note', 'endnote', '2', 'endnote ' || k, NULL, 'endnote ' || k, 'endnote 2: endnote ' || k), (5, 'comment', NULL, 'A', 'said ' || k, NULL, 'said ' || k, 'comment by A: said ' || k),
+    (6, 'metadata', 'references', 'References', NULL, '1 references', 'References: 1 references', 'References: 1 references'), (7, 'metadata', 'pagination', 'Page Layout', NULL, 'estimatedPages=2', 'Page Layout: estimatedPages=2', 'Page Layout: estimatedPages=2'),
+    (8, 'bookmark', 'start', 'b' || k, NULL, k, 'b' || k, 'bookmark start: b' || k), (9, 'bookmark', 'end', '', NULL, k, '', 'bookmark end: '), (10, 'field', 'variable-ref', NULL, 'REF b' || k, NULL, 'REF b' || k, 'field variable-ref: REF b' || k), (11, 'drawing', 'pict', NULL, NULL, 'old ' || k, 'pict', 'pict'),
+    (12, 'paragraph', NULL, NULL, 'see ' || k, NULL, 'see ' || k, 'see ' || k), (13, 'page_break', NULL, NULL, NULL, NULL, '', ''), (14, 'table', NULL, NULL, 'cell ' || k, NULL, 'cell ' || k, 'cell ' || k)"""
+EVERY = f"SELECT s_suppkey AS doc_id, v.* FROM (SELECT s_suppkey, s_suppkey::VARCHAR AS k FROM supplier), LATERAL (VALUES {EVERY_KIND}) AS v(seq, type, kind, name, text, summary, plain, shown)"
 SQL = {
+    "doc_38_every_kind": f"SELECT doc_id, seq, type, kind, name, text, summary FROM ({EVERY})",
+    "elm_02_whole_text": f"SELECT doc_id, string_agg(plain, chr(10) ORDER BY seq) AS text FROM ({EVERY}) GROUP BY doc_id",
+    "elm_06_every_kind": f"SELECT doc_id, seq, shown FROM ({EVERY})",
+    "snk_04_media_files": f"SELECT {O} AS doc_id, 'x' AS bytes FROM orders WHERE {O} % 8 <> 0",
     "src_09_relationships": "SELECT s_suppkey AS doc_id, 'word/document.xml' AS part, 'r1' AS rel_id, CASE s_suppkey % 4 WHEN 0 THEN 'media/x.png' WHEN 1 THEN '../media/x.png' WHEN 2 THEN '/word/media/x.png' ELSE './x' END AS target FROM supplier",
     "src_10_resolve_target": "SELECT s_suppkey AS doc_id, CASE s_suppkey % 4 WHEN 0 THEN 'word/media/x.png' WHEN 1 THEN 'media/x.png' WHEN 2 THEN 'word/media/x.png' ELSE 'word/x' END AS path FROM supplier",
     "pkg_04_settings": f"SELECT s_suppkey AS doc_id, s_suppkey % 200 AS zoom, CASE WHEN {BIT(3)} THEN 'true' END AS track_revisions, CASE WHEN {BIT(5)} THEN s_suppkey::VARCHAR END AS zone FROM supplier",
