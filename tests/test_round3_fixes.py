@@ -6,6 +6,7 @@ from docflow.plans import catalogue
 from docflow.plans import fixtures as X
 from docflow.plans import package_queries
 from docflow.sources import packages as P
+from docflow.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +43,9 @@ def test_a_table_of_many_files_is_one_row(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     got = {tuple(r) for r in catalogue.queries()["src_01_read_corpus"](spark, str(tmp_path)).collect()}
     assert got == {(f, "parquet", True) for f in os.listdir(SF)}
+
+
+def test_files_that_arrive_as_one_are_unpacked_by_many_tasks(spark):
+    batch = X.fx_files(spark, SF).coalesce(1)
+    assert streams.dealt(batch).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert streams.dealt(batch).count() == batch.count() > 0
