@@ -49,3 +49,16 @@ def test_files_that_arrive_as_one_are_unpacked_by_many_tasks(spark):
     batch = X.fx_files(spark, SF).coalesce(1)
     assert streams.dealt(batch).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
     assert streams.dealt(batch).count() == batch.count() > 0
+
+
+def test_parts_taken_together_have_the_parsers_nodes():
+    plain = ['<a xmlns="u" xmlns:w="v" w:z="1" b="&lt;&#65;">t&amp;u<w:c/> <w:d w:q="2"  r = "x"></w:d >é<e>1</e>\n</a>\n', '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n<a><b>1</b><b/><b><c>2</c></b></a>', '<a xmlns:x="1&amp;2"><x:b xml:space="preserve"> </x:b></a>']
+    odd = ['<a><b x=">"/>t</a>', "<a><!-- c -->x</a>", "<a><![CDATA[<u>]]></a>", '<a><b xmlns:z="q"><z:c/></b></a>', "<a b='1'/>", '<a b="1\n2"/>', "<a>\r\n</a>", "<a></b>", "<w:a/>", ""]
+    tags, nodes, rows = P._Tags(), P._Nodes(), []
+    for i, xml in enumerate(plain + odd):
+        assert tags.add(str(i), "p.xml", xml.encode()) == (i < len(plain)), xml
+        for batch in P._fed(nodes, str(i), "p.xml", xml.encode()):
+            rows += batch.to_pylist()
+    rows += nodes.batch().to_pylist()
+    own = sorted((r for r in rows if int(r["doc_id"]) < len(plain)), key=lambda r: (r["doc_id"], r["pre"]))
+    assert tags.batch().to_pylist() == own and len(own) == 19
