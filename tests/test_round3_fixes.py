@@ -2,9 +2,12 @@
 
 import os
 
+import pytest
+
 from docflow.plans import catalogue
 from docflow.plans import fixtures as X
 from docflow.plans import package_queries
+from docflow.sources import archives as A
 from docflow.sources import packages as P
 from docflow.streaming import streams
 
@@ -62,3 +65,11 @@ def test_parts_taken_together_have_the_parsers_nodes():
     rows += nodes.batch().to_pylist()
     own = sorted((r for r in rows if int(r["doc_id"]) < len(plain)), key=lambda r: (r["doc_id"], r["pre"]))
     assert tags.batch().to_pylist() == own and len(own) == 19
+
+
+def test_a_move_that_fails_takes_all_files_back(spark, tmp_path):
+    names = [f"f{i}" for i in range(20)] + ["a/b", "a"]  # a can't be a folder and a file
+    rows = spark.createDataFrame([(n, bytearray(b"x")) for n in names], "name string, content binary").coalesce(1)
+    with pytest.raises(Exception):  # noqa: B017
+        A.write_files(rows, str(tmp_path / "out"))
+    assert not [f for f in (tmp_path / "out").rglob("*") if f.is_file()]
