@@ -38,6 +38,8 @@ SPACE = "▁"
 FREQUENT, LONG = 1 << 19, 64
 #: Units whose lattices one task folds, about 1 KB each.
 PORTION = 30_000
+#: Bytes of numbers of units that a task turns into ids together.
+PORTIONED = 1 << 18
 #: Units that are counted together in a task, some 60 bytes each.
 TALLIED = 1 << 18
 #: An edge is one number: its end (7 bits), its cost, MOST - its length, and its id, in so many bits. Ids from CHAR on are characters spelt by bytes.
@@ -248,18 +250,60 @@ def encoded_units(found: DataFrame, path: str) -> DataFrame:
     return grouped.select("key", "n", folded(F.col("edges"), words.zero).alias("ids"))
 
 
-class Dictionary(X.Index):
-    """Ids by key."""
+class Lists:
+    """Lists of ids one after the other: where each begins and how long it is."""
 
-    def __init__(self, keys: np.ndarray, lists: pa.ListArray):
-        super().__init__(keys)
-        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        self.size, self.begin = size[self.order], (np.cumsum(size) - size)[self.order]
+    def __init__(self, lists: pa.ListArray):
+        self.size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.begin = np.cumsum(self.size) - self.size
         self.ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
 
 
+class Dictionary(X.Index, Lists):
+    """Ids by key; a key is known by its place among those given."""
+
+    def __init__(self, keys: np.ndarray, lists: pa.ListArray):
+        X.Index.__init__(self, keys)
+        Lists.__init__(self, lists)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = super().find(keys)
+        return np.where(at < 0, at, self.order[at]) if len(self.order) else at
+
+
+def _ranked(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by row and key, and in it each key's place among the different keys of its row."""
+    order = np.lexsort((keys, row))
+    keys, row = keys[order], row[order]
+    other = np.ones(len(row), dtype=bool)
+    other[1:] = row[1:] != row[:-1]
+    new = other.copy()
+    new[1:] |= keys[1:] != keys[:-1]
+    count = np.cumsum(new)
+    return order, count - np.maximum.accumulate(np.where(other, count, 0))
+
+
+def numbers_as_bytes(x: np.ndarray, per_row: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Numbers below 2^35, seven bits a byte, low ones first, the last byte of each below 128; and where each row's bytes start, and the last's end."""
+    size = 1 + sum((x >> (7 * i) > 0).astype(np.int64) for i in range(1, 5))
+    out = np.stack([(x >> (7 * i) & 127) | (size > i + 1) << 7 for i in range(5)], axis=1).astype(np.uint8)
+    ends = np.append(0, np.cumsum(size))
+    return out[np.arange(5) < size[:, None]].tobytes(), ends[np.append(0, np.cumsum(per_row))]
+
+
+def numbers_of_bytes(data: np.ndarray) -> np.ndarray:
+    """The numbers that numbers_as_bytes() wrote."""
+    ends = np.flatnonzero(data < 128)
+    starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+    out = np.zeros(len(ends), dtype=np.int64)
+    for i in range(5):
+        more = np.flatnonzero(starts + i <= ends)
+        out[more] |= (data[starts[more] + i] & 127).astype(np.int64) << (7 * i)
+    return out
+
+
 def _frequent(known: DataFrame) -> tuple[Dictionary, int]:
-    """The dictionary of the most frequent units, FREQUENT at most, and the least count among them."""
+    """The dictionary of the most frequent units, FREQUENT at most, the most frequent first, and the least count among them."""
     level = F.floor(F.log2("n") * 8).cast("int").alias("level")
     total, least = 0, 1 << 62
     for r in known.groupBy(level).agg(F.count("*").alias("units"), F.min("n").alias("least")).orderBy(F.desc("level")).collect():  # some hundred rows
@@ -267,11 +311,20 @@ def _frequent(known: DataFrame) -> tuple[Dictionary, int]:
         if total > FREQUENT:
             break
         least = r.least
-    top = known.where(F.col("n") >= least).select("key", "ids").toArrow().combine_chunks()
+    top = known.where(F.col("n") >= least).select("key", "n", "ids").toArrow().sort_by([("n", "descending")]).combine_chunks()
     lists = top["ids"].combine_chunks() if len(top) else pa.array([], pa.list_(pa.int32()))
     return Dictionary(top["key"].to_numpy(), lists), least
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of (key, _packed, _size, own) in portions of some PORTIONED bytes of numbers, whole rows each."""
+    bounds, first = np.append(0, np.cumsum(batch.column(2).to_numpy())), 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + PORTIONED, "right")) - 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
     """key and ids of each row. Null and empty texts have no ids.
 
@@ -303,42 +356,55 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
                 yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(keys[once])], ["one", "two", "unit"])
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", compression_level=3)
+        words, hot, codec = vocabulary(path), shared.value, pa.Codec("zstd", compression_level=3)
         for batch in batches:
-            raw = [t.encode() for t in batch.column(1).to_pylist()]
-            packed = [codec.compress(t, asbytes=True) for t in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(list(map(len, raw)), pa.int64()), batch.column(2), batch.column(3)], ["key", "_packed", "_size", "one", "two"])
-
-    def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, hot, codec = vocabulary(path), shared.value, pa.Codec("zstd")
-        for batch in batches:
-            lists = batch.column(3)
-            texts = [codec.decompress(t, decompressed_size=n, asbytes=True) if n else b"" for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            own = lists.flatten()
-            keys, first = np.unique(own.field(0).to_numpy(zero_copy_only=False), return_index=True)
-            cold = Dictionary(keys, own.field(1).take(pa.array(first)))
-            for c in X.chunks(pa.array(texts, pa.binary()).cast(pa.string())):
+            packed, sizes = [], []
+            for c in X.chunks(batch.column(1)):
                 starts, ends, row = units(c, words)
                 at = hot.find(keys := c.keys(starts, ends).view(np.int64))
-                hit = at >= 0
-                at[~hit] = cold.find(keys[~hit])
-                if (at < 0).any():
-                    raise ValueError("a unit without ids: the table has changed while it was read")
-                begin, n = np.empty_like(at), np.empty_like(at)
-                for which, d in ((hit, hot), (~hit, cold)):
-                    begin[which], n[which] = d.begin[at[which]], d.size[at[which]]
-                stop = np.cumsum(n)
-                source = np.repeat(begin - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)
-                from_hot = np.repeat(hit, n)
-                flat = np.empty(len(source), dtype=np.int32)
-                flat[from_hot], flat[~from_hot] = hot.ids[source[from_hot]], cold.ids[source[~from_hot]]
-                bounds = np.append(0, np.cumsum(c.per_row(row, n))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], ["key", "ids"])
+                cold = np.flatnonzero(at < 0)
+                order, place = _ranked(keys[cold], row[cold])
+                at[cold[order]] = len(hot.keys) + place
+                data, bounds = numbers_as_bytes(at, c.per_row(row))
+                packed += [codec.compress(data[a:b], asbytes=True) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                sizes += np.diff(bounds).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(sizes, pa.int64()), batch.column(2), batch.column(3)], ["key", "_packed", "_size", "one", "two"])
+
+    def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, codec = shared.value, pa.Codec("zstd")
+        for batch in (part for whole in batches for part in _portions(whole)):
+            sizes = batch.column(2).to_numpy()
+            data = np.frombuffer(b"".join(codec.decompress(t, decompressed_size=n, asbytes=True) if n else b"" for t, n in zip(batch.column(1).to_pylist(), sizes.tolist(), strict=True)), dtype=np.uint8)
+            at, seen = numbers_of_bytes(data), np.append(0, np.cumsum(data < 128))
+            stops = np.cumsum(sizes)
+            row = np.repeat(np.arange(len(sizes)), seen[stops] - seen[stops - sizes])
+            # a row's rare units, in the order of their keys
+            owned = batch.column(3).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            own = batch.column(3).flatten()
+            order, _ = _ranked(own.field(0).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(owned)), owned))
+            cold = Lists(own.field(1))
+            hit = at < len(hot.keys)
+            rare, of = at[~hit] - len(hot.keys), row[~hit]
+            most = np.zeros(len(owned), dtype=np.int64)
+            np.maximum.at(most, of, rare + 1)
+            if (most != owned).any():
+                raise ValueError("a unit without ids: the table has changed while it was read")
+            at[~hit] = order[(np.cumsum(owned) - owned)[of] + rare]
+            begin, n = np.empty_like(at), np.empty_like(at)
+            for which, d in ((hit, hot), (~hit, cold)):
+                begin[which], n[which] = d.begin[at[which]], d.size[at[which]]
+            stop = np.cumsum(n)
+            source = np.repeat(begin - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)
+            from_hot = np.repeat(hit, n)
+            flat = np.empty(len(source), dtype=np.int32)
+            flat[from_hot], flat[~from_hot] = hot.ids[source[from_hot]], cold.ids[source[~from_hot]]
+            bounds = np.append(0, np.cumsum(np.bincount(row, n, len(sizes)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], ["key", "ids"])
 
     rare = known.where(F.col("n") < least).select(F.col("key").alias("unit"), "ids")
     tails = rows.select("_text", "one", "two").mapInArrow(others, "one long, two long, unit long").join(rare, "unit")
     tails = tails.groupBy("one", "two").agg(F.collect_set(F.struct("unit", "ids")).alias("own"))
-    small = rows.mapInArrow(squeezed, f"key {kind}, _packed binary, _size long, one long, two long")  # texts are the most that is shuffled
+    small = rows.mapInArrow(squeezed, f"key {kind}, _packed binary, _size long, one long, two long")  # texts are the most that is shuffled, as numbers of units: frequent ones by their rank, then the row's own
     both = small.join(tails, ["one", "two"], "left").select("key", "_packed", "_size", F.coalesce("own", F.array().cast("array<struct<unit:bigint,ids:array<int>>>")).alias("own"))
     return both.mapInArrow(assembled, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 

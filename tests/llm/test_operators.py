@@ -401,3 +401,12 @@ def test_pieces_round_trip(docs, spark, empty, texts, monkeypatch, frequent):
     assert got == sorted(want, key=repr)
     assert all(model.decode(list(ids)) == text for _, ids, text in got if "▁" not in text and "\0" not in text)
     assert rows_of(pieces.decode(pieces.encode(empty))) == []
+
+
+def test_numbers_of_units_as_bytes():
+    rows = [[0, 127, 128], [], [16383, 16384, (1 << 21) - 1, 1 << 21], [(1 << 35) - 1], []]
+    data, bounds = pieces.numbers_as_bytes(np.array([x for r in rows for x in r]), np.array([len(r) for r in rows]))
+    assert [pieces.numbers_of_bytes(np.frombuffer(data[a:b], np.uint8)).tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == rows
+    assert np.diff(bounds).tolist() == [4, 0, 12, 5, 0] and pieces.numbers_as_bytes(np.zeros(0, np.int64), np.zeros(2, np.int64))[0] == b""
+    order, place = pieces._ranked(np.array([5, -3, 5, 9, 9]), np.array([1, 1, 1, 0, 2]))
+    assert order.tolist() == [3, 1, 0, 2, 4] and place.tolist() == [0, 0, 1, 1, 0]
