@@ -73,3 +73,23 @@ def test_a_move_that_fails_takes_all_files_back(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         A.write_files(rows, str(tmp_path / "out"))
     assert not [f for f in (tmp_path / "out").rglob("*") if f.is_file()]
+
+
+def test_packages_end_where_the_next_document_begins(spark):
+    names = [(d, i, f"p{i}.xml", f"{d}-{i}") for d in ("b", "a", None, "c") for i in (2, 0, 1)]
+    parts = spark.createDataFrame(names, "doc_id string, entry_seq int, part string, content string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # packages cross batches
+    try:
+        files = P.packed(parts)
+        got = {(r.doc_id, r.entry_seq, r.part, bytes(r.content).decode()) for r in P.explode_parts(files).collect()}
+        assert files.count() == 4 and P.packed(parts.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {(d, i, p, x.replace("None", str(d))) for d, i, p, x in names}
+    assert "FlatMapGroups" not in files._jdf.queryExecution().toString()  # a group a document costs more than a small document
+
+
+def test_made_packages_are_parsed_once(spark):
+    found = catalogue.queries()["snk_02_exported_pictures"](spark, SF)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
