@@ -10,6 +10,7 @@ from docflow.operators import body as B
 from docflow.plans import catalogue
 from docflow.plans import fixtures as X
 from docflow.sources import packages as P
+from docflow.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -107,3 +108,13 @@ def test_drawings_are_read_once(spark):
         got, want = told(spark, SF, name)
         assert got == want and want, name
     assert not X._kept
+
+
+def test_a_stream_deals_nodes_out_by_no_join(spark):
+    files = X.fx_all_formats(spark, SF)
+    rows, status = streams.parsed(files, lambda parts: P.stored(P.shred(parts)))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2  # an ODT file's pictures, and its elements where it can be read
+    assert rows.where("doc_id like '%/97.%'").count() == 0 and {r.ok for r in status.where("doc_id like '%/97.%'").collect()} == {False}
+    names = P.explode_parts(X.fx_files(spark, SF), content=False)
+    assert names.where("content is not null").count() == 0 and names.select("doc_id", "entry_seq", "part", "ext").collect() == P.explode_parts(X.fx_files(spark, SF)).select("doc_id", "entry_seq", "part", "ext").collect()
