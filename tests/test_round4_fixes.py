@@ -118,3 +118,16 @@ def test_a_stream_deals_nodes_out_by_no_join(spark):
     assert rows.where("doc_id like '%/97.%'").count() == 0 and {r.ok for r in status.where("doc_id like '%/97.%'").collect()} == {False}
     names = P.explode_parts(X.fx_files(spark, SF), content=False)
     assert names.where("content is not null").count() == 0 and names.select("doc_id", "entry_seq", "part", "ext").collect() == P.explode_parts(X.fx_files(spark, SF)).select("doc_id", "entry_seq", "part", "ext").collect()
+
+
+def test_written_tables_are_compressed_well(spark, tmp_path):
+    rows = P.written(spark.range(1000).repartition(3, "id"), str(tmp_path / "t"))
+    assert rows.count() == 1000 and all(".zstd." in f for f in rows.inputFiles())
+
+
+def test_pictures_are_found_without_the_other_nodes(spark):
+    X._kept.clear()
+    got, want = told(spark, SF, "snk_04_write_media")
+    assert got == want and want
+    (nodes,) = X._kept.values()
+    assert {r.name for r in nodes.select("name").distinct().collect()} == {"blip", "Relationship"}
